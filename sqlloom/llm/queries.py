@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from .byte_bpe import bpe_digests
 from .chat_format import chat_digests
 from .common import table
 from .mixing import mix_sources
 from .quality_rules import quality_rules
+from .token_counts import count_tokens
 
 #: Conversation -7 of the contract: control strings inside both texts.
 TRICKY = [(-7, t, role, "\\### Assistant: </turn> ok") for t, role in enumerate(("user", "assistant"))]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_digests(rows.unionByName(spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string")))
@@ -22,13 +30,17 @@ def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_formatting, op8_mixing_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_chat_formatting, op8_mixing_sources, op9_byte_bpe, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op4_chat_formatting": r"""
