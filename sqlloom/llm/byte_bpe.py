@@ -45,6 +45,8 @@ SYMBOLS = ("L", "N", "O", "A2", "A3", "J", "K", "R", "E")
 STATES = ("L", "N", "O", "R", "J", "F", "C1", "C2")
 FRESH = STATES.index("F")
 BLOCK = 256
+#: Characters that are worked on together, beyond one long text.
+CHARS_AT_ONCE = 1_000_000
 
 
 def _step(state: str, symbol: str) -> tuple[str, bool]:
@@ -228,6 +230,18 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's ids begin (and the last end)."""
+        ids, sizes, at = [np.zeros(0, np.int32)], [[0]], 0
+        while at < len(texts):
+            to, n = at + 1, len(texts[at])
+            while to < len(texts) and n + len(texts[to]) <= CHARS_AT_ONCE:
+                n, to = n + len(texts[to]), to + 1
+            own, bounds = self._encode(texts[at:to])
+            ids.append(own)
+            sizes.append(np.diff(bounds))
+            at = to
+        return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "\x00".join([*texts, ""])
         cps = np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy()
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_digests
 from .chat_format import chat_digests
-from .common import table
+from .common import crc_fold, table
+from .language_id import fit_languages, predict_languages
+from .media import media_digests
 from .mixing import mix_sources
+from .quality_classifier import fit_quality, score_quality
 from .quality_rules import quality_rules
+from .secret_scans import find_secrets
 from .token_counts import count_tokens
 
 #: Conversation -7 of the contract: control strings inside both texts.
@@ -21,11 +25,35 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> dict | None:
+    """Learned from the labelled rows outside the held-out fold."""
+    return fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(crc_fold("doc_id", 3) != 1))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.select("doc_id", "text", "lang").filter(crc_fold("doc_id", 4) != 2))
+    return predict_languages(docs, model).select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "cosine", "rejected")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_digests(rows.unionByName(spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string")))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -40,7 +68,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_chat_formatting, op8_mixing_sources, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op2_quality_classifier, op3_language_id, op4_chat_formatting, op6_secret_scans,
+    op7_media_columns, op8_mixing_sources, op9_byte_bpe, op10_quality_rules,
+)}
 
 ORACLE_SQL = {
     "op4_chat_formatting": r"""
