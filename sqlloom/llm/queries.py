@@ -12,6 +12,7 @@ from .common import crc_fold, table
 from .language_id import fit_languages, predict_languages
 from .media import media_digests
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .quality_classifier import fit_quality, score_quality
 from .quality_rules import quality_rules
 from .secret_scans import find_secrets
@@ -46,6 +47,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(rows.unionByName(spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string")))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -69,7 +74,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_quality_classifier, op3_language_id, op4_chat_formatting, op6_secret_scans,
+    op1_token_counts, op2_quality_classifier, op3_language_id, op4_chat_formatting, op5_near_dedup, op6_secret_scans,
     op7_media_columns, op8_mixing_sources, op9_byte_bpe, op10_quality_rules,
 )}
 
