@@ -319,20 +319,24 @@ def decode_ids(encoded: DataFrame, vocab_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def bpe_digests(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes the ids, and digests both."""
+def bpe_digests(docs: DataFrame, vocab_path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encodes, decodes the ids, and digests both."""
     bounded_batches(docs.sparkSession)
+    more = ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab_path)
         for b in batches:
             ids, at = c.encode(b["text"].to_pylist())
-            n, a, d = [], [], []
+            n, a, d, kept = [], [], [], []
             for i, j in zip(at.tolist(), at[1:].tolist(), strict=False):
                 own = ids[i:j]
                 n.append(j - i)
                 a.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, own.tolist())).encode()).hexdigest())
                 d.append(hashlib.sha256(c.decode(own)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                kept.append(own)
+            cols = [b["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(kept, pa.list_(pa.int32()))]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+            yield pa.RecordBatch.from_arrays(cols[: 4 + with_ids], names[: 4 + with_ids])
 
-    return docs.select(F.col("doc_id").cast("long"), whole().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), whole().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)

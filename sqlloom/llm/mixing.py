@@ -123,3 +123,10 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, seed: int =
     for x in done[1:]:
         all_docs = all_docs.unionByName(x)
     return all_docs.select("doc_id", "source", "size", "source_size", "target", F.col("add").alias("copies"), (F.col("add") * F.col("size")).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it.  Ids identify documents; rows without an id are taken once."""
+    copies = mix_sources(docs.filter("doc_id is not null"), **parameters).filter("copies > 0").select(F.col("doc_id").alias("_mixed"), "copies").dropDuplicates(["_mixed"])
+    taken = docs.join(copies, docs["doc_id"] == copies["_mixed"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -291,3 +291,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = sets.select("doc_id", "n_shingles", F.col("node").alias("_node")).join(placed, F.col("_node") == F.col("node"), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents of docs that are kept, with all their columns; rows without an id stay, rows with one id become one."""
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept"))
+    rows = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.filter("doc_id is null"))

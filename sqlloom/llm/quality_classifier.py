@@ -118,3 +118,21 @@ def score_quality(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = (
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(p, pa.float64())], [*(f"k{i}" for i in range(len(keep))), "score"])
 
     return inner.mapInArrow(run, schema).toDF(*keep, "score")
+
+
+def keep_good(docs: DataFrame, model: dict | None, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least ``least``; one pass, no shuffle."""
+    bounded_batches(docs.sparkSession)
+    place, names = docs.columns.index("text"), [f"c{i}" for i in range(len(docs.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if model:
+            good, bad = _compressor(model["good"]), _compressor(model["bad"])
+        for b in batches:
+            if model:
+                x = _features([(t or "").encode() for t in b.column(place).to_pylist()], good, bad)
+                b = b.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ model["weights"], -30, 30))) >= least))
+            yield b
+
+    inner = docs.toDF(*names)
+    return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)
