@@ -1,4 +1,371 @@
-"""All registered queries of the library proper, with their DuckDB equivalents."""
+"""All registered queries of the library proper, with their DuckDB equivalents.
+
+Each query runs over its whole tables.  Cases for text scalars that the tables
+do not hold are inline rows, the same on both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .labels import CLASSES
+from .operators import corpus, fuzzy, history, metrics
+from .operators.fusion import fuse
+from .sources.catalog import fold_information_schema
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ------------------------------------------------------------------ predictions
+
+DIM = "(VALUES " + ", ".join(f"({i}, '{n}', {'NULL' if p is None else p})" for i, n, p in CLASSES) + ") AS dim(id, label, priority)"
+TRUE_SQL = "CASE WHEN quality = 1 AND toxic = 0 THEN 'CORRECT' WHEN quality = 1 THEN 'SEMANTIC_ERROR' WHEN toxic = 0 THEN 'SYNTAX_ERROR' ELSE 'DATATYPE_MISMATCH' END"
+PRED_SQL = "CASE WHEN contains(text, '!!') OR contains(text, ' | ') OR contains(text, '$$$') THEN 'SYNTAX_ERROR' WHEN contains(lower(text), 'idiot') OR contains(lower(text), 'disgusting') THEN 'SEMANTIC_ERROR' WHEN n_chars < 100 THEN 'UNKNOWN_TABLE' ELSE 'CORRECT' END"
+PREDICTIONS = f"WITH predictions AS (SELECT doc_id, source, lang, n_chars, {TRUE_SQL} AS y_true, {PRED_SQL} AS y_pred, 0.5 + ((doc_id * 7919) % 1000) / 2000.0::DOUBLE AS confidence FROM labels JOIN documents USING (doc_id))"
+CONFUSION = f"{PREDICTIONS}, cells AS (SELECT t.label AS y_true, p.label AS y_pred FROM {DIM.replace('AS dim', 'AS t')} CROSS JOIN {DIM.replace('AS dim', 'AS p')}), confusion AS (SELECT c.y_true, c.y_pred, count(p.doc_id) AS n FROM cells c LEFT JOIN predictions p ON p.y_true = c.y_true AND p.y_pred = c.y_pred GROUP BY ALL)"
+PER_CLASS = f"{CONFUSION}, tr AS (SELECT y_true AS label, sum(n) AS support, sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) AS tp FROM confusion GROUP BY 1), sd AS (SELECT y_pred AS label, sum(n) AS said FROM confusion GROUP BY 1), pc AS (SELECT label, CASE WHEN said > 0 THEN tp / said::DOUBLE ELSE 0 END AS precision, CASE WHEN support > 0 THEN tp / support::DOUBLE ELSE 0 END AS recall, CASE WHEN said + support > 0 THEN 2 * tp / (said + support)::DOUBLE ELSE 0 END AS f1, support, tp FROM tr JOIN sd USING (label))"
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.expr(PRED_SQL).alias("y_pred"))
+    y = table(spark, sf_dir, "labels").select("doc_id", F.expr(TRUE_SQL).alias("y_true"))
+    return d.join(y, "doc_id").withColumn("confidence", 0.5 + (F.col("doc_id") * 7919 % 1000) / 2000.0)
+
+
+@query(f"{PREDICTIONS} SELECT d.label, count(p.doc_id) AS n FROM {DIM.replace('AS dim', 'AS d')} LEFT JOIN predictions p ON p.y_true = d.label GROUP BY 1")
+def class_histogram_zero_filled(spark, sf_dir):
+    return metrics.class_histogram(predictions(spark, sf_dir), "y_true")
+
+
+SPLIT_SQL = "CASE WHEN substr(md5(doc_id::VARCHAR), 1, 1) IN ('0', '1') THEN 'validation' WHEN substr(md5(doc_id::VARCHAR), 1, 1) IN ('2', '3') THEN 'test' ELSE 'train' END"
+
+
+def split_column() -> Column:
+    first = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1)
+    return F.when(first.isin("0", "1"), "validation").when(first.isin("2", "3"), "test").otherwise("train")
+
+
+@query(f"WITH r AS (SELECT lang AS label, {SPLIT_SQL} AS split FROM documents) SELECT CASE WHEN grouping(label) = 1 THEN 'TOTAL' ELSE label END AS label, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test, count(*) AS total FROM r GROUP BY ROLLUP (label)")
+def class_by_split_pivot(spark, sf_dir):
+    return metrics.class_by_split(table(spark, sf_dir, "documents").select(F.col("lang").alias("label"), split_column().alias("split")))
+
+
+@query(f"SELECT {SPLIT_SQL} AS split, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs FROM documents GROUP BY 1")
+def distinct_per_split(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(split_column().alias("split")).agg(F.count_distinct("source").alias("sources"), F.count_distinct("lang").alias("langs"))
+
+
+@query(f"{CONFUSION} SELECT * FROM confusion")
+def confusion_matrix_long(spark, sf_dir):
+    return metrics.confusion(predictions(spark, sf_dir))
+
+
+@query(f"{CONFUSION} SELECT *, round(n / greatest(sum(n) OVER (PARTITION BY y_true), 1)::DOUBLE, 6) AS share FROM confusion")
+def confusion_matrix_normalised(spark, sf_dir):
+    return metrics.confusion_normalised(predictions(spark, sf_dir))
+
+
+@query(f"{PER_CLASS} SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM pc")
+def class_report(spark, sf_dir):
+    return metrics.class_report(predictions(spark, sf_dir))
+
+
+@query(f"{PER_CLASS} SELECT round(coalesce(sum(tp) / nullif(sum(support), 0)::DOUBLE, 0), 6) AS accuracy, round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1 FROM pc")
+def macro_scores(spark, sf_dir):
+    return metrics.macro_scores(predictions(spark, sf_dir))
+
+
+@query(f"{PREDICTIONS} SELECT y_true, source, count(*) AS n, round(avg((y_true = y_pred)::INT), 6) AS accuracy FROM predictions GROUP BY 1, 2")
+def accuracy_by_group(spark, sf_dir):
+    return metrics.accuracy_by(predictions(spark, sf_dir), "y_true", "source")
+
+
+BINS = "b AS (SELECT least(ceil(confidence * {n}), {n})::INT AS bin, count(*) AS n, avg((y_true = y_pred)::INT) AS correct, avg(confidence) AS confidence FROM predictions GROUP BY 1)"
+
+
+@query(f"{PREDICTIONS}, {BINS.format(n=15)} SELECT round(sum(CASE WHEN bin >= 1 THEN n * abs(correct - confidence) ELSE 0 END) / sum(n), 6) AS ece FROM b")
+def ece_15bins(spark, sf_dir):
+    return metrics.calibration_error(predictions(spark, sf_dir))
+
+
+@query(f"{PREDICTIONS}, {BINS.format(n=10)} SELECT bin, n, round(correct, 6) AS correct, round(confidence, 6) AS confidence FROM b WHERE bin >= 1")
+def reliability_10bins(spark, sf_dir):
+    return metrics.reliability(predictions(spark, sf_dir))
+
+
+@query(f"{PREDICTIONS}, s AS (SELECT d.label, y_true = d.label AS positive, CASE WHEN y_pred = d.label THEN confidence ELSE 1 - confidence END AS score FROM predictions CROSS JOIN {DIM.replace('AS dim', 'AS d')}), n AS (SELECT label, score, sum(positive::INT) AS p, count(*) AS n FROM s GROUP BY 1, 2), w AS (SELECT *, p * (coalesce(sum(n - p) OVER (PARTITION BY label ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n - p) / 2.0::DOUBLE) AS w FROM n) SELECT label, round(CASE WHEN sum(p) > 0 AND sum(n - p) > 0 THEN sum(w) / (sum(p) * sum(n - p)) END, 6) AS auc FROM w GROUP BY 1")
+def ovr_auc(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    each = F.explode(F.array(*(F.lit(n) for _, n, _ in CLASSES)))
+    s = p.select("y_true", "y_pred", "confidence", each.alias("label"))
+    score = F.when(F.col("y_pred") == F.col("label"), F.col("confidence")).otherwise(1 - F.col("confidence"))
+    return metrics.ovr_auc(s.select("label", (F.col("y_true") == F.col("label")).alias("positive"), score.alias("score")))
+
+
+@query()
+def bootstrap_accuracy(spark, sf_dir):
+    return metrics.bootstrap_intervals(predictions(spark, sf_dir))
+
+
+@query(f"{PREDICTIONS} SELECT count(*) FILTER (y_true = y_pred AND y_true <> 'CORRECT') AS only_a, count(*) FILTER (y_true <> y_pred AND y_true = 'CORRECT') AS only_b FROM predictions")
+def mcnemar_counts(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    return metrics.mcnemar_counts(p.select((F.col("y_true") == F.col("y_pred")).alias("correct_a"), (F.col("y_true") == "CORRECT").alias("correct_b")))
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
+def latency_mean_p95(spark, sf_dir):
+    return metrics.latency_summary(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("SELECT CASE WHEN grouping(l_returnflag) = 1 THEN 'ALL' ELSE l_returnflag END AS l_returnflag, CASE WHEN grouping(l_linestatus) = 0 THEN l_linestatus END AS l_linestatus, count(*) AS n, round(avg((l_discount > 0.05)::INT), 6) AS discounted, round(avg((l_quantity >= 25)::INT), 6) AS large, round(avg(l_tax), 6) AS mean_latency, round(quantile_cont(l_tax, 0.95), 6) AS p95_latency FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_returnflag, l_linestatus))")
+def rates_grouping_sets(spark, sf_dir):
+    flags = {"discounted": F.col("l_discount") > 0.05, "large": F.col("l_quantity") >= 25}
+    return metrics.rates(table(spark, sf_dir, "lineitem"), ("l_returnflag", "l_linestatus"), flags, "l_tax")
+
+
+@query("WITH f AS (SELECT lang, text, min(doc_id) AS first_seen FROM documents GROUP BY 1, 2) SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY first_seen) AS rn, text, first_seen FROM f QUALIFY rn <= 3")
+def examples_top3_per_class(spark, sf_dir):
+    return metrics.first_examples(table(spark, sf_dir, "documents"), "lang", "text", "doc_id")
+
+
+@query(f"{PREDICTIONS} SELECT source, count(*) AS n, round(avg((y_true = y_pred)::INT), 6) AS accuracy FROM predictions GROUP BY 1 ORDER BY accuracy, source LIMIT 6")
+def weakest_groups(spark, sf_dir):
+    return metrics.weakest(metrics.accuracy_by(predictions(spark, sf_dir), "source"), "accuracy", 6, "source")
+
+
+@query("SELECT CASE WHEN user_id % 4 = 0 THEN 'valid' WHEN user_id % 4 = 1 THEN 'valid_alternative' WHEN user_id % 4 = 2 THEN 'repaired' ELSE 'invalid' END AS status, count(*) AS n, round(avg((value > 10)::INT), 6) AS raw_valid, round(avg((value > 5)::INT), 6) AS selected_valid, round(avg((value > 1)::INT), 6) AS final_valid, round(avg((value > 20)::INT), 6) AS raw_exec, round(avg((value > 2)::INT), 6) AS final_exec, round(avg(value), 6) AS mean_ms FROM events GROUP BY 1")
+def nl2sql_stage_rates(spark, sf_dir):
+    v = F.col("value")
+    status = F.when(F.col("user_id") % 4 == 0, "valid").when(F.col("user_id") % 4 == 1, "valid_alternative").when(F.col("user_id") % 4 == 2, "repaired").otherwise("invalid")
+    e = table(spark, sf_dir, "events").select(status.alias("status"), (v > 10).alias("raw_valid"), (v > 5).alias("selected_valid"), (v > 1).alias("final_valid"), (v > 20).alias("raw_exec"), (v > 2).alias("final_exec"), v.alias("ms"))
+    return metrics.stage_rates(e)
+
+
+@query(f"{PREDICTIONS} SELECT y_true, round(avg(-pow(1 - greatest(p, 1e-12), 2) * ln(greatest(p, 1e-12))), 6) AS focal, round(avg(-ln(greatest(p, 1e-12))), 6) AS cross_entropy FROM (SELECT y_true, CASE WHEN y_true = y_pred THEN confidence ELSE 1 - confidence END AS p FROM predictions) GROUP BY 1")
+def losses_by_class(spark, sf_dir):
+    p = predictions(spark, sf_dir).withColumn("p", F.when(F.col("y_true") == F.col("y_pred"), F.col("confidence")).otherwise(1 - F.col("confidence")))
+    return p.groupBy("y_true").agg(F.round(F.avg(metrics.focal_loss(F.col("p"))), 6).alias("focal"), F.round(F.avg(metrics.focal_loss(F.col("p"), 0.0)), 6).alias("cross_entropy"))
+
+
+# ---------------------------------------------------------------------- history
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations WHERE text ILIKE '%the%' AND role = 'user' ORDER BY conv_id DESC, turn LIMIT 50 OFFSET 20")
+def history_search_page(spark, sf_dir):
+    h = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("title"), F.col("role").alias("kind"), F.lit(None).cast("string").alias("error_class"))
+    found = history.search(h, "the", kind="user")
+    return history.page(found, 50, 20, F.col("conv_id").desc(), F.col("turn")).select("conv_id", "turn", "role", F.col("title").alias("text"))
+
+
+@query("SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events QUALIFY rn <= 5")
+def history_prune_newest_n(spark, sf_dir):
+    return history.newest(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 5)
+
+
+@query("SELECT event_type AS endpoint, count(*) AS requests, count(*) FILTER (value > 50) AS errors, round(avg(value), 6) AS mean_latency FROM events GROUP BY 1")
+def service_counters(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("endpoint"), F.when(F.col("value") > 50, "SEMANTIC_ERROR").otherwise("CORRECT").alias("error_class"), F.col("value").alias("latency_ms"))
+    return history.service_counters(e)
+
+
+# ----------------------------------------------------------------------- corpus
+
+KEY_SQL = r"regexp_replace(lower(regexp_replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), ';+$', '')), '\s+', ' ', 'g')"
+
+
+@query(f"SELECT doc_id, source, lang FROM documents QUALIFY row_number() OVER (PARTITION BY {KEY_SQL.format(c='text')} ORDER BY doc_id) = 1")
+def dedupe_first_by_key(spark, sf_dir):
+    return corpus.dedupe(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "text", "doc_id").drop("text")
+
+
+@query(f"SELECT doc_id FROM documents WHERE {KEY_SQL.format(c='text')} NOT IN (SELECT {KEY_SQL.format(c='text')} FROM benchmark)")
+def seen_anti_join(spark, sf_dir):
+    return corpus.without_seen(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "text", "text").select("doc_id")
+
+
+@query(f"WITH s AS (SELECT text, {SPLIT_SQL} AS split FROM documents) SELECT a.split AS a, b.split AS b, count(*) AS shared FROM (SELECT DISTINCT text, split FROM s) a JOIN (SELECT DISTINCT text, split FROM s) b ON a.text = b.text AND a.split < b.split GROUP BY 1, 2")
+def split_disjoint_check(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").groupBy("text").agg(F.array_sort(F.collect_set(split_column())).alias("s")).filter(F.size("s") > 1)
+    pairs = F.filter(F.flatten(F.transform("s", lambda a: F.transform("s", lambda b: F.struct(a.alias("a"), b.alias("b"))))), lambda p: p["a"] < p["b"])
+    return s.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
+
+
+@query("WITH a AS (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_quantity < 20), b AS (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_quantity >= 20) SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'right', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def result_multiset_diff(spark, sf_dir):
+    from .plans.compare import multiset_diff
+
+    t = table(spark, sf_dir, "lineitem").select("l_quantity", "l_returnflag", "l_linestatus", "l_linenumber")
+    return multiset_diff(t.filter("l_quantity < 20").drop("l_quantity"), t.filter("l_quantity >= 20").drop("l_quantity"))
+
+
+@query("WITH g AS (SELECT source, md5('42|' || source) AS d FROM (SELECT DISTINCT source FROM documents)), r AS (SELECT source, row_number() OVER (ORDER BY d, source) AS k, count(*) OVER () AS n FROM g) SELECT doc_id, source, CASE WHEN k <= greatest(1, round(n * 0.15)) THEN 'validation' ELSE 'train' END AS split FROM documents JOIN r USING (source)")
+def db_disjoint_split(spark, sf_dir):
+    return corpus.split_by_group(table(spark, sf_dir, "documents").select("doc_id", "source"), "source")
+
+
+@query(f"{PREDICTIONS} SELECT doc_id, y_true, row_number() OVER (PARTITION BY y_true ORDER BY md5('42|' || doc_id), doc_id) AS pick FROM predictions QUALIFY pick <= 20")
+def balanced_quota(spark, sf_dir):
+    return corpus.quota(predictions(spark, sf_dir).select("doc_id", "y_true"), "y_true", 20, "doc_id")
+
+
+@query(f"SELECT doc_id, s AS split, s || '-' || lpad((row_number() OVER (PARTITION BY s ORDER BY doc_id) - 1)::VARCHAR, 5, '0') AS id FROM (SELECT doc_id, {SPLIT_SQL} AS s FROM documents)")
+def export_ids(spark, sf_dir):
+    return corpus.numbered_ids(table(spark, sf_dir, "documents").select("doc_id", split_column().alias("split")), "split", "doc_id")
+
+
+# --------------------------------------------------------------- inline fixtures
+
+
+def values(rows: list[str]) -> str:
+    return "(VALUES " + ", ".join("('" + r.replace("'", "''") + "')" for r in rows) + ") AS v(x)"
+
+
+ANSWERS = ["```sql\nSELECT a\nFROM t;\n```", "SQL: SELECT 1; then more", "Here:\n```\nselect  x from y\n```\nbye", "  SELECT b FROM c  ", "sqlite:select 1", ""]
+QUERIES_TEXT = ["SELECT 1 ; ; ", "  select a\n from t;", "x", ";;", "a;b;", ""]
+WORDS = ["cities", "buses", "boxes", "singers", "class", "city", "day", "singer", "s", "ties", "Y"]
+TYPES = ["INTEGER", "VARCHAR(20)", "ENUM('a')", "INTERVAL", "timestamp", "datetime", "bool", "year", "", "blob", "Text", "DECIMAL(10,2)", "uuid", "point", " number "]
+
+
+def inline(spark: SparkSession, rows: list[str]) -> DataFrame:
+    return spark.createDataFrame([(r,) for r in rows], "x string")
+
+
+@query(rf"SELECT x, trim(regexp_replace(regexp_replace(split_part(regexp_replace(regexp_replace(CASE WHEN regexp_matches(x, '```(?:sql)?\s*(.*?)```', 'si') THEN regexp_extract(x, '```(?:sql)?\s*(.*?)```', 1, 'si') ELSE x END, '^\s+|\s+$', '', 'g'), '^\s*(sql|sqlite)\s*[:\n]', '', 'i'), ';', 1), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS sql FROM {values(ANSWERS)}")
+def extract_sql(spark, sf_dir):
+    return inline(spark, ANSWERS).select("x", T.extract_sql(F.col("x")).alias("sql"))
+
+
+@query(rf"SELECT x, regexp_replace(regexp_replace(x, '^\s+', ''), '[\s;]+$', '') AS normal, {KEY_SQL.format(c='x')} AS key FROM {values(QUERIES_TEXT)}")
+def normalize_query(spark, sf_dir):
+    return inline(spark, QUERIES_TEXT).select("x", T.normalize_query(F.col("x")).alias("normal"), T.dedupe_key(F.col("x")).alias("key"))
+
+
+@query(f"SELECT x, CASE WHEN lower(x) LIKE '%ies' AND length(x) > 4 THEN left(x, length(x) - 3) || 'y' WHEN lower(x) LIKE '%ses' OR lower(x) LIKE '%xes' THEN left(x, length(x) - 2) WHEN lower(x) LIKE '%s' AND lower(x) NOT LIKE '%ss' THEN left(x, length(x) - 1) WHEN lower(x) LIKE '%y' AND length(x) > 2 AND substr(lower(x), length(x) - 1, 1) NOT IN ('a', 'e', 'i', 'o', 'u') THEN left(x, length(x) - 1) || 'ies' ELSE x || 's' END AS toggled FROM {values(WORDS)}")
+def toggle_plural(spark, sf_dir):
+    return inline(spark, WORDS).select("x", T.toggle_plural(F.col("x")).alias("toggled"))
+
+
+@query(f"SELECT x, CASE WHEN t = '' THEN 'other' WHEN t IN ('number', 'text', 'time', 'boolean', 'other') THEN t WHEN contains(t, 'bool') THEN 'boolean' WHEN regexp_matches(t, 'date|time|year') AND NOT contains(t, 'int') THEN 'time' WHEN regexp_matches(t, 'int|real|num|dec|float|double|money|serial|bit') THEN 'number' WHEN regexp_matches(t, 'char|text|clob|string|uuid|json|enum') THEN 'text' ELSE 'other' END AS coarse, '\"' || replace(x, '\"', '\"\"') || '\"' AS quoted FROM (SELECT x, lower(trim(x)) AS t FROM {values(TYPES)})")
+def normalize_type(spark, sf_dir):
+    return inline(spark, TYPES).select("x", T.normalize_type(F.col("x")).alias("coarse"), T.quote_ident(F.col("x")).alias("quoted"))
+
+
+@query("WITH e AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'SYNTAX_ERROR' ELSE 'CORRECT' END AS a, user_id % 2 = 0 AS checked, CASE WHEN event_type = 'purchase' THEN NULL WHEN event_type = 'view' THEN 'SYNTAX_ERROR' ELSE 'CORRECT' END AS m, (event_id % 100) / 100.0::DOUBLE AS c FROM events) SELECT event_id, CASE WHEN a <> 'CORRECT' THEN a WHEN NOT checked AND m <> 'CORRECT' AND c >= 0.8 THEN m ELSE 'CORRECT' END AS error_class, CASE WHEN a <> 'CORRECT' OR checked THEN 1.0 WHEN m IS NULL THEN 1.0 WHEN m <> 'CORRECT' AND c >= 0.8 THEN c WHEN m = 'CORRECT' THEN c ELSE 1 - c END::DOUBLE AS confidence, CASE WHEN a <> 'CORRECT' THEN CASE WHEN m = a THEN 'analyzer+model' ELSE 'analyzer' END WHEN checked THEN CASE WHEN m = 'CORRECT' THEN 'analyzer+model' ELSE 'analyzer' END WHEN m <> 'CORRECT' AND c >= 0.8 THEN 'model' ELSE 'analyzer' END AS decided_by FROM e")
+def fusion_verdict(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    model = F.when(F.col("event_type") == "purchase", None).when(F.col("event_type") == "view", "SYNTAX_ERROR").otherwise("CORRECT")
+    c = (F.col("event_id") % 100) / 100.0
+    e = e.select("event_id", F.when(F.col("user_id") % 3 == 0, "SYNTAX_ERROR").otherwise("CORRECT").alias("analyzer_class"), (F.col("user_id") % 2 == 0).alias("schema_checked"), model.alias("model_class"), c.alias("model_confidence"), F.when(model == "CORRECT", c).otherwise(1 - c).alias("model_correct"))
+    return e.select("event_id", fuse().alias("v")).select("event_id", "v.error_class", "v.confidence", "v.decided_by")
+
+
+FKS = [("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
+FK_SQL = "(VALUES " + ", ".join(str(k) for k in FKS) + ") AS fk(tbl, col, target, target_col)"
+
+
+@query(f"SELECT tbl AS a, target AS b, tbl || '.' || col || ' = ' || target || '.' || target_col AS condition FROM {FK_SQL} UNION ALL SELECT target, tbl, target || '.' || target_col || ' = ' || tbl || '.' || col FROM {FK_SQL}")
+def fk_join_candidates(spark, sf_dir):
+    from .operators.repair import fk_conditions
+
+    return fk_conditions(spark.createDataFrame(FKS, "table_name string, column string, target_table string, target_column string"))
+
+
+INFO = [(t, c, k, i) for t, cols in (("singer", (("singer_id", "INTEGER"), ("name", "TEXT"), ("age", "INTEGER"))), ("stadium", (("stadium_id", "INTEGER"), ("capacity", "INTEGER")))) for i, (c, k) in enumerate(cols, 1)]
+
+
+@query("SELECT tbl AS table_name, string_agg(col || ':' || lower(kind), ',' ORDER BY ord) AS columns, min(CASE WHEN ord = 1 THEN col END) AS primary_key FROM (VALUES " + ", ".join(str(r) for r in INFO) + ") AS i(tbl, col, kind, ord) GROUP BY 1")
+def information_schema_fold(spark, sf_dir):
+    columns = spark.createDataFrame([("music", t, c, k, i) for t, c, k, i in reversed(INFO)], "db_id string, table_name string, column_name string, data_type string, ordinal int")
+    keys = spark.createDataFrame([("music", t, c, i) for t, c, _, i in INFO if i == 1], "db_id string, table_name string, column_name string, ordinal int")
+    links = spark.createDataFrame([], "db_id string, table_name string, column_name string, target_table string, target_column string, ordinal int")
+    c = fold_information_schema(columns, keys, links)
+    return c.select("table_name", F.array_join(F.transform("columns", lambda x: F.concat(x["name"], F.lit(":"), F.lower(x["raw_type"]))), ",").alias("columns"), F.element_at("primary_keys", 1).alias("primary_key"))
+
+
+# ------------------------------------------------------------------------ fuzzy
+
+
+def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), r"[^a-z]+")).alias("word")).filter("word <> ''").distinct()
+
+
+@query()
+def keyword_matches(spark, sf_dir):
+    return fuzzy.keyword_matches(part_words(spark, sf_dir).unionByName(inline(spark, ["SELEC", "FORM", "WEHRE", "GRUOP", "distinc", "ORDR"]).withColumnRenamed("x", "word")))
+
+
+@query()
+def top_k_closest(spark, sf_dir):
+    brands = table(spark, sf_dir, "part").select(F.lower("p_type").alias("option")).distinct()
+    return fuzzy.closest(part_words(spark, sf_dir), brands, [])
+
+
+@query("SELECT x, y FROM (VALUES ('twenty one', 21), ('three hundred and five', 305), ('two thousand', 2000), ('seven', 7), ('forty-two', 42), ('cat', NULL), ('one hundred twelve thousand nine', 112009)) AS v(x, y)")
+def words_to_number(spark, sf_dir):
+    return inline(spark, ["twenty one", "three hundred and five", "two thousand", "seven", "forty-two", "cat", "one hundred twelve thousand nine"]).select("x", fuzzy.words_to_number(F.col("x")).cast("int").alias("y"))
+
+
+# ------------------------------------------------------- relational categories
+
+
+@query("SELECT n_name, count(*) AS orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY 1")
+def q_join_agg(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount")  # noqa: E741
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+    c, n = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    j = l.join(j, F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("SELECT o_orderkey, o_custkey, rank() OVER w AS rnk, round(sum(o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last3, lag(o_orderkey) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def q_window(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.rank().over(w).alias("rnk"), F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("last3"), F.lag("o_orderkey").over(w).alias("before"))
+
+
+@query("(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION (SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer)")
+def q_setops(spark, sf_dir):
+    c, s, n = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    return c.intersect(s).union(n.subtract(c)).distinct()
+
+
+@query("SELECT c_custkey, c_mktsegment, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AS big FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def q_semi_anti(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice", "o_orderpriority")
+    n = o.groupBy("c_custkey").agg(F.max(F.col("o_totalprice") > 400000).alias("big"), F.max(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    return table(spark, sf_dir, "customer").join(n, "c_custkey").filter("not urgent").select("c_custkey", "c_mktsegment", "big")
+
+
+@query("SELECT p_partkey, p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
+def q_topk(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice").orderBy(F.col("p_retailprice").desc(), "p_partkey").limit(25)
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, round(coalesce(sum(l_quantity), 0.0), 2) AS total, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS numbers FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def q_aggregates(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem")
+    return t.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("suppliers"), F.round(F.coalesce(F.sum("l_quantity"), F.lit(0.0)), 2).alias("total"),
+        F.array_join(F.array_sort(F.collect_set(F.col("l_linenumber").cast("string"))), ",").alias("numbers"),
+    ).filter("n > 1")
