@@ -1,10 +1,40 @@
-"""Repair."""
+"""Repairing queries: candidates by joins and column expressions, accepted only after diagnosis.
+
+A round takes the primary issue of each wrong query, explodes its candidates,
+diagnoses them all, and keeps the best one that removes the issue: fewest
+urgent problems first, then preference, number of issues and size of the edit.
+Rounds go on until every query is correct or stuck.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.edits import each, once, tidy
+from ..functions.text import normalize_query
+from ..labels import PRIORITY
+from ..plans.stages import written
+from .diagnose import diagnose
+from .fuzzy import closest, edit_size, keyword_matches, words_to_number
+
+#: Functions that are known, other names for them, and what an insertion search tries.
+FUNCTIONS = (
+    "count", "sum", "avg", "min", "max", "lower", "upper", "length", "abs", "round", "substr", "coalesce", "ifnull", "strftime", "date",
+    "julianday", "replace", "trim", "instr", "group_concat", "total", "cast", "nullif", "datetime", "time",
+)
+SYNONYMS = {
+    "average": "avg", "mean": "avg", "avrg": "avg", "maximum": "max", "minimum": "min", "cnt": "count", "number": "count", "count_all": "count",
+    "counts": "count", "summ": "sum", "sums": "sum", "summation": "sum", "len": "length", "lcase": "lower", "ucase": "upper",
+    "substring": "substr", "isnull": "ifnull", "nvl": "ifnull",
+}
+INSERTABLE = (",", "FROM", "WHERE", "BY", ")", "(", "ON", "AND", "SELECT", "=")
+DELETIONS, INSERTIONS = 200, 150
+CANDIDATE = "array<struct<sql string, description string, preference int>>"
+AGG = r"(?:count|sum|avg|min|max|total)"
+END = r"(?= HAVING| ORDER BY| LIMIT|$)"
+
 
 def fk_conditions(keys: DataFrame) -> DataFrame:
     """a, b, condition for every foreign key in both directions.  keys: table_name, column, target_table, target_column."""
@@ -14,3 +44,139 @@ def fk_conditions(keys: DataFrame) -> DataFrame:
         F.struct(F.col("target_table").alias("a"), F.col("table_name").alias("b"), F.concat(side("target_table", "target_column"), F.lit(" = "), side("table_name", "column")).alias("condition")),
     )
     return keys.select(F.explode(both).alias("k")).select("k.*")
+
+
+def _as(options: Column, description: str, preference: int = 0) -> Column:
+    return F.transform(options, lambda x: F.struct(x.alias("sql"), F.lit(description).alias("description"), F.lit(preference).alias("preference")))
+
+
+def _when(code: str | tuple[str, ...], *options: Column) -> Column:
+    codes = (code,) if isinstance(code, str) else code
+    return F.when(F.col("code").isin(*codes), F.concat(*options)).otherwise(F.array().cast(CANDIDATE))
+
+
+def rewrites() -> Column:
+    """Candidates that need the text and its issue alone."""
+    s = F.col("sql")
+    fold = lambda p, r: once(s, p, r)
+    from_table = r"(?is)^(.*?\bFROM (\w+)\b.*?) WHERE (.*?)([\w.]+) ?(=|<>|!=|<=|>=|<|>) ?"
+    plain = F.filter(F.transform(F.split(F.regexp_extract(s, r"(?i)\bSELECT (?:DISTINCT )?(.*?) FROM ", 1), ","), F.trim), lambda x: x.rlike(r"^[A-Za-z_][\w.]*$"))
+    group = F.when(s.rlike(r"(?i)\bGROUP BY\b"), F.regexp_replace(s, F.lit(r"(?is)(\bGROUP BY .*?)" + END), F.concat(F.lit("$1, "), F.col("token")))).otherwise(F.regexp_replace(s, F.lit(r"(?is)^(.*?)(?= HAVING| ORDER BY| LIMIT|$)"), F.concat(F.lit("$1 GROUP BY "), F.array_join(plain, ", "))))
+    # the pattern for "up to the end" also matches the empty rest, so only the first match counts
+    group = F.regexp_replace(group, r"( GROUP BY [^()]*?)( GROUP BY .*)$", "$1")
+    quoted = each(s, r"(?<=[=<>(] ?)\b\d+(?:\.\d+)?\b(?! ?[),] ?\()", lambda x: F.concat(F.lit("'"), x, F.lit("'")))
+    number = each(s, r"(?<=[=<>] )'[^']*'", lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"[-+]?\d+(?:\.\d+)?", 0), F.lit("")), words_to_number(F.translate(x, "'", "")).cast("string"), x))
+    tokens = r"\w+|'[^']*'|[^\s\w]"
+    return F.concat(
+        _when("SYN_ENGINE",
+              _as(fold(r"(?i)\b(GROUP|ORDER) (?!BY\b)", "$1 BY "), "insert BY"),
+              _as(F.concat(fold(r"(?i)\b\w+?(SELECT|FROM|WHERE|GROUP|ORDER|HAVING|JOIN|LIMIT)\b", "$1"), fold(r"(?i)\b(\w+?)(SELECT|FROM|WHERE|GROUP|ORDER|HAVING|JOIN|LIMIT)\b", "$1 $2")), "split joined words", -1),
+              _as(F.transform(each(s, tokens, "", DELETIONS), tidy), "delete a token", 1),
+              _as(F.flatten(F.array(*(F.transform(each(s, r"\s+|(?=[(),=])|$", lambda x, k=k: F.concat(F.lit(f" {k} ")), INSERTIONS), tidy) for k in INSERTABLE))), "insert a token", 1),
+              _as(F.array(F.concat(F.lit("SELECT "), s)), "prepend SELECT"),
+              _as(F.when(F.length(F.regexp_replace(s, "[^']", "")) % 2 == 1, F.concat(F.array(F.concat(s, F.lit("'"))), each(s, r"(?<=\w)(?= |$)", "'"))).otherwise(F.array().cast("array<string>")), "close the string"),
+              _as(fold(r"(?is)^(.*?) ((?:GROUP|ORDER) BY .*?) (WHERE .*)$", "$1 $3 $2"), "reorder clauses")),
+        _when("TYP_LITERAL", _as(quoted, "quote the number"), _as(number, "number instead of text")),
+        _when("TYP_AGGREGATE", _as(fold(r"(?i)\b(SUM|AVG)\s*\(\s*((?:DISTINCT )?)([\w.]+)\s*\)", "$1($2CAST($3 AS REAL))"), "cast the argument")),
+        _when("SEM_NULL_CMP", _as(fold(r"(?i)([\w.]+)\s*=\s*NULL\b", "$1 IS NULL"), "IS NULL"), _as(fold(r"(?i)([\w.]+)\s*(?:<>|!=)\s*NULL\b", "NOT $1 IS NULL"), "IS NOT NULL")),
+        _when("SEM_SELF_CMP", _as(fold(r"(?i) WHERE ([\w.]+) ?(?:=|<>|<=|>=|<|>) ?\1(?: AND)?(?= |$)", " WHERE"), "drop the comparison", 1), _as(fold(r"(?i) WHERE ([\w.]+) ?(?:=|<>|<=|>=|<|>) ?\1$", ""), "drop the comparison")),
+        _when("SEM_AGGREGATE",
+              _as(fold(from_table + rf"({AGG})\(([^()]*)\)(.*)$", "$1 WHERE $3$4 $5 (SELECT upper:$6($7) FROM $2)$8"), "scalar subquery"),
+              _as(fold(rf"(?is) WHERE ([^()]*?{AGG}\([^()]*\)[^()]*?)( GROUP BY .*?)?" + END, "$2 HAVING $1"), "HAVING instead of WHERE", 1)),
+        _when("SEM_HAVING", _as(fold(r"(?i)\bHAVING\b", "WHERE"), "WHERE instead of HAVING")),
+        _when("SEM_UNGROUPED", _as(F.array(group), "complete GROUP BY"), _as(F.array(F.regexp_replace(s, F.concat(F.lit(r"(?i)(?<=SELECT |, )"), F.col("token"), F.lit(r"(?=,| FROM)")), F.concat(F.lit("MAX("), F.col("token"), F.lit(")")))), "aggregate the column", 1)),
+        _when("SEM_POSITION", _as(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split(F.regexp_extract(s, r"(?i)\bSELECT (.*?) FROM ", 1), ",")), F.lit(1))), lambda i: F.regexp_replace(s, F.lit(r"(?i)\b(ORDER|GROUP) BY \d+"), F.concat(F.lit("$1 BY "), i.cast("string")))), "existing position")),
+        _when("SEM_SUBQUERY_ARITY", _as(fold(r"(?i)(\(SELECT (?:DISTINCT )?[\w.]+)(?:, [\w.*]+)+ FROM", "$1 FROM"), "one column"), _as(fold(r"(?i)\(SELECT (?:[\w.]+, )+([\w.]+) FROM", "(SELECT $1 FROM"), "one column", 1)),
+        _when("SEM_SET_ARITY", _as(each(s, r"(?i), [\w.]+(?= FROM)|(?<=SELECT )[\w.]+, ", ""), "drop a column")),
+        _when("SEM_ARGUMENTS", _as(fold(r"\b(\w+)\(([^(),]+),[^()]*\)", "$1($2)"), "first argument only")),
+        _when("SEM_NO_JOIN", _as(_join_conditions(), "foreign key condition")),
+        _when("AMB_ALIAS", _as(fold(r"(?is)(\bAS )(\w+)( .*?\bAS )\2\b(.*?= )\2\.", "$1$2$3$2x$4$2x."), "new alias")),
+    )
+
+
+def _join_conditions() -> Column:
+    """ON <condition> after the second table of a join, for foreign keys between the two tables, in their aliases."""
+    s = F.col("sql")
+    pattern = r"(?is)\bFROM (\w+)(?: AS)? (\w+) JOIN (\w+)(?: AS)? (\w+)(?= WHERE| GROUP| ORDER| LIMIT|$)"
+    part = lambda i: F.lower(F.regexp_extract(s, pattern, i))
+    fit = F.filter("links", lambda k: ((k["table_name"] == part(1)) & (k["target_table"] == part(3))) | ((k["table_name"] == part(3)) & (k["target_table"] == part(1))))
+    a, b = (F.regexp_extract(s, pattern, i) for i in (2, 4))
+    on = lambda k: F.when(k["table_name"] == part(1), F.concat(a, F.lit("."), k["column"], F.lit(" = "), b, F.lit("."), k["target_column"])).otherwise(F.concat(a, F.lit("."), k["target_column"], F.lit(" = "), b, F.lit("."), k["column"]))
+    return F.transform(fit, lambda k: F.regexp_replace(s, F.lit(f"({pattern})"), F.concat(F.lit("$1 ON "), on(k))))
+
+
+def _replaced(word: str | Column, new: Column, all_places: bool = True) -> Column:
+    w = F.col(word) if isinstance(word, str) else word
+    return F.regexp_replace(F.col("sql"), F.concat(F.lit(r"(?i)(?<![\w'])"), w, F.lit(r"(?![\w'])")), new)
+
+
+def candidates(wrong: DataFrame, catalog: DataFrame) -> DataFrame:
+    """id, candidate, description, preference for wrong queries (id, db_id, sql, code, token)."""
+    links = catalog.groupBy("db_id").agg(F.flatten(F.collect_list(F.transform("foreign_keys", lambda k: F.struct(F.lower("table_name").alias("table_name"), k["column"].alias("column"), F.lower(k["target_table"]).alias("target_table"), k["target_column"].alias("target_column"))))).alias("links"))
+    own = wrong.join(links, "db_id", "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<table_name string, column string, target_table string, target_column string>>")))
+    plain = own.select("id", F.explode(rewrites()).alias("c")).select("id", F.regexp_replace("c.sql", r"upper:(\w+)\(", "$1(").alias("candidate"), "c.description", "c.preference")
+    # misspelt keywords: words of the query near a keyword
+    words = wrong.filter("code = 'SYN_ENGINE'").select("id", "sql", F.explode(F.array_distinct(F.regexp_extract_all("sql", F.lit(r"\b([A-Za-z]+)\b"), F.lit(1)))).alias("word"))
+    near = keyword_matches(words).filter("place <= 2").select("word", "keyword")
+    keyed = words.join(near, "word").select("id", _replaced("word", F.col("keyword")).alias("candidate"), F.lit("keyword").alias("description"), F.lit(-1).alias("preference"))
+    # unknown tables and columns: near names of the same database
+    names = F.regexp_replace("token", r"^.*\.", "")
+    tables = closest(wrong.filter("code = 'TAB_UNKNOWN'").select("db_id", names.alias("word")), catalog.select("db_id", F.col("table_name").alias("option")), ["db_id"], cutoff=0.5)
+    cols = catalog.select("db_id", F.explode("columns").alias("c")).select("db_id", F.col("c.name").alias("option"))
+    columns = closest(wrong.filter("code = 'COL_UNKNOWN'").select("db_id", names.alias("word")), cols, ["db_id"], cutoff=0.6)
+    named = lambda code, found, what: wrong.filter(F.col("code") == code).withColumn("word", names).join(found.select("db_id", "word", "option"), ["db_id", "word"]).select("id", _replaced("word", F.col("option")).alias("candidate"), F.lit(what).alias("description"), F.lit(0).alias("preference"))
+    # qualifiers: other aliases of the query
+    refs = F.array_distinct(F.transform(F.arrays_zip(F.regexp_extract_all("sql", F.lit(r"(?i)\b(?:FROM|JOIN) (\w+)(?: (?:AS )?(?!ON\b|WHERE\b|JOIN\b|GROUP\b|ORDER\b|USING\b)(\w+))?"), F.lit(1)).alias("t"), F.regexp_extract_all("sql", F.lit(r"(?i)\b(?:FROM|JOIN) (\w+)(?: (?:AS )?(?!ON\b|WHERE\b|JOIN\b|GROUP\b|ORDER\b|USING\b)(\w+))?"), F.lit(2)).alias("a")), lambda x: F.when(x["a"] != "", x["a"]).otherwise(x["t"])))
+    qualified = wrong.filter("code in ('AMB_COLUMN', 'COL_UNKNOWN')").withColumn("alias", F.explode(refs)).select(
+        "id", F.regexp_replace("sql", F.concat(F.lit(r"(?i)(?<![\w.'])(?:\w+\.)?"), names, F.lit(r"(?![\w'(.])")), F.concat(F.col("alias"), F.lit("."), names)).alias("candidate"), F.lit("qualify").alias("description"), F.lit(1).alias("preference")
+    )
+    # functions: other names, else near ones
+    spark = wrong.sparkSession
+    known = spark.createDataFrame([(k, v) for k, v in SYNONYMS.items()], "word string, option string")
+    fwords = wrong.filter("code = 'SEM_FUNCTION'").select(F.lower("token").alias("word")).distinct()
+    fnear = closest(fwords, spark.createDataFrame([(f,) for f in FUNCTIONS], "option string"), []).select("word", "option")
+    functions = wrong.filter("code = 'SEM_FUNCTION'").withColumn("word", F.lower("token")).join(known.unionByName(fnear.join(known, "word", "left_anti")), "word").select("id", _replaced("word", F.col("option")).alias("candidate"), F.lit("function").alias("description"), F.lit(0).alias("preference"))
+    found = plain
+    for x in (keyed, named("TAB_UNKNOWN", tables, "table"), named("COL_UNKNOWN", columns, "column"), qualified, functions):
+        found = found.unionByName(x)
+    found = found.filter(F.col("candidate") != "").groupBy("id", "candidate").agg(F.min(F.struct("preference", "description")).alias("_p"))
+    return found.select("id", "candidate", "_p.description", "_p.preference")
+
+
+def repair(queries: DataFrame, catalog: DataFrame, rounds: int = 8) -> DataFrame:
+    """id, db_id, original_query, repaired_query, success, remaining_error, steps.
+
+    Queries that access policies forbid are never changed.
+    """
+    rank = F.create_map(*(F.lit(x) for p in (*PRIORITY.items(), ("CORRECT", 8)) for x in p))
+    state = diagnose(queries, catalog).select(
+        "id", "db_id", F.col("sql").alias("original_query"), normalize_query(F.col("sql")).alias("sql"), "policy", "error_class", "issues",
+        F.array().cast("array<struct<error_class string, description string, before string, after string>>").alias("steps"), F.lit(False).alias("stuck"),
+    )
+    state = written(state, "repair")
+    for _ in range(rounds):
+        todo = state.filter("error_class not in ('CORRECT', 'PERMISSION_DENIED') and not stuck")
+        if not todo.head(1):
+            break
+        wrong = todo.select("id", "db_id", F.regexp_replace("sql", r"\s+", " ").alias("sql"), F.col("issues")[0]["code"].alias("code"), F.col("issues")[0]["token"].alias("token"))
+        options = written(candidates(wrong, catalog), "candidates")
+        base = todo.select("id", "db_id", "policy", F.col("sql").alias("before"), F.col("error_class").alias("was"), F.col("issues").alias("had"), "steps", "original_query")
+        tried = diagnose(options.join(base, "id").select("id", "db_id", "policy", F.col("candidate").alias("sql"), "before", "was", "had", "steps", "original_query", "description", "preference"), catalog)
+        tried = tried.filter(F.col("sql") != F.col("before"))
+        gone = ~F.exists("issues", lambda x: (x["code"] == F.col("had")[0]["code"]) & x["token"].eqNullSafe(F.col("had")[0]["token"]) & (x["message"] == F.col("had")[0]["message"]))
+        no_worse = (rank[F.col("error_class")] >= rank[F.col("was")]) | (F.col("error_class") == "CORRECT")
+        # or what comes up was there before, only masked: it names words of the query as it was
+        words = F.split(F.lower("before"), r"[^\w']+")
+        unmasked = F.forall("issues", lambda x: (rank[x["error_class"]] >= rank[F.col("was")]) | F.coalesce(F.array_contains(words, F.lower(F.regexp_replace(x["token"], r"^.*\.", ""))), F.lit(False)))
+        tried = tried.filter(gone & (no_worse | unmasked))
+        order = W.partitionBy("id").orderBy((F.col("error_class") != "CORRECT").cast("int"), "preference", -rank[F.col("error_class")], F.size("issues"), "_size", "sql")
+        best = tried.withColumn("_size", edit_size(F.col("before"), F.col("sql"))).withColumn("_rn", F.row_number().over(order)).filter("_rn = 1")
+        step = F.struct(F.col("was").alias("error_class"), "description", "before", F.col("sql").alias("after"))
+        best = best.select("id", "db_id", "original_query", "sql", "policy", "error_class", "issues", F.array_append("steps", step).alias("steps"), F.lit(False).alias("stuck"))
+        rest = state.join(best.select("id"), "id", "left_anti").withColumn("stuck", F.lit(True))
+        state = written(best.unionByName(rest.select(*best.columns)), "repair")
+    explain = F.array_join(F.transform("steps", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s["error_class"], F.lit(": "), s["description"])), "\n")
+    return state.select(
+        "id", "db_id", "original_query", F.col("sql").alias("repaired_query"), (F.col("error_class") == "CORRECT").alias("success"),
+        F.when(F.col("error_class") != "CORRECT", F.col("error_class")).alias("remaining_error"), "steps", explain.alias("explanation"),
+    )
