@@ -1,4 +1,4 @@
-from fixtures import MUSIC, VERDICTS
+from sqlloom.samples import MUSIC, VERDICTS
 from pyspark.sql import functions as F
 
 from sqlloom.operators.diagnose import diagnose

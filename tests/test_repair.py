@@ -1,5 +1,5 @@
 import pytest
-from fixtures import MUSIC, VERDICTS
+from sqlloom.samples import MUSIC, VERDICTS
 
 from sqlloom.operators.diagnose import diagnose
 from sqlloom.operators.mutate import MUTATIONS, build_corpus, yields
