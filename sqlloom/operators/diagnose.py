@@ -120,25 +120,29 @@ def engine_issue() -> Column:
 def _views(q: DataFrame) -> DataFrame:
     """Columns that the rules look at: skeleton (lower case, literals blank, parentheses folded), references, literals with their columns."""
     bare = F.lower(F.regexp_replace(F.col("_q"), r"'[^']*(?:''[^']*)*'", "''"))
-    fold = bare
+    q = q.withColumn("_bare", F.regexp_replace(bare, r"\s+", " "))
+    fold = F.col("_bare")
     for _ in range(4):
         fold = F.regexp_replace(fold, r"\(([^()]*)\)", "\u0001\u0002")
-    flat = F.regexp_replace(F.translate(fold, "\u0001\u0002", "()"), r"\s+", " ")
-    q = q.withColumns({"_bare": F.regexp_replace(bare, r"\s+", " "), "_flat": flat})
-    froms = F.regexp_replace(F.col("_bare"), r"^.*?\bfrom\b", " from")
-    listed = F.regexp_replace(F.regexp_extract(F.col("_flat"), r"\bfrom (.*?)(?: where | group by | having | order by | limit | union | intersect | except |$)", 1), r"^", " from ")
-    pair = lambda text: F.transform(F.arrays_zip(F.regexp_extract_all(text, F.lit(REFS), F.lit(1)).alias("t"), F.regexp_extract_all(text, F.lit(REFS), F.lit(2)).alias("a")), lambda x: F.struct(x["t"].alias("t"), F.when(x["a"] != "", x["a"]).otherwise(x["t"]).alias("a")))
+    q = q.withColumn("_flat", F.translate(fold, "\u0001\u0002", "()"))
+    q = q.withColumns({
+        "_from": F.regexp_replace(F.col("_bare"), r"^.*?\bfrom\b", " from"),
+        "_listed": F.concat(F.lit(" from "), F.regexp_extract(F.col("_flat"), r"\bfrom (.*?)(?: where | group by | having | order by | limit | union | intersect | except |$)", 1)),
+    })
+    both = lambda text, p, a, b: F.arrays_zip(*(F.regexp_extract_all(text, F.lit(p), F.lit(i)).alias(n) for i, n in ((1, a), (2, b))))
     triple = rf"(?i)([a-z_][\w.]*)\s*(?:=|<>|!=|<=|>=|<|>)\s*{LITERAL}"
     ranged = rf"(?i)([a-z_][\w.]*)\s+(?:not\s+)?(?:between|in\s*\()\s*{LITERAL}"
-    lits = lambda p: F.transform(F.arrays_zip(F.regexp_extract_all("_q", F.lit(p), F.lit(1)).alias("c"), F.regexp_extract_all("_q", F.lit(p), F.lit(2)).alias("v")), lambda x: F.struct(F.lower(x["c"]).alias("c"), x["v"].alias("v")))
     return q.withColumns({
-        "_refs": pair(listed), "_all": F.array_distinct(F.transform(F.array_union(pair(froms), pair(listed)), lambda x: x["t"])),
-        "_lits": F.array_distinct(F.concat(lits(triple), lits(ranged))),
+        "_refs": F.transform(both("_listed", REFS, "t", "a"), lambda x: F.struct(x["t"].alias("t"), F.when(x["a"] != "", x["a"]).otherwise(x["t"]).alias("a"))),
+        "_all": F.array_union(F.regexp_extract_all("_from", F.lit(REFS), F.lit(1)), F.regexp_extract_all("_listed", F.lit(REFS), F.lit(1))),
+        "_lits": F.transform(F.array_distinct(F.concat(both("_q", triple, "c", "v"), both("_q", ranged, "c", "v"))), lambda x: F.struct(F.lower(x["c"]).alias("c"), x["v"].alias("v"))),
+        "_edges": F.transform(both("_bare", r"\b(\w+)\.\w+ ?(?:=|<>|!=|<=|>=|<|>|like|between) ?(\w+)\.\w+", "a", "b"), lambda x: F.array(x["a"], x["b"])),
         "_ctes": F.regexp_extract_all("_bare", F.lit(r"(?:\bwith|,) ([a-z_]\w*) as \("), F.lit(1)),
+        "_summed": F.regexp_extract_all("_bare", F.lit(r"\b(?:sum|avg) ?\( ?(?:distinct )?([a-z_][\w.]*) ?\)"), F.lit(1)),
         "_selects": F.size(F.regexp_extract_all("_bare", F.lit(r"(\bselect\b)"), F.lit(1))),
         "_items": F.transform(F.split(F.regexp_extract("_flat", r"\bselect (?:distinct )?(.*?)(?: from |$)", 1), ","), lambda x: F.regexp_replace(F.trim(x), r" (?:as )?[a-z_]\w*$", "")),
         "_groups": F.transform(F.filter(F.split(F.regexp_extract("_flat", r"\bgroup by (.*?)(?: having | order by | limit |$)", 1), ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x)),
-    })
+    }).drop("_from", "_listed")
 
 
 def _last(x: Column) -> Column:
@@ -153,50 +157,60 @@ def _type_of(name: Column) -> Column:
     return F.when(F.size(kinds) == 1, kinds[0])
 
 
+def _findings(q: DataFrame) -> DataFrame:
+    """What the rules found, as columns of their own, so that each is worked out once."""
+    strings = F.array().cast("array<string>")
+    q = q.withColumns({
+        "_alias": F.transform("_refs", lambda r: r["a"]),
+        "_tables": F.array_except("_all", "_ctes"),
+        "_plain": F.filter("_items", lambda x: x.rlike(r"^[a-z_][\w.]*$") | x.rlike(r"^(\w+\.)?\*$")),
+        "_covered": F.transform("_groups", _last),
+        "_typed": F.transform("_lits", lambda x: F.struct(_type_of(x["c"]).alias("type"), x["c"].alias("c"), x["v"].alias("v"))),
+        "_sums": F.filter("_summed", lambda c: _type_of(c) == "text"),
+        "_words": F.split("_bare", r"\W+"),
+    })
+    return q.withColumns({
+        "_banned": F.array_intersect("_tables", F.transform(F.coalesce("policy.restricted_tables", strings), F.lower)),
+        "_closed": F.filter(F.transform(F.coalesce("policy.restricted_columns", strings), F.lower), lambda c: F.array_contains(F.col("_tables"), F.split(c, r"\.")[0])),
+        "_loose": F.array_except("_alias", F.aggregate("_refs", F.slice("_alias", 1, 1), lambda acc, _: F.array_union(acc, F.flatten(F.filter(F.col("_edges"), lambda e: F.arrays_overlap(e, acc)))))),
+        "_open": F.filter("_plain", lambda x: ~F.array_contains(F.col("_covered"), _last(x))),
+        "_mixed": F.filter("_typed", lambda x: ((x["type"] == "number") & x["v"].startswith("'") & ~F.substring(x["v"], F.lit(2), F.length(x["v"]) - 2).rlike(NUMERIC)) | ((x["type"] == "text") & ~x["v"].startswith("'"))),
+    })
+
+
 def policy_issues() -> Column:
     """Restricted tables, columns, and stars that would show restricted columns."""
-    tables = F.array_except("_all", F.coalesce("_ctes", F.array().cast("array<string>")))
-    banned = F.array_intersect(tables, F.transform(F.coalesce("policy.restricted_tables", F.array().cast("array<string>")), F.lower))
-    columns = F.filter(F.transform(F.coalesce("policy.restricted_columns", F.array().cast("array<string>")), F.lower), lambda c: F.array_contains(tables, F.split(c, r"\.")[0]))
-    named = F.filter(columns, lambda c: F.array_contains(F.split("_bare", r"\W+"), F.split(c, r"\.")[1]))
+    first = lambda c: F.col(c)[0]
+    named = F.filter("_closed", lambda c: F.array_contains(F.col("_words"), F.split(c, r"\.")[1]))
     star = F.exists("_items", lambda x: x.rlike(r"^(\w+\.)?\*$"))
     return F.array(
-        issue(F.size(banned) > 0, "PERMISSION_DENIED", "POL_TABLE", F.concat(F.lit("Access to table '"), banned[0], F.lit("' is restricted.")), banned[0], "policy"),
+        issue(F.size("_banned") > 0, "PERMISSION_DENIED", "POL_TABLE", F.concat(F.lit("Access to table '"), first("_banned"), F.lit("' is restricted.")), first("_banned"), "policy"),
         issue(F.size(named) > 0, "PERMISSION_DENIED", "POL_COLUMN", F.concat(F.lit("Access to column '"), named[0], F.lit("' is restricted.")), named[0], "policy"),
-        issue(star & (F.size(columns) > 0), "PERMISSION_DENIED", "POL_STAR", F.concat(F.lit("'*' includes the restricted column '"), columns[0], F.lit("'.")), columns[0], "policy"),
+        issue(star & (F.size("_closed") > 0), "PERMISSION_DENIED", "POL_STAR", F.concat(F.lit("'*' includes the restricted column '"), first("_closed"), F.lit("'.")), first("_closed"), "policy"),
     )
 
 
 def static_issues() -> Column:
     bare, flat, one = F.col("_bare"), F.col("_flat"), F.col("_selects") == 1
-    aliases = F.transform("_refs", lambda r: r["a"])
     agg = r"\b(count|sum|avg|min|max|total|group_concat)\(\)"
     itself = r"(?<![\w.'])([a-z_][\w.]*) ?(?:=|<>|!=|<=|>=|<|>) ?\1(?![\w.(])"
-    # aliases that predicates connect, and those reached from the first
-    edges = F.transform(F.arrays_zip(*(F.regexp_extract_all("_bare", F.lit(r"\b(\w+)\.\w+ ?(?:=|<>|!=|<=|>=|<|>|like|between) ?(\w+)\.\w+"), F.lit(i)).alias(n) for i, n in ((1, "a"), (2, "b")))), lambda x: F.array(x["a"], x["b"]))
-    reached = F.aggregate("_refs", F.slice(aliases, 1, 1), lambda acc, _: F.array_union(acc, F.flatten(F.filter(F.col("_edges"), lambda e: F.arrays_overlap(e, acc)))))
-    loose = F.array_except(aliases, reached)
     unqualified = bare.rlike(r"\b(on|where) ?\(?[a-z_]\w* ?(=|<|>)") | bare.rlike(r"\b(natural|cross|using)\b")
-    unjoined = one & (F.size("_refs") > 1) & ~unqualified & (F.size(loose) > 0)
-    # plain columns of the select list that no group covers
-    plain = F.filter("_items", lambda x: x.rlike(r"^[a-z_][\w.]*$") | x.rlike(r"^(\w+\.)?\*$"))
-    keyed = F.exists("keys", lambda k: F.array_contains(F.transform("_groups", _last), k["c"]) & F.array_contains(F.col("_all"), k["t"]))
+    unjoined = one & (F.size("_refs") > 1) & ~unqualified & (F.size("_loose") > 0)
+    keyed = F.exists("keys", lambda k: F.array_contains(F.col("_covered"), k["c"]) & F.array_contains(F.col("_all"), k["t"]))
     position = F.exists("_groups", lambda g: g.rlike(r"^\d+$"))
     aggregated = F.exists("_items", lambda x: x.rlike(agg))
-    bare_item = F.filter(plain, lambda x: ~F.array_contains(F.transform("_groups", _last), _last(x)))
-    ungrouped = one & (aggregated | (F.size("_groups") > 0)) & (F.size(bare_item) > 0) & ~F.coalesce(keyed, F.lit(False)) & ~position
-    mixed = F.filter("_lits", lambda x: ((_type_of(x["c"]) == "number") & x["v"].startswith("'") & ~F.substring(x["v"], F.lit(2), F.length(x["v"]) - 2).rlike(NUMERIC)) | ((_type_of(x["c"]) == "text") & ~x["v"].startswith("'")))
-    summed = F.filter(F.regexp_extract_all("_bare", F.lit(r"\b(?:sum|avg) ?\( ?(?:distinct )?([a-z_][\w.]*) ?\)"), F.lit(1)), lambda c: _type_of(c) == "text")
+    ungrouped = one & (aggregated | (F.size("_groups") > 0)) & (F.size("_open") > 0) & ~F.coalesce(keyed, F.lit(False)) & ~position
+    first = lambda c: F.col(c)[0]
     return F.array(
-        issue(F.size(F.array_distinct(aliases)) < F.size(aliases), "AMBIGUOUS_REFERENCE", "AMB_ALIAS", "The same table name or alias is used twice in FROM/JOIN."),
+        issue(F.size(F.array_distinct("_alias")) < F.size("_alias"), "AMBIGUOUS_REFERENCE", "AMB_ALIAS", "The same table name or alias is used twice in FROM/JOIN."),
         issue(bare.rlike(r"(=|<>|!=) ?null\b|\bnull ?(=|<>|!=)"), "SEMANTIC_ERROR", "SEM_NULL_CMP", "Comparing with NULL by = or <> is never true; use IS NULL."),
         issue(bare.rlike(itself), "SEMANTIC_ERROR", "SEM_SELF_CMP", "A column is compared with itself."),
-        issue(unjoined, "SEMANTIC_ERROR", "SEM_NO_JOIN", F.concat(F.lit("Table '"), loose[0], F.lit("' is joined without a condition.")), loose[0]),
+        issue(unjoined, "SEMANTIC_ERROR", "SEM_NO_JOIN", F.concat(F.lit("Table '"), first("_loose"), F.lit("' is joined without a condition.")), first("_loose")),
         issue(one & flat.rlike(r"\bhaving\b") & ~flat.rlike(r"\bgroup by\b") & ~aggregated, "SEMANTIC_ERROR", "SEM_HAVING", "HAVING without GROUP BY or an aggregate; use WHERE."),
-        issue(ungrouped, "SEMANTIC_ERROR", "SEM_UNGROUPED", F.concat(F.lit("Column '"), bare_item[0], F.lit("' is neither aggregated nor in GROUP BY.")), bare_item[0]),
-        issue(F.size(mixed) > 0, "DATATYPE_MISMATCH", "TYP_LITERAL", F.concat(F.lit("Column '"), mixed[0]["c"], F.lit("' is compared with a literal of another type.")), mixed[0]["v"]),
-        issue(F.size(summed) > 0, "DATATYPE_MISMATCH", "TYP_AGGREGATE", F.concat(F.lit("SUM/AVG of text column '"), summed[0], F.lit("'.")), summed[0]),
-    ), edges
+        issue(ungrouped, "SEMANTIC_ERROR", "SEM_UNGROUPED", F.concat(F.lit("Column '"), first("_open"), F.lit("' is neither aggregated nor in GROUP BY.")), first("_open")),
+        issue(F.size("_mixed") > 0, "DATATYPE_MISMATCH", "TYP_LITERAL", F.concat(F.lit("Column '"), first("_mixed")["c"], F.lit("' is compared with a literal of another type.")), first("_mixed")["v"]),
+        issue(F.size("_sums") > 0, "DATATYPE_MISMATCH", "TYP_AGGREGATE", F.concat(F.lit("SUM/AVG of text column '"), first("_sums"), F.lit("'.")), first("_sums")),
+    )
 
 
 def diagnose(queries: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -209,14 +223,12 @@ def diagnose(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     kept = q.columns
     q = q.withColumn("_q", normalize_query(F.col("sql"))).join(scripts(catalog), "db_id", "left")
     q = q.withColumn("schema_checked", F.col("ddl").isNotNull())
-    q = compiled(q)
-    names = F.col("engine_error").rlike("(?i)no such (table|column)|ambiguous column")
-    q = q.withColumn("engine_error", F.when(F.col("schema_checked") | ~names, F.col("engine_error")))
     none = lambda c, t: F.coalesce(c, F.array().cast(t))
     q = q.withColumns({"cols": none("cols", "array<struct<t string, c string, type string>>"), "keys": none("keys", "array<struct<t string, c string>>")})
-    q = _views(q)
-    statics, edges = static_issues()
-    q = q.withColumn("_edges", edges)
+    # the engine's step in the middle also keeps the expressions on both sides apart
+    q = compiled(_views(q))
+    names = F.col("engine_error").rlike("(?i)no such (table|column)|ambiguous column")
+    q = _findings(q.withColumn("engine_error", F.when(F.col("schema_checked") | ~names, F.col("engine_error"))))
     empty, banned = F.col("_q") == "", F.col("_q").rlike(FORBIDDEN)
     guard = F.array(
         issue(empty, "SYNTAX_ERROR", "SYN_EMPTY", "The query is empty.", source="engine"),
@@ -225,7 +237,7 @@ def diagnose(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     engine = F.array(engine_issue())
     grammatical = ~F.coalesce(F.element_at(engine, 1)["error_class"] == "SYNTAX_ERROR", F.lit(False))
     no = F.array().cast(f"array<{ISSUE}>")
-    found = F.when(empty | banned, guard).otherwise(F.concat(engine, F.when(grammatical, policy_issues()).otherwise(no), F.when(F.col("engine_error").isNull(), statics).otherwise(no)))
+    found = F.when(empty | banned, guard).otherwise(F.concat(engine, F.when(grammatical, policy_issues()).otherwise(no), F.when(F.col("engine_error").isNull(), static_issues()).otherwise(no)))
     place = F.create_map(*(F.lit(x) for p in PRIORITY.items() for x in p))
     ranked = F.array_sort(F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x, i: F.struct(place[x["error_class"]].alias("p"), i.alias("i"), x.alias("x"))))
     q = q.withColumn("issues", F.array_distinct(F.transform(ranked, lambda r: r["x"])))

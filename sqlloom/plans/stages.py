@@ -6,16 +6,21 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Writes df below ``spark.checkpoint.dir`` (a temporary folder only where that is unset) and reads it again."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="sqlloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+    return base
+
+
+def written(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Writes df into the shared folder and reads it again."""
+    spark = df.sparkSession
+    path = os.path.join(folder(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import samples
 from .functions import text as T
 from .labels import CLASSES
 from .operators import corpus, fuzzy, history, metrics
@@ -369,3 +370,57 @@ def q_aggregates(spark, sf_dir):
         F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("suppliers"), F.round(F.coalesce(F.sum("l_quantity"), F.lit(0.0)), 2).alias("total"),
         F.array_join(F.array_sort(F.collect_set(F.col("l_linenumber").cast("string"))), ",").alias("numbers"),
     ).filter("n > 1")
+
+
+# --------------------------------------------------- query corpora and streams
+
+
+def text_values(rows: list[tuple]) -> str:
+    cell = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
+
+
+@query(f"SELECT id, error_class FROM {text_values([(i, c) for i, (_, c) in enumerate(samples.VERDICTS)])} AS v(id, error_class)")
+def diagnose_corpus(spark, sf_dir):
+    from .operators.diagnose import diagnose
+    from .sources.catalog import from_wire
+
+    q = spark.createDataFrame([(i, "music", s) for i, (s, _) in enumerate(samples.VERDICTS)], "id int, db_id string, sql string")
+    return diagnose(q, from_wire(spark, "music", samples.MUSIC)).select("id", "error_class")
+
+
+def _seeds(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("music", s) for s in samples.SEEDS], "db_id string, sql string")
+
+
+@query()
+def mutate_corpus(spark, sf_dir):
+    from .operators.mutate import build_corpus
+    from .sources.catalog import from_wire
+
+    return build_corpus(_seeds(spark), from_wire(spark, "music", samples.MUSIC), per_label=20)
+
+
+@query()
+def repair_corpus(spark, sf_dir):
+    from .operators.repair import repair
+    from .sources.catalog import from_wire
+
+    q = spark.createDataFrame([(i, "music", s) for i, (s, _) in enumerate(samples.VERDICTS)], "id int, db_id string, sql string")
+    return repair(q, from_wire(spark, "music", samples.MUSIC)).select("id", "original_query", "repaired_query", "success", "remaining_error")
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, event_type AS label, count(*) AS n, round(avg(value), 6) AS mean_ms FROM events GROUP BY 1, 2")
+def stream_class_counts(spark, sf_dir):
+    """The streaming count of verdicts, run to the end of the log."""
+    import os
+    import uuid
+
+    from .plans.stages import folder
+    from .streaming.verdicts import class_counts, read_log, start_to_table
+
+    path = f"{sf_dir}/events.parquet"
+    name = f"counts_{uuid.uuid4().hex}"
+    log = read_log(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    start_to_table(class_counts(log, "ts", "event_type", "1 day"), name, os.path.join(folder(spark), name)).awaitTermination()
+    return spark.table(name)
