@@ -8,13 +8,13 @@ whole sequence).  Documents are linked where 100 * intersection >= 85 * union.
    exponential variates of the elements.  Registers merge by maximum.
 2. Equal sets collapse to one class.  ROWS registers at a time make the key of
    a band; classes that share a key are candidates.
-3. In each bucket the class that meets most others (its hub) is compared with
-   all members, on full sets.  Links give components.
-4. Only buckets with several components are looked at again: all their pairs
-   of different components, in blocks, are first judged by the joint
-   likelihood of their registers and known sizes; pairs that may reach the
-   threshold are verified on full sets.  A pair is emitted in the first band
-   that both share, and never where one component already holds both.
+3. In each bucket the class that meets most others (its hub) is paired with all
+   members.  Pairs whose joint likelihood, from registers and known sizes, allows
+   the threshold are verified on full sets.  Links give components.
+4. Only buckets with several components are looked at again: their pairs of
+   different components are judged in blocks, by likelihood and by what both
+   share with the hub, then verified likewise.  A pair is emitted in the first
+   band that both share, and never where one component already holds both.
 5. Components of all links, by minimum labels with shortcuts.
 
 At similarity 0.85 a pair escapes all 20 bands with probability 1e-5, and the
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, shared_dir, whole, written
 
 SHINGLE, PERCENT = 5, 85
-M, ROWS, BANDS, BASE, RATE = 256, 5, 20, 1.02, 20.0
+M, ROWS, BANDS, BASE, RATE = 512, 5, 20, 1.02, 20.0
 #: The bound of the likelihood ratio, 2 * (log L(best) - log L(threshold)): 4.5 standard deviations.
 LIKELY = 20.25
 #: Members of a block of a bucket, and members that are compared with one copy of a hub's text.
@@ -108,8 +108,8 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     """SetSketch registers of a set of 64-bit hashes."""
     x = (elements >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     least = np.full(M, np.uint32(0xFFFFFFFF))
-    for at in range(0, len(x), 2048):
-        np.minimum(least, (x[at : at + 2048, None] * ODD).min(axis=0), out=least)
+    for at in range(0, len(x), 1024):
+        np.minimum(least, (x[at : at + 1024, None] * ODD).min(axis=0), out=least)
     u = (least.astype(float) + 0.5) / 2**32
     k = np.floor(1 - np.log(-np.log1p(-u) / RATE) / math.log(BASE))
     return np.clip(k, 0, 2047).astype(np.uint16)
@@ -146,6 +146,21 @@ def may_link(more: np.ndarray, less: np.ndarray, n1: np.ndarray, n2: np.ndarray)
     return 2 * (below - np.maximum(at, above)) <= LIKELY
 
 
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be linked, by the joint likelihood of their registers and known sizes."""
+    side = lambda k: classes.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("registers").alias(f"r{k}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            r, q = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
+            n1, n2 = (t[c].to_numpy().astype(float) for c in ("na", "nb"))
+            fit = may_link((r > q).sum(axis=1), (r < q).sum(axis=1), n1, n2) & (100 * np.minimum(n1, n2) >= PERCENT * np.maximum(n1, n2)) if t.num_rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([t["a"], t["b"]], ["a", "b"]).filter(pa.array(fit))
+
+    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+
+
 def set_table(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, node (digest of the set, null if empty), n_shingles, registers, keys."""
     bounded_batches(docs.sparkSession)
@@ -166,14 +181,14 @@ def set_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(whole()).alias("text_hash"), whole().alias("text")).mapInArrow(run, "doc_id long, text_hash long, node binary, n_shingles long, registers binary, keys array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those that are linked, on full sets.  texts: id, text.
+def verify(pairs: DataFrame, texts: DataFrame, path: str) -> DataFrame:
+    """a, b, common (elements of both full sets), linked for pairs (a, b).  texts: id, text; path: for an intermediate table.
 
     Pairs of one ``a`` are dealt in portions of about FAN, each with one copy of
     its text, sorted to the front; a task holds one such set and a batch.
     """
     many = pairs.groupBy("a").agg(F.count("*").alias("_n"))
-    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("_n") / FAN)).alias("salt"))
+    dealt = written(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("_n") / FAN)).alias("salt")), path)
     first = dealt.select("a", "salt").distinct().join(texts, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     rest = dealt.join(texts, F.col("b") == F.col("id")).select("a", "salt", "b", "text")
     rows = first.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -191,11 +206,11 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     raise ValueError(f"pairs of {a} came without its text")
                 small, large = (s, own) if len(s) <= len(own) else (own, s)
                 both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                if 100 * both >= PERCENT * (len(s) + len(own) - both):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+                out.append((a, b, both, 100 * both >= PERCENT * (len(s) + len(own) - both)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["a", "b", "common", "linked"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, common long, linked boolean")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -217,14 +232,15 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 def block_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and may be linked, each in its first common band.
 
-    members: key, hub, n (of the bucket), id, component, n_shingles, registers.
+    members: key, hub, n (of the bucket), id, component, common (with the hub), n_shingles, registers.
+    What both share with the hub (null: not known) bounds exactly what they can share with each other.
     A bucket of more than BLOCK members is cut into blocks by a hash of the id; each two
     blocks meet in a group of their own.
     """
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
     m = members.withColumn("_k", parts).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
     m = m.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    m = m.select("key", F.least("_b", "_x").alias("i"), F.greatest("_b", "_x").alias("j"), "_b", "hub", "id", "component", "n_shingles", "registers")
+    m = m.select("key", F.least("_b", "_x").alias("i"), F.greatest("_b", "_x").alias("j"), "_b", "hub", "id", "component", "common", "n_shingles", "registers")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(t: pa.Table) -> pa.Table:
@@ -232,11 +248,14 @@ def block_pairs(members: DataFrame) -> DataFrame:
         key, i, j = (t[c][0].as_py() for c in ("key", "i", "j"))
         r = np.frombuffer(b"".join(t["registers"].to_pylist()), np.uint16).reshape(n, M)
         ids, comp, size, block, hub = (t[c].to_numpy() for c in ("id", "component", "n_shingles", "_b", "hub"))
+        common = t["common"].fill_null(-1).to_numpy()
         band, out = key >> 55, []
         least_equal = M * PERCENT / 100 - 4.5 * math.sqrt(M * 0.85 * 0.15)
         for x in range(n - 1):
             y = np.arange(x + 1, n)
             fit = (comp[y] != comp[x]) & (ids[x] != hub[x]) & (ids[y] != hub[x]) & (100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x]))
+            most = np.minimum(common[y], common[x]) + np.minimum(size[y] - common[y], size[x] - common[x])
+            fit &= (100 * most >= PERCENT * (size[y] + size[x] - most)) | (common[y] < 0) | (common[x] < 0)
             if i != j:
                 fit &= block[y] != block[x]
             y = y[fit]
@@ -279,13 +298,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = met.select("id").join(classes.select("id", "text_hash"), "id")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole()).alias("text_hash"), whole().alias("text"))
     texts = written(wanted.join(texts, ["id", "text_hash"]).groupBy("id").agg(F.min("text").alias("text")), f"{folder}/texts")
-    links = written(verify(pairs, texts), f"{folder}/links0")
+    pairs = written(likely(pairs, classes), f"{folder}/likely")
+    met_hubs = written(verify(pairs, texts, f"{folder}/dealt0"), f"{folder}/links0")
+    links = met_hubs.filter("linked").select("a", "b")
     found = components(links, f"{folder}/first")
     placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
     rest = placed.join(open_keys, "key").join(classes.select("id", "n_shingles", "registers"), "id")
+    shared = met_hubs.select(F.col("a").alias("hub"), F.col("b").alias("id"), "common")
+    rest = rest.join(shared, ["hub", "id"], "left").withColumn("common", F.when(F.col("id") == F.col("hub"), F.col("n_shingles")).otherwise(F.col("common")))
     more = written(block_pairs(rest), f"{folder}/pairs1")
-    more = verify(more, texts)
+    more = verify(more, texts, f"{folder}/dealt1").filter("linked").select("a", "b")
     final = components(links.unionByName(more), f"{folder}/final")
     placed = classes.select("node", "id").join(final, "id", "left").select("node", F.coalesce("component", "id").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", F.col("node").alias("_node")).join(placed, F.col("_node") == F.col("node"), "left")
