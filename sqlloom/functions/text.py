@@ -110,3 +110,8 @@ def csv_cell(x: Column) -> Column:
     """A cell of the exported CSV: null as nothing, quoted where it must be."""
     q = F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(x.isNull(), "").when(x.rlike('[",\\r\\n]'), q).otherwise(x)
+
+
+def serialised_schema(table: Column, columns: Column, mentioned: Column) -> Column:
+    """A table as a model reads it: with its columns where the question mentions it, else by name."""
+    return F.when(mentioned, F.concat(table, F.lit("("), F.array_join(F.transform(columns, lambda c: F.concat(c["name"], F.lit(" "), c["type"])), ", "), F.lit(")"))).otherwise(table)

@@ -176,3 +176,20 @@ def focal_loss(p: Column, gamma: float = 2.0) -> Column:
     """Loss of a case from the probability of its true class; gamma 0 is cross entropy."""
     p = F.greatest(p, F.lit(1e-12))
     return -F.pow(1 - p, F.lit(gamma)) * F.log(p)
+
+
+def permission_accuracy(rows: DataFrame) -> DataFrame:
+    """n and the share of rows whose verdict and label agree on PERMISSION_DENIED."""
+    same = (F.col("error_class") == "PERMISSION_DENIED") == (F.col("label") == "PERMISSION_DENIED")
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg(same.cast("int")), 6).alias("accuracy"))
+
+
+def audit(rows: DataFrame) -> DataFrame:
+    """error_class, n, share of all rows: how many correct queries the analyzer lets pass, and what it says of the rest."""
+    n = rows.groupBy("error_class").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 6))
+
+
+def first_spellings(rows: DataFrame, name: str, order: str) -> DataFrame:
+    """name and its first spelling, whatever the case."""
+    return rows.groupBy(F.lower(name).alias("name")).agg(F.min_by(name, F.struct(order, name)).alias("spelling"))

@@ -166,6 +166,45 @@ def losses_by_class(spark, sf_dir):
     return p.groupBy("y_true").agg(F.round(F.avg(metrics.focal_loss(F.col("p"))), 6).alias("focal"), F.round(F.avg(metrics.focal_loss(F.col("p"), 0.0)), 6).alias("cross_entropy"))
 
 
+@query("WITH r AS (SELECT CASE WHEN user_id % 5 = 0 THEN 'PERMISSION_DENIED' ELSE 'CORRECT' END AS error_class, CASE WHEN event_id % 7 = 0 THEN 'PERMISSION_DENIED' ELSE 'CORRECT' END AS label FROM events) SELECT count(*) AS n, round(avg(((error_class = 'PERMISSION_DENIED') = (label = 'PERMISSION_DENIED'))::INT), 6) AS accuracy FROM r")
+def permission_accuracy(spark, sf_dir):
+    denied = lambda c: F.when(c, "PERMISSION_DENIED").otherwise("CORRECT")
+    e = table(spark, sf_dir, "events").select(denied(F.col("user_id") % 5 == 0).alias("error_class"), denied(F.col("event_id") % 7 == 0).alias("label"))
+    return metrics.permission_accuracy(e)
+
+
+@query(f"{PREDICTIONS} SELECT y_pred AS error_class, count(*) AS n, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share FROM predictions GROUP BY 1")
+def gold_audit(spark, sf_dir):
+    return metrics.audit(predictions(spark, sf_dir).withColumnRenamed("y_pred", "error_class"))
+
+
+@query("SELECT lower(p_name) AS name, arg_min(p_name, (p_partkey, p_name)) AS spelling FROM part GROUP BY 1")
+def first_spellings(spark, sf_dir):
+    return metrics.first_spellings(table(spark, sf_dir, "part"), "p_name", "p_partkey")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (value > 20) AS errors, count(*) FILTER (value > 20 AND user_id % 2 = 0) AS repaired FROM events")
+def batch_summary(spark, sf_dir):
+    from .operators.fusion import summary
+
+    e = table(spark, sf_dir, "events")
+    wrong = F.col("value") > 20
+    return summary(e.select(F.when(wrong, "SYNTAX_ERROR").otherwise("CORRECT").alias("error_class"), F.when(wrong, F.col("user_id") % 2 == 0).alias("repaired")))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+def customers_without_orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").join(o, "c_custkey", "left_anti")
+
+
+@query()
+def weighted_draws(spark, sf_dir):
+    """Customers of each segment in the order of weighted draws without replacement, by their balance."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", (F.abs("c_acctbal") + 1).alias("w"))
+    return corpus.weighted_order(c, "c_mktsegment", "w", "c_custkey")
+
+
 # ---------------------------------------------------------------------- history
 
 
@@ -424,3 +463,12 @@ def stream_class_counts(spark, sf_dir):
     log = read_log(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
     start_to_table(class_counts(log, "ts", "event_type", "1 day"), name, os.path.join(folder(spark), name)).awaitTermination()
     return spark.table(name)
+
+
+@query("SELECT tbl AS table_name, CASE WHEN tbl = 'singer' THEN tbl || '(' || string_agg(col || ' number', ', ' ORDER BY ord) FILTER (kind = 'INTEGER') || ')' ELSE tbl END AS text FROM (VALUES " + ", ".join(str(r) for r in INFO if r[2] == "INTEGER") + ") AS i(tbl, col, kind, ord) GROUP BY 1")
+def serialised_schema(spark, sf_dir):
+    rows = [("music", t, c, k, i) for t, c, k, i in INFO if k == "INTEGER"]
+    columns = spark.createDataFrame(rows, "db_id string, table_name string, column_name string, data_type string, ordinal int")
+    none = spark.createDataFrame([], "db_id string, table_name string, column_name string, target_table string, target_column string, ordinal int")
+    c = fold_information_schema(columns, none.select("db_id", "table_name", "column_name", "ordinal"), none)
+    return c.select("table_name", T.serialised_schema(F.col("table_name"), F.col("columns"), F.col("table_name") == "singer").alias("text"))
