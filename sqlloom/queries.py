@@ -142,7 +142,7 @@ def rates_grouping_sets(spark, sf_dir):
     return metrics.rates(table(spark, sf_dir, "lineitem"), ("l_returnflag", "l_linestatus"), flags, "l_tax")
 
 
-@query("WITH f AS (SELECT lang, text, min(doc_id) AS first_seen FROM documents GROUP BY 1, 2) SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY first_seen) AS rn, text, first_seen FROM f QUALIFY rn <= 3")
+@query("WITH f AS (SELECT lang, text, min(doc_id) AS first_seen FROM documents GROUP BY 1, 2) SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY first_seen))::INTEGER AS rn, text, first_seen FROM f QUALIFY rn <= 3")
 def examples_top3_per_class(spark, sf_dir):
     return metrics.first_examples(table(spark, sf_dir, "documents"), "lang", "text", "doc_id")
 
@@ -215,7 +215,7 @@ def history_search_page(spark, sf_dir):
     return history.page(found, 50, 20, F.col("conv_id").desc(), F.col("turn")).select("conv_id", "turn", "role", F.col("title").alias("text"))
 
 
-@query("SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events QUALIFY rn <= 5")
+@query("SELECT event_id, user_id, ts, (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC))::INTEGER AS rn FROM events QUALIFY rn <= 5")
 def history_prune_newest_n(spark, sf_dir):
     return history.newest(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 5)
 
@@ -261,7 +261,7 @@ def db_disjoint_split(spark, sf_dir):
     return corpus.split_by_group(table(spark, sf_dir, "documents").select("doc_id", "source"), "source")
 
 
-@query(f"{PREDICTIONS} SELECT doc_id, y_true, row_number() OVER (PARTITION BY y_true ORDER BY md5('42|' || doc_id), doc_id) AS pick FROM predictions QUALIFY pick <= 20")
+@query(f"{PREDICTIONS} SELECT doc_id, y_true, (row_number() OVER (PARTITION BY y_true ORDER BY md5('42|' || doc_id), doc_id))::INTEGER AS pick FROM predictions QUALIFY pick <= 20")
 def balanced_quota(spark, sf_dir):
     return corpus.quota(predictions(spark, sf_dir).select("doc_id", "y_true"), "y_true", 20, "doc_id")
 
@@ -376,7 +376,7 @@ def q_join_agg(spark, sf_dir):
     return j.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-@query("SELECT o_orderkey, o_custkey, rank() OVER w AS rnk, round(sum(o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last3, lag(o_orderkey) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+@query("SELECT o_orderkey, o_custkey, (rank() OVER w)::INTEGER AS rnk, round(sum(o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last3, lag(o_orderkey) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def q_window(spark, sf_dir):
     from pyspark.sql import Window as W
 
