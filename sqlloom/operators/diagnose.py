@@ -151,7 +151,7 @@ def _last(x: Column) -> Column:
 
 def _type_of(name: Column) -> Column:
     """The coarse type of a column among the referenced tables, where it is the same in all of them."""
-    owner = F.element_at(F.transform(F.filter("_refs", lambda r: r["a"] == F.element_at(F.split(name, r"\."), 1)), lambda r: r["t"]), 1)
+    owner = F.get(F.transform(F.filter("_refs", lambda r: r["a"] == F.element_at(F.split(name, r"\."), 1)), lambda r: r["t"]), F.lit(0))
     tables = F.when(name.contains(".") & owner.isNotNull(), F.array(owner)).otherwise(F.col("_all"))
     kinds = F.array_distinct(F.transform(F.filter("cols", lambda x: (x["c"] == _last(name)) & F.array_contains(tables, x["t"])), lambda x: x["type"]))
     return F.when(F.size(kinds) == 1, kinds[0])

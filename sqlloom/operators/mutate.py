@@ -100,7 +100,7 @@ def mutants(queries: DataFrame, seed: int = 42) -> DataFrame:
     options = [F.struct(F.lit(name).alias("mutation"), F.lit(c).alias("target"), F.lit(w).alias("weight"), make(F.col("sql")).alias("options")) for name, (c, w, make) in MUTATIONS.items()]
     m = queries.select("db_id", F.col("sql").alias("source_sql"), F.explode(F.array(*options)).alias("_m")).select("db_id", "source_sql", "_m.*").filter(F.size("options") > 0)
     at = F.conv(F.substring(draw(F.lit(seed), "db_id", "source_sql", "mutation"), 1, 8), 16, 10).cast("long") % F.size("options")
-    return m.select("db_id", "source_sql", "mutation", "target", "weight", tidy(F.element_at("options", (at + 1).cast("int"))).alias("sql"))
+    return m.select("db_id", "source_sql", "mutation", "target", "weight", tidy(F.get("options", at.cast("int"))).alias("sql"))
 
 
 def build_corpus(correct: DataFrame, catalog: DataFrame, per_label: int, cap: int | None = None, seed: int = 42) -> DataFrame:

@@ -337,7 +337,7 @@ def information_schema_fold(spark, sf_dir):
     keys = spark.createDataFrame([("music", t, c, i) for t, c, _, i in INFO if i == 1], "db_id string, table_name string, column_name string, ordinal int")
     links = spark.createDataFrame([], "db_id string, table_name string, column_name string, target_table string, target_column string, ordinal int")
     c = fold_information_schema(columns, keys, links)
-    return c.select("table_name", F.array_join(F.transform("columns", lambda x: F.concat(x["name"], F.lit(":"), F.lower(x["raw_type"]))), ",").alias("columns"), F.element_at("primary_keys", 1).alias("primary_key"))
+    return c.select("table_name", F.array_join(F.transform("columns", lambda x: F.concat(x["name"], F.lit(":"), F.lower(x["raw_type"]))), ",").alias("columns"), F.get("primary_keys", F.lit(0)).alias("primary_key"))
 
 
 # ------------------------------------------------------------------------ fuzzy
