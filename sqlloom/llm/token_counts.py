@@ -119,7 +119,8 @@ def count_tokens(docs: DataFrame, vocab_path: str, cache_path: str | None = None
     """doc_id, n_bytes, n_tokens, over_limit for each row.  cache_path: the cache, made where it is missing; by default one of this call's own."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    cache_path = cache_path or f"{shared_dir(spark)}/token-counts"
+    folder = shared_dir(spark)
+    cache_path = cache_path or f"{folder}/token-counts"
     digest, by_word = tokenizer_digest(vocab_path), drops_white(vocab_path)
     spark.createDataFrame([], CACHE_SCHEMA).coalesce(1).write.mode("append").parquet(cache_path)
     text = normalised(whole(), by_word)
@@ -130,4 +131,6 @@ def count_tokens(docs: DataFrame, vocab_path: str, cache_path: str | None = None
     written(encode_misses(misses, vocab_path, by_word, digest), cache_path, "append")
     # a run that was repeated may have appended a digest twice
     cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer_digest") == digest).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # written first: a join right above the grouping would keep all copies of a text in one task, this one can be split
+    cache = written(cache, f"{folder}/counts")
     return keyed.select("doc_id", "n_bytes", "content_digest").join(cache, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
