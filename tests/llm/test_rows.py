@@ -10,7 +10,7 @@ import pytest
 from sqlloom.llm import media, secret_scans
 from sqlloom.llm.language_id import fit_languages, predict_languages
 from sqlloom.llm.quality_classifier import fit_quality, keep_good, score_quality
-from sqlloom.llm.quality_rules import quality_rules
+from sqlloom.llm.quality_rules import RULES, quality_rules
 from sqlloom.llm.queries import QUERIES, ORACLE_SQL
 
 
@@ -49,6 +49,17 @@ def test_quality_rules_keep_clean_and_drop_junk(spark, sf_dir):
     assert k.get(1, 0) >= 0.97 * n[1] and k.get(0, 0) <= 0.2 * n[0]
 
 
+def test_quality_rules_learn_a_rule_that_objects_to_a_third(spark):
+    """A source in capitals draws one -1 vote on a third of the rows; junk draws several."""
+    clean = lambda i: "\n".join(" ".join(f"w{chr(97 + k % 26)}rd{chr(97 + i % 26)}{chr(97 + (i // 26 + k) % 26)}e" for k in range(j, j + 8)) + "." for j in range(0, 64, 8)).replace("e w", "e, w", 9)
+    junk = lambda i: " ".join(f"A#B$!{i * 31 + k * k}%!!" for k in range(60))
+    rows = [(i, clean(i).upper() if i % 3 == 0 else junk(i) if i % 10 == 1 else clean(i)) for i in range(600)]
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[i]["base_failed"] for i in got)
+    assert all(got[i]["v_capitals"] == -1 and sum(got[i][f"v_{r}"] == -1 for r in RULES) == 1 for i in range(0, 600, 3))
+    assert {i for i in got if not got[i]["kept"]} == {i for i in range(600) if i % 3 and i % 10 == 1}
+
+
 BASE = {
     "assign": re.compile(r"""(?P<k>[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?(?P<v>[A-Za-z0-9+/_.=-]+)"""),
     "access": re.compile(r"AKIA[A-Z0-9]+"),
