@@ -40,8 +40,8 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Credential contexts beyond the base pattern; the value runs to white space or a closing mark.
-CONTEXT = re.compile(r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|login|pin|credentials?|auth|bearer|(?:api|access|private|secret)[_-]?key)["']?(?:\x20*[:=]\x20*|\x20is\x20)["']?([^\s"'`,;<>(){}\[\]]+)""", re.I | re.A)
+#: Credential contexts beyond the base pattern, also after a prefix joined by "_" (DB_PASSWORD, aws_secret_access_key); the value runs to white space or a closing mark.
+CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|login|pin|credentials?|auth|bearer|(?:api|access|private|secret)[_-]?key)["']?(?:\x20*[:=]\x20*|\x20is\x20)["']?([^\s"'`,;<>(){}\[\]]+)""", re.I | re.A)
 LEAST_COST, LEAST_CHARS = 8.0, 6
 
 #: Frequent passwords and words of credentials, most frequent first.

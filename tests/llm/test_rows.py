@@ -88,6 +88,13 @@ def test_secret_spans(spark, odd_docs, no_docs):
     assert "[hex]" in masked[103] and "Xk39" not in masked[100] and masked[2] is None
 
 
+@pytest.mark.parametrize("text", ["DB_PASSWORD=P@ssw0rd!Xy9#qL", "SMTP_PASS=q8Zr!vv92Lk", "user_pwd=Zk39xQp7tt", "DJANGO_SECRET_KEY='x9$kf!2mQz&7'", "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG+bPxRfiCY"])
+def test_names_with_a_prefix_are_contexts(text):
+    value = re.split(r"\s*=\s*", text, maxsplit=1)[1].strip("'")
+    at = text.index(value)
+    assert ("guess", at, at + len(value)) in secret_scans.spans(text) and value[4:] not in secret_scans.mask(text)
+
+
 def test_guess_costs():
     cost = secret_scans.guess_cost
     assert cost("") == 0 and cost("password") < cost("password1") < cost("xQ7!vB29")
