@@ -13,6 +13,7 @@ high, base spans' own values among them.  The cost is the cheapest segmentation,
 value's ends, into words, dates, repeats, keyboard walks and brute-force
 spans; it is a base-10 logarithm of guesses.  A value that costs at least
 ``LEAST_COST`` is reported as kind ``guess``, with the value's own span.
+After "is", where prose goes on as well, the value must mix classes of characters too.
 
 The work is linear in the length of a value: words, dates, walks and repeats
 that can end at a place are bounded in number, brute force goes on from the
@@ -62,6 +63,10 @@ LEET = str.maketrans("013457@$!", "oleastasi")
 STEP = 0.3  # a segment more, in digits of guesses
 
 
+#: What sets a value after "is" apart from prose: signs, digits with letters, turns from small to capital letters.
+PIECE, SIGN, TURN = re.compile(r"[-'’./:_–—]+"), re.compile(r"[!@#$%^&*+=~?|\\]"), re.compile(r"[a-z][A-Z]")
+
+
 def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.islower() or c.isupper() else math.log10(33)
 
@@ -100,6 +105,14 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _mixed(value: str) -> bool:
+    """Whether a piece of the value (between hyphens and the like) mixes classes of characters, as words of prose do not."""
+    return any(
+        SIGN.search(x) or (any(c.isdigit() for c in x) and any(c.isalpha() for c in x)) or sum(c.isdigit() for c in x) >= LEAST_CHARS
+        or len(TURN.findall(x)) >= 2 for x in PIECE.split(value)
+    )
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans by start, then kind as listed."""
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6] if ":" in text or "=" in text else []
@@ -110,7 +123,8 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         a, b = m.span(1)
         while b > a and text[b - 1] in ".!?:":
             b -= 1
-        if b - a >= LEAST_CHARS and guess_cost(text[a:b]) >= LEAST_COST:
+        told = ":" in text[m.start() : m.start(1)] or "=" in text[m.start() : m.start(1)]
+        if b - a >= LEAST_CHARS and (told or _mixed(text[a:b])) and guess_cost(text[a:b]) >= LEAST_COST:
             found.append(("guess", a, b))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -95,6 +95,13 @@ def test_names_with_a_prefix_are_contexts(text):
     assert ("guess", at, at + len(value)) in secret_scans.spans(text) and value[4:] not in secret_scans.mask(text)
 
 
+def test_prose_gives_no_guess_span():
+    prose = ["the secret is simple", "his login is required.", "the token is important", "pin is broken", "The password is case-sensitive", "a login is user-dependent", "le token is nécessaire", "PIN is REQUIRED", "the pin is 4-digit"]
+    assert {t: secret_scans.spans(t) for t in prose if secret_scans.spans(t)} == {} and [secret_scans.mask(t) for t in prose] == prose
+    for t in ("password is Xk39fj2lQ", "pin is 48291057", "the secret is kq!zvw?xb"):
+        assert [k for k, _, _ in secret_scans.spans(t)] == ["guess"], t
+
+
 def test_guess_costs():
     cost = secret_scans.guess_cost
     assert cost("") == 0 and cost("password") < cost("password1") < cost("xQ7!vB29")
