@@ -143,10 +143,11 @@ def candidates(wrong: DataFrame, catalog: DataFrame) -> DataFrame:
     return found.select("id", "candidate", "_p.description", "_p.preference")
 
 
-def repair(queries: DataFrame, catalog: DataFrame, rounds: int = 8) -> DataFrame:
+def repair(queries: DataFrame, catalog: DataFrame, rounds: int | None = None) -> DataFrame:
     """id, db_id, original_query, repaired_query, success, remaining_error, steps.
 
-    Queries that access policies forbid are never changed.
+    Queries that access policies forbid are never changed.  A query ends when correct, stuck or
+    repeating, after as many steps as it has tokens at most; ``rounds`` sets a lower bound.
     """
     rank = F.create_map(*(F.lit(x) for p in (*PRIORITY.items(), ("CORRECT", 8)) for x in p))
     state = diagnose(queries, catalog).select(
@@ -154,8 +155,11 @@ def repair(queries: DataFrame, catalog: DataFrame, rounds: int = 8) -> DataFrame
         F.array().cast("array<struct<error_class string, description string, before string, after string>>").alias("steps"), F.lit(False).alias("stuck"),
     )
     state = written(state, "repair")
-    for _ in range(rounds):
-        todo = state.filter("error_class not in ('CORRECT', 'PERMISSION_DENIED') and not stuck")
+    limit = F.size(F.regexp_extract_all(normalize_query(F.col("original_query")), F.lit(r"(\w+|\S)"), F.lit(1)))
+    if rounds is not None:
+        limit = F.least(limit, F.lit(rounds))
+    while True:
+        todo = state.filter("error_class not in ('CORRECT', 'PERMISSION_DENIED') and not stuck").filter(F.size("steps") < limit)
         if not todo.head(1):
             break
         wrong = todo.select("id", "db_id", F.regexp_replace("sql", r"\s+", " ").alias("sql"), F.col("issues")[0]["code"].alias("code"), F.col("issues")[0]["token"].alias("token"))
@@ -171,6 +175,7 @@ def repair(queries: DataFrame, catalog: DataFrame, rounds: int = 8) -> DataFrame
         tried = tried.filter(gone & (no_worse | unmasked))
         order = W.partitionBy("id").orderBy((F.col("error_class") != "CORRECT").cast("int"), "preference", -rank[F.col("error_class")], F.size("issues"), "_size", "sql")
         best = tried.withColumn("_size", edit_size(F.col("before"), F.col("sql"))).withColumn("_rn", F.row_number().over(order)).filter("_rn = 1")
+        best = best.filter(~F.exists("steps", lambda s: s["before"] == F.col("sql")))  # repeating: stuck
         step = F.struct(F.col("was").alias("error_class"), "description", "before", F.col("sql").alias("after"))
         best = best.select("id", "db_id", "original_query", "sql", "policy", "error_class", "issues", F.array_append("steps", step).alias("steps"), F.lit(False).alias("stuck"))
         rest = state.join(best.select("id"), "id", "left_anti").withColumn("stuck", F.lit(True))
