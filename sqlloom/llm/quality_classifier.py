@@ -1,22 +1,27 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are built from blocks of labelled good and bad
-texts.  A text is compressed block by block with both; the normalised
-difference of the compressed sizes, (bad - good) / (bad + good), beside the
-compressed share and the length that say how far to trust it, is calibrated
-to a probability by logistic regression on labelled rows that did not go into
-the dictionaries.
+texts.  A text is compressed block by block with both.  One number tells how
+much better the good dictionary does, normalised by length:
+
+    (bytes with the bad one - bytes with the good one + OFFSET) / (bytes of the text + PRIOR)
+
+Logistic regression of the label on this number alone, over labelled rows
+that did not go into the dictionaries, calibrates it to a probability.
+OFFSET and PRIOR only steady very short texts.
 
 Fitting uses a bounded sample of labelled rows: ``per_class`` rows of each
 label, first by a hash of their ids, of which half give at most
 ``blocks_per_text`` blocks each to a dictionary and half calibrate.  Scoring
-covers all blocks of every text.
+covers all blocks of every text, so a very long text costs time in proportion.
 
 Defined results: a null text counts as empty; an empty text has score by
-calibration like any other; without labelled rows of both classes every
-score is 0.5; repeated rows and ids each give a row; an empty table gives an
-empty table; other columns are ignored.  Rows are independent: scoring
-shuffles nothing.
+calibration like any other; a score of exactly 0.5 counts as good (predicted
+1, kept); without labelled rows of both classes every score is 0.5; repeated
+rows and ids each give a row, with equal scores for equal texts; an empty
+table gives an empty table; other columns are ignored when scoring and kept
+as they are when filtering, whatever their names.  Rows are independent:
+scoring shuffles nothing.
 """
 
 from __future__ import annotations
@@ -31,8 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, whole
 
-BLOCK, DICT_BYTES, LEVEL = 1024, 32_768, 3
-FEATURES = 6
+#: Characters of a block for a dictionary, bytes of a block that is compressed by itself, size of a dictionary, zstandard's level.
+SAMPLE, BLOCK, DICT_BYTES, LEVEL = 256, 1024, 65_536, 3
+OFFSET, PRIOR = 4, 64
 
 
 def _blocks(text: bytes) -> list[bytes]:
@@ -45,11 +51,14 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def _features(texts: list[bytes], good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
-    sizes = np.array([(sum(len(good.compress(x)) for x in b), sum(len(bad.compress(x)) for x in b), len(t)) for t in texts for b in [_blocks(t)]], float).reshape(-1, 3)
-    g, b, n = sizes.T
-    d, share, size = (b - g) / (b + g + 1), (b + g) / (2 * n + 1), np.log1p(n) / 10
-    return np.column_stack([np.ones(len(n)), d, share, share * share, size, d * size])
+def differences(texts: list[bytes], good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
+    """The normalised difference of compressed sizes of each text."""
+    sizes = lambda c, t: sum(len(c.compress(x)) for x in _blocks(t))
+    return np.array([(sizes(bad, t) - sizes(good, t) + OFFSET) / (len(t) + PRIOR) for t in texts], float)
+
+
+def probability(d: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(weights[0] + weights[1] * d, -30, 30)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -66,7 +75,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
     return w / scale
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, blocks_per_text: int = 16) -> dict | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, blocks_per_text: int = 8) -> dict | None:
     """Dictionaries and calibration from labelled rows (doc_id, quality).  docs: doc_id, text."""
     bounded_batches(docs.sparkSession)
     order = F.xxhash64(F.lit("quality"), "doc_id")
@@ -75,11 +84,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, block
     picked = known.filter("_y = 1").orderBy(order, "doc_id").limit(per_class).unionByName(known.filter("_y = 0").orderBy(order, "doc_id").limit(per_class))
     rows = docs.select("doc_id", whole().alias("text")).join(F.broadcast(picked), "doc_id")
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
-    cut = F.transform(F.sequence(F.lit(0), F.least(F.ceil(F.length("text") / BLOCK) - 1, F.lit(blocks_per_text - 1)).cast("int")), lambda i: F.substring("text", (i * F.greatest(F.lit(BLOCK), F.floor(F.length("text") / blocks_per_text)) + 1).cast("int"), F.lit(BLOCK)))
+    cut = F.transform(F.sequence(F.lit(0), F.least(F.ceil(F.length("text") / SAMPLE) - 1, F.lit(blocks_per_text - 1)).cast("int")), lambda i: F.substring("text", (i * F.greatest(F.lit(SAMPLE), F.floor(F.length("text") / blocks_per_text)) + 1).cast("int"), F.lit(SAMPLE)))
     parts = rows.filter((half == 0) & (F.length("text") > 0)).select("_y", "doc_id", cut.alias("blocks")).toPandas().sort_values("doc_id", kind="stable")
     trained = {}
     for y in (0, 1):
-        samples = [b.encode()[:BLOCK] for bs in parts.loc[parts["_y"] == y, "blocks"] for b in bs]
+        samples = [b.encode()[:SAMPLE] for bs in parts.loc[parts["_y"] == y, "blocks"] for b in bs]
         if not samples:
             return None
         try:
@@ -90,14 +99,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, block
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = _compressor(trained[1]), _compressor(trained[0])
         for b in batches:
-            x = _features([t.encode() for t in b["text"].to_pylist()], good, bad)
-            yield pa.RecordBatch.from_arrays([b["_y"], *(pa.array(c, pa.float64()) for c in x.T)], ["y", *(f"f{i}" for i in range(FEATURES))])
+            yield pa.RecordBatch.from_arrays([b["_y"], pa.array(differences([t.encode() for t in b["text"].to_pylist()], good, bad), pa.float64())], ["y", "d"])
 
-    rest = rows.filter(half == 1).select("_y", "text").mapInArrow(measure, "y int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toPandas()
+    rest = rows.filter(half == 1).select("_y", "text").mapInArrow(measure, "y int, d double").toPandas()
     if rest["y"].nunique() < 2:
         return None
-    rest = rest.sort_values(list(rest.columns), kind="stable")
-    return {"good": trained[1], "bad": trained[0], "weights": fit_logistic(rest[[f"f{i}" for i in range(FEATURES)]].to_numpy(), rest["y"].to_numpy(float))}
+    rest = rest.sort_values(["y", "d"], kind="stable")
+    return {"good": trained[1], "bad": trained[0], "weights": fit_logistic(np.column_stack([np.ones(len(rest)), rest["d"].to_numpy()]), rest["y"].to_numpy(float))}
 
 
 def score_quality(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -111,8 +119,7 @@ def score_quality(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = (
             good, bad = _compressor(model["good"]), _compressor(model["bad"])
         for b in batches:
             if model:
-                x = _features([t.encode() for t in b["t"].to_pylist()], good, bad)
-                p = 1 / (1 + np.exp(-np.clip(x @ model["weights"], -30, 30)))
+                p = probability(differences([t.encode() for t in b["t"].to_pylist()], good, bad), model["weights"])
             else:
                 p = np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(p, pa.float64())], [*(f"k{i}" for i in range(len(keep))), "score"])
@@ -130,8 +137,8 @@ def keep_good(docs: DataFrame, model: dict | None, least: float = 0.5) -> DataFr
             good, bad = _compressor(model["good"]), _compressor(model["bad"])
         for b in batches:
             if model:
-                x = _features([(t or "").encode() for t in b.column(place).to_pylist()], good, bad)
-                b = b.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ model["weights"], -30, 30))) >= least))
+                p = probability(differences([(t or "").encode() for t in b.column(place).to_pylist()], good, bad), model["weights"])
+                b = b.filter(pa.array(p >= least, pa.bool_()))
             yield b
 
     inner = docs.toDF(*names)
