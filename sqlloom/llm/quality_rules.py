@@ -6,9 +6,11 @@ the corpus size) estimates how often each rule votes so on good and on bad texts
 and the share of good texts; the posterior probability of "good" decides.
 
 Defined results: a null text counts as empty; an empty text has zero words,
-fails the base rules and is not kept; repeated rows and ids each give a row;
-an empty table gives an empty table; columns other than ``doc_id`` and
-``text`` are ignored, whatever their names.
+fails the base rules and is not kept; equal texts get equal results, so
+repeated rows and ids each give a row; a posterior of exactly 0.5 keeps; a very
+long text is one row of arrays over its words, bounded by its own length; an
+empty table gives an empty table; columns other than ``doc_id`` and ``text``
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ from .common import WHITE, shared_dir, whole, words, written
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OTHERS = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MARKS, CLOSERS = ".,;:!?…。、，！？；：؟،؛।", "\"'”’»)]"
 #: What the rules are taken to do before any counting, by class and vote: where EM starts, which gives the classes their meaning.
 #: BELIEF is how many rows that weighs afterwards, as a share of all: so little that the rows decide.
 START = {"good": {-1: 0.001, 0: 0.15, 1: 0.849}, "bad": {-1: 0.3, 0: 0.15, 1: 0.55}}
-BELIEF = {"good": 0.01, "bad": 0.01}
-RULES = ("length", "symbols", "lines", "repeats", "word_length", "capitals", "exclaims", "marks")
+BELIEF, PRIOR = 0.01, 0.85
+RULES = ("length", "symbols", "lines", "repeats", "word_length", "capitals", "exclaims", "marks", "letters")
 
 
 def _pairs(a: Column, b: Column, n: Column, shift: int) -> Column:
@@ -54,6 +57,7 @@ def text_features(docs: DataFrame) -> DataFrame:
         (F.length(text) - F.length(F.translate(text, UPPER, ""))).cast("long").alias("n_capitals"),
         (F.length(text) - F.length(F.translate(text, "!", ""))).cast("long").alias("n_exclaims"),
         F.length(F.translate(text, WHITE + " ", "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, OTHERS, ""))).cast("long").alias("n_others"),
         ((F.length(ended) - F.length(F.replace(ended, F.lit(". "), F.lit("")))) / 2).cast("long").alias("n_marks"),
     )
     n = F.size("_w")
@@ -98,6 +102,7 @@ def votes() -> dict[str, Column]:
         "word_length": vote((mean < 2) | (mean > 16), (mean >= 3) & (mean <= 10)),
         "capitals": vote(per_char("n_capitals") > 0.3, per_char("n_capitals") < 0.1),
         "exclaims": vote(per_char("n_exclaims") > 0.05, per_char("n_exclaims") < 0.01),
+        "letters": vote(per_char("n_others") > 0.12, per_char("n_others") < 0.08),
         "marks": vote((marks < 0.05) & (c("n_words") >= 20), (marks >= 0.1) & (c("n_words") >= 20)),
     }
 
@@ -113,32 +118,38 @@ def _posterior(model: dict) -> Column:
     return 1 / (1 + F.exp(-score))
 
 
-def fit_rules(patterns: DataFrame, steps: int = 100) -> dict:
-    """Expectation-maximisation over vote patterns (columns v_<rule>, n).
+def fit_rules(patterns: list[tuple[tuple[int, ...], int]], steps: int = 500) -> dict:
+    """Expectation-maximisation over vote patterns: (votes in the order of RULES, number of rows), at most 3 ** len(RULES) of them.
 
     model[class][rule][vote]: how often the rule votes so on texts of the class.
-    ``START`` gives the classes their meaning: a rule seldom votes -1 on good texts.
-    From there the rows decide for both classes (Dirichlet priors of ``START``, weighing
-    ``BELIEF`` times the rows, only keep rates off 0).  So a text that one rule alone
-    objects to is good if that rule's objections seldom come with others.
-    One aggregate row of bounded width comes to the driver for each step.
+    ``START`` gives the classes their meaning.  From there the rows decide for both classes; a Dirichlet prior of
+    ``START``, weighing ``BELIEF`` times the rows, only keeps rates off 0.  A rule may not come out upside down:
+    where it would object more often to good texts than to bad ones, or approve more often of bad ones, both classes
+    get its rates over all rows, so it no longer counts.
     """
-    model = {"prior": 0.85} | {k: {r: dict(START[k]) for r in RULES} for k in START}
-    for _ in range(steps):
-        n, p = F.col("n"), F.col("_p")
-        sums = [F.sum(n).alias("n"), F.sum(n * p).alias("good")]
-        sums += [F.sum(F.when(F.col(f"v_{r}") == v, n * w)).alias(f"{k}|{r}|{v}") for r in RULES for v in (-1, 0, 1) for k, w in (("good", p), ("bad", 1 - p))]
-        got = patterns.withColumn("_p", _posterior(model)).agg(*sums).first().asDict()
-        if not got["n"]:
-            break
-        size = {"good": got["good"], "bad": got["n"] - got["good"]}
-        new = {"prior": min(0.99, max(0.01, got["good"] / got["n"]))}
+    model = {"prior": PRIOR} | {k: {r: dict(START[k]) for r in RULES} for k in START}
+    total = sum(n for _, n in patterns)
+    held = BELIEF * total + 1
+    for _ in range(steps if total else 0):
+        weight = {k: {r: dict.fromkeys((-1, 0, 1), 0.0) for r in RULES} for k in START}
+        size = dict.fromkeys(START, 0.0)
+        for votes_, n in patterns:
+            odds = math.log(model["prior"] / (1 - model["prior"])) + sum(math.log(model["good"][r][v] / model["bad"][r][v]) for r, v in zip(RULES, votes_, strict=True))
+            p = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+            for k, share in (("good", p), ("bad", 1 - p)):
+                size[k] += n * share
+                for r, v in zip(RULES, votes_, strict=True):
+                    weight[k][r][v] += n * share
+        new = {"prior": min(0.99, max(0.01, size["good"] / total))}
         for k in START:
-            held = BELIEF[k] * got["n"] + 1
-            new[k] = {r: {v: ((got[f"{k}|{r}|{v}"] or 0) + held * START[k][v]) / (size[k] + held) for v in (-1, 0, 1)} for r in RULES}
+            new[k] = {r: {v: (weight[k][r][v] + held * START[k][v]) / (size[k] + held) for v in (-1, 0, 1)} for r in RULES}
+        for r in RULES:
+            if new["good"][r][-1] > new["bad"][r][-1] or new["good"][r][1] < new["bad"][r][1]:
+                both = {v: (weight["good"][r][v] + weight["bad"][r][v] + 1) / (total + 3) for v in (-1, 0, 1)}
+                new["good"][r], new["bad"][r] = both, dict(both)
         moved = max(abs(new[k][r][v] - model[k][r][v]) for k in START for r in RULES for v in (-1, 0, 1))
         model = new
-        if moved < 1e-4:
+        if moved < 1e-5:
             break
     return model
 
@@ -147,8 +158,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, counts, votes, posterior, base_failed, kept."""
     spark = docs.sparkSession
     rated = written(text_features(docs).withColumns({f"v_{k}": v for k, v in votes().items()}), f"{shared_dir(spark)}/rules")
-    patterns = written(rated.groupBy(*(f"v_{r}" for r in RULES)).agg(F.count("*").alias("n")).coalesce(1), f"{shared_dir(spark)}/patterns")
-    model = fit_rules(patterns)
+    patterns = rated.groupBy(*(f"v_{r}" for r in RULES)).agg(F.count("*").alias("n")).collect()
+    model = fit_rules(sorted((tuple(r[:-1]), r["n"]) for r in patterns))
     return (
         rated.withColumn("posterior", _posterior(model))
         .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
