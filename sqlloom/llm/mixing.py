@@ -3,22 +3,31 @@
 Sources, by code point and null last, weigh 5, 2, 1, repeating.  Their
 targets share all words by weight, stop at ``most`` times the source's size,
 and pass the excess on by weight.  A document is copied floor(target / size)
-times for sure; the fraction is rounded by the pivotal method: two documents
-with fractional probabilities p, q duel, mass moves between them at random
-until one is 0 or 1, the other goes on.  Probabilities stay exact in
-expectation and the count of each source is fixed to within one copy.
-
-Distribution: documents are dealt by a hash of their id into chunks of about
-``chunk_rows``, each rounded in its own group, longest first, so duels are
-between documents of like size; a chunk leaves at most one fractional
-document.  Those residuals combine in a tree of fan-in ``fan_in``, level by
-level, until a source has one.  No group holds more than a chunk or a level's
-fan-in, whatever share of the rows a source has.
+times for sure; the fraction is rounded by the pivotal method.  Two documents
+of fractional copy probabilities duel: mass, counted in words, moves from one
+to the other at random, so that neither expectation changes, until one of
+them has a whole number of copies; the other goes on.  As words are what moves,
+a duel leaves the words of both together as they were.
+
+Distribution: documents are dealt by a hash of id, text and size into chunks
+of about ``chunk_rows``, each rounded in its own group; a chunk leaves at most
+one fractional document.  Those residuals combine in a tree of fan-in
+``fan_in``, level by level, until a source has one, which is rounded by a draw.
+No group holds more than a chunk or a level's fan-in, whatever share of the rows
+a source has; rows equal in id, text and source are counted, not listed,
+until they reach their chunks in portions.
+
+What that last document leaves over or short is settled by few documents: of
+each source and power of two of sizes, all documents where they are no more than
+``LADDER``, else about as many chosen by hash; a subset sum over their possible copies (0 to ``most``) comes closest to
+the target.
 
 Defined results: null or empty texts have size 0 and take 0 words; repeated
-rows are rows of their own (equal ids get equal draws); a source without
-words has target 0; an empty table gives an empty table; other columns are
-ignored.  The draws are hashes of id and seed, so reruns agree.
+rows are rows of their own, and rerunning gives their copies again as a group;
+a source without words has target 0; a null source is a source; null ids are an
+id like any other; the size of a very long text is one number; an empty table
+gives an empty table; other columns are ignored.  The draws are hashes, so
+reruns agree.
 """
 
 from __future__ import annotations
@@ -27,12 +36,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, shared_dir, whole, written
 
 WEIGHTS = (5, 2, 1)
+#: Documents of one source and size class that may settle what is left; equal rows that travel as one portion.
+#: Fewer words than SMALL: settled by an exact subset sum.
+LADDER, PORTION, SMALL = 16, 512, 4096
 
 
 def source_targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, most: float = 3.0) -> dict[str | None, float]:
@@ -47,86 +59,165 @@ def source_targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, most: f
             out |= {s: left * weight[s] / total for s in free}
             break
         for s in full:
-            out[s] = most * free.pop(s)
+            out[s] = float(most * free.pop(s))
         left = max(0.0, float(sum(n for _, n in order)) - sum(out.values()))
     return out
 
 
-def _duel(p: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int, float]:
-    """Rounds p in order; returns 0/1 results, and the place (or -1) and probability of the one left fractional."""
+def duels(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int, float]:
+    """Rounds copy probabilities in order; returns 0/1 results, and the place (or -1) and probability of the one left fractional."""
     out, held, mass = np.zeros(len(p), np.int64), -1, 0.0
-    for i, x in enumerate(p.tolist()):
+    for i, (x, w, u) in enumerate(zip(p.tolist(), size.tolist(), draws.tolist(), strict=True)):
         if x <= 0 or held < 0:
             held, mass = (i, x) if x > 0 else (held, mass)
             continue
-        both, u = mass + x, draws[i]
-        if both <= 1:
-            held, mass = (held if u * both < mass else i), both
-            if mass > 1 - 1e-9:
-                out[held], held, mass = 1, -1, 0.0
-        else:
-            # one becomes 1, the other keeps the excess
-            won = held if u * (2 - both) < 1 - x else i
-            held, mass = (i if won == held else held), both - 1
-            out[won] = 1
-            if mass < 1e-9:
-                held, mass = -1, 0.0
+        v = float(size[held])
+        # words that can move to the held one, and from it
+        up, down = min((1 - mass) * v, x * w), min(mass * v, (1 - x) * w)
+        moved = up if u * (up + down) < down else -down
+        mass, x = mass + moved / v, x - moved / w
+        for place, q in ((held, mass), (i, x)):
+            if q > 1 - 1e-9:
+                out[place] = 1
+        if 1e-9 < x < 1 - 1e-9:
+            held, mass = i, x
+        elif not 1e-9 < mass < 1 - 1e-9:
+            held, mass = -1, 0.0
     return out, held, mass
 
 
 def _round(table: pa.Table) -> pa.Table:
-    """One group: longest first; ``add`` is the rounded result, ``p`` what stays fractional."""
-    order = np.lexsort((table["_row"].to_numpy(), -table["size"].to_numpy()))
-    p, u = table["p"].to_numpy()[order], table["_u"].to_numpy()[order]
-    add, held, mass = _duel(p, u)
-    rest = np.zeros(len(p))
+    """One group, portions spread out to rows, longest first; ``add`` counts the copies so far, ``p`` is what stays fractional."""
+    n = table["n"].to_numpy()
+    row, place = np.repeat(np.arange(len(n)), n), np.concatenate([np.arange(k) for k in n]) if len(n) else np.zeros(0, np.int64)
+    base = table["_u"].to_numpy().astype(np.uint64)[row] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    base = (base ^ (base >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    base = (base ^ (base >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    draw = ((base ^ (base >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
+    size = table["size"].to_numpy()[row]
+    order = np.lexsort((draw, table["_u"].to_numpy()[row], -size))
+    row, size, draw = row[order], size[order], draw[order]
+    add, held, mass = duels(table["p"].to_numpy()[row], size, draw)
+    rest = np.zeros(len(row))
     if held >= 0:
         rest[held] = mass
-    t = table.take(pa.array(order))
-    return t.set_column(t.schema.get_field_index("p"), "p", pa.array(rest)).set_column(t.schema.get_field_index("add"), "add", pa.array(add + t["add"].to_numpy()))
+    t = table.take(pa.array(row))
+    put = lambda t, name, x: t.set_column(t.schema.get_field_index(name), name, pa.array(x))
+    # the draw's own bits become the row's number from here on
+    return put(put(put(put(t, "p", rest), "add", add + t["add"].to_numpy()), "n", np.ones(len(row), np.int64)), "_u", (draw * float(1 << 53)).astype(np.int64))
+
+
+def settle(sizes: list[int], copies: list[int], missing: int, most: int) -> list[int]:
+    """Copies (0 to most) of documents, longest last, such that the words added come near to ``missing``.
+
+    Documents of SMALL words and more go one by one, longest first, each by as many copies as bring it nearest; the
+    others by an exact subset sum, over the bits of an integer of bounded length.
+    """
+    out = list(copies)
+    for i in range(len(sizes) - 1, -1, -1):
+        if sizes[i] >= SMALL:
+            more = max(-out[i], min(most - out[i], round(missing / sizes[i])))
+            out[i], missing = out[i] + more, missing - more * sizes[i]
+    small = [i for i, s in enumerate(sizes) if s < SMALL]
+    goal = missing + sum(sizes[i] * out[i] for i in small)
+    steps, reach = [], 1  # bit k: k words can be had
+    for i in small:
+        steps.append(reach)
+        for _ in range(most):
+            reach |= reach << sizes[i]
+    at = 0
+    if goal > 0:
+        at = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+        beyond = reach >> goal
+        if beyond and (over := (beyond & -beyond).bit_length() - 1) < goal - at:
+            at = goal + over
+    for i, before in zip(reversed(small), reversed(steps), strict=True):
+        # the old number of copies where it fits, else the nearest to it
+        fit = (k for k in range(most + 1) if at >= k * sizes[i] and before >> (at - k * sizes[i]) & 1)
+        k = min(fit, key=lambda k: (abs(k - out[i]), k))
+        out[i], at = k, at - k * sizes[i]
+    return out
+
+
+def _settled(table: pa.Table) -> pa.Table:
+    """One source's ladder, smallest documents first: the copies that come nearest to its target."""
+    t = table.sort_by([("size", "ascending"), ("_key", "ascending"), ("_u", "ascending")])
+    new = settle(t["size"].to_pylist(), t["add"].to_pylist(), round(t["missing"][0].as_py()), t["most"][0].as_py())
+    return t.select(["_key", "_u"]).append_column("settled", pa.array(new, pa.int64()))
+
+
+def _draw(*parts: Column) -> Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / float(1 << 52)
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, seed: int = 17, chunk_rows: int = 4_000, fan_in: int = 64) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken; one row for each row of docs."""
+def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = 3, seed: int = 17, chunk_rows: int = 4_000, fan_in: int = 64) -> DataFrame:
+    """doc_id, source, text_hash, size, source_size, target, copies, taken; one row for each row of docs."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    sized = written(docs.select("doc_id", "source", F.regexp_count(whole(), F.lit(WORD)).cast("long").alias("size")), f"{folder}/sizes")
-    per_source = [(r["source"], r["n"], r["rows"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()]
+    size = F.regexp_count(whole(), F.lit(WORD)).cast("long")
+    rows = docs.select("doc_id", "source", F.xxhash64(whole()).alias("text_hash"), size.alias("size"))
+    sized = written(rows.groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("m")), f"{folder}/sizes")
+    per_source = [(r["source"], r["n"], r["rows"]) for r in sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("n"), F.sum("m").alias("rows")).collect()]
     target = source_targets([(s, n) for s, n, _ in per_source], weights, most)
     facts = spark.createDataFrame(
         [(s, n, target[s], math.floor(target[s] / n) if n else 0, target[s] / n - math.floor(target[s] / n) if n else 0.0, max(1, math.ceil(rows / chunk_rows))) for s, n, rows in per_source],
         "source string, source_size long, target double, whole long, part double, chunks long",
     )
-    h = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "doc_id")
     d = sized.withColumnRenamed("source", "_src").join(facts, F.col("_src").eqNullSafe(F.col("source"))).drop("_src")
+    # equal rows in portions, each with its own chunk and draws
+    d = d.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / PORTION))))
+    key = F.xxhash64(F.lit(seed), "doc_id", "text_hash", "size", "source", "_part")
     d = d.select(
-        "doc_id", "source", "size", "source_size", "target", F.col("whole").alias("add"), F.when(F.col("size") > 0, F.col("part")).otherwise(0.0).alias("p"), "chunks",
-        F.pmod(h("chunk"), F.col("chunks")).alias("_c"), h("order").alias("_row"), (F.pmod(h("draw"), F.lit(1 << 52)) / float(1 << 52)).alias("_u"),
+        "doc_id", "source", "text_hash", "size", "source_size", "target", F.least(F.lit(PORTION), F.col("m") - F.col("_part") * PORTION).cast("long").alias("n"),
+        F.col("whole").alias("add"), F.when(F.col("size") > 0, F.col("part")).otherwise(0.0).alias("p"), "chunks",
+        F.pmod(F.xxhash64(F.lit("chunk"), key), F.col("chunks")).alias("_c"), F.xxhash64(F.lit("draw"), key).alias("_u"),
     )
-    settled = d.filter("p = 0").drop("chunks", "_c", "_row", "_u")
-    level, done = d.filter("p > 0"), [settled]
+    level, done = d, []
     most_chunks = max((math.ceil(rows / chunk_rows) for *_, rows in per_source), default=1)
     k = 0
     while True:
         out = written(level.groupBy("source", "_c").applyInArrow(_round, level.schema), f"{folder}/level{k}")
         if most_chunks <= 1:
-            done.append(out.drop("chunks", "_c", "_row", "_u"))
+            done.append(out.withColumn("add", F.col("add") + F.when(_draw(F.lit(seed), F.lit("last"), "doc_id", "text_hash") < F.col("p"), 1).otherwise(0)))
             break
-        done.append(out.filter("p = 0").drop("chunks", "_c", "_row", "_u"))
+        done.append(out.filter("p = 0"))
         level = out.filter("p > 0").withColumn("_c", F.floor(F.col("_c") / fan_in))
         most_chunks, k = math.ceil(most_chunks / fan_in), k + 1
-    # the one document of a source that is still fractional gets its copy by a draw of that probability
-    last = done.pop()
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.lit("last"), "doc_id"), F.lit(1 << 52)) / float(1 << 52)
-    done.append(last.withColumn("add", F.col("add") + F.when(draw < F.col("p"), 1).otherwise(0)))
-    all_docs = done[0]
+    rounded = done[0]
     for x in done[1:]:
-        all_docs = all_docs.unionByName(x)
-    return all_docs.select("doc_id", "source", "size", "source_size", "target", F.col("add").alias("copies"), (F.col("add") * F.col("size")).alias("taken"))
+        rounded = rounded.unionByName(x)
+    key = F.xxhash64("doc_id", "text_hash", "source", "size")
+    rounded = written(rounded.select("doc_id", "source", "text_hash", "size", "source_size", "target", "add", key.alias("_key"), "_u"), f"{folder}/rounded")
+    # few documents of each source settle what is left
+    sized = rounded.filter("size > 0").withColumn("_bin", F.floor(F.log2("size")))
+    bins = sized.groupBy(F.col("source").alias("_src"), F.col("_bin").alias("_b")).agg(F.count("*").alias("_n"))
+    sized = sized.join(bins, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_bin") == F.col("_b")))
+    rung = F.xxhash64(F.lit(seed), F.lit("rung"), "_key", "_u")
+    one = F.min(F.struct(F.xxhash64(F.lit(seed), "_key", "_u").alias("_h"), "_key", "_u", "size", "add"))
+    ladder = sized.groupBy("source", "_bin", F.when(F.col("_n") <= LADDER, rung).otherwise(F.pmod(rung, F.lit(LADDER))).alias("_rung")).agg(one.alias("_one"))
+    left = rounded.groupBy(F.col("source").alias("_src")).agg((F.first("target") - F.sum(F.col("add") * F.col("size"))).alias("missing"))
+    ladder = ladder.join(left, F.col("source").eqNullSafe(F.col("_src"))).select("source", "_one._key", "_one._u", "_one.size", "_one.add", "missing", F.lit(int(most)).alias("most"))
+    settled = ladder.groupBy("source").applyInArrow(_settled, "_key long, _u long, settled long")
+    # rows equal in all of this are interchangeable: only one of them is a rung
+    settled = settled.groupBy("_key", "_u").agg(F.first("settled").alias("settled"))
+    out = rounded.join(settled, ["_key", "_u"], "left").withColumn("copies", F.coalesce("settled", "add"))
+    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it.  Ids identify documents; rows without an id are taken once."""
-    copies = mix_sources(docs.filter("doc_id is not null"), **parameters).filter("copies > 0").select(F.col("doc_id").alias("_mixed"), "copies").dropDuplicates(["_mixed"])
-    taken = docs.join(copies, docs["doc_id"] == copies["_mixed"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """The rows of docs, each as often as the mix takes it, with all their columns.
+
+    Rows equal in doc_id, source and text are one document: the copies of all of them are copies
+    of that with the smallest other columns.
+    """
+    key = ["doc_id", "source", "text_hash"]
+    taken = mix_sources(docs, **parameters).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    taken = written(taken.select(*(F.col(c).alias(f"_m_{c}") for c in key), F.col("copies").alias("_copies"), F.col("rows").alias("_rows")), f"{shared_dir(docs.sparkSession)}/taken")
+    same = docs["doc_id"].eqNullSafe(F.col("_m_doc_id")) & docs["source"].eqNullSafe(F.col("_m_source")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_m_text_hash"))
+    found = docs.join(taken, same)
+    # of equal rows the first; their groups fold before they move
+    others = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text", "source")), F.lit(0).alias("_")))
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), others))
+    repeated = found.filter("_rows > 1").groupBy("_m_doc_id", "_m_source", "_m_text_hash").agg(first.alias("_r"), F.first("_copies").alias("_copies")).select("_r.*", "_copies")
+    rows = found.filter("_rows = 1").select(*docs.columns, "_copies").unionByName(repeated)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

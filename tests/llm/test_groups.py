@@ -1,6 +1,8 @@
 """Operators that bring rows together: chat formatting, near-duplicates, mixing, the pipeline."""
 
+import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -8,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from sqlloom.llm import near_dedup
+from sqlloom.llm import mixing, near_dedup
 from sqlloom.llm.chat_format import chat_digests, expand_examples, format_conversations, unescape
 from sqlloom.llm.mixing import WEIGHTS, mix_sources, source_targets
 from sqlloom.llm.near_dedup import near_duplicates
@@ -127,21 +129,69 @@ def test_targets_fill_by_weight():
 
 def test_mixing(spark, odd_docs, no_docs):
     r = random.Random(4)
-    rows = [(i, " ".join("w" for _ in range(r.randrange(1, 60))), f"s{min(r.randrange(12), 6)}") for i in range(6000)]
+    rows = [(i, " ".join("w" for _ in range(r.randrange(1, 60))), f"s{min(r.randrange(12), 6)}") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mix_sources(docs, chunk_rows=100, fan_in=4).toPandas()
     again = mix_sources(docs.repartition(7), chunk_rows=100, fan_in=4).toPandas()
     assert dict(zip(got["doc_id"], got["taken"], strict=True)) == dict(zip(again["doc_id"], again["taken"], strict=True))
-    assert len(got) == 6000 and (got["taken"] <= 3 * got["size"]).all() and got["target"].groupby(got["source"]).first().sum() == pytest.approx(got["size"].sum())
+    assert len(got) == 3000 and (got["taken"] <= 3 * got["size"]).all() and got["target"].groupby(got["source"]).first().sum() == pytest.approx(got["size"].sum())
     for _, g in got.groupby("source"):
-        assert abs(g["taken"].sum() / g["target"].iloc[0] - 1) < 0.03
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 1  # some have one word only
         rate = g["target"].iloc[0] / g["source_size"].iloc[0]
-        assert set(g["copies"]) <= {int(rate), int(rate) + 1}
+        assert (~g["copies"].isin([int(rate), int(rate) + 1])).sum() <= 20
     odd = mix_sources(odd_docs)
     assert odd.count() == odd_docs.count() and odd.filter("size = 0 and taken <> 0").count() == 0 and odd.filter("taken > 3 * size").count() == 0
     assert mix_sources(no_docs).count() == 0
 
 
+def test_mixing_of_few_documents_against_all_choices(spark):
+    """Every source of up to four documents comes as near to its target as any choice of 0 to 3 copies does."""
+    r = random.Random(9)
+    rows = [(10 * s + k, " ".join("w" * 1 for _ in range(r.randrange(1, 400))), f"s{s}") for s in range(12) for k in range(1 + s % 4)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for _, g in got.groupby("source"):
+        best = min(abs(sum(c * n for c, n in zip(cs, g["size"], strict=True)) - round(g["target"].iloc[0])) for cs in itertools.product(range(4), repeat=len(g)))
+        assert abs(g["taken"].sum() - round(g["target"].iloc[0])) <= best + 1
+
+
+def test_duels_keep_words_and_expectations():
+    r = np.random.default_rng(2)
+    p, size = r.random(9), r.integers(1, 50, 9)
+    total, words = np.zeros(9), (p * size).sum()
+    for _ in range(20_000):
+        out, held, mass = mixing.duels(p, size, r.random(9))
+        full = out.astype(float)
+        if held >= 0:
+            full[held] = mass
+        assert abs((full * size).sum() - words) < 1e-6
+        total += full
+    assert np.abs(total / 20_000 - p).max() < 0.015
+    for _ in range(200):
+        sizes, copies = r.integers(1, 30, 4).tolist(), r.integers(0, 4, 4).tolist()
+        missing = int(r.integers(-60, 60))
+        new = mixing.settle(sizes, copies, missing, 3)
+        off = lambda c: abs(sum(s * (a - b) for s, a, b in zip(sizes, c, copies, strict=True)) - missing)
+        assert off(new) == min(map(off, itertools.product(range(4), repeat=4)))
+
+
+def test_rows_of_one_id_are_spread_and_mixed(spark, odd_docs, no_docs):
+    """Equal rows of one id, and of no id, reach several chunks and meet the target; apply_mix gives the counted copies."""
+    rows = [(None, "a b c", "s", 1)] * 900 + [(7, "d e", "s", 2)] * 500 + [(i, "f g h i", "t", 3) for i in range(300)] + [(8, "", "s", 4), (9, None, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    got = mix_sources(docs, chunk_rows=200, fan_in=2).toPandas()
+    assert len(got) == len(rows)
+    for _, g in got.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 4
+    mixed = mixing.apply_mix(docs, chunk_rows=200, fan_in=2)
+    assert mixed.columns == docs.columns
+    count = lambda rows: sorted(collections.Counter(map(str, rows)).items())
+    want = [(None if r.doc_id != r.doc_id else int(r.doc_id), r.source) for r in got.itertuples() for _ in range(r.copies)]
+    assert count((r["doc_id"], r["source"]) for r in mixed.collect()) == count(want)
+    odd = mixing.apply_mix(odd_docs)
+    assert odd.columns == odd_docs.columns and mixing.apply_mix(no_docs).count() == 0
+    assert odd.filter("doc_id = 5").count() <= 3
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 
