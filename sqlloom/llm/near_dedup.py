@@ -6,26 +6,30 @@ whole sequence).  Documents are linked where 100 * intersection >= 85 * union.
 1. One pass over the texts gives each document its set's digest, size and a
    SetSketch: M registers, each an exponentially spaced, truncated minimum of
    exponential variates of the elements.  Registers merge by maximum.
-2. Equal sets collapse to one class.  ROWS registers at a time make the key of
-   a band; classes that share a key are candidates.
+2. Equal sets collapse to one class, with a number of its own.  ROWS registers
+   at a time make the key of a band; classes that share a key are candidates.
 3. In each bucket the class that meets most others (its hub) is paired with all
-   members.  Pairs whose joint likelihood, from registers and known sizes, allows
-   the threshold are verified on full sets.  Links give components.
+   members, in portions of about FAN.  Pairs whose joint likelihood, from registers
+   and known sizes, allows the threshold are verified on full sets.  Links give
+   components.
 4. Only buckets with several components are looked at again: their pairs of
    different components are judged in blocks, by likelihood and by what both
    share with the hub, then verified likewise.  A pair is emitted in the first
    band that both share, and never where one component already holds both.
-5. Components of all links, by minimum labels with shortcuts.
+5. Components of all links, by minimum labels with shortcuts; rows of one doc_id
+   with several texts link the classes of these texts too.
 
 At similarity 0.85 a pair escapes all 20 bands with probability 1e-5, and the
 likelihood bound with 1e-5.  Nothing is capped: a bucket of any size is cut
-into blocks, and no group is collected.
+into blocks, and no group is collected.  Joins with a hub go by (hub, portion),
+never by the hub alone.
 
 Defined results: null texts and texts without a word have an empty set
 (n_shingles 0), are linked with nothing and are their own component; rows
-with one doc_id are one document for linking; a null doc_id gives a null
-component and is kept; an empty table gives an empty table; other columns are
-ignored.
+with one doc_id are one document: links of any of their texts are its links, and
+each row has its own n_shingles; a null doc_id gives a null component and is kept;
+a very long text is one row in its task, hashed in pieces; an empty table gives an
+empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -147,18 +151,21 @@ def may_link(more: np.ndarray, less: np.ndarray, n1: np.ndarray, n2: np.ndarray)
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that may be linked, by the joint likelihood of their registers and known sizes."""
+    """The pairs (a, b, salt) that may be linked, by the joint likelihood of their registers and known sizes.
+
+    A hub's registers are copied once for each of its portions (a, salt).
+    """
     side = lambda k: classes.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("registers").alias(f"r{k}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = pairs.join(side("b"), "b").join(pairs.select("a", "salt").distinct().join(side("a"), "a"), ["a", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             r, q = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
             n1, n2 = (t[c].to_numpy().astype(float) for c in ("na", "nb"))
             fit = may_link((r > q).sum(axis=1), (r < q).sum(axis=1), n1, n2) & (100 * np.minimum(n1, n2) >= PERCENT * np.maximum(n1, n2)) if t.num_rows else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([t["a"], t["b"]], ["a", "b"]).filter(pa.array(fit))
+            yield pa.RecordBatch.from_arrays([t["a"], t["b"], t["salt"]], ["a", "b", "salt"]).filter(pa.array(fit, pa.bool_()))
 
-    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "salt", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long, salt long")
 
 
 def set_table(docs: DataFrame) -> DataFrame:
@@ -181,16 +188,14 @@ def set_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(whole()).alias("text_hash"), whole().alias("text")).mapInArrow(run, "doc_id long, text_hash long, node binary, n_shingles long, registers binary, keys array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, path: str) -> DataFrame:
-    """a, b, common (elements of both full sets), linked for pairs (a, b).  texts: id, text; path: for an intermediate table.
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, salt, common (elements of both full sets), linked for pairs (a, b, salt).  texts: id, text.
 
-    Pairs of one ``a`` are dealt in portions of about FAN, each with one copy of
-    its text, sorted to the front; a task holds one such set and a batch.
+    Pairs of one portion (a, salt) share one copy of a's text, sorted to the front; a task holds one
+    such set and a batch.
     """
-    many = pairs.groupBy("a").agg(F.count("*").alias("_n"))
-    dealt = written(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("_n") / FAN)).alias("salt")), path)
-    first = dealt.select("a", "salt").distinct().join(texts, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    rest = dealt.join(texts, F.col("b") == F.col("id")).select("a", "salt", "b", "text")
+    first = pairs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    rest = pairs.join(texts, F.col("b") == F.col("id")).select("a", "salt", "b", "text")
     rows = first.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,22 +211,27 @@ def verify(pairs: DataFrame, texts: DataFrame, path: str) -> DataFrame:
                     raise ValueError(f"pairs of {a} came without its text")
                 small, large = (s, own) if len(s) <= len(own) else (own, s)
                 both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                out.append((a, b, both, 100 * both >= PERCENT * (len(s) + len(own) - both)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["a", "b", "common", "linked"])
+                out.append((a, b, salt, both, 100 * both >= PERCENT * (len(s) + len(own) - both)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["a", "b", "salt", "common", "linked"])
 
-    return rows.mapInArrow(run, "a long, b long, common long, linked boolean")
+    return rows.mapInArrow(run, "a long, b long, salt long, common long, linked boolean")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
-    """id, component (the smallest id reachable) of all ids in edges (a, b)."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), f"{folder}/edges")
-    label = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), f"{folder}/label0")
+    """id, component (the smallest id reachable) of all ids in edges (a, b, salt).
+
+    An id's neighbours are held in lists, one for each salt, so that a hub of very many links
+    looks up its label once for a list and not once for a link.
+    """
+    both = edges.select("a", "b", "salt").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "salt")).filter("a <> b")
+    near = written(both.groupBy(F.col("a").alias("at"), "salt").agg(F.collect_set("b").alias("ids")), f"{folder}/near")
+    label = written(near.groupBy(F.col("at").alias("id")).agg(F.min(F.least(F.col("at"), F.array_min("ids"))).alias("component")), f"{folder}/label0")
     k = 0
     while True:
         k += 1
-        near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("_near"))
-        step = label.join(near, F.col("id") == F.col("a")).select("id", F.least("component", "_near").alias("component"), (F.col("_near") < F.col("component")).alias("moved"))
+        told = near.join(label, F.col("at") == F.col("id")).select(F.explode("ids").alias("_to"), "component").groupBy("_to").agg(F.min("component").alias("_near"))
+        step = label.join(told, F.col("id") == F.col("_to")).select("id", F.least("component", "_near").alias("component"), (F.col("_near") < F.col("component")).alias("moved"))
         step = written(step, f"{folder}/step{k}")
         if not step.filter("moved").head(1):
             return step.select("id", "component")
@@ -230,7 +240,9 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 
 
 def block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and may be linked, each in its first common band.
+    """Pairs (a, b, salt) of different components that share a bucket and may be linked, each in its first common band.
+
+    The salt names the two blocks that met, so an ``a`` has at most BLOCK pairs of one salt.
 
     members: key, hub, n (of the bucket), id, component, common (with the hub), n_shingles, registers.
     What both share with the hub (null: not known) bounds exactly what they can share with each other.
@@ -241,7 +253,8 @@ def block_pairs(members: DataFrame) -> DataFrame:
     m = members.withColumn("_k", parts).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
     m = m.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     m = m.select("key", F.least("_b", "_x").alias("i"), F.greatest("_b", "_x").alias("j"), "_b", "hub", "id", "component", "common", "n_shingles", "registers")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    m = m.withColumn("_salt", F.xxhash64("key", "i", "j"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("salt", pa.int64())])
 
     def pairs(t: pa.Table) -> pa.Table:
         n = t.num_rows
@@ -273,34 +286,38 @@ def block_pairs(members: DataFrame) -> DataFrame:
                 y = y[may_link(more, less, np.full(len(y), float(size[x])), size[y].astype(float))]
                 out.append(np.column_stack([np.full(len(y), ids[x]), ids[y]]))
         got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.Table.from_arrays([pa.array(got.min(axis=1) if len(got) else [], pa.int64()), pa.array(got.max(axis=1) if len(got) else [], pa.int64())], schema=schema)
+        salt = np.full(len(got), t["_salt"][0].as_py(), np.int64)
+        return pa.Table.from_arrays([pa.array(got.min(axis=1) if len(got) else [], pa.int64()), pa.array(got.max(axis=1) if len(got) else [], pa.int64()), pa.array(salt)], schema=schema)
 
-    return m.groupBy("key", "i", "j").applyInArrow(pairs, "a long, b long")
+    return m.groupBy("key", "i", "j").applyInArrow(pairs, "a long, b long, salt long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     sets = written(set_table(docs), f"{folder}/sets")
+    # a class is named by a number, not by a doc_id, which several texts may share; it is fixed once written
     classes = written(
         sets.filter("node is not null and doc_id is not null").groupBy("node").agg(
             F.min(F.struct("doc_id", "text_hash")).alias("_r"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("keys").alias("keys")
-        ).select("node", F.col("_r.doc_id").alias("id"), F.col("_r.text_hash").alias("text_hash"), "n_shingles", "registers", "keys"),
+        ).select("node", F.monotonically_increasing_id().alias("id"), F.col("_r.doc_id").alias("first_doc"), F.col("_r.text_hash").alias("text_hash"), "n_shingles", "registers", "keys"),
         f"{folder}/classes",
     )
-    bands = classes.select("id", F.explode("keys").alias("key"))
+    bands = classes.select("id", "text_hash", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(bands.join(shared, "key"), f"{folder}/members")
     met = members.groupBy("id").agg(F.sum("n").alias("met"))
-    hubs = members.join(met, "id").groupBy("key").agg(F.max(F.struct("met", "id")).alias("_h")).select("key", F.col("_h.id").alias("hub"))
-    members = written(members.join(hubs, "key"), f"{folder}/buckets")
-    pairs = written(members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), f"{folder}/pairs")
-    wanted = met.select("id").join(classes.select("id", "text_hash"), "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole()).alias("text_hash"), whole().alias("text"))
-    texts = written(wanted.join(texts, ["id", "text_hash"]).groupBy("id").agg(F.min("text").alias("text")), f"{folder}/texts")
+    hubs = members.join(met, "id").groupBy("key").agg(F.max(F.struct("met", "text_hash", "id")).alias("_h")).select("key", F.col("_h.id").alias("hub"))
+    members = written(members.drop("text_hash").join(hubs, "key"), f"{folder}/buckets")
+    # a bucket's size bounds the pairs of its hub there: it tells into how many portions they go
+    pairs = members.filter("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.max("n").alias("n"))
+    pairs = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / FAN)).alias("salt")), f"{folder}/pairs")
+    wanted = met.select("id").join(classes.select("id", "first_doc", "text_hash"), "id").select("id", F.col("first_doc").alias("_doc"), "text_hash")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(whole()).alias("text_hash"), whole().alias("text"))
+    texts = written(wanted.join(texts, ["_doc", "text_hash"]).groupBy("id").agg(F.min("text").alias("text")), f"{folder}/texts")
     pairs = written(likely(pairs, classes), f"{folder}/likely")
-    met_hubs = written(verify(pairs, texts, f"{folder}/dealt0"), f"{folder}/links0")
-    links = met_hubs.filter("linked").select("a", "b")
+    met_hubs = written(verify(pairs, texts), f"{folder}/links0")
+    links = met_hubs.filter("linked").select("a", "b", "salt")
     found = components(links, f"{folder}/first")
     placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
@@ -308,16 +325,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = met_hubs.select(F.col("a").alias("hub"), F.col("b").alias("id"), "common")
     rest = rest.join(shared, ["hub", "id"], "left").withColumn("common", F.when(F.col("id") == F.col("hub"), F.col("n_shingles")).otherwise(F.col("common")))
     more = written(block_pairs(rest), f"{folder}/pairs1")
-    more = verify(more, texts, f"{folder}/dealt1").filter("linked").select("a", "b")
-    final = components(links.unionByName(more), f"{folder}/final")
-    placed = classes.select("node", "id").join(final, "id", "left").select("node", F.coalesce("component", "id").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles", F.col("node").alias("_node")).join(placed, F.col("_node") == F.col("node"), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    links = links.unionByName(verify(more, texts).filter("linked").select("a", "b", "salt"))
+    # rows, with their classes; documents of several texts link these
+    out = written(sets.select("doc_id", "n_shingles", F.col("node").alias("_node")).join(classes.select("node", "id", "first_doc"), F.col("_node") == F.col("node"), "left").drop("_node", "node"), f"{folder}/rows")
+    several = out.groupBy(F.col("doc_id").alias("_doc")).agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "first_doc"))).alias("_a"), F.max("id").alias("_hi"), F.count_if(F.col("id").isNull()).alias("_none"))
+    several = written(several.filter("_doc is not null and (_a.id <> _hi or (_hi is not null and _none > 0))").select("_doc", "_a"), f"{folder}/several")
+    out = out.join(several, out["doc_id"] == several["_doc"], "left")
+    own = out.filter("id <> _a.id").select(F.col("_a.id").alias("a"), F.col("id").alias("b"), F.pmod(F.xxhash64("id"), F.lit(FAN)).alias("salt")).distinct()
+    out = out.select("doc_id", "n_shingles", F.coalesce("id", "_a.id").alias("id"), F.coalesce("first_doc", "_a.first_doc").alias("first_doc"))
+    final = components(links.unionByName(own), f"{folder}/final")
+    # a component is named by the smallest doc_id of its classes
+    names = classes.select("id", "first_doc").join(final, "id").groupBy("component").agg(F.min("first_doc").alias("_name"))
+    named = final.join(names, "component").select(F.col("id").alias("_id"), "_name")
+    out = out.join(named, F.col("id") == F.col("_id"), "left")
+    component = F.coalesce("_name", "first_doc", "doc_id")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents of docs that are kept, with all their columns; rows without an id stay, rows with one id become one."""
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept"))
-    rows = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.filter("doc_id is null"))
+    """The documents of docs that are kept, with all their columns; rows without an id stay.
+
+    Of rows with one id that with the smallest text stays (null first; then the smallest other columns), so reruns agree.
+    """
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    others = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias("_")))
+    first = F.min_by(F.struct(*docs.columns), F.struct("text", others))
+    return rows.groupBy(F.col("doc_id").alias("_kept")).agg(first.alias("_r")).select("_r.*").unionByName(docs.filter("doc_id is null"))

@@ -106,6 +106,29 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, odd_docs):
 
 def test_near_duplicates_of_nothing(no_docs):
     assert near_duplicates(no_docs).count() == 0
+    assert near_dedup.keep_one_of_each(no_docs).count() == 0
+
+
+def test_one_id_with_several_texts(spark, odd_docs):
+    """Texts of one id are one document: what is linked with any of them is linked with it, and with what is linked with the others."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (3, b + " more"), (4, a + " more"), (5, "c d"), (6, a), (7, None), (7, b), (2, "x y"), (2, "c d")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == components_by_force(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 3: 1, 4: 1, 6: 1, 7: 1, 2: 2, 5: 2}
+    kept = near_dedup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, a), (2, "c d")]
+    odd = near_dedup.keep_one_of_each(odd_docs)
+    assert odd.columns == odd_docs.columns
+    assert sorted((str(r["doc_id"]) for r in odd.collect())) == ["1", "2", "3", "4", "5", "6", "8", "9", "None"]
+
+
+def test_near_duplicates_of_documents_against_brute_force(spark):
+    """All of the 1,000-document table: no component differs from that of all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    got = near_duplicates(docs).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == components_by_force(rows)
 
 
 def test_sketch_merges_and_estimates():
