@@ -1,10 +1,13 @@
 """Operators that look at one row at a time: secrets, media, quality rules, language, quality."""
 
 import hashlib
+import itertools
+import math
 import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ from sqlloom.llm.quality_rules import RULES, fit_rules, quality_rules
 from sqlloom.llm.queries import QUERIES, ORACLE_SQL
 
 
+WORD = public_tokenizers.path("word_bpe_49k.json")
+
+
 def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
@@ -122,7 +128,8 @@ def test_secret_spans(spark, odd_docs, no_docs):
     assert {(r["doc_id"], r["base_sha256"]) for r in got} == want and len(got) == docs.count()
     spans = {r["doc_id"]: r["spans"] for r in got}
     assert spans[106] == "guess:10:20" and spans[108] == ""
-    assert secret_scans.find_secrets(no_docs).count() == 0
+    assert secret_scans.find_secrets(no_docs).count() == 0 and secret_scans.mask_secrets(no_docs).count() == 0
+    assert secret_scans.mask_secrets(odd_docs, WORD).columns == odd_docs.columns
     masked = {r["doc_id"]: r["text"] for r in secret_scans.mask_secrets(docs).collect()}
     assert "[hex]" in masked[103] and "Xk39" not in masked[100] and masked[2] is None
 
@@ -131,22 +138,77 @@ def test_secret_spans(spark, odd_docs, no_docs):
 def test_names_with_a_prefix_are_contexts(text):
     value = re.split(r"\s*=\s*", text, maxsplit=1)[1].strip("'")
     at = text.index(value)
-    assert ("guess", at, at + len(value)) in secret_scans.spans(text) and value[4:] not in secret_scans.mask(text)
+    assert ("guess", at, at + len(value)) in secret_scans.spans(text, WORD) and value[4:] not in secret_scans.mask(text, WORD)
 
 
 def test_prose_gives_no_guess_span():
     prose = ["the secret is simple", "his login is required.", "the token is important", "pin is broken", "The password is case-sensitive", "a login is user-dependent", "le token is nécessaire", "PIN is REQUIRED", "the pin is 4-digit"]
-    assert {t: secret_scans.spans(t) for t in prose if secret_scans.spans(t)} == {} and [secret_scans.mask(t) for t in prose] == prose
-    for t in ("password is Xk39fj2lQ", "pin is 48291057", "the secret is kq!zvw?xb"):
-        assert [k for k, _, _ in secret_scans.spans(t)] == ["guess"], t
-
-
-def test_guess_costs():
-    cost = secret_scans.guess_cost
+    prose += ["login: required", "password = changeme", "token: bearer", "secret: chocolate", "pin: 1234567", "auth = disabled", "passphrase: correcthorse"]
+    guessed = lambda t: [x for x in secret_scans.spans(t, WORD) if x[0] == "guess"]
+    assert {t: guessed(t) for t in prose if guessed(t)} == {}
+    for t in ("password is Xk39fj2lQ", "pin is 48397057", "the secret is kq!zvw?xb"):
+        assert [k for k, _, _ in secret_scans.spans(t, WORD)] == ["guess"], t
+
+
+def segment_by_force(s):
+    """The cost of one segment by itself, each pattern spelt out."""
+    S, best = secret_scans, math.inf
+    if len(s) == 1:
+        return S.brute_cost(s)
+    ranked = S.ranks(WORD)
+    for one in "il":
+        plain = "".join({"0": "o", "1": one, "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "+": "t"}.get(c, c) for c in s.lower())
+        for w in (s.lower(), plain):
+            if w in ranked and len(w) >= 3:
+                ups = sum(c.isupper() for c in s)
+                extra = 0 if not ups else 1 if s.isupper() or (ups == 1 and s[0].isupper()) else ups
+                best = min(best, ranked[w] + 0.3 * sum(x != y for x, y in zip(s.lower(), w, strict=True)) + 0.3 * extra)
+    year = lambda y: 1900 <= int(y) <= 2049
+    if re.fullmatch(r"\d{4}", s) and year(s):
+        best = min(best, 2.1)
+    for y, m, d in itertools.product((r"\d{4}", r"\d{2}"), (r"\d{2}", r"\d"), (r"\d{2}", r"\d")):
+        for sep in ("", "-", "/", r"\.", "_"):
+            if sep or (m == d == r"\d{2}"):
+                for order in ("ymd", "dmy", "mdy"):
+                    x = re.fullmatch(sep.join({"y": f"(?P<y>{y})", "m": f"(?P<m>{m})", "d": f"(?P<d>{d})"}[k] for k in order), s)
+                    if x and 1 <= int(x["m"]) <= 12 and 1 <= int(x["d"]) <= 31 and (len(x["y"]) == 2 or year(x["y"])):
+                        best = min(best, 4.6)
+    if len(s) >= 3:
+        ways = [S._walk_step(a, b) for a, b in itertools.pairwise(s)]
+        if all(ways):
+            best = min(best, 1.67 + 0.8 * sum(a != b for a, b in itertools.pairwise(ways)))
+        for kind in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+            if s in kind or s in kind[::-1]:
+                best = min(best, 1.4)
+    for unit in range(1, 9):
+        k = len(s) // unit
+        if s == s[:unit] * k and k >= (3 if unit == 1 else 2):
+            best = min(best, cost_by_force(s[:unit]) + 0.5)
+    return best + 0.3
+
+
+def cost_by_force(value):
+    """The cheapest of all segmentations."""
+    if not value:
+        return 0.0
+    return min(sum(segment_by_force(value[a:b]) for a, b in itertools.pairwise((0, *cuts, len(value)))) for k in range(len(value)) for cuts in itertools.combinations(range(1, len(value)), k))
+
+
+def test_guess_costs_are_the_cheapest_segmentation():
+    cost = lambda x: secret_scans.guess_cost(x, WORD)
+    r = np.random.default_rng(6)
+    pieces = ["pass", "w0rd", "Love", "qwe", "rty", "1qaz", "12", "1999", "31", "aaa", "ab", "abab", "xyz", "cba", "Q", "$", "7", "zxc", "2/3/01", "lP"]
+    for _ in range(150):
+        value = "".join(r.choice(pieces, r.integers(1, 4)))[:10]
+        assert cost(value) == pytest.approx(cost_by_force(value)), value
+        enough = secret_scans.guess_cost(value, WORD, 4.0)
+        assert (enough >= 4.0) == (cost(value) >= 4.0)
     assert cost("") == 0 and cost("password") < cost("password1") < cost("xQ7!vB29")
-    assert cost("aaaaaaaa") < 4 and cost("qwertyuiop") < 4 and cost("20240131") < 6 and cost("abcabcabc") < 4
-    by_hand = min(1.0 * 8, cost("20240131"))  # brute force over digits is the upper bound
-    assert cost("20240131") == by_hand
+    for weak in ("hellopqrst", "1qaz2wsx3edc", "12/31/1999", "liverpool", "computer", "basketball", "Liverpool2019", "l1verp00l!", "aaaaaaaaaaaaaaaa", "abcabcabcabc", "qwertyuiop", "20240131"):
+        assert cost(weak) < secret_scans.LEAST_COST, (weak, cost(weak))
+    for strong in ("Xk39fj2lQQ9z", "h7Kp9vQ2mZ", "x9$kf!2mQz&7"):
+        assert cost(strong) >= secret_scans.LEAST_COST
+    assert secret_scans.guess_cost("x9$kf!2mQz&7" * 100_000, WORD, 8.0) >= 8
 
 
 @pytest.mark.parametrize("text", [b"", b"a", b"\xff" * 576, bytes(range(256)) * 9, b"\x00\xff" * 3000, b"x" * 577])
