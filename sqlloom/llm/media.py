@@ -6,15 +6,20 @@ in a baseline grey JPEG of 192 x 192 pixels: only DC terms are stored, with a
 quantiser of 8, so decoding is exact.  Frames are ``00dc`` chunks of an AVI
 file with an ``idx1`` index.
 
-Reading goes by the file alone: RIFF chunks and the index are parsed, all
-frames of a batch are decoded in lockstep (one table look-up gives length and
-difference of a block), and shots are cut where the difference of neighbouring
-16-bin histograms exceeds mean + 2.5 deviations of its surroundings.
+Reading goes by the file alone: RIFF chunks and the index are parsed (files
+without an index are walked chunk by chunk).  Frames of the form written here
+are decoded in lockstep, all of a batch together (one table look-up gives length
+and difference of a block); any other baseline JPEG goes through ``jpeg.luminance``.
+Shots are cut where the difference of neighbouring 16-bin histograms exceeds
+mean + 2.5 deviations of its surroundings.
 
 Defined results: a null text counts as empty and is one frame of 255s;
-repeated rows and ids each give a row; an empty table gives an empty table;
-other columns are ignored.  Rows are independent, so nothing is shuffled; a
-batch holds a bounded number of frames beyond its longest text.
+repeated rows and ids each give a row, and equal texts equal values; a very long
+text is a long file; an empty table gives an empty table; other columns are ignored,
+whatever their names.  A file that is null, damaged, without frames or of a kind
+that is not read gives one row of nulls with the reason in ``error``.  Rows
+are independent, so nothing is shuffled; a batch holds a bounded number of frames
+beyond its longest text.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, whole
+from .jpeg import luminance
 
 SIDE, UNIT, FPS, BINS = 24, 576, 25, 16
 #: Frames that are coded or decoded together.
@@ -114,28 +120,47 @@ def write_avi(frames: list[bytes]) -> bytes:
 
 
 def read_avi(data: bytes) -> tuple[list[bytes], float]:
-    """The frames that the index names, in its order, and the frames a second."""
+    """The frames of the first video stream that the index names, in its order, and the frames a second."""
+    try:
+        return _read_avi(data)
+    except (struct.error, KeyError, ZeroDivisionError, IndexError) as e:
+        raise ValueError("a damaged AVI file") from e
+
+
+def _chunks(data: bytes, at: int, end: int):
+    """kind, place and size of the chunks in a part of the file; a list's kind is its own name."""
+    while at + 8 <= end:
+        kind, size = struct.unpack_from("<4sI", data, at)
+        yield data[at + 8 : at + 12] if kind == b"LIST" else kind, at + 8, size
+        at += 8 + size + (size & 1)
+
+
+def _read_avi(data: bytes) -> tuple[list[bytes], float]:
     kind, size, form = struct.unpack_from("<4sI4s", data)
     if kind != b"RIFF" or form != b"AVI " or size + 8 > len(data):
         raise ValueError("not an AVI file")
-    at, end, found, rate = 12, size + 8, {}, float(FPS)
-    while at < end:
-        kind, size = struct.unpack_from("<4sI", data, at)
-        name = data[at + 8 : at + 12] if kind == b"LIST" else kind
-        found[name] = (at + 8, size)
-        at += 8 + size + (size & 1)
+    found = {kind: (at, size) for kind, at, size in _chunks(data, 12, size + 8)}
     start, size = found[b"hdrl"]
-    if (k := data.find(b"strh", start, start + size)) >= 0:
-        scale, ticks = struct.unpack_from("<II", data, k + 8 + 20)
-        rate = ticks / scale
-    movi, (start, size) = found[b"movi"][0], found[b"idx1"]
+    streams = [(at, n) for kind, at, n in _chunks(data, start + 4, start + size) if kind == b"strl"]
+    heads = [at for place, n in streams for kind, at, _ in _chunks(data, place + 4, place + n) if kind == b"strh"]
+    video = next((i for i, at in enumerate(heads) if data[at : at + 4] == b"vids"), None)
+    if video is None:
+        raise ValueError("no video stream")
+    scale, ticks = struct.unpack_from("<II", data, heads[video] + 20)
+    own = (b"%02ddc" % video, b"%02ddb" % video)
+    movi, size = found[b"movi"]
+    if b"idx1" not in found:
+        return [data[at : at + n] for kind, at, n in _chunks(data, movi + 4, movi + size) if kind in own], ticks / scale
+    start, size = found[b"idx1"]
     frames = []
-    for kind, _, offset, n in struct.iter_unpack("<4s3I", data[start : start + size]):
-        if kind == b"00dc":
-            if data[movi + offset : movi + offset + 8] != struct.pack("<4sI", kind, n):
+    for kind, _, offset, n in struct.iter_unpack("<4s3I", data[start : start + size - size % 16]):
+        if kind in own and n:
+            # offsets count from the list's name, or from the file's start
+            at = next((k for k in (movi + offset, offset) if data[k : k + 8] == struct.pack("<4sI", kind, n)), None)
+            if at is None:
                 raise ValueError("the index does not fit the chunks")
-            frames.append(data[movi + offset + 8 : movi + offset + 8 + n])
-    return frames, rate
+            frames.append(data[at + 8 : at + 8 + n])
+    return frames, ticks / scale
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -179,13 +204,18 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
     return (np.cumsum(out, axis=0) + 128).astype(np.uint8).T
 
 
-def shots(samples: np.ndarray, reach: int = 8, deviations: float = 2.5, least: float = 0.12) -> list[tuple[int, int]]:
-    """Frame ranges (first, beyond the last) between cuts."""
-    n = len(samples)
+def histograms(samples: np.ndarray) -> np.ndarray:
+    """Shares of 16 grey levels in each frame; samples: (frames, samples of a frame)."""
+    n, size = samples.shape
+    return np.bincount((np.arange(n)[:, None] * BINS + (samples >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS) / size
+
+
+def shots(h: np.ndarray, reach: int = 8, deviations: float = 2.5, least: float = 0.12) -> list[tuple[int, int]]:
+    """Frame ranges (first, beyond the last) between cuts, from the frames' histograms."""
+    n = len(h)
     if n < 3:
         return [(0, n)]
-    h = np.bincount((np.arange(n)[:, None] * BINS + (samples >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
-    d = np.abs(np.diff(h, axis=0)).sum(axis=1) / (2 * UNIT)
+    d = np.abs(np.diff(h, axis=0)).sum(axis=1) / 2
     m = len(d)
     lo, hi = np.maximum(np.arange(m) - reach, 0), np.minimum(np.arange(m) + reach + 1, m)
     one, two = (np.concatenate([[0.0], np.cumsum(x)]) for x in (d, d * d))
@@ -230,18 +260,39 @@ def _read(media: list[bytes]) -> list[tuple[np.ndarray, float]]:
     return out
 
 
+def _histograms_of(media: bytes | None) -> tuple[np.ndarray, float]:
+    """Histograms of the frames of any motion-JPEG file, and its frames a second."""
+    if media is None:
+        raise ValueError("no file")
+    frames, rate = read_avi(media)
+    if not frames:
+        raise ValueError("no frames")
+    if all(f.startswith(HEAD) for f in frames):
+        return np.concatenate([histograms(decode_frames(frames[k : k + AT_ONCE])) for k in range(0, len(frames), AT_ONCE)]), rate
+    return np.concatenate([histograms(luminance(f).reshape(1, -1)) for f in frames]), rate
+
+
+CLIP = "doc_id long, clip int, first_frame long, frames long, start_s double, end_s double, error string"
+
+
 def clips(media: DataFrame) -> DataFrame:
-    """One row for each shot: doc_id, clip, first_frame, frames, start_s, end_s."""
+    """One row for each shot of motion-JPEG files (doc_id, media): doc_id, clip, first_frame, frames, start_s, end_s, error (null)."""
     bounded_batches(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, k, a, z - a, a / rate, z / rate) for i, (s, rate) in zip(b["doc_id"].to_pylist(), _read(b["media"].to_pylist()), strict=True) for k, (a, z) in enumerate(shots(s))]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "clip", "first_frame", "frames", "start_s", "end_s"])
+            rows = []
+            for i, m in zip(b["doc_id"].to_pylist(), b["media"].to_pylist(), strict=True):
+                try:
+                    h, rate = _histograms_of(m)
+                    rows += [(i, k, a, z - a, a / rate, z / rate, None) for k, (a, z) in enumerate(shots(h))]
+                except ValueError as e:
+                    rows.append((i, None, None, None, None, None, str(e)))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in CLIP.split(", ")])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, clip int, first_frame long, frames long, start_s double, end_s double")
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, CLIP)
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -258,7 +309,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
             rows = []
             for i, t, m, (s, rate) in zip(b["doc_id"].to_pylist(), texts, media, _read(media), strict=True):
                 p = np.ascontiguousarray(s).tobytes()
-                found = shots(s)
+                found = shots(histograms(s))
                 feature = f"frames={len(s)};fps={rate:g};clips={','.join(str(a) for a, _ in found)}"
                 rows.append((i, len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

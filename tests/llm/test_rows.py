@@ -3,7 +3,9 @@
 import hashlib
 import itertools
 import math
+import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -12,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sqlloom.llm import media, secret_scans
+from sqlloom.llm.jpeg import luminance
 from sqlloom.llm.language_id import fit_languages, predict_languages
 from sqlloom.llm.quality_classifier import fit_quality, keep_good, score_quality
 from sqlloom.llm.quality_rules import RULES, fit_rules, quality_rules
@@ -231,8 +234,88 @@ def test_media_rejects_damage():
 def test_shots():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 64, (20, 576), np.uint8), rng.integers(128, 255, (15, 576), np.uint8)
-    assert media.shots(np.concatenate([a, b])) == [(0, 20), (20, 35)]
-    assert media.shots(a) == [(0, 20)]
+    assert media.shots(media.histograms(np.concatenate([a, b]))) == [(0, 20), (20, 35)]
+    assert media.shots(media.histograms(a)) == [(0, 20)]
+
+
+def jpeg_by_hand(parts, width, height, quant, restart=0):
+    """A baseline frame from quantised coefficients, with tables of fixed code lengths: parts [(h, v, blocks[row][column] of 64 in stored order)]."""
+    segment = lambda m, body: bytes([0xFF, m]) + struct.pack(">H", len(body) + 2) + body
+    out = b"\xff\xd8" + segment(0xE0, b"JFIF\x00") + segment(0xDB, b"\x03" + bytes(quant))
+    out += segment(0xC0, struct.pack(">BHHB", 8, height, width, len(parts)) + b"".join(bytes([i + 1, h << 4 | v, 3]) for i, (h, v, _) in enumerate(parts)))
+    out += segment(0xC4, b"\x01" + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))) + segment(0xC4, b"\x12" + bytes([0] * 8 + [255] + [0] * 7) + bytes(range(255)))
+    if restart:
+        out += segment(0xDD, struct.pack(">H", restart))
+    out += segment(0xDA, bytes([len(parts)]) + b"".join(bytes([i + 1, 0x12]) for i in range(len(parts))) + b"\x00\x3f\x00")
+    across, down = max(h for h, _, _ in parts), max(v for _, v, _ in parts)
+    columns, rows = -(-width // (8 * across)), -(-height // (8 * down))
+    amount = lambda x: ((n := abs(x).bit_length()), format(x if x > 0 else x + (1 << n) - 1, f"0{n}b") if n else "")
+    bits, last, n = "", [0] * len(parts), 0
+    flush = lambda bits: bytes(int(x, 2) for x in map("".join, zip(*[iter(bits + "1" * (-len(bits) % 8))] * 8, strict=True))).replace(b"\xff", b"\xff\x00")
+    for unit in range(rows * columns):
+        if restart and unit and unit % restart == 0:
+            out, bits, last, n = out + flush(bits) + bytes([0xFF, 0xD0 + n % 8]), "", [0] * len(parts), n + 1
+        for i, (h, v, blocks) in enumerate(parts):
+            for y in range(v):
+                for x in range(h):
+                    b = blocks[unit // columns * v + y][unit % columns * h + x]
+                    size, word = amount(b[0] - last[i])
+                    bits, last[i], run = bits + format(size, "04b") + word, b[0], 0
+                    for c in b[1 : max([k for k in range(64) if b[k]], default=0) + 1]:
+                        if c:
+                            bits += format(15 << 4, "09b") * (run // 16)
+                            size, word = amount(c)
+                            bits, run = bits + format((run % 16) << 4 | size, "09b") + word, -1
+                        run += 1
+                    if not b[63]:
+                        bits += format(0, "09b")
+    return out + flush(bits) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("sampling", "restart"), [([(1, 1)], 0), ([(2, 2)], 3), ([(1, 1)] * 3, 0), ([(2, 2), (1, 1), (1, 1)], 2)])
+def test_frames_of_other_encoders(sampling, restart):
+    """Own tables, AC terms, colour, subsampling and restarts, against the transform's double sum."""
+    r = random.Random(3)
+    width, height, quant = 43, 27, [r.randrange(1, 30) for _ in range(64)]
+    single = len(sampling) == 1
+    across, down = (1, 1) if single else (max(h for h, _ in sampling), max(v for _, v in sampling))
+    columns, rows = -(-width // (8 * across)), -(-height // (8 * down))
+    block = lambda: [r.randrange(-60, 60)] + [r.randrange(-9, 9) if r.random() < 0.2 else 0 for _ in range(63)]
+    parts = [((1, 1) if single else (h, v)) + ([[block() for _ in range(columns * (1 if single else h))] for _ in range(rows * (1 if single else v))],) for h, v in sampling]
+    got = luminance(jpeg_by_hand(parts, width, height, quant, restart))
+    assert got.shape == (height, width)
+    order = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
+    for y, x in [(0, 0), (height - 1, width - 1), *((r.randrange(height), r.randrange(width)) for _ in range(60))]:
+        b = parts[0][2][y // 8][x // 8]
+        want = 128 + sum(
+            b[k] * quant[k] / 4 * (0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) * math.cos((2 * (y % 8) + 1) * u * math.pi / 16) * math.cos((2 * (x % 8) + 1) * v * math.pi / 16)
+            for k, (u, v) in enumerate(order)
+        )
+        assert abs(min(255, max(0, want)) - got[y, x]) <= 0.51
+
+
+def test_own_frames_by_the_general_decoder():
+    text = bytes(random.Random(1).randrange(256) for _ in range(700))
+    (avi,) = media._stored([text])
+    frames, _ = media.read_avi(avi)
+    samples = np.stack([luminance(f)[::8, ::8].ravel() for f in frames])
+    assert samples.tobytes() == media.payload(text) and all((luminance(f).reshape(24, 8, 24, 8) == luminance(f)[::8, None, ::8, None].reshape(24, 1, 24, 1)).all() for f in frames)
+
+
+def test_clips_of_any_file(spark):
+    r = random.Random(5)
+    shot = lambda level, n: [jpeg_by_hand([(1, 1, [[[level + r.randrange(3)] + [0] * 63 for _ in range(4)] for _ in range(3)])], 32, 24, [8] * 64) for _ in range(n)]
+    other = media.write_avi(shot(-80, 12) + shot(70, 9))
+    no_index = media.write_avi(shot(0, 4))
+    at = no_index.rindex(b"idx1")
+    no_index = b"RIFF" + struct.pack("<I", at - 8) + no_index[8:at]
+    empty = media._chunk(b"RIFF", b"AVI " + other[12 : other.index(b"movi") - 8] + media._chunk(b"LIST", b"movi") + media._chunk(b"idx1", b""))
+    files = [(1, other), (2, no_index), (3, empty), (4, None), (5, b"RIFF"), (6, other[: len(other) // 2]), (7, other.replace(b"\xff\xc0", b"\xff\xc2"))]
+    got = {}
+    for x in media.clips(spark.createDataFrame(files, "doc_id long, media binary")).collect():
+        got.setdefault(x["doc_id"], []).append((x["first_frame"], x["frames"], x["error"]))
+    assert got[1] == [(0, 12, None), (12, 9, None)] and got[2] == [(0, 4, None)]
+    assert {k: v[0][2] for k, v in got.items() if k > 2} == {3: "no frames", 4: "no file", 5: "a damaged AVI file", 6: "not an AVI file", 7: "not a baseline JPEG frame"}
 
 
 def test_media_query(spark, odd_docs, no_docs):
