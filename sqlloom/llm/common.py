@@ -15,9 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """A new folder below ``spark.checkpoint.dir``.  Where that is unset, a temporary one for a local master (tests); on a cluster an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sqlloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, "llm-" + uuid.uuid4().hex)
@@ -29,6 +31,14 @@ def written(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes written tables that no result reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of few rows, since a text may be very long; only ever lowers the session's setting."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

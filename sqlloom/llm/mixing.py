@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, shared_dir, whole, written
+from .common import WORD, discard, shared_dir, whole, written
 
 WEIGHTS = (5, 2, 1)
 #: Documents of one source and size class that may settle what is left; equal rows that travel as one portion.
@@ -188,6 +188,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = 3, seed: int = 17,
         rounded = rounded.unionByName(x)
     key = F.xxhash64("doc_id", "text_hash", "source", "size")
     rounded = written(rounded.select("doc_id", "source", "text_hash", "size", "source_size", "target", "add", key.alias("_key"), "_u"), f"{folder}/rounded")
+    discard(spark, f"{folder}/sizes", *(f"{folder}/level{i}" for i in range(k + 1)))
     # few documents of each source settle what is left
     sized = rounded.filter("size > 0").withColumn("_bin", F.floor(F.log2("size")))
     bins = sized.groupBy(F.col("source").alias("_src"), F.col("_bin").alias("_b")).agg(F.count("*").alias("_n"))

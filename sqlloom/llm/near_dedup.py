@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, whole, written
+from .common import bounded_batches, discard, shared_dir, whole, written
 
 SHINGLE, PERCENT = 5, 85
 M, ROWS, BANDS, BASE, RATE = 512, 5, 20, 1.02, 20.0
@@ -332,8 +332,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = written(several.filter("_doc is not null and (_a.id <> _hi or (_hi is not null and _none > 0))").select("_doc", "_a"), f"{folder}/several")
     out = out.join(several, out["doc_id"] == several["_doc"], "left")
     own = out.filter("id <> _a.id").select(F.col("_a.id").alias("a"), F.col("id").alias("b"), F.pmod(F.xxhash64("id"), F.lit(FAN)).alias("salt")).distinct()
-    out = out.select("doc_id", "n_shingles", F.coalesce("id", "_a.id").alias("id"), F.coalesce("first_doc", "_a.first_doc").alias("first_doc"))
+    out = written(out.select("doc_id", "n_shingles", F.coalesce("id", "_a.id").alias("id"), F.coalesce("first_doc", "_a.first_doc").alias("first_doc")), f"{folder}/placed")
     final = components(links.unionByName(own), f"{folder}/final")
+    discard(spark, *(f"{folder}/{x}" for x in ("sets", "members", "buckets", "pairs", "texts", "likely", "links0", "first", "pairs1", "rows", "several")))
     # a component is named by the smallest doc_id of its classes
     names = classes.select("id", "first_doc").join(final, "id").groupBy("component").agg(F.min("first_doc").alias("_name"))
     named = final.join(names, "component").select(F.col("id").alias("_id"), "_name")

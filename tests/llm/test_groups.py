@@ -1,5 +1,6 @@
 """Operators that bring rows together: chat formatting, near-duplicates, mixing, the pipeline."""
 
+import base64
 import collections
 import hashlib
 import itertools
@@ -228,3 +229,91 @@ def test_pipeline(spark, sf_dir):
         seen.append(docs.count())
     assert seen[0] > seen[1] > seen[2] == seen[3] and seen[4] == seen[5] > 0
     assert docs.filter("n_tokens <> size(ids)").count() == 0
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """run() on a small corpus with nulls, ties, exact and near copies and secrets, against all five stages spelt out for single rows."""
+    import public_tokenizers as P
+    import tiktoken
+    import zstandard
+
+    import corpus_pipeline as p
+    from sqlloom.llm import quality_classifier as Q
+    from sqlloom.llm.common import crc_fold
+    from sqlloom.llm.secret_scans import spans
+
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("aeioulmnrst") for _ in range(r.randrange(3, 8))) for _ in range(150)]
+    prose = lambda n: " ".join(r.choice(vocabulary) for _ in range(n)) + "."
+    junk = lambda n: " ".join(f"{r.choice('#$%&')}{r.randrange(10**6)}|" for _ in range(n))
+    texts = [junk(r.randrange(40, 90)) if i % 4 == 0 else prose(r.randrange(40, 160)) for i in range(120)]
+    texts[50:53] = [texts[49]] * 3  # exact copies
+    texts[54] = texts[53] + " tail"  # a near copy
+    texts[57] += " DB_PASSWORD=Xk39fj2lQQ9z and AKIA" + "A1" * 9
+    texts[58] += " the password is simple"
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)] + [(200, None, None, None, None), (201, "", "en", "s0", 0)]
+    rows += [(202, prose(70), None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(120)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = p.run(spark, str(tmp_path)).collect()
+
+    model = Q.fit_quality(docs, labels.filter(crc_fold("doc_id", 3) != 1))
+    size = lambda part, which: len(zstandard.ZstdCompressor(level=Q.LEVEL, dict_data=zstandard.ZstdCompressionDict(model[which]), write_content_size=False, write_dict_id=False).compress(part))
+
+    def good(t):
+        raw = (t or "").encode()
+        gap = sum(size(raw[k : k + Q.BLOCK], "bad") - size(raw[k : k + Q.BLOCK], "good") for k in range(0, len(raw), Q.BLOCK))
+        return model["weights"][0] + model["weights"][1] * (gap + Q.OFFSET) / (len(raw) + Q.PRIOR) >= 0
+
+    kept = [x for x in rows if good(x[1])]
+    assert {x[0] for x in kept} >= {i for i in range(120) if i % 4} and not {x[0] for x in kept} & {i for i in range(0, 120, 4) if i % 4 == 0 and i not in (52,)}
+    component = {i: c for i, _, c in components_by_force([x[:2] for x in kept])}
+    kept = [x for x in kept if component[x[0]] == x[0]]
+    assert not {50, 51, 52, 54} & {x[0] for x in kept} and {49, 53} <= {x[0] for x in kept}
+
+    def masked(t):
+        for kind, a, b in sorted(spans(t, P.path("word_bpe_49k.json")), key=lambda x: -x[1]):
+            t = t[:a] + "\0" * (b - a) + t[b:]
+        return t
+
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}, special_tokens={})
+    by_id = {x[0]: x for x in kept}
+    seen = {}
+    for row in got:
+        x = by_id[row["doc_id"]]
+        text = library.decode(row["ids"])
+        clear = [piece for piece in re.split(r"\0+", masked(x[1] or "")) if piece]
+        assert re.fullmatch(r"\[[a-z]+\]".join(map(re.escape, clear)) + r"(\[[a-z]+\])?", text) or text == (x[1] or "")
+        assert row["ids"] == library.encode_ordinary(text) and row["n_tokens"] == len(row["ids"])
+        assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert "Xk39" not in text and "AKIA" not in text
+        seen[x[0]] = (seen.get(x[0], (0,))[0] + 1, text)
+    # the mix: at most three times each, words near the targets of what came in
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    words = {i: count(seen[i][1] if i in seen else x[1]) for i, x in by_id.items()}
+    sizes = {}
+    for i, x in by_id.items():
+        sizes[x[3]] = sizes.get(x[3], 0) + words[i]
+    targets = source_targets(list(sizes.items()))
+    assert max(n for n, _ in seen.values()) <= 3
+    for s, goal in targets.items():
+        took = sum(n * words[i] for i, (n, _) in seen.items() if by_id[i][3] == s)
+        assert abs(took - goal) <= min(words[i] for i, x in by_id.items() if x[3] == s and words[i])
+
+
+def test_stages_on_odd_and_no_rows(spark, odd_docs, no_docs):
+    """Every stage on nulls, empty and very long texts, repeated rows and clashing names; all but the last keep the columns."""
+    import corpus_pipeline as p
+
+    for docs in (odd_docs, no_docs):
+        n = docs.count()
+        for name, stage in p.STAGES:
+            out = stage(spark, docs, "/root/testdata/sf0.001")
+            rows = out.collect()
+            if name != p.STAGES[-1][0]:
+                assert out.columns == docs.columns, name
+            if name == "secret scans" or name == p.STAGES[-1][0]:
+                assert len(rows) == n, name
+            assert len(rows) <= 3 * n and (n or not rows), name
