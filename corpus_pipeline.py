@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs.  All but the last
 return the columns of documents.
+
+Defined results, of every stage: null texts count as empty; repeated rows stay
+rows of their own but where a stage chooses among them (near-duplicates, mix);
+an empty table gives an empty table; further columns are carried along unchanged,
+whatever their names; very long texts are handled whole.  Ties are settled by ids
+and contents, so reruns agree.
 """
 
 from __future__ import annotations
@@ -20,24 +26,25 @@ from sqlloom.llm.secret_scans import mask_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier rates good; labels of the held-out fold are never learned from."""
+    """Documents that the compression classifier rates good (a score of exactly 0.5 is good, as are all without a model);
+    labels of the held-out fold are never learned from."""
     labels = table(spark, sf_dir, "labels").filter(crc_fold("doc_id", 3) != 1)
     return keep_good(docs, fit_quality(docs, labels))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id."""
+    """One document of each group of near-duplicates: that of the smallest id; rows without an id stay."""
     return keep_one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts masked."""
+    """All documents, with the secrets in their texts masked; n_chars follows the text, null texts stay null."""
     masked = mask_secrets(docs, public_tokenizers.path("word_bpe_49k.json"))
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight asks for."""
+    """Each document as often (0 to 3 times) as its source's target weight asks for; a null source is a source."""
     return apply_mix(docs)
 
 
@@ -54,7 +61,7 @@ STAGES = [
     ("byte-level bpe", encoding),
 ]
 
-#: No stage but the mix could be put in SQL; tests compare the stages with brute force.
+#: No stage but the mix could be put in SQL; tests/llm/test_groups.py compares run() with all five stages in plain Python.
 ORACLE_SQL = None
 
 
