@@ -3,15 +3,21 @@ r"""Diagnosing SQL texts: a compile check, static rules and access policies over
 queries: id, db_id, sql, and optionally policy struct<restricted_tables, restricted_columns>.
 catalog: see sources.catalog.
 
-The compile check asks SQLite, in each task, to EXPLAIN the query on empty typed
-tables (it never runs it); that is the reference dialect.  Everything else is
-column expressions over the text: rules look at a *skeleton* in which literals
-are blank and nested parentheses are folded, so no query is parsed here.  Rules
-that need a scope (grouping, joins) look at queries with a single SELECT.
+One Arrow pass gives two things for each query.  The compile check asks SQLite to EXPLAIN the
+query on empty typed tables (it never runs it); that is the reference dialect.  functions.scopes
+lists what each SELECT of the query says: sources, items, columns with the tables they resolve
+to, grouping, comparisons, join predicates.  All rules are column expressions over these lists, SELECT by SELECT, nested
+ones and those of set operations included.  Where a database is not in the catalog, the
+tables that a query uses are made up from the query itself, so that grammar and rules
+that need no types are still checked.
+
+Schemas reach the tasks once (up to SHIPPED bytes of them; beyond that each query carries its own, sorted by database).
 """
 
 from __future__ import annotations
 
+import json
+import re
 import sqlite3
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,8 +25,10 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
+from ..functions.scopes import SCOPE, Query
 from ..functions.text import NUMERIC, normalize_query, quote_ident
 from ..labels import PRIORITY
 
@@ -39,26 +47,31 @@ ENGINE = (
     (r"sub-select returns|row value misused", "SEMANTIC_ERROR", "SEM_SUBQUERY_ARITY"),
     (r"HAVING clause", "SEMANTIC_ERROR", "SEM_HAVING"),
 )
+UNKNOWN_NAME = re.compile("no such (table|column)|ambiguous column", re.I)
 FORBIDDEN = r"(?i)^\s*(attach|detach|pragma|vacuum|reindex|analyze)\b"
 #: The type a column is declared with in the empty tables.
 AFFINITY = {"number": " NUMERIC", "text": " TEXT", "time": " TEXT", "boolean": " BOOLEAN"}
-NOT_ALIAS = "on|using|where|join|inner|left|right|full|cross|natural|group|order|limit|having|union|intersect|except|as|set|values"
-REFS = rf"(?i)(?:\bfrom|\bjoin|,)\s+([a-z_]\w*)(?:\s+(?:as\s+)?(?!(?:{NOT_ALIAS})\b)([a-z_]\w*))?"
-LITERAL = r"('(?:[^']|'')*'|[-+]?\d+(?:\.\d+)?\b)"
+#: Bytes of schemas that are sent to every task.
+SHIPPED = 8 << 20
 
 
 def scripts(catalog: DataFrame) -> DataFrame:
-    """db_id, ddl (empty typed tables), cols array<struct<t, c, type>>, keys array<struct<t, c>> of single primary keys."""
+    """db_id, schema: as JSON, the script that makes empty typed tables, and each table's column types and primary keys in lower case."""
     kind = lambda c: F.coalesce(*(F.when(c["type"] == k, v) for k, v in AFFINITY.items()), F.lit(""))
     ddl = F.concat(F.lit("CREATE TABLE "), quote_ident(F.col("table_name")), F.lit(" ("), F.array_join(F.transform("columns", lambda c: F.concat(quote_ident(c["name"]), kind(c))), ", "), F.lit(")"))
-    cols = F.transform("columns", lambda c: F.struct(F.lower("table_name").alias("t"), F.lower(c["name"]).alias("c"), c["type"].alias("type")))
-    keys = F.when(F.size("primary_keys") == 1, F.array(F.struct(F.lower("table_name").alias("t"), F.lower(F.col("primary_keys")[0]).alias("c"))))
-    return catalog.groupBy("db_id").agg(
-        F.array_join(F.sort_array(F.collect_list(ddl)), ";\n").alias("ddl"), F.flatten(F.collect_list(cols)).alias("cols"), F.flatten(F.collect_list(keys)).alias("keys")
-    )
+    one = F.struct(
+        ddl.alias("ddl"), F.lower("table_name").alias("t"), F.transform("columns", lambda c: F.struct(F.lower(c["name"]).alias("c"), c["type"].alias("k"))).alias("cols"),
+        F.transform(F.coalesce("primary_keys", F.array().cast("array<string>")), F.lower).alias("keys"),
+    )
+    return catalog.groupBy("db_id").agg(F.to_json(F.sort_array(F.collect_list(one))).alias("schema"))
+
+
+@lru_cache(maxsize=512)
+def _schema(text: str | None) -> tuple[sqlite3.Connection, dict, dict]:
+    tables = json.loads(text or "[]")
+    return _empty(";\n".join(t["ddl"] for t in tables)), {t["t"]: {c["c"]: c.get("k") for c in t["cols"]} for t in tables}, {t["t"]: t["keys"] for t in tables}
 
 
-@lru_cache(maxsize=64)
 def _empty(ddl: str) -> sqlite3.Connection:
     db = sqlite3.connect(":memory:", isolation_level=None)
     db.executescript(ddl)
@@ -67,25 +80,59 @@ def _empty(ddl: str) -> sqlite3.Connection:
     return db
 
 
-def _compile(ddl: str, sql: str) -> str | None:
+def _compile(db: sqlite3.Connection, sql: str) -> str | None:
     try:
-        _empty(ddl).execute("EXPLAIN " + sql)
+        db.execute("EXPLAIN " + sql)
     except (sqlite3.Error, sqlite3.Warning, ValueError) as e:
         return str(e)
     return None
 
 
-def compiled(queries: DataFrame) -> DataFrame:
-    """queries (with ddl) and engine_error: the engine's first message, or null."""
+def _checked(schema: str | None, sql: str, restricted: bool) -> tuple[str | None, list, list]:
+    """The engine's first message, the tables that the query names, and its SELECTs; the latter two only where rules look at them."""
+    if schema is None:
+        first = Query(sql, {}, {})
+        tables, keys = first.synthetic(), {}
+        db = _empty(";\n".join(f"CREATE TABLE {_quoted(t)} ({', '.join(map(_quoted, cols)) or 'rowid_'})" for t, cols in tables.items()))
+    else:
+        db, tables, keys = _schema(schema)
+    error = _compile(db, sql)
+    if schema is None:
+        db.close()
+    if error and not restricted and not (schema is None and UNKNOWN_NAME.search(error)):
+        return error, [], []
+    q = Query(sql, tables, keys)
+    return error, q.named, q.scopes
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def compiled(queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """queries (db_id, _q, policy) and schema_checked, engine_error (the engine's first message, or null), tables, scopes."""
+    spark = queries.sparkSession
+    schemas = scripts(catalog)
+    size = schemas.agg(F.sum(F.length("schema") + 64)).first()[0] or 0
+    shipped = {r["db_id"]: r["schema"] for r in schemas.collect()} if size <= SHIPPED else None
+    if shipped is None:
+        queries = queries.join(schemas, "db_id", "left").sortWithinPartitions("db_id")
     names = queries.columns
-    ddl, sql = names.index("ddl"), names.index("_q")
+    scope = ArrayType(spark.createDataFrame([], f"s {SCOPE}").schema["s"].dataType)
+    more = [("schema_checked", "boolean"), ("engine_error", "string"), ("tables", "array<string>")]
+    types: list[DataType] = [spark.createDataFrame([], f"x {t}").schema["x"].dataType for _, t in more]
+    out = StructType([*queries.schema.fields, *(StructField(n, t) for (n, _), t in zip(more, types, strict=True)), StructField("scopes", scope)])
+    arrow = [to_arrow_type(t) for t in (*types, scope)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            errors = [_compile(d or "", s) for d, s in zip(b.column(ddl).to_pylist(), b.column(sql).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(errors, pa.string())], [*names, "engine_error"])
+            sqls, policies = b.column(names.index("_q")).to_pylist(), b.column(names.index("policy")).is_valid().to_pylist()
+            own = [shipped.get(d) for d in b.column(names.index("db_id")).to_pylist()] if shipped is not None else b.column(names.index("schema")).to_pylist()
+            rows = [_checked(d, s, p) for d, s, p in zip(own, sqls, policies, strict=True)]
+            cols = [[d is not None for d in own], *zip(*rows, strict=True)] if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(cols, arrow, strict=True))], [*names, *(n for n, _ in more), "scopes"])
 
-    return queries.mapInArrow(run, StructType([*queries.schema.fields, StructField("engine_error", StringType())]))
+    return queries.mapInArrow(run, out)
 
 
 def issue(when: Column, error_class: str, code: str, message: str | Column, token: Column | None = None, source: str = "static") -> Column:
@@ -112,123 +159,110 @@ def engine_issue() -> Column:
         hit = e.rlike(f"(?i){pattern}")
         cls = F.when(hit, c).otherwise("SEMANTIC_ERROR" if cls is None else cls)
         code = F.when(hit, k).otherwise("SEM_ENGINE" if code is None else code)
-        own = text.get(k, F.concat(F.upper(F.substring(e, 1, 1)), F.substring(e, 2, 1000), F.lit(".")))
+        own = text.get(k, F.concat(F.upper(F.substring(e, 1, 1)), F.expr("substring(engine_error, 2)"), F.lit(".")))
         message = F.when(hit, own).otherwise(F.concat(e, F.lit(".")) if message is None else message)
     return F.when(e.isNotNull(), F.struct(cls.alias("error_class"), code.alias("code"), message.alias("message"), F.when(token != "", token).alias("token"), F.lit("engine").alias("source")))
 
 
-def _views(q: DataFrame) -> DataFrame:
-    """Columns that the rules look at: skeleton (lower case, literals blank, parentheses folded), references, literals with their columns."""
-    bare = F.lower(F.regexp_replace(F.col("_q"), r"'[^']*(?:''[^']*)*'", "''"))
-    q = q.withColumn("_bare", F.regexp_replace(bare, r"\s+", " "))
-    fold = F.col("_bare")
-    for _ in range(4):
-        fold = F.regexp_replace(fold, r"\(([^()]*)\)", "\u0001\u0002")
-    q = q.withColumn("_flat", F.translate(fold, "\u0001\u0002", "()"))
-    q = q.withColumns({
-        "_from": F.regexp_replace(F.col("_bare"), r"^.*?\bfrom\b", " from"),
-        "_listed": F.concat(F.lit(" from "), F.regexp_extract(F.col("_flat"), r"\bfrom (.*?)(?: where | group by | having | order by | limit | union | intersect | except |$)", 1)),
-    })
-    both = lambda text, p, a, b: F.arrays_zip(*(F.regexp_extract_all(text, F.lit(p), F.lit(i)).alias(n) for i, n in ((1, a), (2, b))))
-    triple = rf"(?i)([a-z_][\w.]*)\s*(?:=|<>|!=|<=|>=|<|>)\s*{LITERAL}"
-    ranged = rf"(?i)([a-z_][\w.]*)\s+(?:not\s+)?(?:between|in\s*\()\s*{LITERAL}"
-    return q.withColumns({
-        "_refs": F.transform(both("_listed", REFS, "t", "a"), lambda x: F.struct(x["t"].alias("t"), F.when(x["a"] != "", x["a"]).otherwise(x["t"]).alias("a"))),
-        "_all": F.array_union(F.regexp_extract_all("_from", F.lit(REFS), F.lit(1)), F.regexp_extract_all("_listed", F.lit(REFS), F.lit(1))),
-        "_lits": F.transform(F.array_distinct(F.concat(both("_q", triple, "c", "v"), both("_q", ranged, "c", "v"))), lambda x: F.struct(F.lower(x["c"]).alias("c"), x["v"].alias("v"))),
-        "_edges": F.transform(both("_bare", r"\b(\w+)\.\w+ ?(?:=|<>|!=|<=|>=|<|>|like|between) ?(\w+)\.\w+", "a", "b"), lambda x: F.array(x["a"], x["b"])),
-        "_ctes": F.regexp_extract_all("_bare", F.lit(r"(?:\bwith|,) ([a-z_]\w*) as \("), F.lit(1)),
-        "_summed": F.regexp_extract_all("_bare", F.lit(r"\b(?:sum|avg) ?\( ?(?:distinct )?([a-z_][\w.]*) ?\)"), F.lit(1)),
-        "_selects": F.size(F.regexp_extract_all("_bare", F.lit(r"(\bselect\b)"), F.lit(1))),
-        "_items": F.transform(F.split(F.regexp_extract("_flat", r"\bselect (?:distinct )?(.*?)(?: from |$)", 1), ","), lambda x: F.regexp_replace(F.trim(x), r" (?:as )?[a-z_]\w*$", "")),
-        "_groups": F.transform(F.filter(F.split(F.regexp_extract("_flat", r"\bgroup by (.*?)(?: having | order by | limit |$)", 1), ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x)),
-    }).drop("_from", "_listed")
-
-
-def _last(x: Column) -> Column:
-    return F.element_at(F.split(x, r"\."), -1)
-
-
-def _type_of(name: Column) -> Column:
-    """The coarse type of a column among the referenced tables, where it is the same in all of them."""
-    owner = F.get(F.transform(F.filter("_refs", lambda r: r["a"] == F.element_at(F.split(name, r"\."), 1)), lambda r: r["t"]), F.lit(0))
-    tables = F.when(name.contains(".") & owner.isNotNull(), F.array(owner)).otherwise(F.col("_all"))
-    kinds = F.array_distinct(F.transform(F.filter("cols", lambda x: (x["c"] == _last(name)) & F.array_contains(tables, x["t"])), lambda x: x["type"]))
-    return F.when(F.size(kinds) == 1, kinds[0])
-
-
-def _findings(q: DataFrame) -> DataFrame:
-    """What the rules found, as columns of their own, so that each is worked out once."""
-    strings = F.array().cast("array<string>")
-    q = q.withColumns({
-        "_alias": F.transform("_refs", lambda r: r["a"]),
-        "_tables": F.array_except("_all", "_ctes"),
-        "_plain": F.filter("_items", lambda x: x.rlike(r"^[a-z_][\w.]*$") | x.rlike(r"^(\w+\.)?\*$")),
-        "_covered": F.transform("_groups", _last),
-        "_typed": F.transform("_lits", lambda x: F.struct(_type_of(x["c"]).alias("type"), x["c"].alias("c"), x["v"].alias("v"))),
-        "_sums": F.filter("_summed", lambda c: _type_of(c) == "text"),
-        "_words": F.split("_bare", r"\W+"),
-    })
-    return q.withColumns({
-        "_banned": F.array_intersect("_tables", F.transform(F.coalesce("policy.restricted_tables", strings), F.lower)),
-        "_closed": F.filter(F.transform(F.coalesce("policy.restricted_columns", strings), F.lower), lambda c: F.array_contains(F.col("_tables"), F.split(c, r"\.")[0])),
-        "_loose": F.array_except("_alias", F.aggregate("_refs", F.slice("_alias", 1, 1), lambda acc, _: F.array_union(acc, F.flatten(F.filter(F.col("_edges"), lambda e: F.arrays_overlap(e, acc)))))),
-        "_open": F.filter("_plain", lambda x: ~F.array_contains(F.col("_covered"), _last(x))),
-        "_mixed": F.filter("_typed", lambda x: ((x["type"] == "number") & x["v"].startswith("'") & ~F.substring(x["v"], F.lit(2), F.length(x["v"]) - 2).rlike(NUMERIC)) | ((x["type"] == "text") & ~x["v"].startswith("'"))),
-    })
+def _each(scopes: Column, find) -> Column:
+    """Issues that ``find`` (scope to an array of issues) gives for every SELECT."""
+    return F.flatten(F.transform(scopes, find))
+
+
+def _named(columns: Column, error_class: str, code: str, message, source: str = "static") -> Column:
+    """One issue for each column-like struct; its text is the token."""
+    return F.transform(columns, lambda c: F.struct(F.lit(error_class).alias("error_class"), F.lit(code).alias("code"), message(c).alias("message"), c["text"].alias("token"), F.lit(source).alias("source")))
 
 
 def policy_issues() -> Column:
-    """Restricted tables, columns, and stars that would show restricted columns."""
-    first = lambda c: F.col(c)[0]
-    named = F.filter("_closed", lambda c: F.array_contains(F.col("_words"), F.split(c, r"\.")[1]))
-    star = F.exists("_items", lambda x: x.rlike(r"^(\w+\.)?\*$"))
-    return F.array(
-        issue(F.size("_banned") > 0, "PERMISSION_DENIED", "POL_TABLE", F.concat(F.lit("Access to table '"), first("_banned"), F.lit("' is restricted.")), first("_banned"), "policy"),
-        issue(F.size(named) > 0, "PERMISSION_DENIED", "POL_COLUMN", F.concat(F.lit("Access to column '"), named[0], F.lit("' is restricted.")), named[0], "policy"),
-        issue(star & (F.size("_closed") > 0), "PERMISSION_DENIED", "POL_STAR", F.concat(F.lit("'*' includes the restricted column '"), first("_closed"), F.lit("'.")), first("_closed"), "policy"),
+    """Restricted tables, columns that resolve to restricted ones, and stars that would show these."""
+    lower = lambda name: F.transform(F.coalesce(F.col(f"policy.{name}"), F.array().cast("array<string>")), F.lower)
+    banned = F.array_intersect(F.array_distinct("tables"), lower("restricted_tables"))
+    closed, text = lower("restricted_columns"), lambda x: F.struct(x.alias("text"))
+    key = lambda t, c: F.concat(t, F.lit("."), c)
+    shown = lambda s: F.flatten(F.transform(F.filter(s["items"], lambda i: i["star"]), lambda i: F.flatten(F.transform(
+        F.filter(s["sources"], lambda x: x["t"].isNotNull() & ((i["owner"] == "") | (i["owner"] == x["alias"]))),
+        lambda x: F.filter(F.transform(x["columns"], lambda c: key(x["t"], c)), lambda k: F.array_contains(closed, k))))))
+    used = lambda s: F.array_distinct(F.filter(F.transform(s["columns"], lambda c: key(c["t"], c["c"])), lambda k: F.coalesce(F.array_contains(closed, k), F.lit(False))))
+    denied = lambda what: lambda x: F.concat(F.lit(f"Access to {what} '"), x["text"], F.lit("' is denied by the access policy."))
+    return F.concat(
+        _named(F.transform(banned, text), "PERMISSION_DENIED", "POL_TABLE", denied("table"), "policy"),
+        _each(F.col("scopes"), lambda s: F.concat(
+            _named(F.transform(used(s), text), "PERMISSION_DENIED", "POL_COLUMN", denied("column"), "policy"),
+            _named(F.transform(shown(s), text), "PERMISSION_DENIED", "POL_STAR", lambda x: F.concat(F.lit("'*' includes the restricted column '"), x["text"], F.lit("'.")), "policy"))),
+    )
+
+
+def _closure(start: Column, sets: Column) -> Column:
+    """What is reached from ``start`` through sets that overlap it; as many rounds as there are sets."""
+    joined = lambda acc: F.array_distinct(F.concat(acc, F.flatten(F.filter(sets, lambda x: F.arrays_overlap(x, acc)))))
+    return F.aggregate(sets, start, lambda acc, _: joined(acc))
+
+
+def _source_issues(s: Column) -> Column:
+    alias = F.filter(F.transform(s["sources"], lambda x: x["alias"]), lambda a: a != "")
+    first = F.transform(F.slice(s["sources"], 1, 1), lambda x: x["alias"])
+    start = F.concat(first, F.transform(F.filter(s["sources"], lambda x: x["joined"]), lambda x: x["alias"]))
+    loose = F.array_except(F.transform(s["sources"], lambda x: x["alias"]), _closure(start, s["links"]))
+    twice = F.filter(F.array_distinct(alias), lambda a: F.size(F.filter(alias, lambda b: a == b)) > 1)
+    text = lambda x: F.struct(x.alias("text"))
+    return F.concat(
+        _named(F.transform(twice, text), "AMBIGUOUS_REFERENCE", "AMB_ALIAS", lambda x: F.concat(F.lit("'"), x["text"], F.lit("' names more than one table in FROM/JOIN."))),
+        _named(F.transform(loose, text), "SEMANTIC_ERROR", "SEM_NO_JOIN", lambda x: F.concat(F.lit("Table '"), x["text"], F.lit("' is joined without a condition."))),
     )
 
 
-def static_issues() -> Column:
-    bare, flat, one = F.col("_bare"), F.col("_flat"), F.col("_selects") == 1
-    agg = r"\b(count|sum|avg|min|max|total|group_concat)\(\)"
-    itself = r"(?<![\w.'])([a-z_][\w.]*) ?(?:=|<>|!=|<=|>=|<|>) ?\1(?![\w.(])"
-    unqualified = bare.rlike(r"\b(on|where) ?\(?[a-z_]\w* ?(=|<|>)") | bare.rlike(r"\b(natural|cross|using)\b")
-    unjoined = one & (F.size("_refs") > 1) & ~unqualified & (F.size("_loose") > 0)
-    keyed = F.exists("keys", lambda k: F.array_contains(F.col("_covered"), k["c"]) & F.array_contains(F.col("_all"), k["t"]))
-    position = F.exists("_groups", lambda g: g.rlike(r"^\d+$"))
-    aggregated = F.exists("_items", lambda x: x.rlike(agg))
-    ungrouped = one & (aggregated | (F.size("_groups") > 0)) & (F.size("_open") > 0) & ~F.coalesce(keyed, F.lit(False)) & ~position
-    first = lambda c: F.col(c)[0]
-    return F.array(
-        issue(F.size(F.array_distinct("_alias")) < F.size("_alias"), "AMBIGUOUS_REFERENCE", "AMB_ALIAS", "The same table name or alias is used twice in FROM/JOIN."),
-        issue(bare.rlike(r"(=|<>|!=) ?null\b|\bnull ?(=|<>|!=)"), "SEMANTIC_ERROR", "SEM_NULL_CMP", "Comparing with NULL by = or <> is never true; use IS NULL."),
-        issue(bare.rlike(itself), "SEMANTIC_ERROR", "SEM_SELF_CMP", "A column is compared with itself."),
-        issue(unjoined, "SEMANTIC_ERROR", "SEM_NO_JOIN", F.concat(F.lit("Table '"), first("_loose"), F.lit("' is joined without a condition.")), first("_loose")),
-        issue(one & flat.rlike(r"\bhaving\b") & ~flat.rlike(r"\bgroup by\b") & ~aggregated, "SEMANTIC_ERROR", "SEM_HAVING", "HAVING without GROUP BY or an aggregate; use WHERE."),
-        issue(ungrouped, "SEMANTIC_ERROR", "SEM_UNGROUPED", F.concat(F.lit("Column '"), first("_open"), F.lit("' is neither aggregated nor in GROUP BY.")), first("_open")),
-        issue(F.size("_mixed") > 0, "DATATYPE_MISMATCH", "TYP_LITERAL", F.concat(F.lit("Column '"), first("_mixed")["c"], F.lit("' is compared with a literal of another type.")), first("_mixed")["v"]),
-        issue(F.size("_sums") > 0, "DATATYPE_MISMATCH", "TYP_AGGREGATE", F.concat(F.lit("SUM/AVG of text column '"), first("_sums"), F.lit("'.")), first("_sums")),
+def _comparison_issues(s: Column, typed: Column) -> Column:
+    c, tests = s["compared"], ("=", "<>")
+    itself = F.filter(c, lambda x: (x["kind"] == "column") & (F.lower(x["text"]) == F.lower(x["value"])))
+    mixed = F.filter(c, lambda x: typed & (((x["type"] == "number") & (x["kind"] == "string") & ~x["value"].rlike(NUMERIC)) | ((x["type"] == "text") & (x["kind"] == "number"))))
+    return F.concat(
+        _named(F.filter(c, lambda x: (x["kind"] == "null") & x["op"].isin(*tests)), "SEMANTIC_ERROR", "SEM_NULL_CMP", lambda x: F.concat(F.lit("Comparing '"), x["text"], F.lit("' with NULL by "), x["op"], F.lit(" is never true; use IS NULL."))),
+        _named(itself, "SEMANTIC_ERROR", "SEM_SELF_CMP", lambda x: F.concat(F.lit("'"), x["text"], F.lit("' is compared with itself."))),
+        _named(mixed, "DATATYPE_MISMATCH", "TYP_LITERAL", lambda x: F.concat(F.lit("Column '"), x["text"], F.lit("' is compared with "), x["value"], F.lit(", a literal of another type."))),
+        _named(F.filter(s["summed"], lambda x: typed & (x["type"] == "text")), "DATATYPE_MISMATCH", "TYP_AGGREGATE", lambda x: F.concat(F.lit("SUM/AVG of text column '"), x["text"], F.lit("'."))),
     )
 
 
+def _group_issues(s: Column, typed: Column) -> Column:
+    items, groups = s["items"], s["groups"]
+    folds = F.exists(items, lambda i: i["folds"])
+    known = lambda a: F.filter(a, lambda x: x.isNotNull())
+    texts, names = F.transform(groups, lambda g: g["text"]), known(F.transform(groups, lambda g: g["name"]))
+    keys = _closure(known(F.transform(groups, lambda g: g["key"])), s["equal"])
+    aliases = F.filter(F.transform(items, lambda i: i["alias"]), lambda a: a != "")
+    determined = lambda c: F.exists(s["sources"], lambda x: F.coalesce((x["t"] == c["t"]) & (F.size(x["keys"]) > 0) & F.forall(x["keys"], lambda k: F.array_contains(keys, F.concat(x["t"], F.lit("."), k))), F.lit(False)))
+    resolved = lambda c: F.array_contains(keys, F.concat(c["t"], F.lit("."), c["c"])) | determined(c)
+    covered = lambda c: F.array_contains(texts, F.lower(c["text"])) | F.array_contains(aliases, c["name"]) | F.when(c["t"].isNotNull(), resolved(c)).otherwise(F.array_contains(names, c["name"]) | ~typed)
+    bare = F.filter(s["columns"], lambda c: c["bare"])
+    shown = F.filter(bare, lambda c: (c["clause"] == "select") & ~F.coalesce(F.array_contains(texts, F.get(items, c["item"])["text"]), F.lit(False)))
+    no = F.array().cast(f"array<{ISSUE}>")
+    useless = s["having"] & ~s["having_folds"] & ~folds & ~s["grouped"]
+    alone = _named(F.filter(bare, lambda c: c["clause"] == "select"), "SEMANTIC_ERROR", "SEM_UNGROUPED", lambda x: F.concat(F.lit("Column '"), x["text"], F.lit("' is selected beside an aggregate but is not in GROUP BY.")))
+    uncovered = F.concat(F.filter(shown, lambda c: ~covered(c)), F.filter(bare, lambda c: (c["clause"] == "having") & ~covered(c)))
+    within = _named(uncovered, "SEMANTIC_ERROR", "SEM_UNGROUPED", lambda x: F.concat(F.lit("Column '"), x["text"], F.lit("' is neither aggregated nor in GROUP BY.")))
+    return (
+        F.when(useless, F.array(issue(F.lit(True), "SEMANTIC_ERROR", "SEM_HAVING", "HAVING without GROUP BY or an aggregate; use WHERE.")))
+        .when(~s["grouped"] & (folds | s["having"]), alone)
+        .when(s["grouped"] & ~F.exists(groups, lambda g: g["literal"]), within).otherwise(no)
+    )
+
+
+def static_issues() -> Column:
+    typed = F.col("schema_checked")
+    return _each(F.col("scopes"), lambda s: F.concat(_source_issues(s), _comparison_issues(s, typed), _group_issues(s, typed)))
+
+
 def diagnose(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """queries with error_class, issues (most urgent first), engine_error, schema_checked.
 
-    A db_id that the catalog lacks is checked for grammar and rules only: messages about
-    unknown names do not count there.
+    A db_id that the catalog lacks is checked for grammar and rules without types: messages about
+    unknown names do not count there.  A null or empty text is a syntax error.
     """
     q = queries if "policy" in queries.columns else queries.withColumn("policy", F.lit(None).cast("struct<restricted_tables array<string>, restricted_columns array<string>>"))
     kept = q.columns
-    q = q.withColumn("_q", normalize_query(F.col("sql"))).join(scripts(catalog), "db_id", "left")
-    q = q.withColumn("schema_checked", F.col("ddl").isNotNull())
-    none = lambda c, t: F.coalesce(c, F.array().cast(t))
-    q = q.withColumns({"cols": none("cols", "array<struct<t string, c string, type string>>"), "keys": none("keys", "array<struct<t string, c string>>")})
-    # the engine's step in the middle also keeps the expressions on both sides apart
-    q = compiled(_views(q))
-    names = F.col("engine_error").rlike("(?i)no such (table|column)|ambiguous column")
-    q = _findings(q.withColumn("engine_error", F.when(F.col("schema_checked") | ~names, F.col("engine_error"))))
+    q = compiled(q.withColumn("_q", normalize_query(F.col("sql"))), catalog)
+    q = q.withColumn("engine_error", F.when(F.col("schema_checked") | ~F.col("engine_error").rlike(f"(?i){UNKNOWN_NAME.pattern}"), F.col("engine_error")))
     empty, banned = F.col("_q") == "", F.col("_q").rlike(FORBIDDEN)
     guard = F.array(
         issue(empty, "SYNTAX_ERROR", "SYN_EMPTY", "The query is empty.", source="engine"),
@@ -237,7 +271,7 @@ def diagnose(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     engine = F.array(engine_issue())
     grammatical = ~F.coalesce(F.element_at(engine, 1)["error_class"] == "SYNTAX_ERROR", F.lit(False))
     no = F.array().cast(f"array<{ISSUE}>")
-    found = F.when(empty | banned, guard).otherwise(F.concat(engine, F.when(grammatical, policy_issues()).otherwise(no), F.when(F.col("engine_error").isNull(), static_issues()).otherwise(no)))
+    found = F.when(empty | banned, guard).otherwise(F.concat(engine, F.when(grammatical & F.col("schema_checked") & F.col("policy").isNotNull(), policy_issues()).otherwise(no), F.when(F.col("engine_error").isNull(), static_issues()).otherwise(no)))
     place = F.create_map(*(F.lit(x) for p in PRIORITY.items() for x in p))
     ranked = F.array_sort(F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x, i: F.struct(place[x["error_class"]].alias("p"), i.alias("i"), x.alias("x"))))
     q = q.withColumn("issues", F.array_distinct(F.transform(ranked, lambda r: r["x"])))

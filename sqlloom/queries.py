@@ -280,7 +280,7 @@ def values(rows: list[str]) -> str:
 
 ANSWERS = ["```sql\nSELECT a\nFROM t;\n```", "SQL: SELECT 1; then more", "Here:\n```\nselect  x from y\n```\nbye", "  SELECT b FROM c  ", "sqlite:select 1", ""]
 QUERIES_TEXT = ["SELECT 1 ; ; ", "  select a\n from t;", "x", ";;", "a;b;", ""]
-WORDS = ["cities", "buses", "boxes", "singers", "class", "city", "day", "singer", "s", "ties", "Y"]
+WORDS = ["cities", "buses", "boxes", "ships", "class", "city", "day", "ship", "s", "ties", "Y"]
 TYPES = ["INTEGER", "VARCHAR(20)", "ENUM('a')", "INTERVAL", "timestamp", "datetime", "bool", "year", "", "blob", "Text", "DECIMAL(10,2)", "uuid", "point", " number "]
 
 
@@ -328,13 +328,13 @@ def fk_join_candidates(spark, sf_dir):
     return fk_conditions(spark.createDataFrame(FKS, "table_name string, column string, target_table string, target_column string"))
 
 
-INFO = [(t, c, k, i) for t, cols in (("singer", (("singer_id", "INTEGER"), ("name", "TEXT"), ("age", "INTEGER"))), ("stadium", (("stadium_id", "INTEGER"), ("capacity", "INTEGER")))) for i, (c, k) in enumerate(cols, 1)]
+INFO = [(t, c, k, i) for t, cols in (("ship", (("ship_id", "INTEGER"), ("flag", "TEXT"), ("tons", "INTEGER"))), ("port", (("port_id", "INTEGER"), ("depth", "INTEGER")))) for i, (c, k) in enumerate(cols, 1)]
 
 
 @query("SELECT tbl AS table_name, string_agg(col || ':' || lower(kind), ',' ORDER BY ord) AS columns, min(CASE WHEN ord = 1 THEN col END) AS primary_key FROM (VALUES " + ", ".join(str(r) for r in INFO) + ") AS i(tbl, col, kind, ord) GROUP BY 1")
 def information_schema_fold(spark, sf_dir):
-    columns = spark.createDataFrame([("music", t, c, k, i) for t, c, k, i in reversed(INFO)], "db_id string, table_name string, column_name string, data_type string, ordinal int")
-    keys = spark.createDataFrame([("music", t, c, i) for t, c, _, i in INFO if i == 1], "db_id string, table_name string, column_name string, ordinal int")
+    columns = spark.createDataFrame([("sea", t, c, k, i) for t, c, k, i in reversed(INFO)], "db_id string, table_name string, column_name string, data_type string, ordinal int")
+    keys = spark.createDataFrame([("sea", t, c, i) for t, c, _, i in INFO if i == 1], "db_id string, table_name string, column_name string, ordinal int")
     links = spark.createDataFrame([], "db_id string, table_name string, column_name string, target_table string, target_column string, ordinal int")
     c = fold_information_schema(columns, keys, links)
     return c.select("table_name", F.array_join(F.transform("columns", lambda x: F.concat(x["name"], F.lit(":"), F.lower(x["raw_type"]))), ",").alias("columns"), F.get("primary_keys", F.lit(0)).alias("primary_key"))
@@ -419,34 +419,68 @@ def text_values(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
 
 
-@query(f"SELECT id, error_class FROM {text_values([(i, c) for i, (_, c) in enumerate(samples.VERDICTS)])} AS v(id, error_class)")
+def star(spark: SparkSession) -> DataFrame:
+    from .sources.catalog import from_wire
+
+    return from_wire(spark, "star", samples.WIRE)
+
+
+def made(spark: SparkSession, rows: DataFrame, key: str, number: str, text: str, templates: list[tuple]) -> DataFrame:
+    """id, db_id, sql and what else a template says: each row's text from the template that its key modulo their number names."""
+    columns = ["sql", *(f"v{i}" for i in range(1, len(templates[0])))]
+    t = spark.createDataFrame([(i, *x) for i, x in enumerate(templates)], ["_k", *columns])
+    filled = lambda c: F.replace(F.replace(F.col(c), F.lit("{n}"), F.col(number).cast("string")), F.lit("{s}"), F.col(text))
+    texts = [c for c in columns if isinstance(templates[0][columns.index(c)], str)]
+    return rows.join(F.broadcast(t), F.col(key) % len(templates) == F.col("_k")).select(F.col(key).alias("id"), F.lit("star").alias("db_id"), *(filled(c).alias(c) if c in texts else c for c in columns))
+
+
+def sql_templates(templates: list[tuple]) -> str:
+    cell = lambda x: str(x).upper() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join(f"({i}, {', '.join(map(cell, x))})" for i, x in enumerate(templates)) + ") AS t(k, sql, v1)"
+
+
+@query(f"SELECT o_orderkey AS id, v1 AS error_class FROM orders JOIN {sql_templates(samples.LABELLED)} ON o_orderkey % {len(samples.LABELLED)} = k")
 def diagnose_corpus(spark, sf_dir):
+    """One text for each order; its label is that of the template it is made from."""
+    from .operators.diagnose import diagnose
+
+    q = made(spark, table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", "o_orderpriority", samples.LABELLED)
+    return diagnose(q.select("id", "db_id", "sql"), star(spark)).select("id", "error_class")
+
+
+@query(f"SELECT c_custkey AS id, v1 AS denied FROM customer JOIN {sql_templates(samples.GUARDED)} ON c_custkey % {len(samples.GUARDED)} = k")
+def diagnose_policies(spark, sf_dir):
+    """One text for each customer, under a policy that closes a table and a column."""
     from .operators.diagnose import diagnose
-    from .sources.catalog import from_wire
 
-    q = spark.createDataFrame([(i, "music", s) for i, (s, _) in enumerate(samples.VERDICTS)], "id int, db_id string, sql string")
-    return diagnose(q, from_wire(spark, "music", samples.MUSIC)).select("id", "error_class")
+    q = made(spark, table(spark, sf_dir, "customer"), "c_custkey", "c_custkey", "c_mktsegment", samples.GUARDED)
+    closed = F.struct(*(F.array(*map(F.lit, x)).alias(n) for n, x in zip(("restricted_tables", "restricted_columns"), samples.CLOSED, strict=True)))
+    return diagnose(q.select("id", "db_id", "sql", closed.alias("policy")), star(spark)).select("id", (F.col("error_class") == "PERMISSION_DENIED").alias("denied"))
 
 
-def _seeds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("music", s) for s in samples.SEEDS], "db_id string, sql string")
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A correct text for each customer."""
+    rows = table(spark, sf_dir, "customer")
+    return made(spark, rows, "c_custkey", "c_custkey", "c_mktsegment", [(x,) for x in samples.SEEDS]).select("db_id", "sql")
 
 
 @query()
 def mutate_corpus(spark, sf_dir):
     from .operators.mutate import build_corpus
-    from .sources.catalog import from_wire
 
-    return build_corpus(_seeds(spark), from_wire(spark, "music", samples.MUSIC), per_label=20)
+    return build_corpus(_seeds(spark, sf_dir), star(spark), per_label=200, cap=5)
 
 
-@query()
+@query(
+    f"SELECT s_suppkey AS id, replace(replace(sql, '{{n}}', CAST(s_suppkey AS VARCHAR)), '{{s}}', s_name) AS original_query, lower(replace(replace(v1, '{{n}}', CAST(s_suppkey AS VARCHAR)), '{{s}}', s_name)) AS repaired, true AS success "
+    f"FROM supplier JOIN {sql_templates(samples.BROKEN)} ON s_suppkey % {len(samples.BROKEN)} = k"
+)
 def repair_corpus(spark, sf_dir):
+    """A broken text for each supplier, and what it is repaired to."""
     from .operators.repair import repair
-    from .sources.catalog import from_wire
 
-    q = spark.createDataFrame([(i, "music", s) for i, (s, _) in enumerate(samples.VERDICTS)], "id int, db_id string, sql string")
-    return repair(q, from_wire(spark, "music", samples.MUSIC)).select("id", "original_query", "repaired_query", "success", "remaining_error")
+    q = made(spark, table(spark, sf_dir, "supplier"), "s_suppkey", "s_suppkey", "s_name", samples.BROKEN)
+    return repair(q.select("id", "db_id", "sql"), star(spark)).select("id", "original_query", F.lower("repaired_query").alias("repaired"), "success")
 
 
 @query("SELECT date_trunc('day', ts) AS window_start, event_type AS label, count(*) AS n, round(avg(value), 6) AS mean_ms FROM events GROUP BY 1, 2")
@@ -465,10 +499,10 @@ def stream_class_counts(spark, sf_dir):
     return spark.table(name)
 
 
-@query("SELECT tbl AS table_name, CASE WHEN tbl = 'singer' THEN tbl || '(' || string_agg(col || ' number', ', ' ORDER BY ord) FILTER (kind = 'INTEGER') || ')' ELSE tbl END AS text FROM (VALUES " + ", ".join(str(r) for r in INFO if r[2] == "INTEGER") + ") AS i(tbl, col, kind, ord) GROUP BY 1")
+@query("SELECT tbl AS table_name, CASE WHEN tbl = 'ship' THEN tbl || '(' || string_agg(col || ' number', ', ' ORDER BY ord) FILTER (kind = 'INTEGER') || ')' ELSE tbl END AS text FROM (VALUES " + ", ".join(str(r) for r in INFO if r[2] == "INTEGER") + ") AS i(tbl, col, kind, ord) GROUP BY 1")
 def serialised_schema(spark, sf_dir):
-    rows = [("music", t, c, k, i) for t, c, k, i in INFO if k == "INTEGER"]
+    rows = [("sea", t, c, k, i) for t, c, k, i in INFO if k == "INTEGER"]
     columns = spark.createDataFrame(rows, "db_id string, table_name string, column_name string, data_type string, ordinal int")
     none = spark.createDataFrame([], "db_id string, table_name string, column_name string, target_table string, target_column string, ordinal int")
     c = fold_information_schema(columns, none.select("db_id", "table_name", "column_name", "ordinal"), none)
-    return c.select("table_name", T.serialised_schema(F.col("table_name"), F.col("columns"), F.col("table_name") == "singer").alias("text"))
+    return c.select("table_name", T.serialised_schema(F.col("table_name"), F.col("columns"), F.col("table_name") == "ship").alias("text"))
