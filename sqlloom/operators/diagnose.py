@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
+from ..functions.built import built_once
 from ..functions.scopes import SCOPE, Query
 from ..functions.text import NUMERIC, normalize_query, quote_ident
 from ..labels import PRIORITY
@@ -140,6 +141,7 @@ def issue(when: Column, error_class: str, code: str, message: str | Column, toke
     return F.when(when, F.struct(F.lit(error_class).alias("error_class"), F.lit(code).alias("code"), message.alias("message"), (F.lit(None).cast("string") if token is None else token).alias("token"), F.lit(source).alias("source")))
 
 
+@built_once
 def engine_issue() -> Column:
     e = F.col("engine_error")
     token = F.trim(F.regexp_extract(e, r": (.+)$", 1))
@@ -174,6 +176,7 @@ def _named(columns: Column, error_class: str, code: str, message, source: str =
     return F.transform(columns, lambda c: F.struct(F.lit(error_class).alias("error_class"), F.lit(code).alias("code"), message(c).alias("message"), c["text"].alias("token"), F.lit(source).alias("source")))
 
 
+@built_once
 def policy_issues() -> Column:
     """Restricted tables, columns that resolve to restricted ones, and stars that would show these."""
     lower = lambda name: F.transform(F.coalesce(F.col(f"policy.{name}"), F.array().cast("array<string>")), F.lower)
@@ -193,22 +196,13 @@ def policy_issues() -> Column:
     )
 
 
-def _closure(start: Column, sets: Column) -> Column:
-    """What is reached from ``start`` through sets that overlap it; as many rounds as there are sets."""
-    joined = lambda acc: F.array_distinct(F.concat(acc, F.flatten(F.filter(sets, lambda x: F.arrays_overlap(x, acc)))))
-    return F.aggregate(sets, start, lambda acc, _: joined(acc))
-
-
 def _source_issues(s: Column) -> Column:
     alias = F.filter(F.transform(s["sources"], lambda x: x["alias"]), lambda a: a != "")
-    first = F.transform(F.slice(s["sources"], 1, 1), lambda x: x["alias"])
-    start = F.concat(first, F.transform(F.filter(s["sources"], lambda x: x["joined"]), lambda x: x["alias"]))
-    loose = F.array_except(F.transform(s["sources"], lambda x: x["alias"]), _closure(start, s["links"]))
     twice = F.filter(F.array_distinct(alias), lambda a: F.size(F.filter(alias, lambda b: a == b)) > 1)
     text = lambda x: F.struct(x.alias("text"))
     return F.concat(
         _named(F.transform(twice, text), "AMBIGUOUS_REFERENCE", "AMB_ALIAS", lambda x: F.concat(F.lit("'"), x["text"], F.lit("' names more than one table in FROM/JOIN."))),
-        _named(F.transform(loose, text), "SEMANTIC_ERROR", "SEM_NO_JOIN", lambda x: F.concat(F.lit("Table '"), x["text"], F.lit("' is joined without a condition."))),
+        _named(F.transform(s["loose"], text), "SEMANTIC_ERROR", "SEM_NO_JOIN", lambda x: F.concat(F.lit("Table '"), x["text"], F.lit("' is joined without a condition."))),
     )
 
 
@@ -229,7 +223,7 @@ def _group_issues(s: Column, typed: Column) -> Column:
     folds = F.exists(items, lambda i: i["folds"])
     known = lambda a: F.filter(a, lambda x: x.isNotNull())
     texts, names = F.transform(groups, lambda g: g["text"]), known(F.transform(groups, lambda g: g["name"]))
-    keys = _closure(known(F.transform(groups, lambda g: g["key"])), s["equal"])
+    keys = s["fixed"]
     aliases = F.filter(F.transform(items, lambda i: i["alias"]), lambda a: a != "")
     determined = lambda c: F.exists(s["sources"], lambda x: F.coalesce((x["t"] == c["t"]) & (F.size(x["keys"]) > 0) & F.forall(x["keys"], lambda k: F.array_contains(keys, F.concat(x["t"], F.lit("."), k))), F.lit(False)))
     resolved = lambda c: F.array_contains(keys, F.concat(c["t"], F.lit("."), c["c"])) | determined(c)
@@ -248,21 +242,15 @@ def _group_issues(s: Column, typed: Column) -> Column:
     )
 
 
+@built_once
 def static_issues() -> Column:
     typed = F.col("schema_checked")
     return _each(F.col("scopes"), lambda s: F.concat(_source_issues(s), _comparison_issues(s, typed), _group_issues(s, typed)))
 
 
-def diagnose(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """queries with error_class, issues (most urgent first), engine_error, schema_checked.
-
-    A db_id that the catalog lacks is checked for grammar and rules without types: messages about
-    unknown names do not count there.  A null or empty text is a syntax error.
-    """
-    q = queries if "policy" in queries.columns else queries.withColumn("policy", F.lit(None).cast("struct<restricted_tables array<string>, restricted_columns array<string>>"))
-    kept = q.columns
-    q = compiled(q.withColumn("_q", normalize_query(F.col("sql"))), catalog)
-    q = q.withColumn("engine_error", F.when(F.col("schema_checked") | ~F.col("engine_error").rlike(f"(?i){UNKNOWN_NAME.pattern}"), F.col("engine_error")))
+@built_once
+def all_issues() -> Column:
+    """The issues of a row of ``compiled``, most urgent first."""
     empty, banned = F.col("_q") == "", F.col("_q").rlike(FORBIDDEN)
     guard = F.array(
         issue(empty, "SYNTAX_ERROR", "SYN_EMPTY", "The query is empty.", source="engine"),
@@ -274,6 +262,19 @@ def diagnose(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     found = F.when(empty | banned, guard).otherwise(F.concat(engine, F.when(grammatical & F.col("schema_checked") & F.col("policy").isNotNull(), policy_issues()).otherwise(no), F.when(F.col("engine_error").isNull(), static_issues()).otherwise(no)))
     place = F.create_map(*(F.lit(x) for p in PRIORITY.items() for x in p))
     ranked = F.array_sort(F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x, i: F.struct(place[x["error_class"]].alias("p"), i.alias("i"), x.alias("x"))))
-    q = q.withColumn("issues", F.array_distinct(F.transform(ranked, lambda r: r["x"])))
+    return F.array_distinct(F.transform(ranked, lambda r: r["x"]))
+
+
+def diagnose(queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """queries with error_class, issues (most urgent first), engine_error, schema_checked.
+
+    A db_id that the catalog lacks is checked for grammar and rules without types: messages about
+    unknown names do not count there.  A null or empty text is a syntax error.
+    """
+    q = queries if "policy" in queries.columns else queries.withColumn("policy", F.lit(None).cast("struct<restricted_tables array<string>, restricted_columns array<string>>"))
+    kept = q.columns
+    q = compiled(q.withColumn("_q", normalize_query(F.col("sql"))), catalog)
+    q = q.withColumn("engine_error", F.when(F.col("schema_checked") | ~F.col("engine_error").rlike(f"(?i){UNKNOWN_NAME.pattern}"), F.col("engine_error")))
+    q = q.withColumn("issues", all_issues())
     q = q.withColumn("error_class", F.when(F.size("issues") > 0, F.col("issues")[0]["error_class"]).otherwise("CORRECT"))
     return q.select(*kept, "error_class", "issues", "engine_error", "schema_checked")

@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.built import built_once
 from ..functions.edits import each, once, tidy
 from ..functions.text import normalize_query
 from ..labels import PRIORITY
 from ..plans.stages import written
 from .diagnose import diagnose
-from .fuzzy import closest, edit_size, keyword_matches, words_to_number
+from .fuzzy import KEYWORDS, closest, edit_size, keyword_matches, words_to_number
 
 #: Functions that are known, other names for them, and what an insertion search tries.
 FUNCTIONS = (
@@ -31,6 +32,8 @@ SYNONYMS = {
 }
 INSERTABLE = (",", "FROM", "WHERE", "BY", ")", "(", "ON", "AND", "SELECT", "=")
 DELETIONS, INSERTIONS = 200, 150
+GLUES = (" ", "(", ") ", ", ")
+LINKS = "array<struct<table_name string, column string, target_table string, target_column string, preference int>>"
 CANDIDATE = "array<struct<sql string, description string, preference int>>"
 AGG = r"(?:count|sum|avg|min|max|total)"
 END = r"(?= HAVING| ORDER BY| LIMIT|$)"
@@ -55,8 +58,9 @@ def _when(code: str | tuple[str, ...], *options: Column) -> Column:
     return F.when(F.col("code").isin(*codes), F.concat(*options)).otherwise(F.array().cast(CANDIDATE))
 
 
+@built_once
 def rewrites() -> Column:
-    """Candidates that need the text and its issue alone."""
+    """Candidates from the text, its issue and the links between tables of its database."""
     s = F.col("sql")
     fold = lambda p, r: once(s, p, r)
     from_table = r"(?is)^(.*?\bFROM (\w+)\b.*?) WHERE (.*?)([\w.]+) ?(=|<>|!=|<=|>=|<|>) ?"
@@ -67,10 +71,17 @@ def rewrites() -> Column:
     quoted = each(s, r"(?<=[=<>(] ?)\b\d+(?:\.\d+)?\b(?! ?[),] ?\()", lambda x: F.concat(F.lit("'"), x, F.lit("'")))
     number = each(s, r"(?<=[=<>] )'[^']*'", lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"[-+]?\d+(?:\.\d+)?", 0), F.lit("")), words_to_number(F.translate(x, "'", "")).cast("string"), x))
     tokens = r"\w+|'[^']*'|[^\s\w]"
+    joined_words = "|".join(k for k in KEYWORDS if len(k) > 2)
+    free = F.get(F.filter(F.array(*(F.lit(f"T{i}") for i in range(1, 10))), lambda x: ~F.contains(F.upper(s), x)), F.lit(0))
+    twice = r"(?is)(\b(?:FROM|JOIN|,) \w+ (?:AS )?)(\w+)(\b.*?(?:\bJOIN|,) \w+ (?:AS )?)\2\b(.*?= ?)\2\."
+    same = r"(?is)(\bFROM (\w+)\b.*?\bJOIN \2)\b(?! AS)(.*?= ?)\2\."
+    renamed = F.filter(F.array(F.regexp_replace(s, F.lit(twice), F.concat(F.lit("$1$2$3"), free, F.lit("$4"), free, F.lit("."))), F.regexp_replace(s, F.lit(same), F.concat(F.lit("$1 AS "), free, F.lit("$3"), free, F.lit(".")))), lambda x: x != s)
+    shown = F.transform(F.split(F.regexp_extract(s, r"(?i)\bSELECT (?:DISTINCT )?(.*?) FROM ", 1), ","), lambda x: F.regexp_replace(F.trim(x), r"(?i) AS \w+$", ""))
     return F.concat(
         _when("SYN_ENGINE",
               _as(fold(r"(?i)\b(GROUP|ORDER) (?!BY\b)", "$1 BY "), "insert BY"),
-              _as(F.concat(fold(r"(?i)\b\w+?(SELECT|FROM|WHERE|GROUP|ORDER|HAVING|JOIN|LIMIT)\b", "$1"), fold(r"(?i)\b(\w+?)(SELECT|FROM|WHERE|GROUP|ORDER|HAVING|JOIN|LIMIT)\b", "$1 $2")), "split joined words", -1),
+              _as(fold(r"(?i)\b\w+?(SELECT|FROM|WHERE|GROUP|ORDER|HAVING|JOIN|LIMIT)\b", "$1"), "split joined words", -1),
+              *(_as(F.concat(fold(rf"(?i)\b(\w+?)({joined_words})\b", f"$1{g}$2"), fold(rf"(?i)\b({joined_words})(\w+)\b", f"$1{g}$2")), "split joined words") for g in GLUES),
               _as(F.transform(each(s, tokens, "", DELETIONS), tidy), "delete a token", 1),
               _as(F.flatten(F.array(*(F.transform(each(s, r"\s+|(?=[(),=])|$", lambda x, k=k: F.concat(F.lit(f" {k} ")), INSERTIONS), tidy) for k in INSERTABLE))), "insert a token", 1),
               _as(F.array(F.concat(F.lit("SELECT "), s)), "prepend SELECT"),
@@ -85,24 +96,64 @@ def rewrites() -> Column:
               _as(fold(rf"(?is) WHERE ([^()]*?{AGG}\([^()]*\)[^()]*?)( GROUP BY .*?)?" + END, "$2 HAVING $1"), "HAVING instead of WHERE", 1)),
         _when("SEM_HAVING", _as(fold(r"(?i)\bHAVING\b", "WHERE"), "WHERE instead of HAVING")),
         _when("SEM_UNGROUPED", _as(F.array(group), "complete GROUP BY"), _as(F.array(F.regexp_replace(s, F.concat(F.lit(r"(?i)(?<=SELECT |, )"), F.col("token"), F.lit(r"(?=,| FROM)")), F.concat(F.lit("MAX("), F.col("token"), F.lit(")")))), "aggregate the column", 1)),
-        _when("SEM_POSITION", _as(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split(F.regexp_extract(s, r"(?i)\bSELECT (.*?) FROM ", 1), ",")), F.lit(1))), lambda i: F.regexp_replace(s, F.lit(r"(?i)\b(ORDER|GROUP) BY \d+"), F.concat(F.lit("$1 BY "), i.cast("string")))), "existing position")),
+        _when("SEM_POSITION", _as(F.transform(shown, lambda x: F.regexp_replace(s, F.lit(r"(?i)\b(ORDER|GROUP) BY \d+"), F.concat(F.lit("$1 BY "), x))), "an item instead of a position")),
         _when("SEM_SUBQUERY_ARITY", _as(fold(r"(?i)(\(SELECT (?:DISTINCT )?[\w.]+)(?:, [\w.*]+)+ FROM", "$1 FROM"), "one column"), _as(fold(r"(?i)\(SELECT (?:[\w.]+, )+([\w.]+) FROM", "(SELECT $1 FROM"), "one column", 1)),
         _when("SEM_SET_ARITY", _as(each(s, r"(?i), [\w.]+(?= FROM)|(?<=SELECT )[\w.]+, ", ""), "drop a column")),
         _when("SEM_ARGUMENTS", _as(fold(r"\b(\w+)\(([^(),]+),[^()]*\)", "$1($2)"), "first argument only")),
-        _when("SEM_NO_JOIN", _as(_join_conditions(), "foreign key condition")),
-        _when("AMB_ALIAS", _as(fold(r"(?is)(\bAS )(\w+)( .*?\bAS )\2\b(.*?= )\2\.", "$1$2$3$2x$4$2x."), "new alias")),
+        _when("SEM_NO_JOIN", _join_conditions()),
+        _when("AMB_ALIAS", _as(renamed, "new alias")),
+        _when("COL_UNKNOWN", _as(_key_partners(), "foreign-key partner", -1)),
     )
 
 
+def _sources() -> Column:
+    """array<struct<t, a>>: tables and aliases behind FROM, JOIN and commas, in lower case."""
+    pattern = r"(?i)(?:\bFROM|\bJOIN|,) (\w+)(?: (?:AS )?(?!(?:ON|WHERE|JOIN|GROUP|ORDER|USING|LEFT|INNER|CROSS|NATURAL|LIMIT|HAVING|UNION|INTERSECT|EXCEPT)\b)(\w+))?"
+    found = F.arrays_zip(*(F.regexp_extract_all("sql", F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "t"), (2, "a"))))
+    return F.transform(found, lambda x: F.struct(F.lower(x["t"]).alias("t"), F.lower(F.when(x["a"] != "", x["a"]).otherwise(x["t"])).alias("a")))
+
+
 def _join_conditions() -> Column:
-    """ON <condition> after the second table of a join, for foreign keys between the two tables, in their aliases."""
-    s = F.col("sql")
-    pattern = r"(?is)\bFROM (\w+)(?: AS)? (\w+) JOIN (\w+)(?: AS)? (\w+)(?= WHERE| GROUP| ORDER| LIMIT|$)"
-    part = lambda i: F.lower(F.regexp_extract(s, pattern, i))
-    fit = F.filter("links", lambda k: ((k["table_name"] == part(1)) & (k["target_table"] == part(3))) | ((k["table_name"] == part(3)) & (k["target_table"] == part(1))))
-    a, b = (F.regexp_extract(s, pattern, i) for i in (2, 4))
-    on = lambda k: F.when(k["table_name"] == part(1), F.concat(a, F.lit("."), k["column"], F.lit(" = "), b, F.lit("."), k["target_column"])).otherwise(F.concat(a, F.lit("."), k["target_column"], F.lit(" = "), b, F.lit("."), k["column"]))
-    return F.transform(fit, lambda k: F.regexp_replace(s, F.lit(f"({pattern})"), F.concat(F.lit("$1 ON "), on(k))))
+    """ON <condition>, or AND <condition>, behind the table that the issue names, for its links with the other tables of the query."""
+    s, token = F.col("sql"), F.lower("token")
+    own = F.filter("sources", lambda x: x["a"] == token)[0]["t"]
+    both = lambda a, x, b, y: F.concat(a, F.lit("."), x, F.lit(" = "), b, F.lit("."), y)
+    ways = F.flatten(F.transform(F.filter("sources", lambda x: x["a"] != token), lambda o: F.flatten(F.transform("links", lambda k: F.filter(F.array(
+        F.when((k["table_name"] == own) & (k["target_table"] == o["t"]), F.struct(both(F.col("token"), k["column"], o["a"], k["target_column"]).alias("c"), k["preference"].alias("p"))),
+        F.when((k["table_name"] == o["t"]) & (k["target_table"] == own), F.struct(both(o["a"], k["column"], F.col("token"), k["target_column"]).alias("c"), k["preference"].alias("p")))), lambda x: x.isNotNull())))))
+    place = F.concat(F.lit(r"(?is)(\bJOIN (?:\w+(?: AS)? )?"), F.col("token"), F.lit(r"\b)( ON .*?)?(?= WHERE\b| GROUP\b| ORDER\b| LIMIT\b| JOIN\b| LEFT\b| INNER\b|$)"))
+    has_on = F.rlike(s, F.concat(F.lit(r"(?is)\bJOIN (?:\w+(?: AS)? )?"), F.col("token"), F.lit(r" ON ")))
+    return F.transform(ways, lambda w: F.struct(F.regexp_replace(s, place, F.concat(F.when(has_on, "$1$2 AND ").otherwise("$1 ON "), _cased(w["c"]))).alias("sql"), F.lit("foreign key condition").alias("description"), w["p"].alias("preference")))
+
+
+def _cased(condition: Column) -> Column:
+    """Aliases of a condition spelt as the query spells them: of two spellings, that in capitals."""
+    side = lambda x: F.concat(F.when(F.contains(F.col("sql"), F.concat(F.upper(F.split(x, r"\.")[0]), F.lit("."))), F.upper(F.split(x, r"\.")[0])).otherwise(F.split(x, r"\.")[0]), F.lit("."), F.split(x, r"\.")[1])
+    return F.concat(side(F.split(condition, " = ")[0]), F.lit(" = "), side(F.split(condition, " = ")[1]))
+
+
+def _key_partners() -> Column:
+    """For an unknown a.x in a.x = b.y: the query with a's column that a foreign key ties to b.y."""
+    s, token = F.col("sql"), F.col("token")
+    exact = F.concat(F.lit(r"\Q"), token, F.lit(r"\E"))
+    other = F.lower(F.coalesce(*(F.get(F.regexp_extract_all(s, F.concat(F.lit(a), exact, F.lit(b)), F.lit(1)), F.lit(0)) for a, b in ((r"(?i)\b(\w+\.\w+) ?= ?", r"\b"), ("(?i)", r" ?= ?(\w+\.\w+)")))))
+    table = lambda x: F.filter("sources", lambda y: y["a"] == F.lower(F.split(x, r"\.")[0]))[0]["t"]
+    ahead = lambda k: (k["table_name"] == table(token)) & (k["target_table"] == table(other)) & (F.lower(k["target_column"]) == F.split(other, r"\.")[1])
+    behind = lambda k: (k["table_name"] == table(other)) & (F.lower(k["column"]) == F.split(other, r"\.")[1]) & (k["target_table"] == table(token))
+    fit = F.filter("links", lambda k: (k["preference"] == 0) & (ahead(k) | behind(k)))
+    found = F.transform(fit, lambda k: F.regexp_replace(s, F.concat(F.lit("(?i)"), exact, F.lit(r"\b")), F.concat(F.split(token, r"\.")[0], F.lit("."), F.when(ahead(k), k["column"]).otherwise(k["target_column"]))))
+    return F.when(token.contains(".") & other.isNotNull(), found).otherwise(F.array().cast("array<string>"))
+
+
+def links_of(catalog: DataFrame) -> DataFrame:
+    """db_id, links: foreign keys (preference 0), and columns of one name that ends in "id" in two tables (preference 1)."""
+    keys = catalog.select("db_id", F.lower("table_name").alias("table_name"), F.explode("foreign_keys").alias("k"))
+    keys = keys.select("db_id", "table_name", F.col("k.column"), F.lower("k.target_table").alias("target_table"), "k.target_column", F.lit(0).alias("preference"))
+    ids = catalog.select("db_id", F.lower("table_name").alias("table_name"), F.explode("columns.name").alias("column")).withColumn("_c", F.lower("column")).filter("_c like '%id' and _c <> 'id'")
+    other = ids.select("db_id", "_c", F.col("table_name").alias("target_table"), F.col("column").alias("target_column"))
+    shared = ids.join(other, ["db_id", "_c"]).filter("table_name < target_table").select("db_id", "table_name", "column", "target_table", "target_column", F.lit(1).alias("preference"))
+    one = F.struct("table_name", "column", "target_table", "target_column", "preference")
+    return keys.unionByName(shared).groupBy("db_id").agg(F.sort_array(F.collect_list(one)).cast(LINKS).alias("links"))
 
 
 def _replaced(word: str | Column, new: Column, all_places: bool = True) -> Column:
@@ -111,36 +162,52 @@ def _replaced(word: str | Column, new: Column, all_places: bool = True) -> Colum
 
 
 def candidates(wrong: DataFrame, catalog: DataFrame) -> DataFrame:
-    """id, candidate, description, preference for wrong queries (id, db_id, sql, code, token)."""
-    links = catalog.groupBy("db_id").agg(F.flatten(F.collect_list(F.transform("foreign_keys", lambda k: F.struct(F.lower("table_name").alias("table_name"), k["column"].alias("column"), F.lower(k["target_table"]).alias("target_table"), k["target_column"].alias("target_column"))))).alias("links"))
-    own = wrong.join(links, "db_id", "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<table_name string, column string, target_table string, target_column string>>")))
-    plain = own.select("id", F.explode(rewrites()).alias("c")).select("id", F.regexp_replace("c.sql", r"upper:(\w+)\(", "$1(").alias("candidate"), "c.description", "c.preference")
-    # misspelt keywords: words of the query near a keyword
-    words = wrong.filter("code = 'SYN_ENGINE'").select("id", "sql", F.explode(F.array_distinct(F.regexp_extract_all("sql", F.lit(r"\b([A-Za-z]+)\b"), F.lit(1)))).alias("word"))
-    near = keyword_matches(words).filter("place <= 2").select("word", "keyword")
-    keyed = words.join(near, "word").select("id", _replaced("word", F.col("keyword")).alias("candidate"), F.lit("keyword").alias("description"), F.lit(-1).alias("preference"))
-    # unknown tables and columns: near names of the same database
-    names = F.regexp_replace("token", r"^.*\.", "")
-    tables = closest(wrong.filter("code = 'TAB_UNKNOWN'").select("db_id", names.alias("word")), catalog.select("db_id", F.col("table_name").alias("option")), ["db_id"], cutoff=0.5)
-    cols = catalog.select("db_id", F.explode("columns").alias("c")).select("db_id", F.col("c.name").alias("option"))
-    columns = closest(wrong.filter("code = 'COL_UNKNOWN'").select("db_id", names.alias("word")), cols, ["db_id"], cutoff=0.6)
-    named = lambda code, found, what: wrong.filter(F.col("code") == code).withColumn("word", names).join(found.select("db_id", "word", "option"), ["db_id", "word"]).select("id", _replaced("word", F.col("option")).alias("candidate"), F.lit(what).alias("description"), F.lit(0).alias("preference"))
-    # qualifiers: other aliases of the query
-    refs = F.array_distinct(F.transform(F.arrays_zip(F.regexp_extract_all("sql", F.lit(r"(?i)\b(?:FROM|JOIN) (\w+)(?: (?:AS )?(?!ON\b|WHERE\b|JOIN\b|GROUP\b|ORDER\b|USING\b)(\w+))?"), F.lit(1)).alias("t"), F.regexp_extract_all("sql", F.lit(r"(?i)\b(?:FROM|JOIN) (\w+)(?: (?:AS )?(?!ON\b|WHERE\b|JOIN\b|GROUP\b|ORDER\b|USING\b)(\w+))?"), F.lit(2)).alias("a")), lambda x: F.when(x["a"] != "", x["a"]).otherwise(x["t"])))
-    qualified = wrong.filter("code in ('AMB_COLUMN', 'COL_UNKNOWN')").withColumn("alias", F.explode(refs)).select(
-        "id", F.regexp_replace("sql", F.concat(F.lit(r"(?i)(?<![\w.'])(?:\w+\.)?"), names, F.lit(r"(?![\w'(.])")), F.concat(F.col("alias"), F.lit("."), names)).alias("candidate"), F.lit("qualify").alias("description"), F.lit(1).alias("preference")
-    )
-    # functions: other names, else near ones
+    """id, candidate, description, preference for wrong queries (id, db_id, sql, code, token); only what their codes call for is put together."""
     spark = wrong.sparkSession
-    known = spark.createDataFrame([(k, v) for k, v in SYNONYMS.items()], "word string, option string")
-    fwords = wrong.filter("code = 'SEM_FUNCTION'").select(F.lower("token").alias("word")).distinct()
-    fnear = closest(fwords, spark.createDataFrame([(f,) for f in FUNCTIONS], "option string"), []).select("word", "option")
-    functions = wrong.filter("code = 'SEM_FUNCTION'").withColumn("word", F.lower("token")).join(known.unionByName(fnear.join(known, "word", "left_anti")), "word").select("id", _replaced("word", F.col("option")).alias("candidate"), F.lit("function").alias("description"), F.lit(0).alias("preference"))
-    found = plain
-    for x in (keyed, named("TAB_UNKNOWN", tables, "table"), named("COL_UNKNOWN", columns, "column"), qualified, functions):
-        found = found.unionByName(x)
-    found = found.filter(F.col("candidate") != "").groupBy("id", "candidate").agg(F.min(F.struct("preference", "description")).alias("_p"))
-    return found.select("id", "candidate", "_p.description", "_p.preference")
+    codes = {r["code"] for r in wrong.select("code").distinct().collect()}
+    own = wrong.join(links_of(catalog), "db_id", "left").withColumn("links", F.coalesce("links", F.array().cast(LINKS))).withColumn("sources", _sources())
+    found = [own.select("id", F.explode(rewrites()).alias("c")).select("id", F.regexp_replace("c.sql", r"upper:(\w+)\(", "$1(").alias("candidate"), "c.description", "c.preference")]
+    names = F.regexp_replace("token", r"^.*\.", "")
+    columns = catalog.select("db_id", "table_name", F.explode("columns.name").alias("option"))
+
+    def add(rows: DataFrame, candidate: Column, what: str, preference: int) -> None:
+        found.append(rows.select("id", candidate.alias("candidate"), F.lit(what).alias("description"), F.lit(preference).alias("preference")))
+
+    if "SYN_ENGINE" in codes:  # misspelt keywords: words of the query near a keyword, that name nothing
+        words = wrong.filter("code = 'SYN_ENGINE'").select("id", "db_id", "sql", F.explode(F.array_distinct(F.regexp_extract_all("sql", F.lit(r"\b([A-Za-z]{2,})\b"), F.lit(1)))).alias("word"))
+        known = columns.select("db_id", F.lower("option").alias("_w")).unionByName(catalog.select("db_id", F.lower("table_name").alias("_w"))).distinct()
+        words = words.join(known, (words["db_id"] == known["db_id"]) & (F.lower("word") == known["_w"]), "left_anti")
+        near = keyword_matches(words).filter("place <= 2").select("word", "keyword")
+        add(words.join(near, "word"), _replaced("word", F.when(F.col("keyword").isin("GROUP", "ORDER") & ~F.col("sql").rlike(r"(?i)\bBY\b"), F.concat("keyword", F.lit(" BY"))).otherwise(F.col("keyword"))), "keyword", -1)
+    if "TAB_UNKNOWN" in codes:  # near names, and the table with most of the columns that the query names
+        lost = wrong.filter("code = 'TAB_UNKNOWN'").withColumn("word", names)
+        near = closest(lost.select("db_id", "word"), catalog.select("db_id", F.col("table_name").alias("option")), ["db_id"], cutoff=0.5)
+        add(lost.join(near.select("db_id", "word", "option"), ["db_id", "word"]), _replaced("word", F.col("option")), "table", 0)
+        words = lost.select("id", "db_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("sql", F.lit(r"\b([A-Za-z_]\w*)\b"), F.lit(1)), F.lower))).alias("_w"))
+        cover = words.join(columns.select("db_id", "table_name", F.lower("option").alias("_w")), ["db_id", "_w"]).groupBy("id", "table_name").agg(F.count("*").alias("_n"))
+        cover = cover.groupBy("id").agg(F.min_by("table_name", F.struct(-F.col("_n"), "table_name")).alias("option"))
+        add(lost.join(cover, "id"), _replaced("word", F.col("option")), "table with the columns used", 0)
+    if "COL_UNKNOWN" in codes:  # near names of the same database
+        lost = wrong.filter("code = 'COL_UNKNOWN'").withColumn("word", names)
+        near = closest(lost.select("db_id", "word"), columns.select("db_id", "option"), ["db_id"], cutoff=0.6)
+        add(lost.join(near.select("db_id", "word", "option"), ["db_id", "word"]), _replaced("word", F.col("option")), "column", 0)
+    if codes & {"COL_UNKNOWN", "AMB_COLUMN"}:  # other aliases of the query, for all places of the name or for one
+        lost = own.filter("code in ('AMB_COLUMN', 'COL_UNKNOWN')").withColumn("alias", F.explode(F.array_distinct(F.transform("sources", lambda x: x["a"]))))
+        alias = F.when(F.contains("sql", F.upper("alias")), F.upper("alias")).otherwise(F.col("alias"))
+        bare = F.concat(F.lit(r"(?i)(?<![\w.'])(?:\w+\.)?"), names, F.lit(r"(?![\w'(.])"))
+        add(lost, F.regexp_replace("sql", bare, F.concat(alias, F.lit("."), names)), "qualify", 1)
+        only = F.concat(F.lit(r"(?i)(?<![\w.'])"), names, F.lit(r"(?![\w'(.])"))
+        add(lost.filter("code = 'AMB_COLUMN'"), F.regexp_replace("sql", only, F.concat(alias, F.lit("."), names)), "qualify", 0)
+    if "SEM_FUNCTION" in codes:  # other names of functions, else near ones
+        lost = wrong.filter("code = 'SEM_FUNCTION'").withColumn("word", F.lower("token"))
+        known = spark.createDataFrame([(k, v) for k, v in SYNONYMS.items()], "word string, option string")
+        near = closest(lost.select("word"), spark.createDataFrame([(f,) for f in FUNCTIONS], "option string"), []).select("word", "option")
+        add(lost.join(known.unionByName(near.join(known, "word", "left_anti")), "word"), _replaced("word", F.col("option")), "function", 0)
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    every = every.filter(F.col("candidate") != "").groupBy("id", "candidate").agg(F.min(F.struct("preference", "description")).alias("_p"))
+    return every.select("id", "candidate", "_p.description", "_p.preference")
 
 
 def repair(queries: DataFrame, catalog: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -180,7 +247,11 @@ def repair(queries: DataFrame, catalog: DataFrame, rounds: int | None = None) ->
         best = best.select("id", "db_id", "original_query", "sql", "policy", "error_class", "issues", F.array_append("steps", step).alias("steps"), F.lit(False).alias("stuck"))
         rest = state.join(best.select("id"), "id", "left_anti").withColumn("stuck", F.lit(True))
         state = written(best.unionByName(rest.select(*best.columns)), "repair")
-    explain = F.array_join(F.transform("steps", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s["error_class"], F.lit(": "), s["description"])), "\n")
+    told = F.transform("steps", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". ["), s["error_class"], F.lit("] "), s["description"]))
+    sound = F.col("error_class") == "CORRECT"
+    end = F.when(sound & (F.size("steps") > 0), "The repaired query passes all checks.").when(sound, "No errors detected; no changes needed.").otherwise(F.concat(F.lit("Remaining problem: "), F.col("issues")[0]["message"]))
+    policy = F.when(F.col("error_class") == "PERMISSION_DENIED", "What a policy closes cannot be repaired: leave it out or ask for access.")
+    explain = F.concat_ws("\n", told, end, policy)
     return state.select(
         "id", "db_id", "original_query", F.col("sql").alias("repaired_query"), (F.col("error_class") == "CORRECT").alias("success"),
         F.when(F.col("error_class") != "CORRECT", F.col("error_class")).alias("remaining_error"), "steps", explain.alias("explanation"),

@@ -109,7 +109,7 @@ BROKEN = [
     ("SELECT cnt(*) FROM lineitem WHERE l_orderkey = {n}", "SELECT count(*) FROM lineitem WHERE l_orderkey = {n}"),
     ("SELECT s_name FROM supplier HAVING s_suppkey > {n}", "SELECT s_name FROM supplier WHERE s_suppkey > {n}"),
     ("SELECT p_brand, count(*) FROM part WHERE p_size < {n}", "SELECT p_brand, count(*) FROM part WHERE p_size < {n} GROUP BY p_brand"),
-    ("SELECT c.c_name FROM customer AS c JOIN orders AS o WHERE o.o_orderkey = {n}", "SELECT c.c_name FROM customer AS c JOIN orders AS o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey = {n}"),
+    ("SELECT c.c_name FROM customer AS c JOIN orders AS o WHERE o.o_orderkey = {n}", "SELECT c.c_name FROM customer AS c JOIN orders AS o ON o.o_custkey = c.c_custkey WHERE o.o_orderkey = {n}"),
     ("SELECT p_name FROM part WHERE p_partkey = {n} AND p_size > avg(p_size)", "SELECT p_name FROM part WHERE p_partkey = {n} AND p_size > (SELECT avg(p_size) FROM part)"),
     ("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND AND o_custkey = {n}", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey = {n}"),
     ("SELEC c_nmae FORM custmer WHERE c_custkey = {n}", "SELECT c_name FROM customer WHERE c_custkey = {n}"),

@@ -99,6 +99,6 @@ def test_facts_of_a_text():
     (s,) = q.scopes
     assert [(x["alias"], x["t"], x["keys"]) for x in s["sources"]] == [("a", "t", ["i"]), ("b", "u", [])] and q.named == ["t", "u"]
     assert [(x["text"], x["alias"], x["folds"]) for x in s["items"]] == [("a.x", "k", False), ("sum(distinct b.y)", "", True)]
-    assert s["links"] == [["a", "b"]] and s["equal"] == [["t.i", "u.j"]] and s["summed"] == [{"text": "b.y", "type": "text"}]
+    assert s["loose"] == [] and s["fixed"] == ["t.x"] and s["summed"] == [{"text": "b.y", "type": "text"}]
     assert [(x["op"], x["kind"], x["value"]) for x in s["compared"] if x["op"] == "between"] == [("between", "number", "1"), ("between", "string", "z")]
     assert Query("", {}, {}).scopes == [] and Query("((((", {}, {}).scopes == [] and len(Query("SELECT 1 FROM (SELECT 2 UNION SELECT 3)", {}, {}).scopes) == 3
