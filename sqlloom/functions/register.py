@@ -5,10 +5,10 @@ from __future__ import annotations
 import difflib
 import re
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.fuzzy import osa_distance, text_similarity
+from ..operators.fuzzy import match_ratio, osa_distance
 
 #: Temporary SQL functions for SQLite's names.
 SQL_FUNCTIONS = {
@@ -16,16 +16,29 @@ SQL_FUNCTIONS = {
     "strftime": "(f STRING, t TIMESTAMP) RETURNS STRING RETURN date_format(t, replace(replace(replace(replace(replace(replace(f, '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'), '%H', 'HH'), '%M', 'mm'), '%S', 'ss'))",
     "datetime": "(t TIMESTAMP) RETURNS STRING RETURN date_format(t, 'yyyy-MM-dd HH:mm:ss')",
     "sql_normalize": r"(q STRING) RETURNS STRING RETURN regexp_replace(regexp_replace(coalesce(q, ''), '^\\s+', ''), '[\\s;]+$', '')",
+    "total": "(xs ARRAY<DOUBLE>) RETURNS DOUBLE RETURN aggregate(xs, 0.0D, (s, x) -> s + coalesce(x, 0.0D))",
+    "group_concat": "(xs ARRAY<STRING>) RETURNS STRING RETURN array_join(xs, ',')",
     "quote_ident": "(x STRING) RETURNS STRING RETURN concat('\"', replace(x, '\"', '\"\"'), '\"')",
 }
 TOKEN = re.compile(r"\s+|'[^']*(?:''[^']*)*'|\"[^\"]*\"|\w+|<>|<=|>=|!=|\|\||.", re.S)
 
 
+def register_corpus(spark: SparkSession, queries: str, catalog: DataFrame, prefix: str = "sql_") -> None:
+    """Views over a table or view of queries (id, db_id, sql, and policy if it has one): <prefix>diagnose, <prefix>issues (a row each) and <prefix>repair."""
+    from ..operators.diagnose import diagnose
+    from ..operators.repair import repair
+
+    found = diagnose(spark.table(queries), catalog)
+    found.createOrReplaceTempView(f"{prefix}diagnose")
+    found.select("id", F.posexplode("issues").alias("place", "issue")).select("id", "place", "issue.*").createOrReplaceTempView(f"{prefix}issues")
+    repair(spark.table(queries), catalog).createOrReplaceTempView(f"{prefix}repair")
+
+
 def register(spark: SparkSession) -> None:
     for name, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
     spark.udf.register("osa_distance", osa_distance)
-    spark.udf.register("text_similarity", text_similarity)
+    spark.udf.register("match_ratio", match_ratio)
 
     @F.udtf(returnType="idx int, token string, start int, end int, depth int")
     class SqlTokens:

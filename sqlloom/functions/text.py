@@ -115,3 +115,16 @@ def csv_cell(x: Column) -> Column:
 def serialised_schema(table: Column, columns: Column, mentioned: Column) -> Column:
     """A table as a model reads it: with its columns where the question mentions it, else by name."""
     return F.when(mentioned, F.concat(table, F.lit("("), F.array_join(F.transform(columns, lambda c: F.concat(c["name"], F.lit(" "), c["type"])), ", "), F.lit(")"))).otherwise(table)
+
+
+def canonical_form(q: Column) -> Column:
+    """A query's structure: lower case, strings as '?', numbers as 0, aliases of the i-th table as t<i>, single blanks.  Two queries match exactly where these are equal."""
+    plain = F.regexp_replace(F.lower(normalize_query(q)), r"'[^']*(?:''[^']*)*'", "'?'")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?<![\w.'])\d+(?:\.\d+)?(?![\w'])", "0"), r"\s+", " ")
+    plain = F.regexp_replace(F.regexp_replace(plain, r" ?([(),=<>!]+) ?", " $1 "), r"\s+", " ")
+    behind = r"\b(?:from|join|,) (\w+)(?: as)? (?!(?:on|where|join|group|order|using|left|inner|cross|natural|limit|having|union|intersect|except|as)\b)(\w+)"
+    aliases = F.regexp_extract_all(plain, F.lit(behind), F.lit(2))
+    listed = F.transform(aliases, lambda a, i: F.struct(a.alias("a"), (i + 1).alias("i")))
+    renamed = F.aggregate(listed, plain, lambda s, x: F.regexp_replace(s, F.concat(F.lit(r"(?<![\w.'])"), x["a"], F.lit(r"\b(?!')")), F.concat(F.lit("t"), x["i"].cast("string"))))
+    # "FROM x AS t1" and "FROM x t1" are the same
+    return F.trim(F.regexp_replace(renamed, r"\b(from|join|,) (\w+) as (t\d+)\b", "$1 $2 $3"))

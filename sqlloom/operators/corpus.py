@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import dedupe_key
+from ..plans.stages import written
 
 
 def draw(*parts: Column | str) -> Column:
@@ -50,10 +51,28 @@ def source_cap(rows: DataFrame, source: str, most: int, *identity: str, seed: in
     return quota(rows, source, most, *identity, seed=seed)
 
 
+def places(rows: DataFrame, group: str, *order: str | Column) -> DataFrame:
+    """rows with ``place``, from 1, in each group by the order given (which must tell all rows of a group apart).
+
+    Rows are dealt by ranges of (group, order), so a group of any size is spread over tasks; each range numbers its own
+    rows, and the counts of the ranges before, one row for each group and range, are added.
+    """
+    spark, n = rows.sparkSession, len(order)
+    keyed = rows.select("*", *((F.col(c) if isinstance(c, str) else c).alias(f"_o{i}") for i, c in enumerate(order)))
+    keys = [f"_o{i}" for i in range(n)]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(keyed.repartitionByRange(parts, group, *keys).withColumn("_part", F.spark_partition_id()), "places")
+    counts = dealt.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_g").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_g", "_p", before.alias("_before"))
+    own = dealt.withColumn("_own", F.row_number().over(W.partitionBy("_part", group).orderBy(*keys)))
+    numbered = own.join(F.broadcast(offsets), (own["_part"] == offsets["_p"]) & own[group].eqNullSafe(offsets["_g"]))
+    return numbered.select(*rows.columns, (F.col("_own") + F.col("_before")).cast("int").alias("place"))
+
+
 def numbered_ids(rows: DataFrame, split: str, *order: str) -> DataFrame:
     """id = <split>-00000 and up within each split."""
-    rn = F.row_number().over(W.partitionBy(split).orderBy(*order)) - 1
-    return rows.withColumn("id", F.format_string("%s-%05d", F.col(split), rn))
+    return places(rows, split, *order).withColumn("id", F.format_string("%s-%05d", F.col(split), F.col("place") - 1)).drop("place")
 
 
 def length_batches(rows: DataFrame, text: str, partitions: int) -> DataFrame:
@@ -80,5 +99,4 @@ def policy_rows(queries: DataFrame, catalog: DataFrame, seed: int = 42) -> DataF
 def weighted_order(options: DataFrame, group: str, weight: str, *identity: str, seed: int = 42) -> DataFrame:
     """place: the order of weighted draws without replacement within each group, by keys -ln(u) / weight."""
     u = (F.conv(F.substring(draw(F.lit(seed), *(F.col(c) for c in identity)), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    rn = F.row_number().over(W.partitionBy(group).orderBy("_key", *identity))
-    return options.withColumn("_key", -F.log(u) / F.col(weight)).withColumn("place", rn).drop("_key")
+    return places(options.withColumn("_key", -F.log(u) / F.col(weight)), group, "_key", *identity).drop("_key")

@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.built import built_once
 from ..functions.edits import each, once, tidy
 from ..functions.text import dedupe_key, toggle_plural
-from ..plans.stages import written
+from ..plans.stages import interpreted, written
 from .corpus import draw, quota, source_cap
 from .diagnose import diagnose
 
@@ -27,7 +28,7 @@ FUNCTION_TYPOS = {"count": "cnt", "avg": "average", "max": "maximum", "min": "mi
 def _typo(w: Column) -> Column:
     """A word with two inner letters swapped, or one doubled where they are equal."""
     a, b = F.substring(w, 2, 1), F.substring(w, 3, 1)
-    return F.concat(F.substring(w, 1, 1), F.when(a == b, F.concat(a, a, b)).otherwise(F.concat(b, a)), F.substring(w, 4, 100))
+    return F.concat(F.substring(w, 1, 1), F.when(a == b, F.concat(a, a, b)).otherwise(F.concat(b, a)), F.substring(w, F.lit(4), F.length(w)))
 
 
 def _function_typos(sql: Column) -> Column:
@@ -95,23 +96,60 @@ def rename_aliases(sql: Column, pool: str = "x") -> Column:
     return F.regexp_replace(sql, r"\bT(\d)\b", f"{pool}$1")
 
 
+#: Words for a text where the data have none.
+FILLERS = ("unknown", "high", "large", "none", "red", "north", "alpha")
+
+
+def random_text(seen: Column, *seed: Column) -> Column:
+    """A text value: by a draw, in seven of ten cases one of those seen (array), else a filler; seen values that look like numbers do not count."""
+    d = draw(*seed)
+    number = lambda k: F.conv(F.substring(d, k, 4), 16, 10).cast("int")
+    real, fillers = F.filter(seen, lambda x: (x != "") & ~x.rlike(r"^[-+.\d\s]+$")), F.array(*map(F.lit, FILLERS))
+    return F.when((number(1) % 10 < 7) & (F.size(real) > 0), F.get(real, number(5) % F.size(real))).otherwise(F.get(fillers, number(9) % len(FILLERS)))
+
+
+def surface(sql: Column, *seed: Column) -> Column:
+    """A correct query in another dress: literals moved and aliases renamed in three of ten cases each, keywords and blanks by draws."""
+    d = draw(*seed, F.lit("surface"))
+    chance = lambda k: F.conv(F.substring(d, k, 4), 16, 10).cast("int") % 10 < 3
+    moved = F.when(chance(1), perturb_literals(sql, *seed)).otherwise(sql)
+    return augment_surface(F.when(chance(5), rename_aliases(moved)).otherwise(moved), *seed)
+
+
+@built_once
+def _candidates() -> Column:
+    """array<struct<mutation, target, weight, options>> for the column sql."""
+    return F.array(*(F.struct(F.lit(name).alias("mutation"), F.lit(c).alias("target"), F.lit(w).alias("weight"), make(F.col("sql")).alias("options")) for name, (c, w, make) in MUTATIONS.items()))
+
+
 def mutants(queries: DataFrame, seed: int = 42) -> DataFrame:
     """queries (db_id, sql) x mutations: db_id, source_sql, mutation, target, weight, sql; one drawn candidate of each pair."""
-    options = [F.struct(F.lit(name).alias("mutation"), F.lit(c).alias("target"), F.lit(w).alias("weight"), make(F.col("sql")).alias("options")) for name, (c, w, make) in MUTATIONS.items()]
-    m = queries.select("db_id", F.col("sql").alias("source_sql"), F.explode(F.array(*options)).alias("_m")).select("db_id", "source_sql", "_m.*").filter(F.size("options") > 0)
+    m = queries.select("db_id", F.col("sql").alias("source_sql"), F.explode(_candidates()).alias("_m")).select("db_id", "source_sql", "_m.*").filter(F.size("options") > 0)
     at = F.conv(F.substring(draw(F.lit(seed), "db_id", "source_sql", "mutation"), 1, 8), 16, 10).cast("long") % F.size("options")
     return m.select("db_id", "source_sql", "mutation", "target", "weight", tidy(F.get("options", at.cast("int"))).alias("sql"))
 
 
 def build_corpus(correct: DataFrame, catalog: DataFrame, per_label: int, cap: int | None = None, seed: int = 42) -> DataFrame:
-    """db_id, sql, label, source_sql, mutation: verified mutants and correct queries, no key twice, quotas by label, at most ``cap`` mutants of one source."""
+    """db_id, sql, label, source_sql, mutation: verified mutants and correct queries, no key twice, quotas by label, at most ``cap`` mutants of one source.
+
+    For each source and label the mutations stand in the order of weighted draws without replacement; the first that
+    comes out with that label is taken.
+    """
+    with interpreted(correct.sparkSession):
+        return _build_corpus(correct, catalog, per_label, cap, seed)
+
+
+def _build_corpus(correct: DataFrame, catalog: DataFrame, per_label: int, cap: int | None, seed: int) -> DataFrame:
     m = mutants(correct, seed)
-    c = correct.select("db_id", F.col("sql").alias("source_sql"), F.lit(None).cast("string").alias("mutation"), F.lit("CORRECT").alias("target"), F.lit(1.0).alias("weight"), augment_surface(F.col("sql"), F.lit(seed), F.col("sql")).alias("sql"))
+    c = correct.select("db_id", F.col("sql").alias("source_sql"), F.lit(None).cast("string").alias("mutation"), F.lit("CORRECT").alias("target"), F.lit(1.0).alias("weight"), surface(F.col("sql"), F.lit(seed), F.col("sql")).alias("sql"))
     checked = written(diagnose(m.unionByName(c).withColumn("id", F.xxhash64("db_id", "source_sql", "mutation")), catalog).filter("error_class = target"), "mutants")
-    one = checked.withColumn("_k", dedupe_key(F.col("sql"))).groupBy("_k").agg(F.min_by(F.struct("db_id", "sql", F.col("target").alias("label"), "source_sql", "mutation"), F.struct("source_sql", "mutation")).alias("_r")).select("_r.*")
+    u = (F.conv(F.substring(draw(F.lit(seed), F.lit("order"), "db_id", "source_sql", "mutation"), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    turn = F.struct(-F.log(u) / F.col("weight"), F.col("mutation"))
+    first = checked.groupBy("db_id", "source_sql", "target").agg(F.min_by(F.struct("sql", "mutation"), turn).alias("_m")).select("db_id", "source_sql", "target", "_m.*")
+    one = first.withColumn("_k", dedupe_key(F.col("sql"))).groupBy("_k").agg(F.min_by(F.struct("db_id", "sql", F.col("target").alias("label"), "source_sql", "mutation"), F.struct("source_sql", "mutation")).alias("_r")).select("_r.*")
     if cap:
         one = source_cap(one, "source_sql", cap, "sql", seed=seed).drop("pick")
-    return quota(one, "label", per_label, "db_id", "sql", seed=seed).drop("pick")
+    return written(quota(one, "label", per_label, "db_id", "sql", seed=seed).drop("pick"), "corpus")
 
 
 def yields(correct: DataFrame, catalog: DataFrame, seed: int = 42) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.built import built_once
 from ..functions.edits import each, once, tidy
 from ..functions.text import normalize_query
 from ..labels import PRIORITY
-from ..plans.stages import written
+from ..plans.stages import discard, interpreted, written
 from .diagnose import diagnose
 from .fuzzy import KEYWORDS, closest, edit_size, keyword_matches, words_to_number
 
@@ -216,6 +216,11 @@ def repair(queries: DataFrame, catalog: DataFrame, rounds: int | None = None) ->
     Queries that access policies forbid are never changed.  A query ends when correct, stuck or
     repeating, after as many steps as it has tokens at most; ``rounds`` sets a lower bound.
     """
+    with interpreted(queries.sparkSession):
+        return _repair(queries, catalog, rounds)
+
+
+def _repair(queries: DataFrame, catalog: DataFrame, rounds: int | None) -> DataFrame:
     rank = F.create_map(*(F.lit(x) for p in (*PRIORITY.items(), ("CORRECT", 8)) for x in p))
     state = diagnose(queries, catalog).select(
         "id", "db_id", F.col("sql").alias("original_query"), normalize_query(F.col("sql")).alias("sql"), "policy", "error_class", "issues",
@@ -246,7 +251,9 @@ def repair(queries: DataFrame, catalog: DataFrame, rounds: int | None = None) ->
         step = F.struct(F.col("was").alias("error_class"), "description", "before", F.col("sql").alias("after"))
         best = best.select("id", "db_id", "original_query", "sql", "policy", "error_class", "issues", F.array_append("steps", step).alias("steps"), F.lit(False).alias("stuck"))
         rest = state.join(best.select("id"), "id", "left_anti").withColumn("stuck", F.lit(True))
-        state = written(best.unionByName(rest.select(*best.columns)), "repair")
+        done, state = state, written(best.unionByName(rest.select(*best.columns)), "repair")
+        discard(done)
+        discard(options)
     told = F.transform("steps", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". ["), s["error_class"], F.lit("] "), s["description"]))
     sound = F.col("error_class") == "CORRECT"
     end = F.when(sound & (F.size("steps") > 0), "The repaired query passes all checks.").when(sound, "No errors detected; no changes needed.").otherwise(F.concat(F.lit("Remaining problem: "), F.col("issues")[0]["message"]))

@@ -459,18 +459,49 @@ def diagnose_policies(spark, sf_dir):
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A correct text for each customer."""
-    rows = table(spark, sf_dir, "customer")
-    return made(spark, rows, "c_custkey", "c_custkey", "c_mktsegment", [(x,) for x in samples.SEEDS]).select("db_id", "sql")
+    """A correct text for each supplier."""
+    rows = table(spark, sf_dir, "supplier")
+    return made(spark, rows, "s_suppkey", "s_suppkey", "s_name", [(x,) for x in samples.SEEDS]).select("db_id", "sql")
 
 
 @query()
 def mutate_corpus(spark, sf_dir):
+    """A corpus of seven classes from a correct text for each supplier."""
     from .operators.mutate import build_corpus
 
     return build_corpus(_seeds(spark, sf_dir), star(spark), per_label=200, cap=5)
 
 
+@query(
+    "WITH labels AS (SELECT label FROM (VALUES " + ", ".join(f"('{n}')" for n in ("CORRECT", *dict.fromkeys(samples.FAULTY))) + ") AS v(label)), n AS (SELECT count(DISTINCT s_suppkey % 9 || ' ' || s_suppkey) AS n FROM supplier) "
+    "SELECT label, 0 AS repeated, 0 AS wrong_label, 0 AS over_quota, 0 AS over_cap FROM labels, n WHERE n > 20"
+)
+def mutate_corpus_checks(spark, sf_dir):
+    """For each class of the corpus: texts that occur twice, whose verdict is another one, beyond the class's quota, and beyond their source's cap."""
+    from .operators.diagnose import diagnose
+    from .plans.stages import written
+
+    made_ = written(mutate_corpus(spark, sf_dir), "checked")
+    again = diagnose(made_.select(F.xxhash64("db_id", "sql").alias("id"), "db_id", "sql", "label", "source_sql"), star(spark))
+    again = again.withColumn("_k", T.dedupe_key(F.col("sql")))
+    caps = again.groupBy("source_sql").count().filter("count > 5").select("source_sql", F.lit(1).alias("_over"))
+    by_label = again.join(caps, "source_sql", "left").groupBy("label").agg(
+        (F.count("*") - F.count_distinct("_k")).cast("int").alias("repeated"), F.count_if(F.col("error_class") != F.col("label")).cast("int").alias("wrong_label"),
+        F.greatest(F.count("*") - 200, F.lit(0)).cast("int").alias("over_quota"), F.count("_over").cast("int").alias("over_cap"),
+    )
+    return by_label
+
+
+@query(f"SELECT s_suppkey AS id, true AS same_structure FROM supplier JOIN {sql_templates([(x, '') for x in samples.SEEDS])} ON s_suppkey % {len(samples.SEEDS)} = k")
+def canonical_matches(spark, sf_dir):
+    """Texts that differ from a seed in literals, aliases, case and blanks only have its canonical form."""
+    from .operators.mutate import surface
+
+    rows = made(spark, table(spark, sf_dir, "supplier"), "s_suppkey", "s_suppkey", "s_name", [(x, x.replace("T1", "a").replace("T2", "b").replace("{n}", "12").replace("{s}", "q r")) for x in samples.SEEDS])
+    other = surface(F.col("v1"), F.col("id"))
+    return rows.select("id", (T.canonical_form(F.col("sql")) == T.canonical_form(other)).alias("same_structure"))
+
+
 @query(
     f"SELECT s_suppkey AS id, replace(replace(sql, '{{n}}', CAST(s_suppkey AS VARCHAR)), '{{s}}', s_name) AS original_query, lower(replace(replace(v1, '{{n}}', CAST(s_suppkey AS VARCHAR)), '{{s}}', s_name)) AS repaired, true AS success "
     f"FROM supplier JOIN {sql_templates(samples.BROKEN)} ON s_suppkey % {len(samples.BROKEN)} = k"

@@ -49,18 +49,26 @@ def write_schemas(catalog: DataFrame, path: str) -> None:
     catalog.write.mode("overwrite").json(path)
 
 
-def write_report(tables: dict[str, DataFrame], path: str, most: int = 1000) -> None:
-    """A Markdown report of small aggregate tables, at most ``most`` rows each."""
-    out = []
-    for title, df in tables.items():
-        rows = df.limit(most).collect()
-        out += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        out += ["| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in rows] + [""]
-    Path(path).write_text("\n".join(out))
-
-
-def write_results(tables: dict[str, DataFrame], path: str, most: int = 1000) -> None:
-    Path(path).write_text(json.dumps({k: [r.asDict(recursive=True) for r in df.limit(most).collect()] for k, df in tables.items()}, default=str, indent=1))
+def write_report(tables: dict[str, DataFrame], path: str) -> None:
+    """A Markdown report of tables, all rows, which reach the driver one partition at a time."""
+    with open(path, "w", encoding="utf-8") as out:
+        for title, df in tables.items():
+            out.write(f"## {title}\n\n| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n")
+            for r in df.toLocalIterator():
+                out.write("| " + " | ".join("" if x is None else str(x) for x in r) + " |\n")
+            out.write("\n")
+
+
+def write_results(tables: dict[str, DataFrame], path: str) -> None:
+    """One JSON object of arrays, all rows, which reach the driver one partition at a time."""
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("{")
+        for i, (title, df) in enumerate(tables.items()):
+            out.write(f"{',' if i else ''}\n{json.dumps(title)}: [")
+            for k, r in enumerate(df.toLocalIterator()):
+                out.write(("," if k else "") + "\n " + json.dumps(r.asDict(recursive=True), default=str))
+            out.write("]")
+        out.write("}\n")
 
 
 def cached(spark: SparkSession, path: str, make) -> DataFrame:

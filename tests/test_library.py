@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sqlloom import queries as q
 from sqlloom.functions import text as T
 from sqlloom.functions.edits import each
-from sqlloom.functions.register import register
+from sqlloom.functions.register import register, register_corpus
 from sqlloom.operators import corpus, fuzzy, history, metrics
 from sqlloom.plans import catalyst
 from sqlloom.plans.compare import multiset_diff, same_result
@@ -60,6 +60,35 @@ def test_text(spark):
     assert "PRIMARY KEY" in ddl["lineitem"] and ddl["region"].count("PRIMARY KEY") == 1
 
 
+def test_canonical_form(spark):
+    form = lambda x: one(spark, [x], T.canonical_form(F.col("x")))[0]
+    a = form("SELECT a.x FROM t AS a JOIN u b ON a.i=b.i WHERE a.x = 'it''s' AND b.y > 2.5;")
+    assert a == form("select T1.x from t T1 join u as T2 on T1.i = T2.i  where T1.x = 'q' and T2.y > 7") and "t1.x" in a
+    assert a != form("SELECT b.x FROM t AS a JOIN u b ON a.i=b.i WHERE a.x = 'it''s' AND b.y > 2.5") and form("SELECT x1 FROM t2") == "select x1 from t2"
+
+
+def test_mutation_choices(spark):
+    from sqlloom.operators.mutate import FILLERS, random_text
+
+    got = [r[0] for r in spark.range(400).select(random_text(F.array(F.lit("Peru"), F.lit("12"), F.lit("")), F.col("id"))).collect()]
+    assert set(got) == {"Peru", *FILLERS} and 230 < got.count("Peru") < 330
+
+
+def test_reports_hold_all_rows(spark, tmp_path):
+    files.write_report({"T": spark.range(2500)}, f"{tmp_path}/r.md")
+    files.write_results({"T": spark.range(2500), "none": spark.range(0)}, f"{tmp_path}/r.json")
+    got = json.loads((tmp_path / "r.json").read_text())
+    assert len((tmp_path / "r.md").read_text().splitlines()) == 2505 and len(got["T"]) == 2500 and got["none"] == []
+
+
+def test_places_number_groups_of_any_size(spark):
+    rows = spark.range(3000).select((F.col("id") % 1000).alias("v"), F.when(F.col("id") % 3 == 0, "b").when(F.col("id") % 3 == 1, "a").alias("g"), "id")
+    got = corpus.places(rows, "g", "v", "id").collect()
+    for g in ("a", "b", None):
+        own = sorted((r["v"], r["id"], r["place"]) for r in got if r["g"] == g)
+        assert [x[2] for x in own] == list(range(1, 1001))
+
+
 def test_fuzzy(spark):
     pairs = spark.createDataFrame([("FORM", "FROM"), ("ca", "abc"), ("same", "SAME"), ("", "ab")], "a string, b string")
     assert [r[0] for r in pairs.select(fuzzy.osa_distance("a", "b")).collect()] == [1, 3, 0, 2]
@@ -152,6 +181,10 @@ def test_corpus_choices(spark):
 def test_sql_functions(spark):
     register(spark)
     assert spark.sql("SELECT julianday(TIMESTAMP'2020-01-01'), strftime('%Y-%m', TIMESTAMP'2020-03-01'), quote_ident('a\"b'), osa_distance('FORM', 'FROM'), sql_normalize(' x ; ')").first()[:] == (2458849.5, "2020-03", '"a""b"', 1, "x")
+    assert spark.sql("SELECT total(collect_list(CAST(id AS DOUBLE))), group_concat(collect_list(CAST(id AS STRING))) FROM range(3)").first()[:] == (3.0, "0,1,2")
+    spark.createDataFrame([(1, "star", "SELECT r_nme FROM region")], "id long, db_id string, sql string").createOrReplaceTempView("asked")
+    register_corpus(spark, "asked", catalog.from_wire(spark, "star", WIRE))
+    assert spark.sql("SELECT d.error_class, i.token, r.repaired_query FROM sql_diagnose d JOIN sql_issues i USING (id) JOIN sql_repair r USING (id)").first()[:] == ("UNKNOWN_COLUMN", "r_nme", "SELECT r_name FROM region")
     assert [r[0] for r in spark.sql("SELECT token FROM sql_tokens('SELECT f(a) FROM t') ORDER BY idx").collect()] == ["SELECT", "f", "(", "a", ")", "FROM", "t"]
     assert [r[0] for r in spark.sql("SELECT query FROM split_queries('SELECT '';''; SELECT 2') ORDER BY idx").collect()] == ["SELECT ';'", "SELECT 2"]
     assert ("removed", "b") in [tuple(r) for r in spark.sql("SELECT kind, part FROM word_diff('a b c', 'a x c')").collect()]
