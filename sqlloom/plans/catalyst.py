@@ -7,7 +7,10 @@ driver, one query at a time, for interactive use; corpora go through
 
 from __future__ import annotations
 
+import re
+import threading
 import time
+import uuid
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +49,16 @@ def check(spark: SparkSession, sql: str) -> tuple[str, str | None]:
         spark.conf.set(key, before)
 
 
+#: Functions that call into the JVM, and formats whose files can be named like a table.
+CALLS, FILES = ("java_method", "reflect", "try_reflect"), ("text", "csv", "json", "parquet", "orc", "avro", "xml", "binaryfile")
+OUTSIDE = re.compile(rf"\b(?:{'|'.join(CALLS)})\s*\(|\b(?:{'|'.join(FILES)})`?\s*\.\s*`", re.I)
+LITERALS = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", re.S)
+
+
 def is_query(spark: SparkSession, sql: str) -> bool:
-    """Whether the text is one statement that only reads: its parsed plan holds no command."""
+    """Whether the text is one statement that only reads tables: its parsed plan holds no command, and it neither calls into the JVM nor names files."""
+    if OUTSIDE.search(LITERALS.sub("''", sql)):
+        return False
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     nodes = [plan]
     while nodes:
@@ -60,12 +71,31 @@ def is_query(spark: SparkSession, sql: str) -> bool:
     return True
 
 
-def execute(spark: SparkSession, sql: str, limit: int = 1000) -> dict:
-    """columns, rows (at most ``limit``), row_count, truncated, elapsed_ms of a read-only query.  Callers set a job group to cancel it at a deadline."""
+def execute(spark: SparkSession, sql: str, limit: int = 1000, seconds: float | None = None) -> dict:
+    """columns, rows (at most ``limit``), row_count, truncated, elapsed_ms of a read-only query, which is cancelled after ``seconds``."""
     if not is_query(spark, sql):
-        raise ValueError("only a single read-only query can be executed")
-    began = time.time()
+        raise ValueError("only a single read-only query of tables can be executed")
+    began, group = time.time(), f"execute-{uuid.uuid4().hex}"
     df = spark.sql(sql)
     clean = [F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema] if len(set(df.columns)) == len(df.columns) else ["*"]
-    rows = df.select(*clean).limit(limit + 1).collect()
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop) if seconds is not None else None
+    spark.sparkContext.setJobGroup(group, "read-only query", interruptOnCancel=True)
+    try:
+        if timer:
+            timer.start()
+        rows = df.select(*clean).limit(limit + 1).collect()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"the query took more than {seconds} s") from e
+        raise
+    finally:
+        if timer:
+            timer.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     return {"columns": df.columns, "rows": [list(r) for r in rows[:limit]], "row_count": min(len(rows), limit), "truncated": len(rows) > limit, "elapsed_ms": (time.time() - began) * 1000}

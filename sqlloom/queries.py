@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import samples
 from .functions import text as T
 from .labels import CLASSES
-from .operators import corpus, fuzzy, history, metrics
+from .operators import browse, corpus, fuzzy, history, metrics
 from .operators.fusion import fuse
 from .sources.catalog import fold_information_schema
 
@@ -34,6 +34,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def star(spark: SparkSession) -> DataFrame:
+    from .sources.catalog import from_wire
+
+    return from_wire(spark, "star", samples.WIRE)
+
+
+def made(spark: SparkSession, rows: DataFrame, key: str, number: str, text: str, templates: list[tuple]) -> DataFrame:
+    """id, db_id, sql and what else a template says: each row's text from the template that its key modulo their number names."""
+    columns = ["sql", *(f"v{i}" for i in range(1, len(templates[0])))]
+    t = spark.createDataFrame([(i, *x) for i, x in enumerate(templates)], ["_k", *columns])
+    filled = lambda c: F.replace(F.replace(F.col(c), F.lit("{n}"), F.col(number).cast("string")), F.lit("{s}"), F.col(text))
+    texts = [c for c in columns if isinstance(templates[0][columns.index(c)], str)]
+    return rows.join(F.broadcast(t), F.col(key) % len(templates) == F.col("_k")).select(F.col(key).alias("id"), F.lit("star").alias("db_id"), *(filled(c).alias(c) if c in texts else c for c in columns))
+
+
+def sql_templates(templates: list[tuple]) -> str:
+    cell = lambda x: str(x).upper() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join(f"({i}, {', '.join(map(cell, x))})" for i, x in enumerate(templates)) + ") AS t(k, sql, v1)"
+
+
 # ------------------------------------------------------------------ predictions
 
 DIM = "(VALUES " + ", ".join(f"({i}, '{n}', {'NULL' if p is None else p})" for i, n, p in CLASSES) + ") AS dim(id, label, priority)"
@@ -271,6 +291,109 @@ def export_ids(spark, sf_dir):
     return corpus.numbered_ids(table(spark, sf_dir, "documents").select("doc_id", split_column().alias("split")), "split", "doc_id")
 
 
+# -------------------------------------------------------------- pages and tokens
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE role = 'user' AND contains(lower(text), 'the')")
+def batch_page(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("sql"), F.col("role").alias("error_class"), F.array().cast("array<struct<message string>>").alias("issues"))
+    return browse.batch_filter(rows, "user", "THE").select("conv_id", "turn", "role")
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2 ORDER BY n DESC, lang, source")
+def counts_by_two(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang", "source")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (role = 'assistant') AS answers FROM conversations WHERE text ILIKE '%the%'")
+def history_total(spark, sf_dir):
+    h = table(spark, sf_dir, "conversations").select("conv_id", "role", F.col("text").alias("title"), F.col("role").alias("kind"), F.lit(None).cast("string").alias("error_class"))
+    return history.search(h, "the").agg(F.count("*").alias("total"), F.count_if(F.col("role") == "assistant").alias("answers"))
+
+
+@query("SELECT count(*) AS n, round(s, 3) AS seconds, round(count(*) / s, 6) AS per_second FROM events, (SELECT (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS s FROM events) GROUP BY s")
+def event_throughput(spark, sf_dir):
+    return browse.throughput(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts")
+
+
+@query("SELECT s_suppkey, lower(md5('42|' || s_suppkey)) AS d FROM supplier ORDER BY d, s_suppkey LIMIT 25")
+def seeded_subsample(spark, sf_dir):
+    """A sampling operator: 25 rows by a seed."""
+    return browse.subsample(table(spark, sf_dir, "supplier").select("s_suppkey", F.md5(F.concat_ws("|", F.lit("42"), F.col("s_suppkey").cast("string"))).alias("d")), 25, "s_suppkey")
+
+
+@query("SELECT p_partkey, i::INT AS rank, w AS candidate FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part)")
+def candidate_ranks(spark, sf_dir):
+    return browse.ranked(table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("words")), "words")
+
+
+@query(
+    "WITH e AS (SELECT o_orderkey, unnest(['low', 'mid', 'high']) AS label, unnest([(o_custkey % 7) / 10.0, (o_custkey % 5) / 10.0, (o_custkey % 3) / 10.0]) AS p FROM orders) "
+    "SELECT o_orderkey, string_agg(label, '>' ORDER BY p DESC, label) AS ranking FROM e GROUP BY 1"
+)
+def ranked_probabilities(spark, sf_dir):
+    p = F.create_map(*(x for label, k in (("low", 7), ("mid", 5), ("high", 3)) for x in (F.lit(label), (F.col("o_custkey") % k) / 10.0)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(browse.by_probability(p), lambda x: x["label"]), ">").alias("ranking"))
+
+
+@query(
+    "WITH t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS token FROM part), d AS (SELECT DISTINCT * FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY length(token) DESC, token) AS k FROM d) "
+    "SELECT p_partkey, string_agg(token, ',' ORDER BY k) AS tokens FROM r WHERE k <= 3 GROUP BY 1"
+)
+def strongest_tokens(spark, sf_dir):
+    weights = F.transform(F.array_distinct(F.split("p_name", " ")), lambda w: F.struct(w.alias("token"), F.length(w).cast("double").alias("weight")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(browse.strongest(weights), ",").alias("tokens"))
+
+
+TOKENS_SQL = (
+    f"WITH q AS (SELECT s_suppkey AS id, replace(replace(sql, '{{n}}', CAST(s_suppkey AS VARCHAR)), '{{s}}', s_name) AS sql FROM supplier JOIN {sql_templates([(x, '') for x in samples.SEEDS])} ON s_suppkey % {len(samples.SEEDS)} = k), "
+    r"l AS (SELECT id, regexp_extract_all(sql, $$'[^']*'|\w+|<>|<=|>=|!=|==|[^\s\w]$$) AS ts FROM q), t AS (SELECT id, unnest(ts) AS token, generate_subscripts(ts, 1) - 1 AS idx FROM l), "
+    "d AS (SELECT *, (sum(CASE token WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY idx) - CASE WHEN token = '(' THEN 1 ELSE 0 END)::INT AS depth FROM t) "
+)
+
+
+def seed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.tokens import token_rows
+
+    rows = made(spark, table(spark, sf_dir, "supplier"), "s_suppkey", "s_suppkey", "s_name", [(x,) for x in samples.SEEDS])
+    return token_rows(rows.select("id", "sql"))
+
+
+@query(TOKENS_SQL + "SELECT id, idx::INT AS idx, token, depth, lag(token) OVER w AS prev, lead(token) OVER w AS next FROM d WINDOW w AS (PARTITION BY id ORDER BY idx)")
+def token_neighbours(spark, sf_dir):
+    from .functions.tokens import with_neighbours
+
+    return with_neighbours(seed_tokens(spark, sf_dir), "id").drop("is_function_name")
+
+
+CLAUSE_WORDS = "('SELECT', 'FROM', 'WHERE', 'GROUP', 'HAVING', 'ORDER', 'LIMIT', 'UNION', 'INTERSECT', 'EXCEPT')"
+
+
+@query(
+    TOKENS_SQL + f"SELECT a.id, a.idx::INT AS idx, (least(coalesce((SELECT min(b.idx) FROM d b WHERE b.id = a.id AND b.depth = a.depth AND b.idx > a.idx AND upper(b.token) IN {CLAUSE_WORDS}), 100000), "
+    "coalesce((SELECT min(b.idx) FROM d b WHERE b.id = a.id AND b.depth = a.depth - 1 AND b.idx > a.idx AND b.token = ')'), 100000), (SELECT max(b.idx) + 1 FROM d b WHERE b.id = a.id)) - 1)::INT AS clause_end FROM d a"
+)
+def clause_ends(spark, sf_dir):
+    from .functions.tokens import with_clause_ends
+
+    return with_clause_ends(seed_tokens(spark, sf_dir), "id").select("id", "idx", "clause_end")
+
+
+@query(TOKENS_SQL + f"SELECT id, count(*) AS commas, count(*) FILTER (coalesce(c = 'FROM', false)) AS in_from FROM (SELECT *, last_value(CASE WHEN upper(token) IN {CLAUSE_WORDS} THEN upper(token) END IGNORE NULLS) OVER (PARTITION BY id, depth ORDER BY idx) AS c FROM d) WHERE token = ',' GROUP BY 1")
+def from_list_commas(spark, sf_dir):
+    from .functions.tokens import in_from_lists
+
+    return in_from_lists(seed_tokens(spark, sf_dir), "id").filter("token = ','").groupBy("id").agg(F.count("*").alias("commas"), F.count_if("in_from").alias("in_from"))
+
+
+@query("SELECT c_custkey, substr(c_name, 1, 2) || '<' || substr(c_name, 3, 3) || '>' || substr(c_name, 7) AS edited FROM customer")
+def applied_edits(spark, sf_dir):
+    from .functions.tokens import edited
+
+    e = lambda a, b, new: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(new).alias("new"))
+    return table(spark, sf_dir, "customer").select("c_custkey", edited(F.col("c_name"), F.array(e(5, 6, ">"), e(2, 2, "<"))).alias("edited"))
+
+
 # --------------------------------------------------------------- inline fixtures
 
 
@@ -419,26 +542,6 @@ def text_values(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
 
 
-def star(spark: SparkSession) -> DataFrame:
-    from .sources.catalog import from_wire
-
-    return from_wire(spark, "star", samples.WIRE)
-
-
-def made(spark: SparkSession, rows: DataFrame, key: str, number: str, text: str, templates: list[tuple]) -> DataFrame:
-    """id, db_id, sql and what else a template says: each row's text from the template that its key modulo their number names."""
-    columns = ["sql", *(f"v{i}" for i in range(1, len(templates[0])))]
-    t = spark.createDataFrame([(i, *x) for i, x in enumerate(templates)], ["_k", *columns])
-    filled = lambda c: F.replace(F.replace(F.col(c), F.lit("{n}"), F.col(number).cast("string")), F.lit("{s}"), F.col(text))
-    texts = [c for c in columns if isinstance(templates[0][columns.index(c)], str)]
-    return rows.join(F.broadcast(t), F.col(key) % len(templates) == F.col("_k")).select(F.col(key).alias("id"), F.lit("star").alias("db_id"), *(filled(c).alias(c) if c in texts else c for c in columns))
-
-
-def sql_templates(templates: list[tuple]) -> str:
-    cell = lambda x: str(x).upper() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'"
-    return "(VALUES " + ", ".join(f"({i}, {', '.join(map(cell, x))})" for i, x in enumerate(templates)) + ") AS t(k, sql, v1)"
-
-
 @query(f"SELECT o_orderkey AS id, v1 AS error_class FROM orders JOIN {sql_templates(samples.LABELLED)} ON o_orderkey % {len(samples.LABELLED)} = k")
 def diagnose_corpus(spark, sf_dir):
     """One text for each order; its label is that of the template it is made from."""
@@ -521,13 +624,13 @@ def stream_class_counts(spark, sf_dir):
     import uuid
 
     from .plans.stages import folder
-    from .streaming.verdicts import class_counts, read_log, start_to_table
+    from .streaming.verdicts import class_counts, read_log, start_to_path
 
     path = f"{sf_dir}/events.parquet"
-    name = f"counts_{uuid.uuid4().hex}"
+    out = os.path.join(folder(spark), f"counts-{uuid.uuid4().hex}")
     log = read_log(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    start_to_table(class_counts(log, "ts", "event_type", "1 day"), name, os.path.join(folder(spark), name)).awaitTermination()
-    return spark.table(name)
+    start_to_path(class_counts(log, "ts", "event_type", "1 day"), f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/table")
 
 
 @query("SELECT tbl AS table_name, CASE WHEN tbl = 'ship' THEN tbl || '(' || string_agg(col || ' number', ', ' ORDER BY ord) FILTER (kind = 'INTEGER') || ')' ELSE tbl END AS text FROM (VALUES " + ", ".join(str(r) for r in INFO if r[2] == "INTEGER") + ") AS i(tbl, col, kind, ord) GROUP BY 1")

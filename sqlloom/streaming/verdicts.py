@@ -22,5 +22,10 @@ def class_counts(rows: DataFrame, at: str, label: str, width: str = "1 hour", la
     return t.groupBy(F.window(at, width), F.col(label).alias("label")).agg(F.count("*").alias("n"), F.avg("value").alias("mean_ms")).select(F.col("window.start").alias("window_start"), "label", "n", F.round("mean_ms", 6).alias("mean_ms"))
 
 
-def start_to_table(counts: DataFrame, name: str, checkpoint: str, mode: str = "complete"):
-    return counts.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start_to_path(counts: DataFrame, path: str, checkpoint: str):
+    """Starts the stream; after each batch the table at ``path`` holds all counts so far, written by the executors."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -199,7 +199,10 @@ def test_catalyst(spark):
     assert {s: catalyst.check(spark, s)[0] for s in cases} == cases
     got = catalyst.execute(spark, "SELECT id, CAST('NaN' AS DOUBLE) AS x FROM range(10)", limit=3)
     assert got["row_count"] == 3 and got["truncated"] and got["rows"][0] == [0, None]
-    for bad in ("DROP TABLE x", "CREATE TABLE x (a INT)", "INSERT INTO x VALUES (1)", "SET a=1"):
+    with pytest.raises(TimeoutError):
+        catalyst.execute(spark, "SELECT sum(a.id * b.id % 7) FROM range(3000000) a JOIN range(3000000) b ON a.id % 11 <> b.id % 13", seconds=3)
+    assert catalyst.execute(spark, "SELECT 'reflect(x) text.`y`' AS x")["row_count"] == 1
+    for bad in ("SELECT reflect('java.lang.System', 'exit', 0)", "SELECT java_method('java.util.UUID', 'randomUUID')", "SELECT * FROM text.`/etc/hosts`", "SELECT * FROM `csv`.`/x`", "DROP TABLE x", "CREATE TABLE x (a INT)", "INSERT INTO x VALUES (1)", "SET a=1"):
         with pytest.raises(ValueError):
             catalyst.execute(spark, bad)
 
@@ -208,6 +211,8 @@ def test_results(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "x int")
     assert multiset_diff(a, spark.createDataFrame([(1,), (2,), (2,)], "x int")).count() == 2
     assert same_result(a, spark.createDataFrame([(2,), (1,), (1,)], "y int")) and not same_result(a, a.selectExpr("cast(x as double)"))
+    big = spark.range(2000).repartition(5)
+    assert same_result(big.orderBy("id"), big.orderBy("id").repartitionByRange(3, "id").sortWithinPartitions("id"), "SELECT id FROM t ORDER BY id")
     assert not same_result(a.coalesce(1).orderBy("x"), a.coalesce(1).orderBy(F.col("x").desc()), "SELECT x FROM t ORDER BY x")
 
 
