@@ -83,7 +83,7 @@ def read_back(examples: DataFrame) -> DataFrame:
     e = e.withColumn("_loss", unescape(F.array_join(F.transform("_t", lambda t: t["target"]), "")))
     parts = F.filter(F.split("_f", CLOSE), lambda x: x != "")
     turns = F.transform(parts, lambda p: F.concat(
-        unescape(F.substring_index(F.substring(p, len(OPEN) + 1, 1 << 30), MID, 1)), F.lit("\n"),
+        unescape(F.substring_index(F.substring(p, F.lit(len(OPEN) + 1), F.length(p)), MID, 1)), F.lit("\n"),
         unescape(F.substring(p, F.length(F.substring_index(p, MID, 1)) + len(MID) + 1, F.length(p))), F.lit("\n")))
     e = e.withColumn("_turns", turns)
     return e.select(

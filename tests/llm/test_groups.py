@@ -50,6 +50,28 @@ def test_chat_expansion(spark):
     assert e[1]["prompt"] == "### user: q1</turn>\n### assistant: a1</turn>\n### user: q2</turn>\n### assistant: " and e[1]["tail"] == "</turn>\n### user: bye</turn>\n"
 
 
+def test_every_prompt_and_target(spark, sf_dir):
+    """All examples of all conversations: the turns before, escaped, then the reply."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r["conv_id"], []).append((r["turn"], r["role"] or "", r["text"] or ""))
+    esc = lambda t: t.replace("\\", "\\b").replace("#", "\\h").replace("<", "\\l")
+    want = []
+    for conv, turns in by.items():
+        said, n = "", 0
+        for _, role, text in sorted(turns):
+            head = f"### {esc(role).replace(':', chr(92) + 'c')}: "
+            if role == "assistant":
+                want.append((conv, n, said + head, esc(text)))
+                n += 1
+            said += head + esc(text) + "</turn>\n"
+        if not n:
+            want.append((conv, 0, "", ""))
+    got = expand_examples(format_conversations(rows)).select("conv_id", "example", "prompt", "target").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def unescape_text(spark, x):
     return spark.createDataFrame([(x,)], "x string").select(unescape("x")).first()[0]
 
