@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,3 +42,14 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     out = model.transform(rows).withColumn("_p", p)
     probabilities = F.map_from_arrays(F.array(*(F.lit(x) for x in labels)), F.slice("_p", 1, len(labels)))
     return out.select(*rows.columns, "y_pred", F.array_max(F.slice("_p", 1, len(labels))).alias("confidence"), probabilities.alias("probabilities"))
+
+
+def save(model: PipelineModel, path: str, metadata: dict) -> None:
+    """The model and what is to be known of it (JSON), in a folder that executors share."""
+    spark = SparkSession.getActiveSession()
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def load(path: str) -> tuple[PipelineModel, dict]:
+    return PipelineModel.load(f"{path}/model"), json.loads(SparkSession.getActiveSession().read.text(f"{path}/metadata").first()["value"])

@@ -25,10 +25,28 @@ TABLE, COLUMN = r"(?i)(?<=\b(?:FROM|JOIN)\s)[A-Za-z_]\w*", r"(?i)(?<=\bSELECT\s|
 FUNCTION_TYPOS = {"count": "cnt", "avg": "average", "max": "maximum", "min": "minimum", "sum": "summ"}
 
 
-def _typo(w: Column) -> Column:
-    """A word with two inner letters swapped, or one doubled where they are equal."""
-    a, b = F.substring(w, 2, 1), F.substring(w, 3, 1)
-    return F.concat(F.substring(w, 1, 1), F.when(a == b, F.concat(a, a, b)).otherwise(F.concat(b, a)), F.substring(w, F.lit(4), F.length(w)))
+#: Letters, and the keys to their right.
+LETTERS, RIGHT = "qwertyuiopasdfghjklzxcvbnmQWERTYUIOPASDFGHJKLZXCVBNM", "wertyuioposdfghjklaxcvbnmzWERTYUIOPOSDFGHJKLAXCVBNMZ"
+
+
+def _typos(s: Column, pattern: str) -> Column:
+    """Each match with a slip in its second letter: swapped with the next, left out, doubled, or the key beside it."""
+    first, second, third = (lambda w, k=k: F.substring(w, k, 1) for k in (1, 2, 3))
+    rest = lambda w, k: F.substring(w, F.lit(k), F.length(w))
+    slips = (
+        lambda w: F.concat(first(w), third(w), second(w), rest(w, 4)), lambda w: F.concat(first(w), rest(w, 3)),
+        lambda w: F.concat(first(w), second(w), rest(w, 2)), lambda w: F.concat(first(w), F.translate(second(w), LETTERS, RIGHT), rest(w, 3)),
+    )
+    return F.concat(*(each(s, pattern, slip) for slip in slips))
+
+
+def _column_variants(s: Column) -> Column:
+    """Each column under a name that it does not have: another number, a part more, less or elsewhere, an id."""
+    parts = lambda w: F.split(w, "_")
+    return F.concat(
+        each(s, COLUMN, toggle_plural), each(s, COLUMN, lambda w: F.concat(w, F.lit("_name"))), each(s, COLUMN, lambda w: F.concat(w, F.lit("_id"))),
+        each(s, COLUMN, lambda w: F.replace(w, F.lit("_"), F.lit(""))), each(s, COLUMN, lambda w: F.array_join(F.reverse(parts(w)), "_")),
+    )
 
 
 def _function_typos(sql: Column) -> Column:
@@ -39,25 +57,25 @@ def _function_typos(sql: Column) -> Column:
 MUTATIONS = {
     "syn_drop_comma": ("SYNTAX_ERROR", 1.0, lambda s: each(s, ",", "")),
     "syn_drop_keyword": ("SYNTAX_ERROR", 1.2, lambda s: each(s, r"(?i)\b(?:FROM|WHERE|ON|SELECT|HAVING)\b ?", "")),
-    "syn_keyword_typo": ("SYNTAX_ERROR", 1.5, lambda s: each(s, KEYWORD, _typo)),
+    "syn_keyword_typo": ("SYNTAX_ERROR", 1.5, lambda s: _typos(s, KEYWORD)),
     "syn_split_by": ("SYNTAX_ERROR", 0.5, lambda s: each(s, r"(?i)(?<=\b(?:GROUP|ORDER)) BY\b", "")),
-    "syn_parenthesis": ("SYNTAX_ERROR", 1.0, lambda s: each(s, r"[()]", "")),
+    "syn_parenthesis": ("SYNTAX_ERROR", 1.0, lambda s: F.concat(each(s, r"[()]", ""), each(s, r"(?<=[ ,])(?=[a-z_]\w*[ ,)])", "("))),
     "syn_unclosed_quote": ("SYNTAX_ERROR", 0.7, lambda s: each(s, r"'[^']*'", lambda x: F.substring(x, F.lit(1), F.length(x) - 1))),
-    "syn_dangling_operator": ("SYNTAX_ERROR", 1.2, lambda s: F.concat(each(s, r"(?i)\bWHERE\b", "WHERE AND"), each(s, f"{NUMBER}|{STRING}", ""))),
+    "syn_dangling_operator": ("SYNTAX_ERROR", 1.2, lambda s: F.concat(each(s, r"(?i)\bWHERE\b", "WHERE AND"), each(s, f"{NUMBER}|{STRING}", ""), each(s, r"(?<=[\w.] )(?:=|<>|<=|>=|<|>) (?=[\w'])", ""))),
     "syn_trailing_comma": ("SYNTAX_ERROR", 0.6, lambda s: each(s, r"(?i) FROM\b", ", FROM")),
     "syn_clause_order": ("SYNTAX_ERROR", 0.6, lambda s: once(s, r"(?is)^(.*?) (WHERE .*?) ((?:GROUP|ORDER) BY .*)$", "$1 $3 $2")),
     "syn_duplicate_keyword": ("SYNTAX_ERROR", 0.4, lambda s: each(s, r"(?i)\b(?:SELECT|FROM|WHERE)\b", lambda x: F.concat(x, F.lit(" "), x))),
-    "tab_rename": ("UNKNOWN_TABLE", 1.0, lambda s: F.concat(each(s, TABLE, toggle_plural), each(s, TABLE, _typo), each(s, TABLE, lambda x: F.concat(F.lit("tbl_"), x)))),
-    "col_rename": ("UNKNOWN_COLUMN", 1.0, lambda s: F.concat(each(s, COLUMN, toggle_plural), each(s, COLUMN, _typo), each(s, COLUMN, lambda x: F.concat(x, F.lit("_name"))))),
+    "tab_rename": ("UNKNOWN_TABLE", 1.0, lambda s: F.concat(each(s, TABLE, toggle_plural), _typos(s, TABLE), each(s, TABLE, lambda x: F.concat(F.lit("tbl_"), x)), each(s, TABLE, lambda x: F.concat(x, F.lit("_info"))))),
+    "col_rename": ("UNKNOWN_COLUMN", 1.0, lambda s: F.concat(_column_variants(s), _typos(s, COLUMN))),
     "dt_literal": ("DATATYPE_MISMATCH", 1.5, lambda s: F.concat(each(s, NUMBER, "'high'"), each(s, STRING, "5"))),
-    "dt_aggregate": ("DATATYPE_MISMATCH", 1.0, lambda s: each(s, r"(?i)(?<=^SELECT )(?:\w+\.)?[a-z_]\w*(?=[ ,])", lambda x: F.concat(F.lit("avg("), x, F.lit(")")))),
+    "dt_aggregate": ("DATATYPE_MISMATCH", 1.0, lambda s: F.concat(*(each(s, r"(?i)(?<=^SELECT )(?:\w+\.)?[a-z_]\w*(?=[ ,])", lambda x, f=f: F.concat(F.lit(f + "("), x, F.lit(")"))) for f in ("avg", "sum")))),
     "dt_predicate": ("DATATYPE_MISMATCH", 0.8, lambda s: once(s, r"(?i)\bWHERE ([\w.]+) ", "WHERE $1 = 'unknown' AND $1 ")),
     "amb_unqualify": ("AMBIGUOUS_REFERENCE", 2.0, lambda s: each(s, r"\b[A-Za-z_]\w*\.(?=[A-Za-z_])", "")),
     "amb_duplicate_alias": ("AMBIGUOUS_REFERENCE", 1.0, lambda s: once(s, r"(?is)(\bAS )(\w+)( .*?\bAS )(\w+)", "$1$2$3$2")),
-    "amb_self_join": ("AMBIGUOUS_REFERENCE", 0.4, lambda s: once(s, r"(?i)\bFROM (\w+)(?= WHERE| GROUP| ORDER| LIMIT|$)", "FROM $1 JOIN $1")),
+    "amb_self_join": ("AMBIGUOUS_REFERENCE", 0.4, lambda s: F.concat(*(once(s, r"(?i)\bFROM (\w+)(?= WHERE| GROUP| ORDER| LIMIT|$)", to) for to in ("FROM $1 JOIN $1", "FROM $1 AS a JOIN $1 AS a")))),
     "sem_null_compare": ("SEMANTIC_ERROR", 1.2, lambda s: each(s, r"(?<== )(?:'[^']*'|\d+)", "NULL")),
     "sem_having_to_where": ("SEMANTIC_ERROR", 1.0, lambda s: once(s, r"(?is) (GROUP BY .*?) HAVING (.*?)(?= ORDER BY| LIMIT|$)", " WHERE $2 $1")),
-    "sem_aggregate_in_where": ("SEMANTIC_ERROR", 1.0, lambda s: each(s, r"(?i)\bWHERE\b", "WHERE count(*) > 1 AND")),
+    "sem_aggregate_in_where": ("SEMANTIC_ERROR", 1.0, lambda s: F.concat(each(s, r"(?i)\bWHERE\b", "WHERE count(*) > 1 AND"), once(s, r"(?i)\(SELECT ((?:avg|max|min|sum|count)\([^()]*\)) FROM [^()]*\)", "$1"))),
     "sem_drop_group_by": ("SEMANTIC_ERROR", 1.0, lambda s: once(s, r"(?is) GROUP BY .*?(?= HAVING| ORDER BY| LIMIT|$)", "")),
     "sem_ungrouped_column": ("SEMANTIC_ERROR", 1.0, lambda s: once(s, r"(?is)^SELECT ((?:[\w.]+, )?)(.*?) (FROM .*? GROUP BY .*)$", "SELECT *, $1$2 $3")),
     "sem_drop_join_condition": ("SEMANTIC_ERROR", 1.0, lambda s: each(s, r"(?i) ON [\w.]+ = [\w.]+", "")),
@@ -113,7 +131,8 @@ def surface(sql: Column, *seed: Column) -> Column:
     d = draw(*seed, F.lit("surface"))
     chance = lambda k: F.conv(F.substring(d, k, 4), 16, 10).cast("int") % 10 < 3
     moved = F.when(chance(1), perturb_literals(sql, *seed)).otherwise(sql)
-    return augment_surface(F.when(chance(5), rename_aliases(moved)).otherwise(moved), *seed)
+    pools = F.when(chance(9), rename_aliases(moved, "q")).when(chance(13), rename_aliases(moved, "tbl")).otherwise(rename_aliases(moved))
+    return augment_surface(F.when(chance(5), pools).otherwise(moved), *seed)
 
 
 @built_once

@@ -109,14 +109,15 @@ def rewrites() -> Column:
 def _sources() -> Column:
     """array<struct<t, a>>: tables and aliases behind FROM, JOIN and commas, in lower case."""
     pattern = r"(?i)(?:\bFROM|\bJOIN|,) (\w+)(?: (?:AS )?(?!(?:ON|WHERE|JOIN|GROUP|ORDER|USING|LEFT|INNER|CROSS|NATURAL|LIMIT|HAVING|UNION|INTERSECT|EXCEPT)\b)(\w+))?"
-    found = F.arrays_zip(*(F.regexp_extract_all("sql", F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "t"), (2, "a"))))
+    lists = F.regexp_extract_all("sql", F.lit(r"(?is)\b(FROM .*?)(?= WHERE\b| GROUP\b| ORDER\b| LIMIT\b| HAVING\b| UNION\b| INTERSECT\b| EXCEPT\b|\)|$)"), F.lit(1))
+    found = F.arrays_zip(*(F.regexp_extract_all(F.array_join(lists, " ; "), F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "t"), (2, "a"))))
     return F.transform(found, lambda x: F.struct(F.lower(x["t"]).alias("t"), F.lower(F.when(x["a"] != "", x["a"]).otherwise(x["t"])).alias("a")))
 
 
 def _join_conditions() -> Column:
     """ON <condition>, or AND <condition>, behind the table that the issue names, for its links with the other tables of the query."""
     s, token = F.col("sql"), F.lower("token")
-    own = F.filter("sources", lambda x: x["a"] == token)[0]["t"]
+    own = F.get(F.filter("sources", lambda x: x["a"] == token), F.lit(0))["t"]
     both = lambda a, x, b, y: F.concat(a, F.lit("."), x, F.lit(" = "), b, F.lit("."), y)
     ways = F.flatten(F.transform(F.filter("sources", lambda x: x["a"] != token), lambda o: F.flatten(F.transform("links", lambda k: F.filter(F.array(
         F.when((k["table_name"] == own) & (k["target_table"] == o["t"]), F.struct(both(F.col("token"), k["column"], o["a"], k["target_column"]).alias("c"), k["preference"].alias("p"))),
@@ -137,7 +138,7 @@ def _key_partners() -> Column:
     s, token = F.col("sql"), F.col("token")
     exact = F.concat(F.lit(r"\Q"), token, F.lit(r"\E"))
     other = F.lower(F.coalesce(*(F.get(F.regexp_extract_all(s, F.concat(F.lit(a), exact, F.lit(b)), F.lit(1)), F.lit(0)) for a, b in ((r"(?i)\b(\w+\.\w+) ?= ?", r"\b"), ("(?i)", r" ?= ?(\w+\.\w+)")))))
-    table = lambda x: F.filter("sources", lambda y: y["a"] == F.lower(F.split(x, r"\.")[0]))[0]["t"]
+    table = lambda x: F.get(F.filter("sources", lambda y: y["a"] == F.lower(F.split(x, r"\.")[0])), F.lit(0))["t"]
     ahead = lambda k: (k["table_name"] == table(token)) & (k["target_table"] == table(other)) & (F.lower(k["target_column"]) == F.split(other, r"\.")[1])
     behind = lambda k: (k["table_name"] == table(other)) & (F.lower(k["column"]) == F.split(other, r"\.")[1]) & (k["target_table"] == table(token))
     fit = F.filter("links", lambda k: (k["preference"] == 0) & (ahead(k) | behind(k)))
@@ -187,10 +188,12 @@ def candidates(wrong: DataFrame, catalog: DataFrame) -> DataFrame:
         cover = words.join(columns.select("db_id", "table_name", F.lower("option").alias("_w")), ["db_id", "_w"]).groupBy("id", "table_name").agg(F.count("*").alias("_n"))
         cover = cover.groupBy("id").agg(F.min_by("table_name", F.struct(-F.col("_n"), "table_name")).alias("option"))
         add(lost.join(cover, "id"), _replaced("word", F.col("option")), "table with the columns used", 0)
-    if "COL_UNKNOWN" in codes:  # near names of the same database
-        lost = wrong.filter("code = 'COL_UNKNOWN'").withColumn("word", names)
-        near = closest(lost.select("db_id", "word"), columns.select("db_id", "option"), ["db_id"], cutoff=0.6)
-        add(lost.join(near.select("db_id", "word", "option"), ["db_id", "word"]), _replaced("word", F.col("option")), "column", 0)
+    if "COL_UNKNOWN" in codes:  # near names of the table that the qualifier stands for, else of all tables of the query
+        lost = own.filter("code = 'COL_UNKNOWN'").withColumn("word", names)
+        of = F.when(F.col("token").contains("."), F.filter("sources", lambda x: x["a"] == F.lower(F.split("token", r"\.")[0]))).otherwise(F.col("sources"))
+        pool = lost.select("id", "db_id", F.explode(F.array_distinct(F.transform(of, lambda x: x["t"]))).alias("_t")).join(columns.withColumn("_t", F.lower("table_name")), ["db_id", "_t"])
+        near = closest(lost.select("id", "word"), pool.select("id", "option"), ["id"], cutoff=0.6)
+        add(lost.join(near.select("id", "word", "option"), ["id", "word"]), _replaced("word", F.col("option")), "column", 0)
     if codes & {"COL_UNKNOWN", "AMB_COLUMN"}:  # other aliases of the query, for all places of the name or for one
         lost = own.filter("code in ('AMB_COLUMN', 'COL_UNKNOWN')").withColumn("alias", F.explode(F.array_distinct(F.transform("sources", lambda x: x["a"]))))
         alias = F.when(F.contains("sql", F.upper("alias")), F.upper("alias")).otherwise(F.col("alias"))
@@ -234,12 +237,12 @@ def _repair(queries: DataFrame, catalog: DataFrame, rounds: int | None) -> DataF
         todo = state.filter("error_class not in ('CORRECT', 'PERMISSION_DENIED') and not stuck").filter(F.size("steps") < limit)
         if not todo.head(1):
             break
-        wrong = todo.select("id", "db_id", F.regexp_replace("sql", r"\s+", " ").alias("sql"), F.col("issues")[0]["code"].alias("code"), F.col("issues")[0]["token"].alias("token"))
+        wrong = todo.select("id", "db_id", F.regexp_replace("sql", r"\s+", " ").alias("sql"), F.get("issues", F.lit(0))["code"].alias("code"), F.get("issues", F.lit(0))["token"].alias("token"))
         options = written(candidates(wrong, catalog), "candidates")
         base = todo.select("id", "db_id", "policy", F.col("sql").alias("before"), F.col("error_class").alias("was"), F.col("issues").alias("had"), "steps", "original_query")
         tried = diagnose(options.join(base, "id").select("id", "db_id", "policy", F.col("candidate").alias("sql"), "before", "was", "had", "steps", "original_query", "description", "preference"), catalog)
         tried = tried.filter(F.col("sql") != F.col("before"))
-        gone = ~F.exists("issues", lambda x: (x["code"] == F.col("had")[0]["code"]) & x["token"].eqNullSafe(F.col("had")[0]["token"]) & (x["message"] == F.col("had")[0]["message"]))
+        gone = ~F.exists("issues", lambda x: (x["code"] == F.get("had", F.lit(0))["code"]) & x["token"].eqNullSafe(F.get("had", F.lit(0))["token"]) & (x["message"] == F.get("had", F.lit(0))["message"]))
         no_worse = (rank[F.col("error_class")] >= rank[F.col("was")]) | (F.col("error_class") == "CORRECT")
         # or what comes up was there before, only masked: it names words of the query as it was
         words = F.split(F.lower("before"), r"[^\w']+")
@@ -256,7 +259,7 @@ def _repair(queries: DataFrame, catalog: DataFrame, rounds: int | None) -> DataF
         discard(options)
     told = F.transform("steps", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". ["), s["error_class"], F.lit("] "), s["description"]))
     sound = F.col("error_class") == "CORRECT"
-    end = F.when(sound & (F.size("steps") > 0), "The repaired query passes all checks.").when(sound, "No errors detected; no changes needed.").otherwise(F.concat(F.lit("Remaining problem: "), F.col("issues")[0]["message"]))
+    end = F.when(sound & (F.size("steps") > 0), "The repaired query passes all checks.").when(sound, "No errors detected; no changes needed.").otherwise(F.concat(F.lit("Remaining problem: "), F.get("issues", F.lit(0))["message"]))
     policy = F.when(F.col("error_class") == "PERMISSION_DENIED", "What a policy closes cannot be repaired: leave it out or ask for access.")
     explain = F.concat_ws("\n", told, end, policy)
     return state.select(

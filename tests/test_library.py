@@ -216,11 +216,14 @@ def test_results(spark):
     assert not same_result(a.coalesce(1).orderBy("x"), a.coalesce(1).orderBy(F.col("x").desc()), "SELECT x FROM t ORDER BY x")
 
 
-def test_baseline(spark):
-    from sqlloom.operators.baseline import fit, predict
+def test_baseline(spark, tmp_path):
+    from sqlloom.operators.baseline import fit, load, predict, save
 
     rows = spark.createDataFrame([(f"SELECT a{i} FROM t{i % 3}" if i % 2 else f"SELEC a{i} FORM t{i % 3}", "CORRECT" if i % 2 else "SYNTAX_ERROR") for i in range(60)], "text string, label string")
-    p = predict(fit(rows, vocabulary=2000), rows)
+    save(fit(rows, vocabulary=2000), f"file://{tmp_path}/m", {"rows": 60})
+    model, known = load(f"file://{tmp_path}/m")
+    assert known == {"rows": 60}
+    p = predict(model, rows)
     assert p.filter("label = y_pred").count() >= 58 and p.filter("confidence < 0.5 or size(probabilities) <> 2").count() == 0
 
 

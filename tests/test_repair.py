@@ -44,38 +44,47 @@ def star(spark):
     return from_wire(spark, "star", samples.WIRE)
 
 
-def test_repairs(spark, star):
-    pairs = [tuple(x.replace("{n}", "7") for x in p) for p in samples.BROKEN] + MORE
-    q = spark.createDataFrame([(i, "star", a) for i, (a, _) in enumerate(pairs)], ROWS)
-    got = {r["id"]: r for r in repair(q, star).collect()}
-    wrong = [(a, b, got[i]["repaired_query"], got[i]["remaining_error"]) for i, (a, b) in enumerate(pairs) if (norm(got[i]["repaired_query"]) != norm(b) or not got[i]["success"] if b else got[i]["success"])]
+SEVERAL = [
+    ("SELECT p_nmae, count(*) FROM part WHERE p_size > 'thirty'", "SELECT p_name, count(*) FROM part WHERE p_size > 30 GROUP BY p_name", ["UNKNOWN_COLUMN", "DATATYPE_MISMATCH", "SEMANTIC_ERROR"]),
+    ("SELEC p_name, count(*) FORM prt WHERE p_size > 'thirty'", "SELECT p_name, count(*) FROM part WHERE p_size > 30 GROUP BY p_name", ["SYNTAX_ERROR", "SYNTAX_ERROR", "UNKNOWN_TABLE", "DATATYPE_MISMATCH", "SEMANTIC_ERROR"]),
+    ("SELECT r_nmae, r_naem, r_nam, r_namee, r_regionky, r_rgionkey, r_regonkey, r_reginkey, r_regiokey FROM region", "SELECT r_name, r_name, r_name, r_name, " + ", ".join(["r_regionkey"] * 5) + " FROM region", ["UNKNOWN_COLUMN"] * 9),
+]
+PAIRS = [tuple(x.replace("{n}", "7") for x in p) for p in samples.BROKEN] + MORE
+AMBIGUOUS = "SELECT n_name FROM nation AS a JOIN nation AS b ON a.n_regionkey = b.n_regionkey"
+OTHERS = [AMBIGUOUS, "SELECT s_name FROM supplier", None, ""]
+
+
+@pytest.fixture(scope="module")
+def repaired(spark, star):
+    """All cases in one call, so that they share its rounds; a policy closes table supplier for the last ones."""
+    texts = [a for a, _ in PAIRS] + [c[0] for c in SEVERAL] + OTHERS
+    q = spark.createDataFrame([(i, "star", a, i >= len(PAIRS) + len(SEVERAL)) for i, a in enumerate(texts)], ROWS + ", closed boolean")
+    closed = F.struct(F.array(F.lit("supplier")).alias("restricted_tables"), F.array().cast("array<string>").alias("restricted_columns"))
+    return {r["id"]: r for r in repair(q.withColumn("policy", F.when(F.col("closed"), closed)).drop("closed"), star).collect()}
+
+
+def test_repairs(repaired):
+    got = repaired
+    wrong = [(a, b, got[i]["repaired_query"], got[i]["remaining_error"]) for i, (a, b) in enumerate(PAIRS) if (norm(got[i]["repaired_query"]) != norm(b) or not got[i]["success"] if b else got[i]["success"])]
     assert not wrong, "\n".join(map(str, wrong))
-    assert got[len(pairs) - 1]["remaining_error"] == "DATATYPE_MISMATCH" and "Remaining problem" in got[len(pairs) - 1]["explanation"]
-    steps = {a: [s["error_class"] for s in got[i]["steps"]] for i, (a, _) in enumerate(pairs)}
-    assert steps[pairs[16][0]] == ["SYNTAX_ERROR", "SYNTAX_ERROR", "UNKNOWN_TABLE", "UNKNOWN_COLUMN"] and steps[pairs[17][0]] == []
-
-
-def test_faults_of_several_kinds_are_steps(spark, star):
-    cases = [
-        ("SELECT p_nmae, count(*) FROM part WHERE p_size > 'thirty'", "SELECT p_name, count(*) FROM part WHERE p_size > 30 GROUP BY p_name", ["UNKNOWN_COLUMN", "DATATYPE_MISMATCH", "SEMANTIC_ERROR"]),
-        ("SELEC p_name, count(*) FORM prt WHERE p_size > 'thirty'", "SELECT p_name, count(*) FROM part WHERE p_size > 30 GROUP BY p_name", ["SYNTAX_ERROR", "SYNTAX_ERROR", "UNKNOWN_TABLE", "DATATYPE_MISMATCH", "SEMANTIC_ERROR"]),
-        ("SELECT r_nmae, r_naem, r_nam, r_namee, r_regionky, r_regionkeyy, r_rgionkey, regionkey, r_regonkey, r_reginkey FROM region", "SELECT r_name, r_name, r_name, r_name, " + ", ".join(["r_regionkey"] * 6) + " FROM region", ["UNKNOWN_COLUMN"] * 10),
-    ]
-    got = {r["id"]: r for r in repair(spark.createDataFrame([(i, "star", c[0]) for i, c in enumerate(cases)], ROWS), star).collect()}
-    for i, (_, want, classes) in enumerate(cases):
-        assert norm(got[i]["repaired_query"]) == norm(want) and [s["error_class"] for s in got[i]["steps"]] == classes, got[i]
+    assert got[len(PAIRS) - 1]["remaining_error"] == "DATATYPE_MISMATCH" and "Remaining problem" in got[len(PAIRS) - 1]["explanation"]
+    steps = [[s["error_class"] for s in got[i]["steps"]] for i in range(len(PAIRS))]
+    assert steps[16] == ["SYNTAX_ERROR", "SYNTAX_ERROR", "UNKNOWN_TABLE", "UNKNOWN_COLUMN"] and steps[17] == []
+
+
+def test_faults_of_several_kinds_are_steps(spark, star, repaired):
+    for i, (_, want, classes) in enumerate(SEVERAL, len(PAIRS)):
+        assert norm(repaired[i]["repaired_query"]) == norm(want) and [s["error_class"] for s in repaired[i]["steps"]] == classes, repaired[i]
     # an upper bound of rounds is told apart from being stuck
-    (cut,) = repair(spark.createDataFrame([(2, "star", cases[2][0])], ROWS), star, rounds=3).collect()
-    assert len(cut["steps"]) == 3 and not cut["success"] and cut["remaining_error"] == "UNKNOWN_COLUMN"
+    (cut,) = repair(spark.createDataFrame([(2, "star", SEVERAL[2][0])], ROWS), star, rounds=1).collect()
+    assert len(cut["steps"]) == 1 and not cut["success"] and cut["remaining_error"] == "UNKNOWN_COLUMN"
 
 
-def test_ambiguous_names_and_policies(spark, star):
-    q = spark.createDataFrame([(0, "star", "SELECT n_name FROM nation AS a JOIN nation AS b ON a.n_regionkey = b.n_regionkey"), (1, "star", "SELECT s_name FROM supplier"), (2, "star", None), (3, "star", "")], ROWS)
-    closed = F.struct(F.array(F.lit("supplier")).alias("restricted_tables"), F.array().cast("array<string>").alias("restricted_columns"))
-    got = {r["id"]: r for r in repair(q.withColumn("policy", closed), star).collect()}
-    assert got[0]["success"] and norm(got[0]["repaired_query"]) in {f"select {x}.n_name from nation as a join nation as b on a.n_regionkey = b.n_regionkey" for x in "ab"}
+def test_ambiguous_names_and_policies(repaired):
+    got = [repaired[len(PAIRS) + len(SEVERAL) + i] for i in range(4)]
+    assert got[0]["success"] and norm(got[0]["repaired_query"]) in {AMBIGUOUS.replace("SELECT n_name", f"SELECT {x}.n_name").lower() for x in "ab"}
     assert not got[1]["success"] and got[1]["remaining_error"] == "PERMISSION_DENIED" and not got[1]["steps"]
-    assert [got[i]["remaining_error"] for i in (2, 3)] == ["SYNTAX_ERROR"] * 2
+    assert [x["remaining_error"] for x in got[2:]] == ["SYNTAX_ERROR"] * 2
 
 
 def test_corpus_is_verified_balanced_and_unique(spark, star):
