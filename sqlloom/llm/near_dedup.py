@@ -348,8 +348,12 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     Of rows with one id that with the smallest text stays (null first; then the smallest other columns), so reruns agree.
     """
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
+    kept = written(kept, f"{shared_dir(docs.sparkSession)}/kept")
+    with_id = lambda ids: docs.join(ids.select("_kept"), docs["doc_id"] == F.col("_kept"), "left_semi")
+    once = with_id(kept.filter("_n = 1"))
+    # ids of several rows go by themselves, so that all others need no grouping
     others = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias("_")))
     first = F.min_by(F.struct(*docs.columns), F.struct("text", others))
-    return rows.groupBy(F.col("doc_id").alias("_kept")).agg(first.alias("_r")).select("_r.*").unionByName(docs.filter("doc_id is null"))
+    several = with_id(kept.filter("_n > 1")).groupBy(F.col("doc_id").alias("_kept")).agg(first.alias("_r")).select("_r.*")
+    return once.unionByName(several).unionByName(docs.filter("doc_id is null"))
