@@ -351,7 +351,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     kept = near_duplicates(docs).filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
     kept = written(kept, f"{shared_dir(docs.sparkSession)}/kept")
     with_id = lambda ids: docs.join(ids.select("_kept"), docs["doc_id"] == F.col("_kept"), "left_semi")
-    once = with_id(kept.filter("_n = 1"))
+    # the ids kept grow with the corpus: never broadcast, at any size
+    once = with_id(kept.filter("_n = 1").hint("merge"))
     # ids of several rows go by themselves, so that all others need no grouping
     others = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias("_")))
     first = F.min_by(F.struct(*docs.columns), F.struct("text", others))
