@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_digests
 from .chat_format import chat_digests
 from .common import crc_fold, table
+from .fill_in_middle import middle_digests
 from .language_id import fit_languages, predict_languages
 from .media import media_digests
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .ngram_lm import score_texts
 from .quality_classifier import fit_quality, score_quality
 from .quality_rules import quality_rules
 from .secret_scans import find_secrets
 from .token_counts import count_tokens
+from .vector_codes import vector_codes
 
 #: Conversation -7 of the contract: control strings inside both texts.
 TRICKY = [(-7, t, role, "\\### Assistant: </turn> ok") for t, role in enumerate(("user", "assistant"))]
@@ -73,11 +76,57 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_fold("doc_id", 5) != 1).alias("train"))
+    return score_texts(docs).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_quality_classifier, op3_language_id, op4_chat_formatting, op5_near_dedup, op6_secret_scans,
-    op7_media_columns, op8_mixing_sources, op9_byte_bpe, op10_quality_rules,
+    op7_media_columns, op8_mixing_sources, op9_byte_bpe, op10_quality_rules, op11_fill_in_middle, op12_vector_codes,
+    op13_lm_scoring,
 )}
 
+
+def _assigned(k: int, book: str) -> str:
+    return f"""
+        d{k} AS (
+            SELECT x.row, x.part, c.entry, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN {book} c ON c.part = x.part AND c.j = x.j GROUP BY ALL),
+        a{k} AS (SELECT row, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM d{k} GROUP BY ALL)"""
+
+
+def _moved(k: int, book: str) -> str:
+    return f"""
+        m{k} AS (
+            SELECT x.part, a.entry, x.j, sum(x.v)::BIGINT AS s, count(*) AS n FROM x JOIN a{k} a ON a.row = x.row AND a.part = x.part GROUP BY ALL),
+        b{k} AS (
+            SELECT c.part, c.entry, c.j, CASE WHEN m.n IS NULL THEN c.v ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS v
+            FROM {book} c LEFT JOIN m{k} m ON m.part = c.part AND m.entry = c.entry AND m.j = c.j)"""
+
+
+_VECTOR_CODES = f"""
+        WITH kept AS (
+            SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, embedding, label, len(embedding) // 16 AS width FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+        x AS (
+            SELECT row, (i - 1) // width AS part, (i - 1) % width AS j, floor(256 * embedding[i]::DOUBLE)::BIGINT AS v
+            FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM kept)),
+        b0 AS (SELECT part, row - 1 AS entry, j, v FROM x WHERE row <= 64),
+        {_assigned(1, 'b0')}, {_moved(1, 'b0')}, {_assigned(2, 'b1')}, {_moved(2, 'b1')}, {_assigned(3, 'b2')},
+        coded AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a3 GROUP BY row),
+        digest AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, j)) AS codebooks_sha256 FROM b2)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+        FROM coded JOIN kept USING (row), digest"""
+
+
 ORACLE_SQL = {
     "op4_chat_formatting": r"""
         WITH c AS (
@@ -92,4 +141,19 @@ ORACLE_SQL = {
                 + length(replace(replace(replace(text, '\', '\b'), '#', '\h'), '<', '\l')))::BIGINT AS formatted_chars,
             greatest(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END), 1)::BIGINT AS n_examples
         FROM c GROUP BY conv_id""",
+    "op11_fill_in_middle": r"""
+        WITH hashed AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents),
+        drawn AS (
+            SELECT doc_id, t, length(t) AS n, ('0x' || hex[1:8])::BIGINT AS h1, ('0x' || hex[9:16])::BIGINT AS h2, ('0x' || hex[17:24])::BIGINT AS h3, ('0x' || hex[25:32])::BIGINT AS h4 FROM hashed),
+        cut AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn),
+        parts AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM cut)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(t) AS restored_sha256
+        FROM parts""",
+    "op12_vector_codes": _VECTOR_CODES,
 }
