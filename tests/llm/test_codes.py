@@ -221,7 +221,7 @@ def test_scores_by_force(spark, sf_dir, odd_docs, no_docs, monkeypatch, tmp_path
         assert (r["n_known"], r["train_tokens"]) == (by_id[r["doc_id"]]["n_known"], by_id[r["doc_id"]]["train_tokens"])
         assert r["score"] == pytest.approx(by_id[r["doc_id"]]["score"]) and r["base_score"] == pytest.approx(by_id[r["doc_id"]]["base_score"])
     held_out = [g for g in first if not g["train"]]
-    assert sum(g["score"] for g in held_out) > 0.9 * sum(g["base_score"] for g in held_out)
+    assert sum(g["score"] for g in held_out) > 0.97 * sum(g["base_score"] for g in held_out)
 
 
 def test_pairs_and_blocks_are_split():
