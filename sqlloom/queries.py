@@ -534,6 +534,56 @@ def q_aggregates(spark, sf_dir):
     ).filter("n > 1")
 
 
+
+# ------------------------------------------------------------- ordered joins
+
+
+@query("SELECT p.event_id, count(e.event_id) AS n, round(coalesce(sum(e.value), 0), 4) AS total FROM events p JOIN events e ON e.user_id = p.user_id AND e.event_type <> 'purchase' AND e.ts >= p.ts - to_microseconds((p.value * 60000000 * 30)::BIGINT) AND e.ts < p.ts WHERE p.event_type = 'purchase' GROUP BY 1")
+def events_in_windows(spark, sf_dir):
+    """Other events of a purchase's user in the window before it; windows are as long as the purchase's value says."""
+    from .operators.ordered_joins import interval_join
+
+    e = table(spark, sf_dir, "events")
+    back = F.expr("ts - make_dt_interval(0, 0, 0, cast(cast(value * 60000000 * 30 as bigint) / 1000000.0 as decimal(18, 6)))")
+    windows = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase"), back.alias("start"), F.col("ts").alias("end"))
+    found = interval_join(e.filter("event_type <> 'purchase'").select("user_id", "ts", "value"), windows, "ts", "start", "end", on=["user_id"])
+    return found.groupBy(F.col("right_purchase").alias("event_id")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+OPEN_ORDERS = "o AS (SELECT o_custkey, o_orderkey, o_orderdate AS s, max(l_shipdate) AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {OPEN_ORDERS} SELECT a.o_custkey, a.o_orderkey, b.o_orderkey AS other FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.s < a.e AND b.s < b.e AND a.s < b.e AND b.s < a.e")
+def overlapping_orders(spark, sf_dir):
+    """Orders of one customer that were open at the same time: from their date to their last shipment."""
+    from .operators.ordered_joins import overlap_join
+
+    last = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("e"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("s")).join(last, "o_orderkey")
+    return overlap_join(o, o, "s", "e", on=["o_custkey"]).filter("o_orderkey < right_o_orderkey").select("o_custkey", "o_orderkey", F.col("right_o_orderkey").alias("other"))
+
+
+@query("SELECT p.event_id, CASE WHEN p.ts - c.ts <= INTERVAL 2 DAY THEN c.event_id END AS click, CASE WHEN p.ts - c.ts <= INTERVAL 2 DAY THEN c.value END AS click_value FROM (FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts")
+def last_click_before(spark, sf_dir):
+    """The last click of a purchase's user, of two days at most."""
+    from .operators.ordered_joins import asof_join
+
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    kind = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type")
+    found = asof_join(kind.filter("event_type = 'purchase'").select(*e.columns), kind.filter("event_type = 'click'").select(*e.columns), "ts", on=["user_id"], tolerance=2 * 86_400_000_000)
+    return found.select("event_id", F.col("right_event_id").alias("click"), F.col("right_value").alias("click_value"))
+
+
+@query("SELECT e.event_id, v.event_id AS view FROM (FROM events WHERE event_type = 'error') e LEFT JOIN (FROM events WHERE event_type = 'view') v ON v.user_id = e.user_id QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY abs(epoch_us(e.ts) - epoch_us(v.ts)), v.ts, v.event_id DESC) = 1")
+def nearest_of_type(spark, sf_dir):
+    """The view nearest to each error of its user, before or after."""
+    from .operators.ordered_joins import asof_join
+
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    pick = lambda kind: e.filter(F.col("event_type") == kind).drop("event_type")
+    return asof_join(pick("error"), pick("view"), "ts", on=["user_id"], direction="nearest").select("event_id", F.col("right_event_id").alias("view"))
+
+
 # --------------------------------------------------- query corpora and streams
 
 
