@@ -124,7 +124,10 @@ def canonical_form(q: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(plain, r" ?([(),=<>!]+) ?", " $1 "), r"\s+", " ")
     behind = r"\b(?:from|join|,) (\w+)(?: as)? (?!(?:on|where|join|group|order|using|left|inner|cross|natural|limit|having|union|intersect|except|as)\b)(\w+)"
     aliases = F.regexp_extract_all(plain, F.lit(behind), F.lit(2))
-    listed = F.transform(aliases, lambda a, i: F.struct(a.alias("a"), (i + 1).alias("i")))
-    renamed = F.aggregate(listed, plain, lambda s, x: F.regexp_replace(s, F.concat(F.lit(r"(?<![\w.'])"), x["a"], F.lit(r"\b(?!')")), F.concat(F.lit("t"), x["i"].cast("string"))))
+    # all at once, word by word: a new name is never taken for an alias again; of an alias that is given twice the first place counts
+    pieces = F.regexp_extract_all(plain, F.lit(r"('\?'|\w+|[^\w']+|')"), F.lit(1))
+    new = lambda x: F.concat(F.lit("t"), F.array_position(aliases, x).cast("string"))
+    swapped = F.transform(pieces, lambda x, i: F.when(F.array_contains(aliases, x) & ~F.coalesce(F.get(pieces, i - 1).endswith("."), F.lit(False)), new(x)).otherwise(x))
+    renamed = F.array_join(swapped, "")
     # "FROM x AS t1" and "FROM x t1" are the same
     return F.trim(F.regexp_replace(renamed, r"\b(from|join|,) (\w+) as (t\d+)\b", "$1 $2 $3"))

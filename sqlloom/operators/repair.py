@@ -84,9 +84,9 @@ def rewrites() -> Column:
               *(_as(F.concat(fold(rf"(?i)\b(\w+?)({joined_words})\b", f"$1{g}$2"), fold(rf"(?i)\b({joined_words})(\w+)\b", f"$1{g}$2")), "split joined words") for g in GLUES),
               _as(F.transform(each(s, tokens, "", DELETIONS), tidy), "delete a token", 1),
               _as(F.flatten(F.array(*(F.transform(each(s, r"\s+|(?=[(),=])|$", lambda x, k=k: F.concat(F.lit(f" {k} ")), INSERTIONS), tidy) for k in INSERTABLE))), "insert a token", 1),
-              _as(F.array(F.concat(F.lit("SELECT "), s)), "prepend SELECT"),
+              _as(F.when(~s.rlike(r"(?i)^\(*\s*(SELECT|WITH|VALUES)\b"), F.array(F.concat(F.lit("SELECT "), s))).otherwise(F.array().cast("array<string>")), "prepend SELECT"),
               _as(F.when(F.length(F.regexp_replace(s, "[^']", "")) % 2 == 1, F.concat(F.array(F.concat(s, F.lit("'"))), each(s, r"(?<=\w)(?= |$)", "'"))).otherwise(F.array().cast("array<string>")), "close the string"),
-              _as(fold(r"(?is)^(.*?) ((?:GROUP|ORDER) BY .*?) (WHERE .*)$", "$1 $3 $2"), "reorder clauses")),
+              _as(F.array(_in_order(s)), "reorder clauses", -2)),
         _when("TYP_LITERAL", _as(quoted, "quote the number"), _as(number, "number instead of text")),
         _when("TYP_AGGREGATE", _as(fold(r"(?i)\b(SUM|AVG)\s*\(\s*((?:DISTINCT )?)([\w.]+)\s*\)", "$1($2CAST($3 AS REAL))"), "cast the argument")),
         _when("SEM_NULL_CMP", _as(fold(r"(?i)([\w.]+)\s*=\s*NULL\b", "$1 IS NULL"), "IS NULL"), _as(fold(r"(?i)([\w.]+)\s*(?:<>|!=)\s*NULL\b", "NOT $1 IS NULL"), "IS NOT NULL")),
@@ -98,14 +98,37 @@ def rewrites() -> Column:
         _when("SEM_UNGROUPED", _as(F.array(group), "complete GROUP BY"), _as(F.array(F.regexp_replace(s, F.concat(F.lit(r"(?i)(?<=SELECT |, )"), F.col("token"), F.lit(r"(?=,| FROM)")), F.concat(F.lit("MAX("), F.col("token"), F.lit(")")))), "aggregate the column", 1)),
         _when("SEM_POSITION", _as(F.transform(shown, lambda x: F.regexp_replace(s, F.lit(r"(?i)\b(ORDER|GROUP) BY \d+"), F.concat(F.lit("$1 BY "), x))), "an item instead of a position")),
         _when("SEM_SUBQUERY_ARITY", _as(fold(r"(?i)(\(SELECT (?:DISTINCT )?[\w.]+)(?:, [\w.*]+)+ FROM", "$1 FROM"), "one column"), _as(fold(r"(?i)\(SELECT (?:[\w.]+, )+([\w.]+) FROM", "(SELECT $1 FROM"), "one column", 1)),
-        _when("SEM_SET_ARITY", _as(each(s, r"(?i), [\w.]+(?= FROM)|(?<=SELECT )[\w.]+, ", ""), "drop a column")),
+        _when("SEM_SET_ARITY", _as(_same_items(s), "the items that both sides have", -1), _as(each(s, r"(?i), [\w.]+(?= FROM)|(?<=SELECT )[\w.]+, ", ""), "drop a column")),
         _when("SEM_ARGUMENTS", _as(fold(r"\b(\w+)\(([^(),]+),[^()]*\)", "$1($2)"), "first argument only")),
         _when("SEM_NO_JOIN", _join_conditions()),
-        _when("AMB_ALIAS", _as(renamed, "new alias")),
+        _when(("AMB_ALIAS", "AMB_COLUMN"), _as(renamed, "new alias", -1)),
         _when("COL_UNKNOWN", _as(_key_partners(), "foreign-key partner", -1)),
     )
 
 
+def _in_order(s: Column) -> Column:
+    """A text without parentheses or set operators whose clauses stand in their order, each kept as it is; else the text."""
+    names = ("SELECT", "FROM", "WHERE", r"GROUP\s+BY", "HAVING", r"ORDER\s+BY", "LIMIT")
+    every = "|".join(names)
+    clauses = F.regexp_extract_all(s, F.lit(rf"(?is)(\b(?:{every})\b.*?)(?=\s*\b(?:{every})\b|\s*$)"), F.lit(1))
+    place = lambda x: F.coalesce(*(F.when(x.rlike(rf"(?i)^{n}\b"), i) for i, n in enumerate(names)))
+    ordered = F.transform(F.array_sort(F.transform(clauses, lambda x, i: F.struct(place(x).alias("p"), i.alias("i"), x.alias("x")))), lambda y: F.trim(y["x"]))
+    plain = s.rlike(r"(?i)^\s*SELECT\b") & ~s.rlike(r"(?i)\b(UNION|INTERSECT|EXCEPT)\b|\(\s*SELECT\b")
+    return F.when(plain, F.array_join(ordered, " ")).otherwise(s)
+
+
+def _same_items(s: Column) -> Column:
+    """For two SELECTs of different width: both with the items only whose names the other has too, in the first one's order."""
+    parts = r"(?is)^SELECT (DISTINCT )?(.*?) (FROM .*?) (UNION ALL|UNION|INTERSECT|EXCEPT) SELECT (DISTINCT )?(.*?) (FROM .*)$"
+    items = lambda i: F.transform(F.split(F.regexp_extract(s, parts, i), ","), F.trim)
+    name = lambda x: F.lower(F.regexp_replace(x, r"^.*(?:\.|\s)", ""))
+    a, b = items(2), items(6)
+    left = F.filter(a, lambda x: F.exists(b, lambda y: name(x) == name(y)))
+    right = F.transform(left, lambda x: F.get(F.filter(b, lambda y: name(x) == name(y)), F.lit(0)))
+    text = F.concat(F.lit("SELECT "), F.regexp_extract(s, parts, 1), F.array_join(left, ", "), F.lit(" "), F.regexp_extract(s, parts, 3), F.lit(" "), F.regexp_extract(s, parts, 4), F.lit(" SELECT "), F.regexp_extract(s, parts, 5), F.array_join(right, ", "), F.lit(" "), F.regexp_extract(s, parts, 7))
+    return F.when(s.rlike(parts) & (F.size(left) > 0), F.array(text)).otherwise(F.array().cast("array<string>"))
+
+
 def _sources() -> Column:
     """array<struct<t, a>>: tables and aliases behind FROM, JOIN and commas, in lower case."""
     pattern = r"(?i)(?:\bFROM|\bJOIN|,) (\w+)(?: (?:AS )?(?!(?:ON|WHERE|JOIN|GROUP|ORDER|USING|LEFT|INNER|CROSS|NATURAL|LIMIT|HAVING|UNION|INTERSECT|EXCEPT)\b)(\w+))?"

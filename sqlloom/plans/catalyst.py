@@ -7,7 +7,6 @@ driver, one query at a time, for interactive use; corpora go through
 
 from __future__ import annotations
 
-import re
 import threading
 import time
 import uuid
@@ -16,6 +15,8 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.register import SQL_FUNCTIONS
+
 #: Spark's error conditions by class, by their beginning; any other condition is SEMANTIC_ERROR.
 CONDITIONS = (
     ("PARSE_", "SYNTAX_ERROR"), ("TRAILING_COMMA", "SYNTAX_ERROR"), ("TABLE_OR_VIEW_NOT_FOUND", "UNKNOWN_TABLE"),
@@ -49,25 +50,83 @@ def check(spark: SparkSession, sql: str) -> tuple[str, str | None]:
         spark.conf.set(key, before)
 
 
-#: Functions that call into the JVM, and formats whose files can be named like a table.
-CALLS, FILES = ("java_method", "reflect", "try_reflect"), ("text", "csv", "json", "parquet", "orc", "avro", "xml", "binaryfile")
-OUTSIDE = re.compile(rf"\b(?:{'|'.join(CALLS)})\s*\(|\b(?:{'|'.join(FILES)})`?\s*\.\s*`", re.I)
-LITERALS = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", re.S)
+#: Kinds of nodes of a parsed query.  Anything else, all commands among them, is refused.
+KINDS = {
+    "Project", "Filter", "Join", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Intersect", "Except", "SubqueryAlias",
+    "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "UnresolvedHaving", "UnresolvedInlineTable", "UnresolvedTableValuedFunction",
+    "UnresolvedTVFAliases", "OneRowRelation", "OneRowRelation$", "LocalRelation", "Window", "WithWindowDefinition", "LateralJoin", "Generate", "Pivot", "Unpivot", "UnresolvedHint", "Sample",
+    "Expand", "Tail", "PipeOperator", "UnresolvedOrderBy", "ResolvedInlineTable",
+}
+#: Expressions that hold a plan.
+HELD = ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression")
+#: Table functions that make rows from their arguments only.
+TABLE_FUNCTIONS = ("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple")
+#: Functions that reach outside of the query: into the JVM, to files, to a model, or to the session.
+CLOSED = ("java_method", "reflect", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "from_avro", "to_avro", "from_protobuf", "to_protobuf", "raise_error", "assert_true", "sleep")
+
+#: Functions that ``functions.register`` adds.
+OWN = {*SQL_FUNCTIONS, "osa_distance", "match_ratio"}
+
+
+def allowed_functions(spark: SparkSession) -> set[str]:
+    """Names that a query may call: Spark's own but those that reach outside, and this library's.  What else a session registers is not among them."""
+    registry = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin().listFunction()
+    return {registry.apply(i).funcName().lower() for i in range(registry.size())} - set(CLOSED) | OWN
+
+
+def _every_node(spark: SparkSession, plan):
+    """All nodes of a parsed plan: children, plans named in WITH, and those inside expressions; and all expressions."""
+    todo = [(plan, True)]
+    while todo:
+        node, is_plan = todo.pop()
+        yield node, is_plan
+        children = node.children()
+        todo += [(children.apply(i), is_plan) for i in range(children.size())]
+        if is_plan:
+            expressions = node.expressions()
+            todo += [(expressions.apply(i), False) for i in range(expressions.size())]
+            if node.getClass().getSimpleName() == "UnresolvedWith":
+                named = node.cteRelations()
+                todo += [(named.apply(i)._2(), True) for i in range(named.size())]
+        elif node.getClass().getSimpleName() in HELD:
+            todo.append((node.plan(), True))
 
 
 def is_query(spark: SparkSession, sql: str) -> bool:
-    """Whether the text is one statement that only reads tables: its parsed plan holds no command, and it neither calls into the JVM nor names files."""
-    if OUTSIDE.search(LITERALS.sub("''", sql)):
-        return False
+    """Whether the text is one statement that only reads tables of the session.
+
+    Decided on the parsed plan, sub-queries and WITH included: only known kinds of nodes (no command),
+    only functions of ``allowed_functions``, only the table functions of TABLE_FUNCTIONS, and every relation is a temporary view or a table of
+    the catalog: a name like ``csv.`/path` `` is neither.
+    """
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    nodes = [plan]
-    while nodes:
-        node = nodes.pop()
-        kind = node.getClass().getName()
-        if ".command." in kind or any(x in kind for x in ("InsertInto", "ParsedStatement", "Command", "CreateTable", "DropTable", "DeleteFrom", "UpdateTable", "MergeInto")):
+    functions, catalog, named = allowed_functions(spark), spark._jsparkSession.sessionState().catalog(), set()
+    parts = lambda x: [x.apply(i) for i in range(x.size())]
+    nodes = list(_every_node(spark, plan))
+    for node, is_plan in nodes:
+        if is_plan and node.getClass().getSimpleName() == "UnresolvedWith":
+            relations = node.cteRelations()
+            named |= {relations.apply(i)._1().lower() for i in range(relations.size())}
+    for node, is_plan in nodes:
+        kind = node.getClass().getSimpleName()
+        if is_plan and kind not in KINDS:
+            return False
+        if kind == "UnresolvedRelation":
+            name = parts(node.multipartIdentifier())
+            if len(name) == 1 and (name[0].lower() in named or catalog.getTempView(name[0]).isDefined()):
+                continue
+            if not spark.catalog.tableExists(".".join(f"`{x.replace('`', '``')}`" for x in name)):
+                return False
+        elif kind == "UnresolvedTableValuedFunction":
+            name = parts(node.name())
+            if len(name) != 1 or name[0].lower() not in TABLE_FUNCTIONS:
+                return False
+        elif kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+            name = parts(node.nameParts()) if kind == "UnresolvedFunction" else [node.name().funcName()]
+            if len(name) != 1 or name[0].lower() not in functions:
+                return False
+        elif not is_plan and ("CallMethodViaReflection" in kind or ("Subquery" in kind and kind not in (*HELD, "InSubquery"))):
             return False
-        children = node.children()
-        nodes += [children.apply(i) for i in range(children.size())]
     return True
 
 

@@ -6,13 +6,15 @@ do not hold are inline rows, the same on both sides.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import samples
 from .functions import text as T
 from .labels import CLASSES
-from .operators import browse, corpus, fuzzy, history, metrics
+from .operators import browse, corpus, fuzzy, history, metrics, similarity
 from .operators.fusion import fuse
 from .sources.catalog import fold_information_schema
 
@@ -478,7 +480,21 @@ def keyword_matches(spark, sf_dir):
 @query()
 def top_k_closest(spark, sf_dir):
     brands = table(spark, sf_dir, "part").select(F.lower("p_type").alias("option")).distinct()
-    return fuzzy.closest(part_words(spark, sf_dir), brands, [])
+    return similarity.top_similar(part_words(spark, sf_dir), brands)
+
+
+def _text_words(df: DataFrame, name: str) -> DataFrame:
+    return df.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias(name)).filter(F.length(name) > 2).distinct()
+
+
+def conversation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_words(table(spark, sf_dir, "conversations"), "option")
+
+
+@query()
+def nearest_words(spark, sf_dir):
+    """The two words of all conversations that are most similar to each word of the parts' names."""
+    return similarity.top_similar(part_words(spark, sf_dir), conversation_words(spark, sf_dir), n=2, cutoff=0.6)
 
 
 @query("SELECT x, y FROM (VALUES ('twenty one', 21), ('three hundred and five', 305), ('two thousand', 2000), ('seven', 7), ('forty-two', 42), ('cat', NULL), ('one hundred twelve thousand nine', 112009)) AS v(x, y)")
@@ -644,14 +660,22 @@ def mutate_corpus_checks(spark, sf_dir):
     return by_label
 
 
-@query(f"SELECT s_suppkey AS id, true AS same_structure FROM supplier JOIN {sql_templates([(x, '') for x in samples.SEEDS])} ON s_suppkey % {len(samples.SEEDS)} = k")
+@query(
+    f"SELECT s_suppkey AS id, 'same' AS other, true AS same_structure FROM supplier JOIN {sql_templates([(x, '') for x in samples.SEEDS])} ON s_suppkey % {len(samples.SEEDS)} = k"
+    f" UNION ALL SELECT s_suppkey, 'next', false FROM supplier UNION ALL SELECT s_suppkey, 'owner', NOT (contains(sql, 'T1.') AND contains(sql, 'T2.')) FROM supplier JOIN {sql_templates([(x, '') for x in samples.SEEDS])} ON s_suppkey % {len(samples.SEEDS)} = k"
+    " UNION ALL SELECT s_suppkey, 'swapped', true FROM supplier"
+)
 def canonical_matches(spark, sf_dir):
-    """Texts that differ from a seed in literals, aliases, case and blanks only have its canonical form."""
+    """Texts that differ from a seed in literals, aliases (also swapped ones), case and blanks only have its canonical form; the next seed, and columns of the other table, do not."""
     from .operators.mutate import surface
 
-    rows = made(spark, table(spark, sf_dir, "supplier"), "s_suppkey", "s_suppkey", "s_name", [(x, x.replace("T1", "a").replace("T2", "b").replace("{n}", "12").replace("{s}", "q r")) for x in samples.SEEDS])
-    other = surface(F.col("v1"), F.col("id"))
-    return rows.select("id", (T.canonical_form(F.col("sql")) == T.canonical_form(other)).alias("same_structure"))
+    swap = lambda x: x.replace("T1", "T0").replace("T2", "T1").replace("T0", "T2")
+    owner = lambda x: re.sub(r"T([12])\.", lambda m: f"T{3 - int(m[1])}.", x)
+    seeds = samples.SEEDS
+    cases = [(x, x.replace("T1", "a").replace("T2", "b").replace("{n}", "12").replace("{s}", "q r"), seeds[(i + 1) % len(seeds)], owner(x), swap(x)) for i, x in enumerate(seeds)]
+    rows = made(spark, table(spark, sf_dir, "supplier"), "s_suppkey", "s_suppkey", "s_name", cases)
+    others = F.array(*(F.struct(F.lit(n).alias("other"), c.alias("text")) for n, c in (("same", surface(F.col("v1"), F.col("id"))), ("next", F.col("v2")), ("owner", F.col("v3")), ("swapped", F.col("v4")))))
+    return rows.select("id", "sql", F.explode(others).alias("o")).select("id", "o.other", (T.canonical_form(F.col("sql")) == T.canonical_form(F.col("o.text"))).alias("same_structure"))
 
 
 @query(

@@ -5,6 +5,7 @@ import sqlite3
 
 import duckdb
 import pytest
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from sqlloom import queries as q
@@ -240,3 +241,64 @@ def test_candidate_loop(spark):
     got = {r["question_id"]: (r["status"], r["sql"]) for r in answer(questions, generated, catalog.from_wire(spark, "star", WIRE)).collect()}
     assert {k: v[0] for k, v in got.items()} == {0: "valid", 1: "valid_alternative", 2: "repaired", 3: "invalid", 4: "no_candidate"}
     assert got[1][1] == "SELECT r_regionkey FROM region" and got[2][1] == "SELECT r_name FROM region"
+
+
+READS = [
+    "SELECT name FROM singer",
+    "SELECT count(*), max(id) FROM singer WHERE id > 1 GROUP BY name HAVING count(*) > 1 ORDER BY 1 LIMIT 3",
+    "WITH a AS (SELECT * FROM singer) SELECT * FROM a JOIN singer USING (id)",
+    "SELECT * FROM singer WHERE id IN (SELECT id FROM singer s2 WHERE EXISTS (SELECT 1 FROM singer))",
+    "SELECT (SELECT max(id) FROM singer)",
+    "SELECT 1",
+    "SELECT * FROM VALUES (1,2) AS t(a,b)",
+    "SELECT * FROM range(5)",
+    "SELECT id, row_number() OVER (PARTITION BY name ORDER BY id) FROM singer",
+    "SELECT id FROM singer UNION SELECT id FROM singer EXCEPT SELECT 1",
+    "SELECT DISTINCT upper(name) || 'java_method(' FROM singer AS T1 WHERE name LIKE '%text.`x`%'",
+    "SELECT x FROM singer LATERAL VIEW explode(array(1,2)) t AS x",
+    "SELECT name FROM singer TABLESAMPLE (10 ROWS)",
+    "SELECT CASE WHEN id=1 THEN 'a' END, cast(id as string) FROM singer s WHERE id BETWEEN 1 AND 2 AND name IS NOT NULL",
+]
+REACHES = [
+    "SELECT `java_method`('java.lang.System','getProperty','user.home')",
+    "SELECT /*'*/ java_method('java.lang.System','getProperty','user.home')",
+    "SELECT /*'*/ * FROM text.`/etc/hostname` -- '",
+    "SELECT * FROM singer WHERE id = (SELECT max(1) FROM text.`/etc/hostname`)",
+    "SELECT reflect('a','b')",
+    "WITH a AS (SELECT * FROM csv.`/etc/passwd`) SELECT * FROM a",
+    "DROP TABLE singer",
+    "INSERT INTO singer SELECT * FROM singer",
+    "SELECT * FROM nope",
+    "CREATE TABLE x AS SELECT 1",
+    "SELECT input_file_name() FROM singer",
+    "SELECT * FROM singer WHERE EXISTS (SELECT java_method('a','b'))",
+    "SELECT * FROM read_files('/etc')",
+    "SET x=1",
+    "SHOW TABLES",
+    "SELECT name FROM singer WHERE id IN (SELECT try_reflect('a','b'))",
+    "SELECT * FROM singer LATERAL VIEW explode(array(java_method('a','b'))) t AS x",
+    "SELECT transform(array(1), x -> java_method('a','b'))",
+    "SELECT * FROM (SELECT * FROM text.`/etc/hostname`)",
+    "SELECT max(java_method('a','b')) OVER () FROM singer",
+    "SELECT TRANSFORM(id) USING 'cat' AS x FROM singer",
+]
+
+
+def test_the_guard_decides_on_the_parsed_plan(spark):
+    spark.createDataFrame([(1, "a")], "id int, name string").createOrReplaceTempView("singer")
+    for q in READS:
+        assert catalyst.is_query(spark, q), q
+        catalyst.execute(spark, q)
+    for q in REACHES:
+        try:
+            assert not catalyst.is_query(spark, q), q
+        except ParseException:
+            pass
+    spark.catalog.dropTempView("singer")
+
+
+def test_canonical_forms_of_swapped_aliases(spark):
+    base = "SELECT T2.a FROM t AS T2 JOIN u AS T1 ON T2.i=T1.i"
+    cases = {base: True, "SELECT T1.a FROM t AS T1 JOIN u AS T2 ON T1.i=T2.i": True, "select  x.a FROM t x JOIN u y ON x.i = y.i ;": True, "SELECT T1.a FROM t AS T2 JOIN u AS T1 ON T2.i=T1.i": False, "SELECT T2.a FROM t AS T2 JOIN u AS T1 ON T2.i=T2.i": False}
+    rows = spark.createDataFrame([(base, k) for k in cases], "a string, b string").select("b", (T.canonical_form(F.col("a")) == T.canonical_form(F.col("b"))).alias("same"))
+    assert {r["b"]: r["same"] for r in rows.collect()} == cases

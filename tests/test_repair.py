@@ -31,6 +31,9 @@ MORE = [
     ("SELECT o_custkey FROM orders WHERE count(*) > 3 GROUP BY o_custkey", "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 3"),
     ("SELECT r_name FROM region WHERE r_regionkey = r_regionkey", "SELECT r_name FROM region"),
     ("SELECT count(o_custkey, o_orderkey) FROM orders", "SELECT count(o_custkey) FROM orders"),
+    ("SELECT c_name FROM customer LIMIT 3 WHERE c_acctbal > 2 GROUP BY c_name", "SELECT c_name FROM customer WHERE c_acctbal > 2 GROUP BY c_name LIMIT 3"),
+    ("SELECT c_name FROM customer ORDER BY c_name HAVING count(*) > 1 GROUP BY c_name", "SELECT c_name FROM customer GROUP BY c_name HAVING count(*) > 1 ORDER BY c_name"),
+    ("SELECT n_name FROM nation UNION SELECT n_regionkey, n_name FROM nation", "SELECT n_name FROM nation UNION SELECT n_name FROM nation"),
     ("SELECT p_name FROM part WHERE p_size = 'unknown'", None),
 ]
 
