@@ -1,32 +1,67 @@
-"""The TF-IDF and logistic regression baseline, with pyspark.ml."""
+"""The TF-IDF and logistic regression baseline, with pyspark.ml: training, batched inference, attribution of verdicts to words.
+
+A text's features are word 1- to 3-grams and character 2- to 5-grams inside words, each with sublinear term
+frequency (1 + ln tf), inverse document frequency and unit length.
+"""
 
 from __future__ import annotations
 
 import json
+import math
+import re
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: What both feature sets are called in the pipeline: word grams, character grams.
+KINDS = ("_w", "_c")
+GRAMS = "flatten(transform(sequence(2, 5), n -> transform(sequence(1, greatest(length(w) + 3 - n, 1)), i -> substring(concat(' ', w, ' '), i, n))))"
 
 
 def input_text(sql: str = "sql", schema: str = "schema_text"):
     return F.concat_ws(" ||| ", sql, schema)
 
 
-def pipeline(labels: list[str], c: float = 4.0, rows: int = 1000, vocabulary: int = 200_000, min_df: float = 2.0) -> Pipeline:
+@F.udf(VectorUDT())
+def _sublinear(size: int, indices: list[int], values: list[float]) -> SparseVector:
+    return SparseVector(size, indices, [1.0 + math.log(v) for v in values])
+
+
+class SublinearTF(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Term counts (sparse vectors) as 1 + ln count; saved and loaded with its pipeline."""
+
+    @keyword_only
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None) -> None:  # noqa: N803
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        v = F.unwrap_udt(F.col(self.getInputCol()))
+        return dataset.withColumn(self.getOutputCol(), _sublinear(v["size"], v["indices"], v["values"]))
+
+
+def pipeline(labels: list[str], c: float = 4.0, rows: int = 1000, vocabulary: int = 200_000, min_df: float = 2.0, sublinear: bool = True) -> Pipeline:
     """Word 1- to 3-grams and character 2- to 5-grams inside words (column ``text``), weighed, normalised, side by side, then multinomial regression (column ``label``)."""
-    chars = "flatten(transform(filter(split(lower(text), '\\\\s+'), w -> w <> ''), w -> flatten(transform(sequence(2, 5), n -> transform(sequence(1, greatest(length(w) + 3 - n, 1)), i -> substring(concat(' ', w, ' '), i, n))))))"
+    chars = f"flatten(transform(filter(split(lower(text), '\\\\s+'), w -> w <> ''), w -> {GRAMS}))"
     stages = [StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep"), RegexTokenizer(inputCol="text", outputCol="_w1", pattern=r"\w+", gaps=False), SQLTransformer(statement=f"SELECT *, {chars} AS _c FROM __THIS__")]
-    parts = []
     stages += [NGram(n=n, inputCol="_w1", outputCol=f"_w{n}") for n in (2, 3)]
     stages.append(SQLTransformer(statement="SELECT *, concat(_w1, _w2, _w3) AS _w FROM __THIS__"))
-    for name in ("_w", "_c"):
-        stages += [CountVectorizer(inputCol=name, outputCol=f"{name}_n", vocabSize=vocabulary, minDF=min_df), IDF(inputCol=f"{name}_n", outputCol=f"{name}_i"), Normalizer(inputCol=f"{name}_i", outputCol=f"{name}_v")]
-        parts.append(f"{name}_v")
-    stages += [VectorAssembler(inputCols=parts, outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1 / (c * rows), elasticNetParam=0.0, standardization=False, maxIter=100, family="multinomial"), IndexToString(inputCol="prediction", outputCol="y_pred", labels=labels)]
+    for name in KINDS:
+        stages.append(CountVectorizer(inputCol=name, outputCol=f"{name}_n", vocabSize=vocabulary, minDF=min_df))
+        if sublinear:
+            stages.append(SublinearTF(inputCol=f"{name}_n", outputCol=f"{name}_s"))
+        stages += [IDF(inputCol=f"{name}_s" if sublinear else f"{name}_n", outputCol=f"{name}_i"), Normalizer(inputCol=f"{name}_i", outputCol=f"{name}_v")]
+    stages += [VectorAssembler(inputCols=[f"{k}_v" for k in KINDS], outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1 / (c * rows), elasticNetParam=0.0, standardization=False, maxIter=100, family="multinomial"), IndexToString(inputCol="prediction", outputCol="y_pred", labels=labels)]
     return Pipeline(stages=stages)
 
 
@@ -44,6 +79,109 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.select(*rows.columns, "y_pred", F.array_max(F.slice("_p", 1, len(labels))).alias("confidence"), probabilities.alias("probabilities"))
 
 
+def _parts(model: PipelineModel) -> dict:
+    """Terms, weights of terms and coefficients of a fitted pipeline; bounded by its vocabularies (400,000 terms by default)."""
+    by = lambda kind: [s for s in model.stages if type(s).__name__ == kind]
+    lr = by("LogisticRegressionModel")[0]
+    return {
+        "labels": list(model.stages[-1].getLabels()), "terms": [list(m.vocabulary) for m in by("CountVectorizerModel")], "idf": [m.idf.toArray() for m in by("IDFModel")],
+        "coefficients": lr.coefficientMatrix.toArray(), "intercept": lr.interceptVector.toArray(), "sublinear": bool(by("SublinearTF")),
+    }
+
+
+def features_of(text: str) -> tuple[list[str], list[str]]:
+    """Word grams and character grams of a text, repeated ones repeated, as the pipeline makes them."""
+    words = re.findall(r"\w+", text.lower(), re.A)
+    runs = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+    chars = [f" {w} "[i : i + n] for w in runs for n in range(2, 6) for i in range(max(len(w) + 3 - n, 1))]
+    return [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)], chars
+
+
+def batch_predictor(model: PipelineModel, text: str = "text", batch_size: int = 256):
+    """A column of probabilities (array in the order of the labels) by batched inference: a worker puts the model together once and scores batches of texts.
+
+    The model travels as a broadcast variable, whose size is bounded by its vocabularies.
+    """
+    parts = _parts(model)
+    held = SparkSession.getActiveSession().sparkContext.broadcast(parts)
+
+    def load():
+        m = held.value
+        places = [{t: i for i, t in enumerate(terms)} for terms in m["terms"]]
+        start = [0, len(m["terms"][0])]
+        weights, intercept = np.ascontiguousarray(m["coefficients"].T), m["intercept"]
+
+        def one(x: str) -> np.ndarray:
+            margin = intercept.copy()
+            for k, grams in enumerate(features_of(x or "")):
+                at = np.array([places[k][g] for g in grams if g in places[k]], np.int64)
+                if not len(at):
+                    continue
+                at, n = np.unique(at, return_counts=True)
+                v = (1 + np.log(n) if m["sublinear"] else n.astype(float)) * m["idf"][k][at]
+                norm = np.sqrt((v * v).sum())
+                if norm > 0:
+                    margin = margin + (v / norm) @ weights[start[k] + at]
+            e = np.exp(margin - margin.max())
+            return e / e.sum()
+
+        return lambda texts: np.array([one(x) for x in texts.ravel().tolist()])
+
+    return predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)(F.coalesce(F.col(text), F.lit("")))
+
+
+def predict_batched(model: PipelineModel, rows: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``predict``, by batched inference."""
+    labels = model.stages[-1].getLabels()
+    out = rows.withColumn("_p", F.slice(batch_predictor(model, text), 1, len(labels)))
+    top = F.array_max("_p")
+    names = F.array(*(F.lit(x) for x in labels))
+    return out.select(*rows.columns, F.get(names, F.array_position("_p", top).cast("int") - 1).alias("y_pred"), top.alias("confidence"), F.map_from_arrays(names, "_p").alias("probabilities"))
+
+
+def contributions(model: PipelineModel, rows: DataFrame, key: str = "id") -> DataFrame:
+    """key, label (the predicted one), kind, term, count, contribution: what each term adds to the margin of the predicted class.
+
+    The sparse features of a row become rows, which join the vocabulary and the class's coefficients.
+    """
+    spark, parts = rows.sparkSession, _parts(model)
+    sizes = [len(t) for t in parts["terms"]]
+    kinds = np.repeat(np.arange(2), sizes)
+    names = [t for terms in parts["terms"] for t in terms]
+    weights = parts["coefficients"][: len(parts["labels"])]
+    # one row for each term, with the coefficients of all classes
+    vocabulary = spark.createDataFrame([(i, KINDS[kinds[i]], t, weights[:, i].tolist()) for i, t in enumerate(names)], "_at int, kind string, term string, _weights array<double>")
+    out = model.transform(rows)
+    v = F.unwrap_udt(F.col("_x"))
+
+    def counted(k: str, shift: int):
+        c = F.unwrap_udt(F.col(f"{k}_n"))
+        return F.map_entries(F.map_from_arrays(F.transform(c["indices"], lambda i: (i + shift).cast("int")), c["values"]))
+
+    counts = F.concat(*(counted(k, shift) for k, shift in zip(KINDS, (0, sizes[0]), strict=True)))
+    n = F.map_from_entries(counts)
+    # a dense vector has no list of places
+    places = F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1))
+    each = out.select(key, F.col("y_pred").alias("label"), F.col("prediction").cast("int").alias("_y"), n.alias("_n"), F.explode(F.arrays_zip(places.alias("at"), v["values"].alias("x"))).alias("_f")).filter(F.col("_f.x") != 0)
+    found = each.select(key, "label", "_y", F.col("_f.at").alias("_at"), F.col("_f.x").alias("_v"), F.try_element_at("_n", F.col("_f.at")).alias("count")).join(vocabulary, "_at")
+    return found.select(key, "label", "kind", "term", F.col("count").cast("long").alias("count"), (F.col("_v") * F.get("_weights", F.col("_y"))).alias("contribution"))
+
+
+def word_contributions(model: PipelineModel, rows: DataFrame, key: str = "id") -> DataFrame:
+    """key, label, word, contribution: the terms' contributions, merged to the words that they are pieces of.
+
+    A term's contribution is shared evenly among its occurrences; an occurrence of a word n-gram evenly among its words,
+    one of a character n-gram goes to the run of characters that it lies in.  The sum over a row's words is its margin without the intercept.
+    """
+    terms = contributions(model, rows, key)
+    text = F.lower("text")
+    runs = rows.select(key, F.explode(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("word"))
+    pieces = runs.select(key, "word", F.explode(F.expr(GRAMS.replace("w, ' '", "word, ' '").replace("length(w)", "length(word)"))).alias("term")).groupBy(key, "word", "term").agg(F.count("*").alias("_k"))
+    chars = terms.filter("kind = '_c'").join(pieces, [key, "term"]).select(key, "label", "word", (F.col("contribution") * F.col("_k") / F.col("count")).alias("contribution"))
+    words = terms.filter("kind = '_w'").withColumn("_words", F.split("term", " ")).select(key, "label", F.explode("_words").alias("word"), (F.col("contribution") / F.size("_words")).alias("contribution"))
+    return chars.unionByName(words).groupBy(key, "label", "word").agg(F.sum("contribution").alias("contribution"))
+
+
 def save(model: PipelineModel, path: str, metadata: dict) -> None:
     """The model and what is to be known of it (JSON), in a folder that executors share."""
     spark = SparkSession.getActiveSession()

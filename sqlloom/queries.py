@@ -600,6 +600,39 @@ def nearest_of_type(spark, sf_dir):
     return asof_join(pick("error"), pick("view"), "ts", on=["user_id"], direction="nearest").select("event_id", F.col("right_event_id").alias("view"))
 
 
+
+# ------------------------------------------------------------ baseline model
+
+
+def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, text, label, held: a labelled text for each customer; every fourth by hash is held out."""
+    q = made(spark, table(spark, sf_dir, "customer"), "c_custkey", "c_custkey", "c_mktsegment", samples.LABELLED)
+    return q.select("id", F.col("sql").alias("text"), F.col("v1").alias("label"), (F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 0).alias("held"))
+
+
+def _baseline(spark: SparkSession, sf_dir: str):
+    from .operators import baseline
+
+    rows = _classed(spark, sf_dir)
+    return baseline, baseline.fit(rows.filter("not held").select("text", "label")), rows.filter("held")
+
+
+@query()
+def baseline_scores(spark, sf_dir):
+    """The baseline, trained on three quarters of the texts and applied to the others by batched inference: rows and hits by class."""
+    baseline, model, held = _baseline(spark, sf_dir)
+    out = baseline.predict_batched(model, held)
+    return out.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("y_pred") == F.col("label")).alias("hits"), F.round(F.avg("confidence"), 3).alias("confidence"))
+
+
+@query()
+def baseline_attribution(spark, sf_dir):
+    """The word that adds most to the verdict on each held-out text."""
+    baseline, model, held = _baseline(spark, sf_dir)
+    words = baseline.word_contributions(model, held.select("id", "text", "label").withColumnRenamed("label", "y_true"))
+    return words.groupBy("id", "label").agg(F.max_by(F.struct("word", F.round("contribution", 4).alias("contribution")), F.struct("contribution", "word")).alias("top")).select("id", "label", "top.word", "top.contribution")
+
+
 # --------------------------------------------------- query corpora and streams
 
 
