@@ -17,10 +17,9 @@ No group holds more than a chunk or a level's fan-in, whatever share of the rows
 a source has; rows equal in id, text and source are counted, not listed,
 until they reach their chunks in portions.
 
-What that last document leaves over or short is settled by few documents: of
-each source and power of two of sizes, all documents where they are no more than
-``LADDER``, else about as many chosen by hash; a subset sum over their possible copies (0 to ``most``) comes closest to
-the target.
+What that draw leaves over or short is settled among a few documents of each source, sixteen or fewer of each power of two of
+sizes, picked by hash: one to three of them change between the two whole numbers around their expectation
+where that brings the source nearer to its target.  So every document keeps one of these two numbers of copies, whatever the source's size.
 
 Defined results: null or empty texts have size 0 and take 0 words; repeated
 rows are rows of their own, and rerunning gives their copies again as a group;
@@ -42,9 +41,8 @@ from pyspark.sql import functions as F
 from .common import WORD, discard, shared_dir, whole, written
 
 WEIGHTS = (5, 2, 1)
-#: Documents of one source and size class that may settle what is left; equal rows that travel as one portion.
-#: Fewer words than SMALL: settled by an exact subset sum.
-LADDER, PORTION, SMALL = 16, 512, 4096
+#: Hashed places for documents of one source and size class that may settle what is left; equal rows that travel as one portion.
+LADDER, PORTION = 16, 512
 
 
 def source_targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, most: float = 3.0) -> dict[str | None, float]:
@@ -107,43 +105,52 @@ def _round(table: pa.Table) -> pa.Table:
     return put(put(put(put(t, "p", rest), "add", add + t["add"].to_numpy()), "n", np.ones(len(row), np.int64)), "_u", (draw * float(1 << 53)).astype(np.int64))
 
 
-def settle(sizes: list[int], copies: list[int], missing: int, most: int) -> list[int]:
-    """Copies (0 to most) of documents, longest last, such that the words added come near to ``missing``.
-
-    Documents of SMALL words and more go one by one, longest first, each by as many copies as bring it nearest; the
-    others by an exact subset sum, over the bits of an integer of bounded length.
+def _nearest_change(delta: np.ndarray, missing: float, enough: float) -> list[int]:
+    """The one, two or three documents whose changes together come nearest to ``missing``; the fewest that come within ``enough``."""
+    one = np.abs(missing - delta)
+    found = [(float(one.min()), [int(one.argmin())])]
+    if found[0][0] > enough and len(delta) > 1:
+        j, k = np.triu_indices(len(delta), 1)
+        sums = delta[j] + delta[k]
+        two = np.abs(missing - sums)
+        at = int(two.argmin())
+        found.append((float(two[at]), [int(j[at]), int(k[at])]))
+        if found[-1][0] > enough and len(delta) > 2:
+            # for each third document the pairs whose sum is nearest to what it leaves; pairs that hold it do not count
+            order = np.argsort(sums, kind="stable")
+            place = np.searchsorted(sums[order], missing - delta)
+            near = order[np.clip(place[:, None] + np.arange(-4, 4), 0, len(sums) - 1)]
+            third = np.arange(len(delta))[:, None]
+            three = np.where((j[near] == third) | (k[near] == third), np.inf, np.abs(missing - delta[:, None] - sums[near]))
+            i, c = np.unravel_index(three.argmin(), three.shape)
+            found.append((float(three[i, c]), [int(i), int(j[near[i, c]]), int(k[near[i, c]])]))
+    return next((x for best, x in found if best <= enough), min(found)[1])
+
+
+def settle(sizes: list[int], up: list[int], missing: float) -> list[int]:
+    """Which documents are rounded up (1) or down (0), such that the words added come near to ``missing``.
+
+    As long as it helps, the documents change (three at most) that bring the words nearest, as few as leave
+    no more than half the smallest document.
     """
-    out = list(copies)
-    for i in range(len(sizes) - 1, -1, -1):
-        if sizes[i] >= SMALL:
-            more = max(-out[i], min(most - out[i], round(missing / sizes[i])))
-            out[i], missing = out[i] + more, missing - more * sizes[i]
-    small = [i for i, s in enumerate(sizes) if s < SMALL]
-    goal = missing + sum(sizes[i] * out[i] for i in small)
-    steps, reach = [], 1  # bit k: k words can be had
-    for i in small:
-        steps.append(reach)
-        for _ in range(most):
-            reach |= reach << sizes[i]
-    at = 0
-    if goal > 0:
-        at = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
-        beyond = reach >> goal
-        if beyond and (over := (beyond & -beyond).bit_length() - 1) < goal - at:
-            at = goal + over
-    for i, before in zip(reversed(small), reversed(steps), strict=True):
-        # the old number of copies where it fits, else the nearest to it
-        fit = (k for k in range(most + 1) if at >= k * sizes[i] and before >> (at - k * sizes[i]) & 1)
-        k = min(fit, key=lambda k: (abs(k - out[i]), k))
-        out[i], at = k, at - k * sizes[i]
-    return out
+    out, size = np.array(up, np.int64), np.array(sizes, float)
+    while len(out) and abs(missing) > size.min() / 2:
+        delta = np.where(out == 0, size, -size)
+        flips = _nearest_change(delta, missing, size.min() / 2)
+        after = missing - float(delta[flips].sum())
+        if abs(after) >= abs(missing) - 1e-9:
+            break
+        missing = after
+        out[flips] = 1 - out[flips]
+    return out.tolist()
 
 
 def _settled(table: pa.Table) -> pa.Table:
-    """One source's ladder, smallest documents first: the copies that come nearest to its target."""
+    """One source's ladder, smallest documents first: the copies that come near to its target."""
     t = table.sort_by([("size", "ascending"), ("_key", "ascending"), ("_u", "ascending")])
-    new = settle(t["size"].to_pylist(), t["add"].to_pylist(), round(t["missing"][0].as_py()), t["most"][0].as_py())
-    return t.select(["_key", "_u"]).append_column("settled", pa.array(new, pa.int64()))
+    whole = np.array(t["whole"].to_pylist(), np.int64)
+    new = settle(t["size"].to_pylist(), (np.array(t["add"].to_pylist(), np.int64) - whole).tolist(), t["missing"][0].as_py())
+    return t.select(["_key", "_u"]).append_column("settled", pa.array(whole + np.array(new, np.int64), pa.int64()))
 
 
 def _draw(*parts: Column) -> Column:
@@ -169,7 +176,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = 3, seed: int = 17,
     key = F.xxhash64(F.lit(seed), "doc_id", "text_hash", "size", "source", "_part")
     d = d.select(
         "doc_id", "source", "text_hash", "size", "source_size", "target", F.least(F.lit(PORTION), F.col("m") - F.col("_part") * PORTION).cast("long").alias("n"),
-        F.col("whole").alias("add"), F.when(F.col("size") > 0, F.col("part")).otherwise(0.0).alias("p"), "chunks",
+        "whole", "part", F.col("whole").alias("add"), F.when(F.col("size") > 0, F.col("part")).otherwise(0.0).alias("p"), "chunks",
         F.pmod(F.xxhash64(F.lit("chunk"), key), F.col("chunks")).alias("_c"), F.xxhash64(F.lit("draw"), key).alias("_u"),
     )
     level, done = d, []
@@ -187,17 +194,16 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = 3, seed: int = 17,
     for x in done[1:]:
         rounded = rounded.unionByName(x)
     key = F.xxhash64("doc_id", "text_hash", "source", "size")
-    rounded = written(rounded.select("doc_id", "source", "text_hash", "size", "source_size", "target", "add", key.alias("_key"), "_u"), f"{folder}/rounded")
+    rounded = written(rounded.select("doc_id", "source", "text_hash", "size", "source_size", "target", "whole", "part", "add", key.alias("_key"), "_u"), f"{folder}/rounded")
     discard(spark, f"{folder}/sizes", *(f"{folder}/level{i}" for i in range(k + 1)))
     # few documents of each source settle what is left
-    sized = rounded.filter("size > 0").withColumn("_bin", F.floor(F.log2("size")))
-    bins = sized.groupBy(F.col("source").alias("_src"), F.col("_bin").alias("_b")).agg(F.count("*").alias("_n"))
-    sized = sized.join(bins, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_bin") == F.col("_b")))
-    rung = F.xxhash64(F.lit(seed), F.lit("rung"), "_key", "_u")
-    one = F.min(F.struct(F.xxhash64(F.lit(seed), "_key", "_u").alias("_h"), "_key", "_u", "size", "add"))
-    ladder = sized.groupBy("source", "_bin", F.when(F.col("_n") <= LADDER, rung).otherwise(F.pmod(rung, F.lit(LADDER))).alias("_rung")).agg(one.alias("_one"))
+    # where expectations are whole numbers there is nothing to choose
+    sized = rounded.filter("size > 0 and part > 0").withColumn("_bin", F.floor(F.log2("size")))
+    rung = F.pmod(F.xxhash64(F.lit(seed), F.lit("rung"), "_key", "_u"), F.lit(LADDER))
+    one = F.min(F.struct(F.xxhash64(F.lit(seed), "_key", "_u").alias("_h"), "_key", "_u", "size", "whole", "add"))
+    ladder = sized.groupBy("source", "_bin", rung.alias("_rung")).agg(one.alias("_one"))
     left = rounded.groupBy(F.col("source").alias("_src")).agg((F.first("target") - F.sum(F.col("add") * F.col("size"))).alias("missing"))
-    ladder = ladder.join(left, F.col("source").eqNullSafe(F.col("_src"))).select("source", "_one._key", "_one._u", "_one.size", "_one.add", "missing", F.lit(int(most)).alias("most"))
+    ladder = ladder.join(left, F.col("source").eqNullSafe(F.col("_src"))).select("source", "_one._key", "_one._u", "_one.size", "_one.whole", "_one.add", "missing")
     settled = ladder.groupBy("source").applyInArrow(_settled, "_key long, _u long, settled long")
     # rows equal in all of this are interchangeable: only one of them is a rung
     settled = settled.groupBy("_key", "_u").agg(F.first("settled").alias("settled"))

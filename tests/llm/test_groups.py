@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -190,14 +191,35 @@ def test_mixing(spark, odd_docs, no_docs):
     assert mix_sources(no_docs).count() == 0
 
 
-def test_mixing_of_few_documents_against_all_choices(spark):
-    """Every source of up to four documents comes as near to its target as any choice of 0 to 3 copies does."""
+def test_mixing_of_few_documents_keeps_floor_and_ceiling(spark):
+    """Sources of one to forty documents: copies are the whole numbers around the expectation, words within the smallest document or the best choice of few."""
     r = random.Random(9)
-    rows = [(10 * s + k, " ".join("w" * 1 for _ in range(r.randrange(1, 400))), f"s{s}") for s in range(12) for k in range(1 + s % 4)]
+    rows = [(100 * s + k, " ".join("w" * 1 for _ in range(r.randrange(1, 400))), f"s{s}") for s in range(12) for k in range((1, 2, 3, 4, 10, 40)[s % 6])]
     got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
     for _, g in got.groupby("source"):
-        best = min(abs(sum(c * n for c, n in zip(cs, g["size"], strict=True)) - round(g["target"].iloc[0])) for cs in itertools.product(range(4), repeat=len(g)))
-        assert abs(g["taken"].sum() - round(g["target"].iloc[0])) <= best + 1
+        target, low = g["target"].iloc[0], math.floor(g["target"].iloc[0] / g["source_size"].iloc[0])
+        assert g["copies"].isin([low, low + 1]).all()
+        off = abs(g["taken"].sum() - target)
+        if len(g) <= 10:
+            best = min(abs(sum(c * n for c, n in zip(cs, g["size"], strict=True)) - target) for cs in itertools.product((low, low + 1), repeat=len(g)))
+            assert off <= max(best, g["size"].min()) + 1e-6
+        else:
+            assert off <= g["size"].min()
+
+
+def test_mixing_keeps_expectations(spark):
+    """The mean of copies over many seeds is each document's expectation, for all sizes of documents."""
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join("w" for _ in range(r.randrange(1, 90))), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string").cache()
+    total, n = collections.Counter(), 24
+    for seed in range(n):
+        rows = mix_sources(docs, seed=seed, chunk_rows=20, fan_in=2).collect()
+        total.update({x["doc_id"]: x["copies"] for x in rows})
+    want = {x["doc_id"]: x["target"] / x["source_size"] for x in rows}
+    z = [(total[i] / n - want[i]) / max((want[i] % 1) * (1 - want[i] % 1) / n, 1e-9) ** 0.5 for i in want]
+    assert max(map(abs, z)) < 4.5 and abs(sum(z) / len(z)) < 0.5
+    large = [z[i] for i, x in enumerate(rows) if x["size"] > 60]
+    assert abs(sum(large) / len(large)) < 1
 
 
 def test_duels_keep_words_and_expectations():
@@ -213,11 +235,11 @@ def test_duels_keep_words_and_expectations():
         total += full
     assert np.abs(total / 20_000 - p).max() < 0.015
     for _ in range(200):
-        sizes, copies = r.integers(1, 30, 4).tolist(), r.integers(0, 4, 4).tolist()
-        missing = int(r.integers(-60, 60))
-        new = mixing.settle(sizes, copies, missing, 3)
-        off = lambda c: abs(sum(s * (a - b) for s, a, b in zip(sizes, c, copies, strict=True)) - missing)
-        assert off(new) == min(map(off, itertools.product(range(4), repeat=4)))
+        sizes, up = r.integers(1, 30, 12).tolist(), r.integers(0, 2, 12).tolist()
+        missing = float(r.integers(-25, 26))
+        new = mixing.settle(sizes, up, missing)
+        off = lambda c: abs(sum(s * (a - b) for s, a, b in zip(sizes, c, up, strict=True)) - missing)
+        assert set(new) <= {0, 1} and off(new) <= min(abs(missing), max(min(map(off, itertools.product((0, 1), repeat=12))), min(sizes)))
 
 
 def test_rows_of_one_id_are_spread_and_mixed(spark, odd_docs, no_docs):
