@@ -17,8 +17,8 @@ No group holds more than a chunk or a level's fan-in, whatever share of the rows
 a source has; rows equal in id, text and source are counted, not listed,
 until they reach their chunks in portions.
 
-What that draw leaves over or short is settled among a few documents of each source, sixteen or fewer of each power of two of
-sizes, picked by hash: one to three of them change between the two whole numbers around their expectation
+What that draw leaves over or short is settled among a few documents of each source, the first sixteen by hash of each power of two of
+sizes: one to three of them change between the two whole numbers around their expectation
 where that brings the source nearer to its target.  So every document keeps one of these two numbers of copies, whatever the source's size.
 
 Defined results: null or empty texts have size 0 and take 0 words; repeated
@@ -36,12 +36,13 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, discard, shared_dir, whole, written
 
 WEIGHTS = (5, 2, 1)
-#: Hashed places for documents of one source and size class that may settle what is left; equal rows that travel as one portion.
+#: Documents of one source and size class that may settle what is left; equal rows that travel as one portion.
 LADDER, PORTION = 16, 512
 
 
@@ -199,11 +200,11 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = 3, seed: int = 17,
     # few documents of each source settle what is left
     # where expectations are whole numbers there is nothing to choose
     sized = rounded.filter("size > 0 and part > 0").withColumn("_bin", F.floor(F.log2("size")))
-    rung = F.pmod(F.xxhash64(F.lit(seed), F.lit("rung"), "_key", "_u"), F.lit(LADDER))
-    one = F.min(F.struct(F.xxhash64(F.lit(seed), "_key", "_u").alias("_h"), "_key", "_u", "size", "whole", "add"))
-    ladder = sized.groupBy("source", "_bin", rung.alias("_rung")).agg(one.alias("_one"))
+    # the first of each class by hash: tasks keep that many of their own before anything is shuffled
+    first = F.row_number().over(W.partitionBy("source", "_bin").orderBy(F.xxhash64(F.lit(seed), F.lit("rung"), "_key", "_u"), "_key", "_u"))
+    ladder = sized.withColumn("_rung", first).filter(F.col("_rung") <= LADDER)
     left = rounded.groupBy(F.col("source").alias("_src")).agg((F.first("target") - F.sum(F.col("add") * F.col("size"))).alias("missing"))
-    ladder = ladder.join(left, F.col("source").eqNullSafe(F.col("_src"))).select("source", "_one._key", "_one._u", "_one.size", "_one.whole", "_one.add", "missing")
+    ladder = ladder.join(left, F.col("source").eqNullSafe(F.col("_src"))).select("source", "_key", "_u", "size", "whole", "add", "missing")
     settled = ladder.groupBy("source").applyInArrow(_settled, "_key long, _u long, settled long")
     # rows equal in all of this are interchangeable: only one of them is a rung
     settled = settled.groupBy("_key", "_u").agg(F.first("settled").alias("settled"))
