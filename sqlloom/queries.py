@@ -730,13 +730,13 @@ def stream_class_counts(spark, sf_dir):
     import uuid
 
     from .plans.stages import folder
-    from .streaming.verdicts import class_counts, read_log, start_to_path
+    from .streaming.verdicts import class_counts, read_counts, read_log, start_to_path
 
     path = f"{sf_dir}/events.parquet"
     out = os.path.join(folder(spark), f"counts-{uuid.uuid4().hex}")
     log = read_log(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
     start_to_path(class_counts(log, "ts", "event_type", "1 day"), f"{out}/table", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/table")
+    return read_counts(spark, f"{out}/table")
 
 
 @query("SELECT tbl AS table_name, CASE WHEN tbl = 'ship' THEN tbl || '(' || string_agg(col || ' number', ', ' ORDER BY ord) FILTER (kind = 'INTEGER') || ')' ELSE tbl END AS text FROM (VALUES " + ", ".join(str(r) for r in INFO if r[2] == "INTEGER") + ") AS i(tbl, col, kind, ord) GROUP BY 1")
