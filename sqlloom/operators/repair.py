@@ -8,6 +8,9 @@ Rounds go on until every query is correct or stuck.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +19,7 @@ from ..functions.built import built_once
 from ..functions.edits import each, once, tidy
 from ..functions.text import normalize_query
 from ..labels import PRIORITY
-from ..plans.stages import discard, interpreted, written
+from ..plans.stages import discard, folder, interpreted, written
 from .diagnose import diagnose
 from .fuzzy import KEYWORDS, closest, edit_size, keyword_matches, words_to_number
 
@@ -35,6 +38,8 @@ DELETIONS, INSERTIONS = 200, 150
 GLUES = (" ", "(", ") ", ", ")
 LINKS = "array<struct<table_name string, column string, target_table string, target_column string, preference int>>"
 CANDIDATE = "array<struct<sql string, description string, preference int>>"
+#: What a deletion may take: words that are keywords, and signs; names, strings, numbers and comparisons stay.
+DELETABLE = rf"(?i)^(?:{'|'.join(KEYWORDS)}|[^\w\s'\"`=<>!*])$"
 AGG = r"(?:count|sum|avg|min|max|total)"
 END = r"(?= HAVING| ORDER BY| LIMIT|$)"
 
@@ -53,14 +58,19 @@ def _as(options: Column, description: str, preference: int = 0) -> Column:
     return F.transform(options, lambda x: F.struct(x.alias("sql"), F.lit(description).alias("description"), F.lit(preference).alias("preference")))
 
 
-def _when(code: str | tuple[str, ...], *options: Column) -> Column:
+def _when(code: str | tuple[str, ...], *options: Column) -> tuple[set[str], Column]:
     codes = (code,) if isinstance(code, str) else code
-    return F.when(F.col("code").isin(*codes), F.concat(*options)).otherwise(F.array().cast(CANDIDATE))
+    return set(codes), F.when(F.col("code").isin(*codes), F.concat(*options)).otherwise(F.array().cast(CANDIDATE))
+
+
+def rewrites(codes: set[str]) -> Column:
+    """Candidates from the text, its issue and the links between tables of its database; only the parts that some code calls for."""
+    return F.concat(F.array().cast(CANDIDATE), *(options for of, options in _rewrites() if of & codes))
 
 
 @built_once
-def rewrites() -> Column:
-    """Candidates from the text, its issue and the links between tables of its database."""
+def _rewrites() -> list[tuple[set[str], Column]]:
+    """Which codes, and their candidates."""
     s = F.col("sql")
     fold = lambda p, r: once(s, p, r)
     from_table = r"(?is)^(.*?\bFROM (\w+)\b.*?) WHERE (.*?)([\w.]+) ?(=|<>|!=|<=|>=|<|>) ?"
@@ -70,19 +80,22 @@ def rewrites() -> Column:
     group = F.regexp_replace(group, r"( GROUP BY [^()]*?)( GROUP BY .*)$", "$1")
     quoted = each(s, r"(?<=[=<>(] ?)\b\d+(?:\.\d+)?\b(?! ?[),] ?\()", lambda x: F.concat(F.lit("'"), x, F.lit("'")))
     number = each(s, r"(?<=[=<>] )'[^']*'", lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"[-+]?\d+(?:\.\d+)?", 0), F.lit("")), words_to_number(F.translate(x, "'", "")).cast("string"), x))
-    tokens = r"\w+|'[^']*'|[^\s\w]"
+    tokens = r"\w+|'[^']*'|\"[^\"]*\"|`[^`]*`|[^\s\w]"
+    without = lambda x: F.when(x.rlike(DELETABLE), "").otherwise(x)
     joined_words = "|".join(k for k in KEYWORDS if len(k) > 2)
-    free = F.get(F.filter(F.array(*(F.lit(f"T{i}") for i in range(1, 10))), lambda x: ~F.contains(F.upper(s), x)), F.lit(0))
+    words = F.split(F.upper(s), r"\W+")
+    # one name more than the text has words, so one of them is free
+    free = F.get(F.filter(F.transform(F.sequence(F.lit(1), F.size(words) + 1), lambda i: F.concat(F.lit("T"), i.cast("string"))), lambda x: ~F.array_contains(words, x)), F.lit(0))
     twice = r"(?is)(\b(?:FROM|JOIN|,) \w+ (?:AS )?)(\w+)(\b.*?(?:\bJOIN|,) \w+ (?:AS )?)\2\b(.*?= ?)\2\."
     same = r"(?is)(\bFROM (\w+)\b.*?\bJOIN \2)\b(?! AS)(.*?= ?)\2\."
     renamed = F.filter(F.array(F.regexp_replace(s, F.lit(twice), F.concat(F.lit("$1$2$3"), free, F.lit("$4"), free, F.lit("."))), F.regexp_replace(s, F.lit(same), F.concat(F.lit("$1 AS "), free, F.lit("$3"), free, F.lit(".")))), lambda x: x != s)
     shown = F.transform(F.split(F.regexp_extract(s, r"(?i)\bSELECT (?:DISTINCT )?(.*?) FROM ", 1), ","), lambda x: F.regexp_replace(F.trim(x), r"(?i) AS \w+$", ""))
-    return F.concat(
+    return [
         _when("SYN_ENGINE",
               _as(fold(r"(?i)\b(GROUP|ORDER) (?!BY\b)", "$1 BY "), "insert BY"),
               _as(fold(r"(?i)\b\w+?(SELECT|FROM|WHERE|GROUP|ORDER|HAVING|JOIN|LIMIT)\b", "$1"), "split joined words", -1),
               *(_as(F.concat(fold(rf"(?i)\b(\w+?)({joined_words})\b", f"$1{g}$2"), fold(rf"(?i)\b({joined_words})(\w+)\b", f"$1{g}$2")), "split joined words") for g in GLUES),
-              _as(F.transform(each(s, tokens, "", DELETIONS), tidy), "delete a token", 1),
+              _as(F.transform(each(s, tokens, without, DELETIONS), tidy), "delete a token", 1),
               _as(F.flatten(F.array(*(F.transform(each(s, r"\s+|(?=[(),=])|$", lambda x, k=k: F.concat(F.lit(f" {k} ")), INSERTIONS), tidy) for k in INSERTABLE))), "insert a token", 1),
               _as(F.when(~s.rlike(r"(?i)^\(*\s*(SELECT|WITH|VALUES)\b"), F.array(F.concat(F.lit("SELECT "), s))).otherwise(F.array().cast("array<string>")), "prepend SELECT"),
               _as(F.when(F.length(F.regexp_replace(s, "[^']", "")) % 2 == 1, F.concat(F.array(F.concat(s, F.lit("'"))), each(s, r"(?<=\w)(?= |$)", "'"))).otherwise(F.array().cast("array<string>")), "close the string"),
@@ -103,7 +116,7 @@ def rewrites() -> Column:
         _when("SEM_NO_JOIN", _join_conditions()),
         _when(("AMB_ALIAS", "AMB_COLUMN"), _as(renamed, "new alias", -1)),
         _when("COL_UNKNOWN", _as(_key_partners(), "foreign-key partner", -1)),
-    )
+    ]
 
 
 def _in_order(s: Column) -> Column:
@@ -185,12 +198,11 @@ def _replaced(word: str | Column, new: Column, all_places: bool = True) -> Colum
     return F.regexp_replace(F.col("sql"), F.concat(F.lit(r"(?i)(?<![\w'])"), w, F.lit(r"(?![\w'])")), new)
 
 
-def candidates(wrong: DataFrame, catalog: DataFrame) -> DataFrame:
-    """id, candidate, description, preference for wrong queries (id, db_id, sql, code, token); only what their codes call for is put together."""
+def candidates(wrong: DataFrame, catalog: DataFrame, codes: set[str]) -> DataFrame:
+    """id, candidate, description, preference for wrong queries (id, db_id, sql, code, token); only what their codes (all of them: ``codes``) call for is put together."""
     spark = wrong.sparkSession
-    codes = {r["code"] for r in wrong.select("code").distinct().collect()}
     own = wrong.join(links_of(catalog), "db_id", "left").withColumn("links", F.coalesce("links", F.array().cast(LINKS))).withColumn("sources", _sources())
-    found = [own.select("id", F.explode(rewrites()).alias("c")).select("id", F.regexp_replace("c.sql", r"upper:(\w+)\(", "$1(").alias("candidate"), "c.description", "c.preference")]
+    found = [own.select("id", F.explode(rewrites(codes)).alias("c")).select("id", F.regexp_replace("c.sql", r"upper:(\w+)\(", "$1(").alias("candidate"), "c.description", "c.preference")]
     names = F.regexp_replace("token", r"^.*\.", "")
     columns = catalog.select("db_id", "table_name", F.explode("columns.name").alias("option"))
 
@@ -236,6 +248,12 @@ def candidates(wrong: DataFrame, catalog: DataFrame) -> DataFrame:
     return every.select("id", "candidate", "_p.description", "_p.preference")
 
 
+def _round(rows: DataFrame, path: str, number: int) -> DataFrame:
+    at = f"{path}/round={number}"
+    rows.write.mode("overwrite").parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
 def repair(queries: DataFrame, catalog: DataFrame, rounds: int | None = None) -> DataFrame:
     """id, db_id, original_query, repaired_query, success, remaining_error, steps.
 
@@ -252,34 +270,42 @@ def _repair(queries: DataFrame, catalog: DataFrame, rounds: int | None) -> DataF
         "id", "db_id", F.col("sql").alias("original_query"), normalize_query(F.col("sql")).alias("sql"), "policy", "error_class", "issues",
         F.array().cast("array<struct<error_class string, description string, before string, after string>>").alias("steps"), F.lit(False).alias("stuck"),
     )
-    state = written(state, "repair")
     limit = F.size(F.regexp_extract_all(normalize_query(F.col("original_query")), F.lit(r"(\w+|\S)"), F.lit(1)))
     if rounds is not None:
         limit = F.least(limit, F.lit(rounds))
+    ended = F.col("error_class").isin("CORRECT", "PERMISSION_DENIED") | F.col("stuck") | (F.size("steps") >= limit)
+    # each round is a folder of its own, of the rows that were open before it; a row is final in the last one it is in
+    path = os.path.join(folder(queries.sparkSession), f"repair-{uuid.uuid4().hex}")
+    number, state = 0, _round(state.withColumn("open", ~ended), path, 0)
     while True:
-        todo = state.filter("error_class not in ('CORRECT', 'PERMISSION_DENIED') and not stuck").filter(F.size("steps") < limit)
-        if not todo.head(1):
+        todo = state.filter("open")
+        codes = {r["code"] for r in todo.select(F.get("issues", F.lit(0))["code"].alias("code")).distinct().collect()}
+        if not codes:
             break
         wrong = todo.select("id", "db_id", F.regexp_replace("sql", r"\s+", " ").alias("sql"), F.get("issues", F.lit(0))["code"].alias("code"), F.get("issues", F.lit(0))["token"].alias("token"))
-        options = written(candidates(wrong, catalog), "candidates")
+        options = written(candidates(wrong, catalog, codes), "candidates")
         base = todo.select("id", "db_id", "policy", F.col("sql").alias("before"), F.col("error_class").alias("was"), F.col("issues").alias("had"), "steps", "original_query")
-        tried = diagnose(options.join(base, "id").select("id", "db_id", "policy", F.col("candidate").alias("sql"), "before", "was", "had", "steps", "original_query", "description", "preference"), catalog)
+        # written down: what follows reads it twice, and puts no plan upon the large one
+        tried = tried_rows = written(diagnose(options.join(base, "id").select("id", "db_id", "policy", F.col("candidate").alias("sql"), "before", "was", "had", "steps", "original_query", "description", "preference"), catalog), "tried")
         tried = tried.filter(F.col("sql") != F.col("before"))
         gone = ~F.exists("issues", lambda x: (x["code"] == F.get("had", F.lit(0))["code"]) & x["token"].eqNullSafe(F.get("had", F.lit(0))["token"]) & (x["message"] == F.get("had", F.lit(0))["message"]))
         no_worse = (rank[F.col("error_class")] >= rank[F.col("was")]) | (F.col("error_class") == "CORRECT")
         # or what comes up was there before, only masked: it names words of the query as it was
         words = F.split(F.lower("before"), r"[^\w']+")
         unmasked = F.forall("issues", lambda x: (rank[x["error_class"]] >= rank[F.col("was")]) | F.coalesce(F.array_contains(words, F.lower(F.regexp_replace(x["token"], r"^.*\.", ""))), F.lit(False)))
-        tried = tried.filter(gone & (no_worse | unmasked))
-        order = W.partitionBy("id").orderBy((F.col("error_class") != "CORRECT").cast("int"), "preference", -rank[F.col("error_class")], F.size("issues"), "_size", "sql")
+        tried = tried.filter(gone & (no_worse | unmasked)).withColumn("_sound", no_worse)
+        # what only unmasks comes after all that is sound
+        order = W.partitionBy("id").orderBy(F.desc("_sound"), (F.col("error_class") != "CORRECT").cast("int"), "preference", -rank[F.col("error_class")], F.size("issues"), "_size", "sql")
         best = tried.withColumn("_size", edit_size(F.col("before"), F.col("sql"))).withColumn("_rn", F.row_number().over(order)).filter("_rn = 1")
         best = best.filter(~F.exists("steps", lambda s: s["before"] == F.col("sql")))  # repeating: stuck
         step = F.struct(F.col("was").alias("error_class"), "description", "before", F.col("sql").alias("after"))
         best = best.select("id", "db_id", "original_query", "sql", "policy", "error_class", "issues", F.array_append("steps", step).alias("steps"), F.lit(False).alias("stuck"))
-        rest = state.join(best.select("id"), "id", "left_anti").withColumn("stuck", F.lit(True))
-        done, state = state, written(best.unionByName(rest.select(*best.columns)), "repair")
-        discard(done)
+        rest = todo.drop("open").join(best.select("id"), "id", "left_anti").withColumn("stuck", F.lit(True))
+        number += 1
+        state = _round(best.unionByName(rest.select(*best.columns)).withColumn("open", ~ended), path, number)
         discard(options)
+        discard(tried_rows)
+    state = queries.sparkSession.read.schema(state.schema).parquet(*(f"{path}/round={k}" for k in range(number + 1))).filter("not open")
     told = F.transform("steps", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". ["), s["error_class"], F.lit("] "), s["description"]))
     sound = F.col("error_class") == "CORRECT"
     end = F.when(sound & (F.size("steps") > 0), "The repaired query passes all checks.").when(sound, "No errors detected; no changes needed.").otherwise(F.concat(F.lit("Remaining problem: "), F.get("issues", F.lit(0))["message"]))

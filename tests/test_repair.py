@@ -34,6 +34,8 @@ MORE = [
     ("SELECT c_name FROM customer LIMIT 3 WHERE c_acctbal > 2 GROUP BY c_name", "SELECT c_name FROM customer WHERE c_acctbal > 2 GROUP BY c_name LIMIT 3"),
     ("SELECT c_name FROM customer ORDER BY c_name HAVING count(*) > 1 GROUP BY c_name", "SELECT c_name FROM customer GROUP BY c_name HAVING count(*) > 1 ORDER BY c_name"),
     ("SELECT n_name FROM nation UNION SELECT n_regionkey, n_name FROM nation", "SELECT n_name FROM nation UNION SELECT n_name FROM nation"),
+    ("SELECT T1.p_name FROM part AS T1 JOIN supplier AS T1 ON T1.p_partkey = T1.s_suppkey", "SELECT T1.p_name FROM part AS T1 JOIN supplier AS T2 ON T1.p_partkey = T2.s_suppkey"),
+    ("SELECT WHERE r_name FROM region", "SELECT r_name FROM region"),
     ("SELECT p_name FROM part WHERE p_size = 'unknown'", None),
 ]
 
