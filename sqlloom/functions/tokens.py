@@ -32,18 +32,16 @@ def with_neighbours(tokens: DataFrame, *query: str) -> DataFrame:
 
 def with_clause_ends(tokens: DataFrame, *query: str) -> DataFrame:
     """Adds clause_end: idx of the last token before the next clause word of the same depth, or before the parentheses around close."""
-    starts = F.when(F.upper("token").isin(*CLAUSES), F.col("idx"))
-    later = W.partitionBy(*query, "depth").orderBy("idx").rowsBetween(1, W.unboundedFollowing)
-    ends = tokens.withColumns({"_start": F.min(starts).over(later), "_last": F.max("idx").over(W.partitionBy(*query))})
-    # the closing parenthesis around a token is the next one of a depth less by one
-    close = ends.filter("token = ')'").select(*(F.col(c).alias(f"_q{i}") for i, c in enumerate(query)), F.col("idx").alias("_close"), F.col("depth").alias("_d"))
-    same = [F.col(c).eqNullSafe(F.col(f"_q{i}")) for i, c in enumerate(query)]
-    on = (F.col("_d") == F.col("depth") - 1) & (F.col("_close") > F.col("idx"))
-    for x in same:
-        on = on & x
-    keys = [*query, "idx"]
-    found = ends.join(close, on, "left").groupBy(*keys).agg(F.min("_close").alias("_c"), *(F.first(c).alias(c) for c in ends.columns if c not in keys))
-    return found.select(*tokens.columns, (F.coalesce(F.least("_start", "_c"), F.col("_last") + 1) - 1).alias("clause_end"))
+    # the closing parenthesis around a token is the next one of a depth less by one: among the tokens of a depth and the
+    # parentheses that close it, the next of these; so each token is given out once, and a closing one twice
+    closing = F.col("token") == ")"
+    own = F.struct(F.col("depth").alias("level"), F.lit(None).cast("int").alias("close"))
+    levels = F.when(closing, F.array(own, F.struct((F.col("depth") + 1).alias("level"), F.col("idx").alias("close")))).otherwise(F.array(own))
+    dealt = tokens.withColumn("_last", F.max("idx").over(W.partitionBy(*query))).withColumn("_l", F.explode(levels))
+    later = W.partitionBy(*query, "_l.level").orderBy("idx").rowsBetween(1, W.unboundedFollowing)
+    starts = F.when(F.upper("token").isin(*CLAUSES) & F.col("_l.close").isNull(), F.col("idx"))
+    ends = dealt.withColumns({"_start": F.min(starts).over(later), "_c": F.min("_l.close").over(later)}).filter("_l.close is null")
+    return ends.select(*tokens.columns, (F.coalesce(F.least("_start", "_c"), F.col("_last") + 1) - 1).alias("clause_end"))
 
 
 def in_from_lists(tokens: DataFrame, *query: str) -> DataFrame:

@@ -30,6 +30,11 @@ def tables_named(catalog: DataFrame, text: str) -> DataFrame:
     return catalog.filter(holds(F.col("table_name")) | F.exists("columns", lambda c: holds(c["name"])))
 
 
+def executable(databases: DataFrame, files: DataFrame) -> DataFrame:
+    """Databases (db_id, path) whose file is among ``files`` (path), as a listing of the store gives them."""
+    return databases.join(files.select("path").distinct(), "path", "left_semi")
+
+
 def toggled(closed: Column, name: Column) -> Column:
     """A policy's list with a name added, or removed where it is in."""
     closed = F.coalesce(closed, F.array().cast("array<string>"))

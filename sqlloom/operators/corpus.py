@@ -33,10 +33,11 @@ def without_seen(rows: DataFrame, seen: DataFrame, text: str, seen_text: str) ->
 
 def split_by_group(rows: DataFrame, group: str, share: float = 0.15, seed: int = 42) -> DataFrame:
     """split = validation for max(1, round(share * groups)) groups in the order of their draws, else train; a group is never divided."""
-    groups = rows.select(group).distinct().withColumn("_d", draw(F.lit(seed), F.col(group)))
-    chosen = groups.orderBy("_d", group).withColumn("_n", F.count("*").over(W.partitionBy()))
-    chosen = chosen.withColumn("_rank", F.row_number().over(W.partitionBy().orderBy("_d", group)))
-    marked = chosen.select(F.col(group).alias("_g"), F.when(F.col("_rank") <= F.greatest(F.lit(1), F.round(F.col("_n") * share)), "validation").otherwise("train").alias("split"))
+    drawn = rows.select(group).distinct().withColumns({"_d": draw(F.lit(seed), F.col(group)), "_all": F.lit(1)})
+    ranked = places(drawn, "_all", "_d", group)
+    most = F.greatest(F.lit(1), F.round(F.col("_n") * share))
+    # the count is one row
+    marked = ranked.join(F.broadcast(ranked.groupBy("_all").agg(F.count("*").alias("_n"))), "_all").select(F.col(group).alias("_g"), F.when(F.col("place") <= most, "validation").otherwise("train").alias("split"))
     return rows.join(marked, rows[group].eqNullSafe(marked["_g"])).drop("_g")
 
 
@@ -66,7 +67,7 @@ def places(rows: DataFrame, group: str, *order: str | Column) -> DataFrame:
     before = F.coalesce(F.sum("_n").over(W.partitionBy("_g").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_g", "_p", before.alias("_before"))
     own = dealt.withColumn("_own", F.row_number().over(W.partitionBy("_part", group).orderBy(*keys)))
-    numbered = own.join(F.broadcast(offsets), (own["_part"] == offsets["_p"]) & own[group].eqNullSafe(offsets["_g"]))
+    numbered = own.join(offsets, (own["_part"] == offsets["_p"]) & own[group].eqNullSafe(offsets["_g"]))
     return numbered.select(*rows.columns, (F.col("_own") + F.col("_before")).cast("int").alias("place"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.stages import discard, written
+
 KEPT, TITLE_CHARS, RESULT_BYTES = 500, 4000, 512 * 1024
 
 
@@ -42,6 +44,45 @@ def upsert(table: DataFrame, changes: DataFrame, *keys: str) -> DataFrame:
     return rest.unionByName(changes.filter(~F.col("deleted")).select(*table.columns))
 
 
+def _part(keys: tuple[str, ...], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+
+
+def store(rows: DataFrame, path: str, *keys: str, parts: int = 256) -> None:
+    """A table that ``upsert_into`` can change: split by the hash of its keys into ``parts`` folders."""
+    rows.withColumn("_part", _part(keys, parts)).repartition("_part").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_part").parquet(path)
+
+
+def upsert_into(path: str, changes: DataFrame, *keys: str, parts: int = 256) -> list[int]:
+    """Replaces, adds and removes (``deleted``) rows of a stored table; the parts that were rewritten.
+
+    Only parts that hold a changed key are read and written; no other file is touched.  Keys are not null and occur
+    once in changes and table.  The new parts are first written beside the table, so a failure before the last step leaves
+    it as it was, and the same call again gives the same table.  The driver sees at most ``parts`` numbers.
+    """
+    spark = changes.sparkSession
+    changes = changes.withColumn("_part", _part(keys, parts))
+    touched = sorted(r[0] for r in changes.select("_part").distinct().collect())
+    if not touched:
+        return touched
+    old = spark.read.parquet(path).filter(F.col("_part").isin(touched))
+    new = written(upsert(old, changes, *keys), "upsert")
+    new.repartition("_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
+    # a part that has lost its last row is not overwritten: its folder goes
+    left = {r[0] for r in new.select("_part").distinct().collect()}
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for k in set(touched) - left:
+        at = hadoop(f"{path}/_part={k}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    discard(new)
+    return touched
+
+
+def total_requests(counters: DataFrame) -> DataFrame:
+    """All requests of all endpoints."""
+    return counters.agg(F.sum("requests").alias("requests"))
+
+
 def service_counters(rows: DataFrame) -> DataFrame:
     """Requests, errors and the mean latency by endpoint."""
     return rows.groupBy("endpoint").agg(F.count("*").alias("requests"), F.count_if(F.col("error_class") != "CORRECT").alias("errors"), F.round(F.avg("latency_ms"), 6).alias("mean_latency"))

@@ -1,7 +1,7 @@
 """All registered queries of the library proper, with their DuckDB equivalents.
 
 Each query runs over its whole tables.  Cases for text scalars that the tables
-do not hold are inline rows, the same on both sides.
+do not hold are added as inline rows, the same on both sides.
 """
 
 from __future__ import annotations
@@ -248,6 +248,54 @@ def service_counters(spark, sf_dir):
     return history.service_counters(e)
 
 
+@query("SELECT sum(requests)::BIGINT AS requests FROM (SELECT event_type, count(*) AS requests FROM events GROUP BY 1)")
+def request_total(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("endpoint"), F.lit("CORRECT").alias("error_class"), F.col("value").alias("latency_ms"))
+    return history.total_requests(history.service_counters(e))
+
+
+CHANGED = "SELECT c_custkey, c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 11 <> 0 UNION ALL SELECT -c_custkey, 'new', 0.0 FROM customer WHERE c_custkey % 50 = 1"
+
+
+@query(f"SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal FROM (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 7 <> 0 UNION ALL {CHANGED})")
+def upserted_customers(spark, sf_dir):
+    """Customers stored in parts, then changed, removed and added to in place; the change is applied twice, as after a retry."""
+    import os
+    import uuid
+
+    from .plans.stages import folder
+
+    c, k = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), F.col("c_custkey")
+    path = os.path.join(folder(spark), f"customers-{uuid.uuid4().hex}")
+    history.store(c, path, "c_custkey", parts=16)
+    gone = c.filter(k % 11 == 0).withColumn("deleted", F.lit(True))
+    other = c.filter((k % 7 == 0) & (k % 11 != 0)).withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    new = c.filter(k % 50 == 1).select((-k).alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(0.0).alias("c_acctbal"))
+    for _ in range(2):
+        history.upsert_into(path, gone.unionByName(other.unionByName(new).withColumn("deleted", F.lit(False))), "c_custkey", parts=16)
+    return spark.read.parquet(path).select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_near, true AS median_near, true AS p95_near FROM events GROUP BY 1")
+def merged_sketches(spark, sf_dir):
+    """Sketches by day and type, stored and merged over all days, held against exact counts and ranks."""
+    import os
+    import uuid
+
+    from .operators import sketches
+    from .plans.stages import folder
+
+    e = table(spark, sf_dir, "events")
+    path = os.path.join(folder(spark), f"sketches-{uuid.uuid4().hex}")
+    sketches.store(sketches.by_day(e, "ts", ["event_type"], "user_id", "value"), path)
+    got = sketches.merged(spark.read.parquet(path), ["event_type"], (0.5, 0.95))
+    q50, q95 = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
+    exact = e.join(got.select("event_type", F.col("quantiles").alias("_q"), F.col("distinct").alias("_d")), "event_type").groupBy("event_type").agg(
+        F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.max("_d").alias("_d"), F.avg((F.col("value") <= q50).cast("int")).alias("_r50"), F.avg((F.col("value") <= q95).cast("int")).alias("_r95"))
+    near = lambda c, q: F.abs(F.col(c) - q) <= sketches.RANK_ERROR
+    return exact.select("event_type", "n", "users", (F.abs(F.col("_d") - F.col("users")) <= sketches.DISTINCT_ERROR * F.col("users")).alias("users_near"), near("_r50", 0.5).alias("median_near"), near("_r95", 0.95).alias("p95_near"))
+
+
 # ----------------------------------------------------------------------- corpus
 
 KEY_SQL = r"regexp_replace(lower(regexp_replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), ';+$', '')), '\s+', ' ', 'g')"
@@ -396,7 +444,7 @@ def applied_edits(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", edited(F.col("c_name"), F.array(e(5, 6, ">"), e(2, 2, "<"))).alias("edited"))
 
 
-# --------------------------------------------------------------- inline fixtures
+# ------------------------------------------- text scalars, with odd cases added
 
 
 def values(rows: list[str]) -> str:
@@ -409,28 +457,43 @@ WORDS = ["cities", "buses", "boxes", "ships", "class", "city", "day", "ship", "s
 TYPES = ["INTEGER", "VARCHAR(20)", "ENUM('a')", "INTERVAL", "timestamp", "datetime", "bool", "year", "", "blob", "Text", "DECIMAL(10,2)", "uuid", "point", " number "]
 
 
+TYPES_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in TYPES) + "]"
+
+
 def inline(spark: SparkSession, rows: list[str]) -> DataFrame:
     return spark.createDataFrame([(r,) for r in rows], "x string")
 
 
-@query(rf"SELECT x, trim(regexp_replace(regexp_replace(split_part(regexp_replace(regexp_replace(CASE WHEN regexp_matches(x, '```(?:sql)?\s*(.*?)```', 'si') THEN regexp_extract(x, '```(?:sql)?\s*(.*?)```', 1, 'si') ELSE x END, '^\s+|\s+$', '', 'g'), '^\s*(sql|sqlite)\s*[:\n]', '', 'i'), ';', 1), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS sql FROM {values(ANSWERS)}")
+def wrapped(text: str) -> str:
+    """A text as answers carry it: in a fence, behind a label, or alone, by its turn."""
+    return f"CASE turn % 3 WHEN 0 THEN concat('Here: ```sql', chr(10), {text}, chr(10), '``` bye') WHEN 1 THEN concat('SQL: ', {text}, '; more') ELSE {text} END"
+
+
+SAID = "coalesce(text, '')"
+
+
+@query(rf"SELECT x, trim(regexp_replace(regexp_replace(split_part(regexp_replace(regexp_replace(CASE WHEN regexp_matches(x, '```(?:sql)?\s*(.*?)```', 'si') THEN regexp_extract(x, '```(?:sql)?\s*(.*?)```', 1, 'si') ELSE x END, '^\s+|\s+$', '', 'g'), '^\s*(sql|sqlite)\s*[:\n]', '', 'i'), ';', 1), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS sql FROM (SELECT {wrapped(SAID)} AS x FROM conversations UNION ALL SELECT x FROM {values(ANSWERS)})")
 def extract_sql(spark, sf_dir):
-    return inline(spark, ANSWERS).select("x", T.extract_sql(F.col("x")).alias("sql"))
+    said = table(spark, sf_dir, "conversations").select(F.expr(wrapped(SAID)).alias("x"))
+    return said.unionByName(inline(spark, ANSWERS)).select("x", T.extract_sql(F.col("x")).alias("sql"))
 
 
-@query(rf"SELECT x, regexp_replace(regexp_replace(x, '^\s+', ''), '[\s;]+$', '') AS normal, {KEY_SQL.format(c='x')} AS key FROM {values(QUERIES_TEXT)}")
+@query(rf"SELECT x, regexp_replace(regexp_replace(x, '^\s+', ''), '[\s;]+$', '') AS normal, {KEY_SQL.format(c='x')} AS key FROM (SELECT {SAID} || ' ; ;' AS x FROM conversations UNION ALL SELECT x FROM {values(QUERIES_TEXT)})")
 def normalize_query(spark, sf_dir):
-    return inline(spark, QUERIES_TEXT).select("x", T.normalize_query(F.col("x")).alias("normal"), T.dedupe_key(F.col("x")).alias("key"))
+    said = table(spark, sf_dir, "conversations").select(F.expr(f"{SAID} || ' ; ;'").alias("x"))
+    return said.unionByName(inline(spark, QUERIES_TEXT)).select("x", T.normalize_query(F.col("x")).alias("normal"), T.dedupe_key(F.col("x")).alias("key"))
 
 
-@query(f"SELECT x, CASE WHEN lower(x) LIKE '%ies' AND length(x) > 4 THEN left(x, length(x) - 3) || 'y' WHEN lower(x) LIKE '%ses' OR lower(x) LIKE '%xes' THEN left(x, length(x) - 2) WHEN lower(x) LIKE '%s' AND lower(x) NOT LIKE '%ss' THEN left(x, length(x) - 1) WHEN lower(x) LIKE '%y' AND length(x) > 2 AND substr(lower(x), length(x) - 1, 1) NOT IN ('a', 'e', 'i', 'o', 'u') THEN left(x, length(x) - 1) || 'ies' ELSE x || 's' END AS toggled FROM {values(WORDS)}")
+@query(f"SELECT x, CASE WHEN lower(x) LIKE '%ies' AND length(x) > 4 THEN left(x, length(x) - 3) || 'y' WHEN lower(x) LIKE '%ses' OR lower(x) LIKE '%xes' THEN left(x, length(x) - 2) WHEN lower(x) LIKE '%s' AND lower(x) NOT LIKE '%ss' THEN left(x, length(x) - 1) WHEN lower(x) LIKE '%y' AND length(x) > 2 AND substr(lower(x), length(x) - 1, 1) NOT IN ('a', 'e', 'i', 'o', 'u') THEN left(x, length(x) - 1) || 'ies' ELSE x || 's' END AS toggled FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS x FROM conversations UNION SELECT x FROM {values(WORDS)})")
 def toggle_plural(spark, sf_dir):
-    return inline(spark, WORDS).select("x", T.toggle_plural(F.col("x")).alias("toggled"))
+    said = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("x"))
+    return said.unionByName(inline(spark, WORDS)).distinct().select("x", T.toggle_plural(F.col("x")).alias("toggled"))
 
 
-@query(f"SELECT x, CASE WHEN t = '' THEN 'other' WHEN t IN ('number', 'text', 'time', 'boolean', 'other') THEN t WHEN contains(t, 'bool') THEN 'boolean' WHEN regexp_matches(t, 'date|time|year') AND NOT contains(t, 'int') THEN 'time' WHEN regexp_matches(t, 'int|real|num|dec|float|double|money|serial|bit') THEN 'number' WHEN regexp_matches(t, 'char|text|clob|string|uuid|json|enum') THEN 'text' ELSE 'other' END AS coarse, '\"' || replace(x, '\"', '\"\"') || '\"' AS quoted FROM (SELECT x, lower(trim(x)) AS t FROM {values(TYPES)})")
+@query(f"SELECT x, CASE WHEN t = '' THEN 'other' WHEN t IN ('number', 'text', 'time', 'boolean', 'other') THEN t WHEN contains(t, 'bool') THEN 'boolean' WHEN regexp_matches(t, 'date|time|year') AND NOT contains(t, 'int') THEN 'time' WHEN regexp_matches(t, 'int|real|num|dec|float|double|money|serial|bit') THEN 'number' WHEN regexp_matches(t, 'char|text|clob|string|uuid|json|enum') THEN 'text' ELSE 'other' END AS coarse, '\"' || replace(x, '\"', '\"\"') || '\"' AS quoted FROM (SELECT x, lower(trim(x)) AS t FROM (SELECT {TYPES_SQL}[p_partkey % {len(TYPES)} + 1] || '(' || p_size || ')' AS x FROM part UNION ALL SELECT x FROM {values(TYPES)}))")
 def normalize_type(spark, sf_dir):
-    return inline(spark, TYPES).select("x", T.normalize_type(F.col("x")).alias("coarse"), T.quote_ident(F.col("x")).alias("quoted"))
+    sized = F.concat(F.get(F.array(*map(F.lit, TYPES)), (F.col("p_partkey") % len(TYPES)).cast("int")), F.lit("("), F.col("p_size").cast("string"), F.lit(")"))
+    return table(spark, sf_dir, "part").select(sized.alias("x")).unionByName(inline(spark, TYPES)).select("x", T.normalize_type(F.col("x")).alias("coarse"), T.quote_ident(F.col("x")).alias("quoted"))
 
 
 @query("WITH e AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'SYNTAX_ERROR' ELSE 'CORRECT' END AS a, user_id % 2 = 0 AS checked, CASE WHEN event_type = 'purchase' THEN NULL WHEN event_type = 'view' THEN 'SYNTAX_ERROR' ELSE 'CORRECT' END AS m, (event_id % 100) / 100.0::DOUBLE AS c FROM events) SELECT event_id, CASE WHEN a <> 'CORRECT' THEN a WHEN NOT checked AND m <> 'CORRECT' AND c >= 0.8 THEN m ELSE 'CORRECT' END AS error_class, CASE WHEN a <> 'CORRECT' OR checked THEN 1.0 WHEN m IS NULL THEN 1.0 WHEN m <> 'CORRECT' AND c >= 0.8 THEN c WHEN m = 'CORRECT' THEN c ELSE 1 - c END::DOUBLE AS confidence, CASE WHEN a <> 'CORRECT' THEN CASE WHEN m = a THEN 'analyzer+model' ELSE 'analyzer' END WHEN checked THEN CASE WHEN m = 'CORRECT' THEN 'analyzer+model' ELSE 'analyzer' END WHEN m <> 'CORRECT' AND c >= 0.8 THEN 'model' ELSE 'analyzer' END AS decided_by FROM e")
@@ -446,23 +509,35 @@ FKS = [("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nat
 FK_SQL = "(VALUES " + ", ".join(str(k) for k in FKS) + ") AS fk(tbl, col, target, target_col)"
 
 
-@query(f"SELECT tbl AS a, target AS b, tbl || '.' || col || ' = ' || target || '.' || target_col AS condition FROM {FK_SQL} UNION ALL SELECT target, tbl, target || '.' || target_col || ' = ' || tbl || '.' || col FROM {FK_SQL}")
+@query(f"WITH k AS (SELECT tbl || '_' || s_suppkey AS tbl, col, target || '_' || s_suppkey AS target, target_col FROM supplier, {FK_SQL}) SELECT tbl AS a, target AS b, tbl || '.' || col || ' = ' || target || '.' || target_col AS condition FROM k UNION ALL SELECT target, tbl, target || '.' || target_col || ' = ' || tbl || '.' || col FROM k")
 def fk_join_candidates(spark, sf_dir):
+    """Join conditions of a schema for each supplier, whose tables carry the supplier's number."""
     from .operators.repair import fk_conditions
 
-    return fk_conditions(spark.createDataFrame(FKS, "table_name string, column string, target_table string, target_column string"))
+    own = lambda c: F.concat(F.lit(f"{c}_"), F.col("s_suppkey").cast("string"))
+    keys = F.array(*(F.struct(own(t).alias("table_name"), F.lit(c).alias("column"), own(x).alias("target_table"), F.lit(y).alias("target_column")) for t, c, x, y in FKS))
+    return fk_conditions(table(spark, sf_dir, "supplier").select(F.explode(keys).alias("k")).select("k.*"))
+
 
 
 INFO = [(t, c, k, i) for t, cols in (("ship", (("ship_id", "INTEGER"), ("flag", "TEXT"), ("tons", "INTEGER"))), ("port", (("port_id", "INTEGER"), ("depth", "INTEGER")))) for i, (c, k) in enumerate(cols, 1)]
 
 
-@query("SELECT tbl AS table_name, string_agg(col || ':' || lower(kind), ',' ORDER BY ord) AS columns, min(CASE WHEN ord = 1 THEN col END) AS primary_key FROM (VALUES " + ", ".join(str(r) for r in INFO) + ") AS i(tbl, col, kind, ord) GROUP BY 1")
-def information_schema_fold(spark, sf_dir):
-    columns = spark.createDataFrame([("sea", t, c, k, i) for t, c, k, i in reversed(INFO)], "db_id string, table_name string, column_name string, data_type string, ordinal int")
-    keys = spark.createDataFrame([("sea", t, c, i) for t, c, _, i in INFO if i == 1], "db_id string, table_name string, column_name string, ordinal int")
+INFO_SQL = "(VALUES " + ", ".join(str(r) for r in INFO) + ") AS i(tbl, col, kind, ord)"
+
+
+def information_schema(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Columns, keys and links of a database for each supplier."""
+    one = F.array(*(F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.lit(k).alias("data_type"), F.lit(i).alias("ordinal")) for t, c, k, i in reversed(INFO)))
+    columns = table(spark, sf_dir, "supplier").select(F.concat(F.lit("sea"), F.col("s_suppkey").cast("string")).alias("db_id"), F.explode(one).alias("c")).select("db_id", "c.*")
     links = spark.createDataFrame([], "db_id string, table_name string, column_name string, target_table string, target_column string, ordinal int")
-    c = fold_information_schema(columns, keys, links)
-    return c.select("table_name", F.array_join(F.transform("columns", lambda x: F.concat(x["name"], F.lit(":"), F.lower(x["raw_type"]))), ",").alias("columns"), F.get("primary_keys", F.lit(0)).alias("primary_key"))
+    return columns, columns.filter("ordinal = 1").drop("data_type"), links
+
+
+@query(f"SELECT 'sea' || s_suppkey AS db_id, tbl AS table_name, string_agg(col || ':' || lower(kind), ',' ORDER BY ord) AS columns, min(CASE WHEN ord = 1 THEN col END) AS primary_key FROM supplier, {INFO_SQL} GROUP BY 1, 2")
+def information_schema_fold(spark, sf_dir):
+    c = fold_information_schema(*information_schema(spark, sf_dir))
+    return c.select("db_id", "table_name", F.array_join(F.transform("columns", lambda x: F.concat(x["name"], F.lit(":"), F.lower(x["raw_type"]))), ",").alias("columns"), F.get("primary_keys", F.lit(0)).alias("primary_key"))
 
 
 # ------------------------------------------------------------------------ fuzzy
@@ -497,9 +572,29 @@ def nearest_words(spark, sf_dir):
     return similarity.top_similar(part_words(spark, sf_dir), conversation_words(spark, sf_dir), n=2, cutoff=0.6)
 
 
-@query("SELECT x, y FROM (VALUES ('twenty one', 21), ('three hundred and five', 305), ('two thousand', 2000), ('seven', 7), ('forty-two', 42), ('cat', NULL), ('one hundred twelve thousand nine', 112009)) AS v(x, y)")
+NUMBERS = {"twenty one": 21, "three hundred and five": 305, "two thousand": 2000, "seven": 7, "forty-two": 42, "cat": None, "one hundred twelve thousand nine": 112009}
+
+
+def spelled(n: Column) -> Column:
+    """A number from 1 to 999,999 in words."""
+    units, tens = F.array(*map(F.lit, fuzzy.UNITS)), F.array(*map(F.lit, fuzzy.TENS))
+
+    def below_thousand(m: Column) -> Column:
+        rest = m % 100
+        return F.concat_ws(
+            " ", F.when(m >= 100, F.concat(F.get(units, F.floor(m / 100).cast("int")), F.lit(" hundred"))), F.when(rest >= 20, F.get(tens, F.floor(rest / 10).cast("int") - 2)),
+            F.when((rest > 0) & (rest < 20), F.get(units, rest)).when((rest >= 20) & (rest % 10 > 0), F.get(units, rest % 10)),
+        )
+
+    high, low = F.floor(n / 1000).cast("int"), (n % 1000).cast("int")
+    return F.concat_ws(" ", F.when(high > 0, F.concat(below_thousand(high), F.lit(" thousand"))), F.when(low > 0, below_thousand(low)))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS x, (p_partkey * 7919 % 999999 + 1)::INTEGER AS y FROM part UNION ALL SELECT x, y::INTEGER FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if v is None else v})" for k, v in NUMBERS.items()) + ") AS v(x, y)")
 def words_to_number(spark, sf_dir):
-    return inline(spark, ["twenty one", "three hundred and five", "two thousand", "seven", "forty-two", "cat", "one hundred twelve thousand nine"]).select("x", fuzzy.words_to_number(F.col("x")).cast("int").alias("y"))
+    """A number made from each part's key, spelled and read again; and words in other forms."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("x"), spelled((F.col("p_partkey") * 7919 % 999999 + 1).cast("int")).alias("words"))
+    return part.unionByName(inline(spark, list(NUMBERS)).withColumn("words", F.col("x"))).select("x", fuzzy.words_to_number(F.col("words")).cast("int").alias("y"))
 
 
 # ------------------------------------------------------- relational categories
@@ -739,10 +834,12 @@ def stream_class_counts(spark, sf_dir):
     return read_counts(spark, f"{out}/table")
 
 
-@query("SELECT tbl AS table_name, CASE WHEN tbl = 'ship' THEN tbl || '(' || string_agg(col || ' number', ', ' ORDER BY ord) FILTER (kind = 'INTEGER') || ')' ELSE tbl END AS text FROM (VALUES " + ", ".join(str(r) for r in INFO if r[2] == "INTEGER") + ") AS i(tbl, col, kind, ord) GROUP BY 1")
+@query(
+    "SELECT 'sea' || s_suppkey AS db_id, tbl AS table_name, CASE WHEN (s_suppkey % 2 = 0) = (tbl = 'ship') THEN tbl || '(' || string_agg(col || CASE kind WHEN 'TEXT' THEN ' text' ELSE ' number' END, ', ' ORDER BY ord) || ')' ELSE tbl END AS text "
+    f"FROM supplier, {INFO_SQL} GROUP BY s_suppkey, tbl"
+)
 def serialised_schema(spark, sf_dir):
-    rows = [("sea", t, c, k, i) for t, c, k, i in INFO if k == "INTEGER"]
-    columns = spark.createDataFrame(rows, "db_id string, table_name string, column_name string, data_type string, ordinal int")
-    none = spark.createDataFrame([], "db_id string, table_name string, column_name string, target_table string, target_column string, ordinal int")
-    c = fold_information_schema(columns, none.select("db_id", "table_name", "column_name", "ordinal"), none)
-    return c.select("table_name", T.serialised_schema(F.col("table_name"), F.col("columns"), F.col("table_name") == "ship").alias("text"))
+    """A database for each supplier as a model reads it; the question mentions one of its two tables."""
+    c = fold_information_schema(*information_schema(spark, sf_dir))
+    even = F.substring("db_id", 4, 20).cast("long") % 2 == 0
+    return c.select("db_id", "table_name", T.serialised_schema(F.col("table_name"), F.col("columns"), even == (F.col("table_name") == "ship")).alias("text"))
