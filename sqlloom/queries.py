@@ -834,6 +834,28 @@ def stream_class_counts(spark, sf_dir):
     return read_counts(spark, f"{out}/table")
 
 
+@query(
+    "WITH e AS (SELECT user_id::VARCHAR AS key, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "s AS (SELECT *, sum(b) OVER (PARTITION BY key ORDER BY ts) AS s FROM e) "
+    "SELECT key, min(ts) AS started, max(ts) AS ended, count(*) AS n, round(avg(value), 6) AS mean FROM s GROUP BY key, s HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"
+)
+def stream_sessions(spark, sf_dir):
+    """Sessions of users that have ended by the watermark, by a stream with state and timers run to the end of the log."""
+    import os
+    import uuid
+
+    from .plans.stages import folder
+    from .streaming.sessions import run_to_end, sessions
+    from .streaming.verdicts import read_log
+
+    path = f"{sf_dir}/events.parquet"
+    out = os.path.join(folder(spark), f"sessions-{uuid.uuid4().hex}")
+    log = read_log(spark, path, spark.read.parquet(path).schema)
+    closed = sessions(log, "user_id", "ts", "value", 12 * 3600)
+    run_to_end(closed, f"{out}/table", f"{out}/checkpoint")
+    return spark.read.schema(closed.schema).parquet(f"{out}/table").select("key", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n", "mean")
+
+
 @query(
     "SELECT 'sea' || s_suppkey AS db_id, tbl AS table_name, CASE WHEN (s_suppkey % 2 = 0) = (tbl = 'ship') THEN tbl || '(' || string_agg(col || CASE kind WHEN 'TEXT' THEN ' text' ELSE ' number' END, ', ' ORDER BY ord) || ')' ELSE tbl END AS text "
     f"FROM supplier, {INFO_SQL} GROUP BY s_suppkey, tbl"
