@@ -7,6 +7,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, SelectedColumn
 
 from ..operators.fuzzy import match_ratio, osa_distance
 
@@ -34,6 +36,70 @@ def register_corpus(spark: SparkSession, queries: str, catalog: DataFrame, prefi
     repair(spark.table(queries), catalog).createOrReplaceTempView(f"{prefix}repair")
 
 
+def _columns(rows: AnalyzeArgument, *names: AnalyzeArgument) -> list[StructField]:
+    """The columns of a TABLE argument that constant arguments name, in any case of letters; an error where one is missing."""
+    if not rows.isTable:
+        raise ValueError("the first argument is a TABLE")
+    known = {f.name.lower(): f for f in rows.dataType.fields}
+    missing = [n.value for n in names if not n.isConstantExpression or str(n.value).lower() not in known]
+    if missing:
+        raise ValueError(f"no such column: {missing}")
+    return [known[str(n.value).lower()] for n in names]
+
+
+class QueryTokens:
+    """``query_tokens(TABLE(q), 'id', 'sql')``: the key's column, idx, token, depth; only the two columns are read.  Null and empty texts give no row."""
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, key: AnalyzeArgument, text: AnalyzeArgument) -> AnalyzeResult:
+        k, t = _columns(rows, key, text)
+        if k.name == t.name:
+            raise ValueError("the key and the text are one column")
+        tokens = [StructField("idx", IntegerType()), StructField("token", StringType()), StructField("depth", IntegerType())]
+        return AnalyzeResult(StructType([StructField(k.name, k.dataType), *tokens]), select=[SelectedColumn(f"`{k.name}`"), SelectedColumn(f"`{t.name}`")])
+
+    def eval(self, row, key: str, text: str):
+        depth = idx = 0
+        for m in TOKEN.finditer(row[1] or ""):
+            if m[0].isspace():
+                continue
+            depth -= m[0] == ")"
+            yield row[0], idx, m[0], depth
+            depth += m[0] == "("
+            idx += 1
+
+
+class Runs:
+    """``runs(TABLE(t) PARTITION BY client ORDER BY (at), 'client', 'class', 'at')``: the key's column, run (from 1), the
+    value's column, n, started, ended, for rows in a run that have the same value; null is a value of its own.
+
+    One run is held at a time, so a partition may be of any length; each must hold one key.
+    """
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, key: AnalyzeArgument, value: AnalyzeArgument, at: AnalyzeArgument) -> AnalyzeResult:
+        k, v, t = _columns(rows, key, value, at)
+        return AnalyzeResult(StructType([StructField(k.name, k.dataType), StructField("run", LongType()), StructField(v.name, v.dataType), StructField("n", LongType()), StructField("started", t.dataType), StructField("ended", t.dataType)]))
+
+    def __init__(self):
+        self.held, self.number = None, 0
+
+    def eval(self, row, key: str, value: str, at: str):
+        cell = {k.lower(): x for k, x in row.asDict().items()}
+        k, v, t = (cell[c.lower()] for c in (key, value, at))
+        if self.held and self.held[2] == v:
+            self.held[3], self.held[5] = self.held[3] + 1, t
+            return
+        if self.held:
+            yield tuple(self.held)
+        self.number += 1
+        self.held = [k, self.number, v, 1, t, t]
+
+    def terminate(self):
+        if self.held:
+            yield tuple(self.held)
+
+
 def register(spark: SparkSession) -> None:
     for name, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
@@ -76,5 +142,5 @@ def register(spark: SparkSession) -> None:
                         yield i, kind, "".join(part)
                         i += 1
 
-    for name, f in (("sql_tokens", SqlTokens), ("split_queries", SplitQueries), ("word_diff", WordDiff)):
+    for name, f in (("sql_tokens", SqlTokens), ("split_queries", SplitQueries), ("word_diff", WordDiff), ("query_tokens", F.udtf(QueryTokens)), ("runs", F.udtf(Runs))):
         spark.udtf.register(name, f)

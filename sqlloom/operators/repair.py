@@ -74,7 +74,7 @@ def _rewrites() -> list[tuple[set[str], Column]]:
     s = F.col("sql")
     fold = lambda p, r: once(s, p, r)
     from_table = r"(?is)^(.*?\bFROM (\w+)\b.*?) WHERE (.*?)([\w.]+) ?(=|<>|!=|<=|>=|<|>) ?"
-    plain = F.filter(F.transform(F.split(F.regexp_extract(s, r"(?i)\bSELECT (?:DISTINCT )?(.*?) FROM ", 1), ","), F.trim), lambda x: x.rlike(r"^[A-Za-z_][\w.]*$"))
+    plain = F.filter(F.transform(F.split(F.regexp_extract(s, r"(?i)\bSELECT (?:DISTINCT )?(.*?) FROM ", 1), ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^[A-Za-z_][\w.]*$"))
     group = F.when(s.rlike(r"(?i)\bGROUP BY\b"), F.regexp_replace(s, F.lit(r"(?is)(\bGROUP BY .*?)" + END), F.concat(F.lit("$1, "), F.col("token")))).otherwise(F.regexp_replace(s, F.lit(r"(?is)^(.*?)(?= HAVING| ORDER BY| LIMIT|$)"), F.concat(F.lit("$1 GROUP BY "), F.array_join(plain, ", "))))
     # the pattern for "up to the end" also matches the empty rest, so only the first match counts
     group = F.regexp_replace(group, r"( GROUP BY [^()]*?)( GROUP BY .*)$", "$1")
@@ -133,7 +133,7 @@ def _in_order(s: Column) -> Column:
 def _same_items(s: Column) -> Column:
     """For two SELECTs of different width: both with the items only whose names the other has too, in the first one's order."""
     parts = r"(?is)^SELECT (DISTINCT )?(.*?) (FROM .*?) (UNION ALL|UNION|INTERSECT|EXCEPT) SELECT (DISTINCT )?(.*?) (FROM .*)$"
-    items = lambda i: F.transform(F.split(F.regexp_extract(s, parts, i), ","), F.trim)
+    items = lambda i: F.transform(F.split(F.regexp_extract(s, parts, i), ","), lambda x: F.trim(x))
     name = lambda x: F.lower(F.regexp_replace(x, r"^.*(?:\.|\s)", ""))
     a, b = items(2), items(6)
     left = F.filter(a, lambda x: F.exists(b, lambda y: name(x) == name(y)))
@@ -231,7 +231,7 @@ def candidates(wrong: DataFrame, catalog: DataFrame, codes: set[str]) -> DataFra
         add(lost.join(near.select("id", "word", "option"), ["id", "word"]), _replaced("word", F.col("option")), "column", 0)
     if codes & {"COL_UNKNOWN", "AMB_COLUMN"}:  # other aliases of the query, for all places of the name or for one
         lost = own.filter("code in ('AMB_COLUMN', 'COL_UNKNOWN')").withColumn("alias", F.explode(F.array_distinct(F.transform("sources", lambda x: x["a"]))))
-        alias = F.when(F.contains("sql", F.upper("alias")), F.upper("alias")).otherwise(F.col("alias"))
+        alias = F.when(F.rlike("sql", F.concat(F.lit(r"\b"), F.upper("alias"), F.lit(r"\b"))), F.upper("alias")).otherwise(F.col("alias"))
         bare = F.concat(F.lit(r"(?i)(?<![\w.'])(?:\w+\.)?"), names, F.lit(r"(?![\w'(.])"))
         add(lost, F.regexp_replace("sql", bare, F.concat(alias, F.lit("."), names)), "qualify", 1)
         only = F.concat(F.lit(r"(?i)(?<![\w.'])"), names, F.lit(r"(?![\w'(.])"))

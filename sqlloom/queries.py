@@ -416,6 +416,18 @@ def token_neighbours(spark, sf_dir):
     return with_neighbours(seed_tokens(spark, sf_dir), "id").drop("is_function_name")
 
 
+@query(
+    "WITH e AS (SELECT user_id, event_type, ts, event_id, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+    "r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e) SELECT user_id, run::BIGINT AS run, event_type, count(*) AS n, min(ts) AS started, max(ts) AS ended FROM r GROUP BY user_id, run, event_type"
+)
+def runs_by_table_function(spark, sf_dir):
+    """Runs of one type among each user's events, by a table function with PARTITION BY and ORDER BY."""
+    from .functions.register import register
+
+    register(spark)
+    return spark.sql("SELECT * FROM runs(TABLE(SELECT user_id, event_type, ts, event_id FROM {e}) PARTITION BY user_id ORDER BY (ts, event_id), 'user_id', 'event_type', 'ts')", e=table(spark, sf_dir, "events"))
+
+
 CLAUSE_WORDS = "('SELECT', 'FROM', 'WHERE', 'GROUP', 'HAVING', 'ORDER', 'LIMIT', 'UNION', 'INTERSECT', 'EXCEPT')"
 
 
@@ -807,7 +819,7 @@ def canonical_matches(spark, sf_dir):
 
 
 @query(
-    f"SELECT s_suppkey AS id, replace(replace(sql, '{{n}}', CAST(s_suppkey AS VARCHAR)), '{{s}}', s_name) AS original_query, lower(replace(replace(v1, '{{n}}', CAST(s_suppkey AS VARCHAR)), '{{s}}', s_name)) AS repaired, true AS success "
+    f"SELECT s_suppkey AS id, replace(replace(sql, '{{n}}', CAST(s_suppkey AS VARCHAR)), '{{s}}', s_name) AS original_query, replace(replace(v1, '{{n}}', CAST(s_suppkey AS VARCHAR)), '{{s}}', s_name) AS repaired, true AS success "
     f"FROM supplier JOIN {sql_templates(samples.BROKEN)} ON s_suppkey % {len(samples.BROKEN)} = k"
 )
 def repair_corpus(spark, sf_dir):
@@ -815,7 +827,7 @@ def repair_corpus(spark, sf_dir):
     from .operators.repair import repair
 
     q = made(spark, table(spark, sf_dir, "supplier"), "s_suppkey", "s_suppkey", "s_name", samples.BROKEN)
-    return repair(q.select("id", "db_id", "sql"), star(spark)).select("id", "original_query", F.lower("repaired_query").alias("repaired"), "success")
+    return repair(q.select("id", "db_id", "sql"), star(spark)).select("id", "original_query", F.col("repaired_query").alias("repaired"), "success")
 
 
 @query("SELECT date_trunc('day', ts) AS window_start, event_type AS label, count(*) AS n, round(avg(value), 6) AS mean_ms FROM events GROUP BY 1, 2")

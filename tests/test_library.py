@@ -191,6 +191,20 @@ def test_sql_functions(spark):
     assert ("removed", "b") in [tuple(r) for r in spark.sql("SELECT kind, part FROM word_diff('a b c', 'a x c')").collect()]
 
 
+def test_functions_of_tables(spark):
+    register(spark)
+    spark.createDataFrame([(1, "SELECT f(a)", 9), (2, None, 9), (3, "", 9)], "Id long, sql string, other int").createOrReplaceTempView("texts")
+    df = spark.sql("SELECT * FROM query_tokens(TABLE(texts), 'id', 'sql')")
+    assert df.columns == ["Id", "idx", "token", "depth"] and sorted(map(tuple, df.collect())) == [(1, 0, "SELECT", 0), (1, 1, "f", 0), (1, 2, "(", 0), (1, 3, "a", 1), (1, 4, ")", 0)]
+    for wrong in ("TABLE(texts), 'id', 'nothing'", "TABLE(texts), 'id', 'id'"):
+        with pytest.raises(Exception, match="column"):
+            spark.sql(f"SELECT * FROM query_tokens({wrong})").collect()
+    spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 3, None), ("a", 4, None), ("a", 5, "x"), ("b", 1, "y"), (None, 1, "y")], "who string, at int, v string").createOrReplaceTempView("seen")
+    got = spark.sql("SELECT * FROM runs(TABLE(seen) PARTITION BY who ORDER BY (at), 'who', 'v', 'at')").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("a", 1, "x", 2, 1, 2), ("a", 2, None, 2, 3, 4), ("a", 3, "x", 1, 5, 5), ("b", 1, "y", 1, 1, 1), (None, 1, "y", 1, 1, 1)], key=repr)
+    assert spark.sql("SELECT * FROM runs(TABLE(SELECT * FROM seen WHERE false) PARTITION BY who ORDER BY (at), 'who', 'v', 'at')").count() == 0
+
+
 def test_catalyst(spark):
     catalyst.create_views(spark, catalog.from_wire(spark, "star", WIRE), "star")
     cases = {
