@@ -42,6 +42,12 @@ def interpreted(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out over all cores: a small file is one task, however much is made of its rows later."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
     """Writes df into the shared folder and reads it again."""
     spark = df.sparkSession

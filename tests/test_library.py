@@ -327,3 +327,9 @@ def test_export_ids_of_large_splits(spark, tmp_path):
     # the operator's own ids stay apart
     rows = spark.range(100_002).select("id", F.lit("s").alias("split")).withColumnRenamed("id", "k")
     assert corpus.numbered_ids(rows, "split", "k").select("id").distinct().count() == 100_002
+
+
+def test_made_texts_are_dealt_out(spark, sf_dir):
+    made = q._classed(spark, sf_dir)
+    used = {r[0] for r in made.select(F.spark_partition_id()).distinct().collect()}
+    assert spark.read.parquet(f"{sf_dir}/customer.parquet").rdd.getNumPartitions() == 1 and len(used) >= 4
