@@ -123,11 +123,15 @@ def canonical_form(q: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(plain, r"(?<![\w.'])\d+(?:\.\d+)?(?![\w'])", "0"), r"\s+", " ")
     plain = F.regexp_replace(F.regexp_replace(plain, r" ?([(),=<>!]+) ?", " $1 "), r"\s+", " ")
     behind = r"\b(?:from|join|,) (\w+)(?: as)? (?!(?:on|where|join|group|order|using|left|inner|cross|natural|limit|having|union|intersect|except|as)\b)(\w+)"
-    aliases = F.regexp_extract_all(plain, F.lit(behind), F.lit(2))
     # all at once, word by word: a new name is never taken for an alias again; of an alias that is given twice the first place counts
-    pieces = F.regexp_extract_all(plain, F.lit(r"('\?'|\w+|[^\w']+|')"), F.lit(1))
-    new = lambda x: F.concat(F.lit("t"), F.array_position(aliases, x).cast("string"))
-    swapped = F.transform(pieces, lambda x, i: F.when(F.array_contains(aliases, x) & ~F.coalesce(F.get(pieces, i - 1).endswith("."), F.lit(False)), new(x)).otherwise(x))
-    renamed = F.array_join(swapped, "")
+    found = lambda p: F.struct(F.regexp_extract_all(p, F.lit(behind), F.lit(2)).alias("aliases"), F.regexp_extract_all(p, F.lit(r"('\?'|\w+|[^\w']+|')"), F.lit(1)).alias("pieces"))
+
+    def renamed_in(aliases: Column, pieces: Column) -> Column:
+        new = lambda x: F.concat(F.lit("t"), F.array_position(aliases, x).cast("string"))
+        return F.array_join(F.transform(pieces, lambda x, i: F.when(F.array_contains(aliases, x) & ~F.coalesce(F.get(pieces, i - 1).endswith("."), F.lit(False)), new(x)).otherwise(x)), "")
+
+    # each step is the one element of an array: a lambda's variable is worked out once, an expression in a lambda at every element
+    once = F.transform(F.transform(F.array(plain), found), lambda f: renamed_in(f["aliases"], f["pieces"]))
+    renamed = F.element_at(once, 1)
     # "FROM x AS t1" and "FROM x t1" are the same
     return F.trim(F.regexp_replace(renamed, r"\b(from|join|,) (\w+) as (t\d+)\b", "$1 $2 $3"))

@@ -333,3 +333,8 @@ def test_made_texts_are_dealt_out(spark, sf_dir):
     made = q._classed(spark, sf_dir)
     used = {r[0] for r in made.select(F.spark_partition_id()).distinct().collect()}
     assert spark.read.parquet(f"{sf_dir}/customer.parquet").rdd.getNumPartitions() == 1 and len(used) >= 4
+
+
+def test_canonical_form_is_worked_out_once(spark):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("x")).select(T.canonical_form(F.col("x")).alias("form"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("natural|limit|having") == 1
