@@ -9,22 +9,27 @@ from __future__ import annotations
 import json
 import math
 import re
+import uuid
 
 import numpy as np
 from pyspark import keyword_only
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.stages import discard, folder
+
 #: What both feature sets are called in the pipeline: word grams, character grams.
 KINDS = ("_w", "_c")
+#: Rows of the regression are kept in blocks of this size.  Each block costs a pass over a matrix as large as the model, so small ones (1 MB by default) make the work grow with rows times terms.
+BLOCK_MB = 64.0
 GRAMS = "flatten(transform(sequence(2, 5), n -> transform(sequence(1, greatest(length(w) + 3 - n, 1)), i -> substring(concat(' ', w, ' '), i, n))))"
 
 
@@ -56,18 +61,51 @@ def pipeline(labels: list[str], c: float = 4.0, rows: int = 1000, vocabulary: in
     stages = [StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep"), RegexTokenizer(inputCol="text", outputCol="_w1", pattern=r"\w+", gaps=False), SQLTransformer(statement=f"SELECT *, {chars} AS _c FROM __THIS__")]
     stages += [NGram(n=n, inputCol="_w1", outputCol=f"_w{n}") for n in (2, 3)]
     stages.append(SQLTransformer(statement="SELECT *, concat(_w1, _w2, _w3) AS _w FROM __THIS__"))
+    stages += [CountVectorizer(inputCol=name, outputCol=f"{name}_n", vocabSize=vocabulary, minDF=min_df) for name in KINDS]
     for name in KINDS:
-        stages.append(CountVectorizer(inputCol=name, outputCol=f"{name}_n", vocabSize=vocabulary, minDF=min_df))
         if sublinear:
             stages.append(SublinearTF(inputCol=f"{name}_n", outputCol=f"{name}_s"))
         stages += [IDF(inputCol=f"{name}_s" if sublinear else f"{name}_n", outputCol=f"{name}_i"), Normalizer(inputCol=f"{name}_i", outputCol=f"{name}_v")]
-    stages += [VectorAssembler(inputCols=[f"{k}_v" for k in KINDS], outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1 / (c * rows), elasticNetParam=0.0, standardization=False, maxIter=100, family="multinomial"), IndexToString(inputCol="prediction", outputCol="y_pred", labels=labels)]
+    stages += [VectorAssembler(inputCols=[f"{k}_v" for k in KINDS], outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1 / (c * rows), elasticNetParam=0.0, standardization=False, maxIter=100, family="multinomial", maxBlockSizeInMB=BLOCK_MB), IndexToString(inputCol="prediction", outputCol="y_pred", labels=labels)]
     return Pipeline(stages=stages)
 
 
+def _vectors(rows: DataFrame, **vectors: Column) -> DataFrame:
+    """_y and the vectors given as structs, written down and read again as vectors, without the attributes of their elements.
+
+    These (an object for each term) would else be part of the plan, and sent with every task of every step.
+    """
+    spark = rows.sparkSession
+    path = f"{folder(spark)}/vectors-{uuid.uuid4().hex}"
+    rows.select("_y", *(v.alias(n) for n, v in vectors.items())).write.parquet(path)
+    return spark.read.schema(T.StructType([rows.schema["_y"], *(T.StructField(n, VectorUDT()) for n in vectors)])).parquet(path)
+
+
 def fit(train: DataFrame, **parameters) -> PipelineModel:
+    """The fitted pipeline.  Grams are made once for each vocabulary and once for the counts; all that follows reads the counts.
+
+    The regression's rows lie in one partition for each core: a partition's gradient, as large as the model, is sent at every step.
+    """
     labels = sorted(r["label"] for r in train.select("label").distinct().collect())
-    return pipeline(labels, rows=train.count(), **parameters).fit(train)
+    stages = pipeline(labels, rows=train.count(), **parameters).getStages()
+    last = max(i for i, s in enumerate(stages) if isinstance(s, CountVectorizer)) + 1
+    fitted = Pipeline(stages=stages[:last]).fit(train)
+    n = {k: F.unwrap_udt(F.col(f"{k}_n")) for k in KINDS}
+    vectors = {f"{k}_n": v for k, v in n.items()}
+    if any(isinstance(s, SublinearTF) for s in stages):
+        vectors |= {f"{k}_s": F.struct(v["type"].alias("type"), v["size"].alias("size"), v["indices"].alias("indices"), F.transform(v["values"], lambda x: 1.0 + F.ln(x)).alias("values")) for k, v in n.items()}
+    models, counted = list(fitted.stages), _vectors(fitted.transform(train), **vectors)
+    data, used = counted, [counted]
+    for s in stages[last:]:
+        if isinstance(s, LogisticRegression):
+            used.append(_vectors(data, _x=F.unwrap_udt(F.col("_x"))))
+            data = used[-1].coalesce(data.sparkSession.sparkContext.defaultParallelism)
+        models.append(s.fit(data) if isinstance(s, Estimator) else s)
+        if not isinstance(s, (SublinearTF, LogisticRegression, IndexToString)):
+            data = models[-1].transform(data)
+    for d in used:
+        discard(d)
+    return PipelineModel(models)
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -89,43 +127,63 @@ def _parts(model: PipelineModel) -> dict:
     }
 
 
+def runs_of(text: str) -> list[str]:
+    return [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+
+
+def grams_of(run: str) -> list[str]:
+    """Character grams of a run without blanks, repeated ones repeated."""
+    return [f" {run} "[i : i + n] for n in range(2, 6) for i in range(max(len(run) + 3 - n, 1))]
+
+
 def features_of(text: str) -> tuple[list[str], list[str]]:
     """Word grams and character grams of a text, repeated ones repeated, as the pipeline makes them."""
     words = re.findall(r"\w+", text.lower(), re.A)
-    runs = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
-    chars = [f" {w} "[i : i + n] for w in runs for n in range(2, 6) for i in range(max(len(w) + 3 - n, 1))]
+    chars = [g for w in runs_of(text) for g in grams_of(w)]
     return [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)], chars
 
 
+class Scorer:
+    """A model in a worker: what ``_parts`` gives, with the terms' places."""
+
+    def __init__(self, parts: dict):
+        self.places = [{t: i for i, t in enumerate(terms)} for terms in parts["terms"]]
+        self.start, self.labels = [0, len(parts["terms"][0])], parts["labels"]
+        self.weights, self.intercept = np.ascontiguousarray(parts["coefficients"].T), parts["intercept"]
+        self.idf, self.sublinear = parts["idf"], parts["sublinear"]
+
+    def features(self, text: str | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each kind: the places of the text's terms, their counts, their values (of unit length)."""
+        out = []
+        for places, idf, grams in zip(self.places, self.idf, features_of(text or ""), strict=True):
+            at, n = np.unique(np.array([places[g] for g in grams if g in places], np.int64), return_counts=True)
+            v = (1 + np.log(n) if self.sublinear else n.astype(float)) * idf[at]
+            norm = np.sqrt((v * v).sum())
+            out.append((at, n, v / norm if norm > 0 else v))
+        return out
+
+    def margin(self, features: list) -> np.ndarray:
+        margin = self.intercept.copy()
+        for start, (at, _, v) in zip(self.start, features, strict=True):
+            margin = margin + v @ self.weights[start + at]
+        return margin
+
+    def probabilities(self, text: str | None) -> np.ndarray:
+        margin = self.margin(self.features(text))
+        e = np.exp(margin - margin.max())
+        return e / e.sum()
+
+
 def batch_predictor(model: PipelineModel, text: str = "text", batch_size: int = 256):
     """A column of probabilities (array in the order of the labels) by batched inference: a worker puts the model together once and scores batches of texts.
 
     The model travels as a broadcast variable, whose size is bounded by its vocabularies.
     """
-    parts = _parts(model)
-    held = SparkSession.getActiveSession().sparkContext.broadcast(parts)
+    held = SparkSession.getActiveSession().sparkContext.broadcast(_parts(model))
 
     def load():
-        m = held.value
-        places = [{t: i for i, t in enumerate(terms)} for terms in m["terms"]]
-        start = [0, len(m["terms"][0])]
-        weights, intercept = np.ascontiguousarray(m["coefficients"].T), m["intercept"]
-
-        def one(x: str) -> np.ndarray:
-            margin = intercept.copy()
-            for k, grams in enumerate(features_of(x or "")):
-                at = np.array([places[k][g] for g in grams if g in places[k]], np.int64)
-                if not len(at):
-                    continue
-                at, n = np.unique(at, return_counts=True)
-                v = (1 + np.log(n) if m["sublinear"] else n.astype(float)) * m["idf"][k][at]
-                norm = np.sqrt((v * v).sum())
-                if norm > 0:
-                    margin = margin + (v / norm) @ weights[start[k] + at]
-            e = np.exp(margin - margin.max())
-            return e / e.sum()
-
-        return lambda texts: np.array([one(x) for x in texts.ravel().tolist()])
+        scorer = Scorer(held.value)
+        return lambda texts: np.array([scorer.probabilities(x) for x in texts.ravel().tolist()])
 
     return predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)(F.coalesce(F.col(text), F.lit("")))
 

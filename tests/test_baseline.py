@@ -66,3 +66,18 @@ def test_features_by_hand(spark):
     assert words == ["ab", "c", "ab", "ab c", "c ab", "ab c ab"]
     sql = spark.sql(f"SELECT flatten(transform(filter(split(lower('Ab c\\tab'), '\\\\s+'), w -> w <> ''), w -> {baseline.GRAMS})) AS g").first()["g"]
     assert chars == sql and np.isclose(len(chars), len(sql))
+
+
+def test_regression_reads_plain_vectors(spark, model, monkeypatch):
+    seen, plain = [], baseline.LogisticRegression._fit
+    monkeypatch.setattr(baseline.LogisticRegression, "_fit", lambda self, data: seen.append(data) or plain(self, data))
+    train = spark.createDataFrame(TEXTS, "text string, label string").repartition(9)
+    baseline.fit(train)
+    # no object for each term in the plan, and no partition beyond the cores
+    assert seen[0].schema["_x"].metadata == {} and seen[0].rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    whole = baseline.pipeline(["broken", "fine", "lost"], rows=22).fit(train)
+    a, b = baseline._parts(model), baseline._parts(whole)
+    assert [sorted(x) for x in a["terms"]] == [sorted(x) for x in b["terms"]] and a["coefficients"].shape == b["coefficients"].shape
+    probe = spark.createDataFrame([(0, "SELECT a FROM nowhere"), (1, "FORM a SELEC"), (2, "")], "id long, text string")
+    for x, y in zip(*(baseline.predict(m, probe).orderBy("id").collect() for m in (model, whole)), strict=True):
+        assert x["probabilities"] == pytest.approx(y["probabilities"], abs=1e-4)
