@@ -10,8 +10,11 @@ import json
 import math
 import re
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
@@ -23,6 +26,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..plans.stages import discard, folder
 
@@ -173,6 +177,26 @@ class Scorer:
         e = np.exp(margin - margin.max())
         return e / e.sum()
 
+    def words(self, text: str | None) -> tuple[str, dict[str, float]]:
+        """The predicted label, and what each word adds to its margin."""
+        features = self.features(text)
+        y = int(self.margin(features)[: len(self.labels)].argmax())
+        total: dict[str, float] = {}
+        # a term's share for one occurrence; terms of no weight anywhere are no terms of the text
+        each = [{int(i): float(x * self.weights[start + i, y] / k) for i, k, x in zip(*f, strict=True) if x} for start, f in zip(self.start, features, strict=True)]
+        words, _ = features_of(text or "")
+        for term, k in Counter(words).items():
+            share = each[0].get(self.places[0].get(term, -1))
+            parts = term.split(" ")
+            for w in parts if share is not None else ():
+                total[w] = total.get(w, 0.0) + share * k / len(parts)
+        for run, k in Counter(runs_of(text or "")).items():
+            for term in grams_of(run):
+                share = each[1].get(self.places[1].get(term, -1))
+                if share is not None:
+                    total[run] = total.get(run, 0.0) + share * k
+        return self.labels[y], total
+
 
 def batch_predictor(model: PipelineModel, text: str = "text", batch_size: int = 256):
     """A column of probabilities (array in the order of the labels) by batched inference: a worker puts the model together once and scores batches of texts.
@@ -221,7 +245,7 @@ def contributions(model: PipelineModel, rows: DataFrame, key: str = "id") -> Dat
     # a dense vector has no list of places
     places = F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1))
     each = out.select(key, F.col("y_pred").alias("label"), F.col("prediction").cast("int").alias("_y"), n.alias("_n"), F.explode(F.arrays_zip(places.alias("at"), v["values"].alias("x"))).alias("_f")).filter(F.col("_f.x") != 0)
-    found = each.select(key, "label", "_y", F.col("_f.at").alias("_at"), F.col("_f.x").alias("_v"), F.try_element_at("_n", F.col("_f.at")).alias("count")).join(vocabulary, "_at")
+    found = each.select(key, "label", "_y", F.col("_f.at").alias("_at"), F.col("_f.x").alias("_v"), F.try_element_at("_n", F.col("_f.at")).alias("count")).join(F.broadcast(vocabulary), "_at")
     return found.select(key, "label", "kind", "term", F.col("count").cast("long").alias("count"), (F.col("_v") * F.get("_weights", F.col("_y"))).alias("contribution"))
 
 
@@ -230,14 +254,20 @@ def word_contributions(model: PipelineModel, rows: DataFrame, key: str = "id") -
 
     A term's contribution is shared evenly among its occurrences; an occurrence of a word n-gram evenly among its words,
     one of a character n-gram goes to the run of characters that it lies in.  The sum over a row's words is its margin without the intercept.
+    A row's words come from that row alone, by batched inference: no term is shuffled.
     """
-    terms = contributions(model, rows, key)
-    text = F.lower("text")
-    runs = rows.select(key, F.explode(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("word"))
-    pieces = runs.select(key, "word", F.explode(F.expr(GRAMS.replace("w, ' '", "word, ' '").replace("length(w)", "length(word)"))).alias("term")).groupBy(key, "word", "term").agg(F.count("*").alias("_k"))
-    chars = terms.filter("kind = '_c'").join(pieces, [key, "term"]).select(key, "label", "word", (F.col("contribution") * F.col("_k") / F.col("count")).alias("contribution"))
-    words = terms.filter("kind = '_w'").withColumn("_words", F.split("term", " ")).select(key, "label", F.explode("_words").alias("word"), (F.col("contribution") / F.size("_words")).alias("contribution"))
-    return chars.unionByName(words).groupBy(key, "label", "word").agg(F.sum("contribution").alias("contribution"))
+    held = rows.sparkSession.sparkContext.broadcast(_parts(model))
+    out = T.StructType([rows.schema[key], T.StructField("label", T.StringType()), T.StructField("word", T.StringType()), T.StructField("contribution", T.DoubleType())])
+    kind = to_arrow_type(rows.schema[key].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for b in batches:
+            found = [(i, label, w, c) for i, x in enumerate(b.column(1).to_pylist()) for label, words in (scorer.words(x),) for w, c in words.items()]
+            at, labels, words, shares = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())).cast(kind), pa.array(labels, pa.string()), pa.array(words, pa.string()), pa.array(shares, pa.float64())], out.names)
+
+    return rows.select(key, "text").mapInArrow(run, out)
 
 
 def save(model: PipelineModel, path: str, metadata: dict) -> None:

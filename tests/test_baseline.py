@@ -81,3 +81,7 @@ def test_regression_reads_plain_vectors(spark, model, monkeypatch):
     probe = spark.createDataFrame([(0, "SELECT a FROM nowhere"), (1, "FORM a SELEC"), (2, "")], "id long, text string")
     for x, y in zip(*(baseline.predict(m, probe).orderBy("id").collect() for m in (model, whole)), strict=True):
         assert x["probabilities"] == pytest.approx(y["probabilities"], abs=1e-4)
+
+
+def test_word_contributions_shuffle_no_terms(model, rows):
+    assert "Exchange" not in baseline.word_contributions(model, rows)._jdf.queryExecution().executedPlan().toString()
