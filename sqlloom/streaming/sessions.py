@@ -26,6 +26,9 @@ class Sessions(StatefulProcessor):
     Rows may come in any order within the watermark; one that lies between two open sessions, within the gap of both,
     joins them.  A session is given out, and its state dropped, by a timer once the watermark is a gap past its last row:
     no row that is still taken can belong to it then.  So state is bounded by the sessions within gap and lateness.
+
+    A key has one timer, for the session that ends first; when it goes off, all that have ended by the watermark are given
+    out.  Each call of the state store is a round trip, so their number grows with the keys of a batch, not with the sessions.
     """
 
     def __init__(self, gap_us: int):
@@ -52,19 +55,26 @@ class Sessions(StatefulProcessor):
         merged = list(had)
         for batch in rows:  # a batch at a time, so what is held are open sessions and one batch
             merged = self._joined(merged + [(int(t), int(t), 1, float(v)) for t, v in zip(batch["us"], batch["value"], strict=True)])
-        for t in {self._timer(s) for s in had} - {self._timer(s) for s in merged}:
-            self.handle.deleteTimer(t)
-        for t in {self._timer(s) for s in merged} - {self._timer(s) for s in had}:
-            self.handle.registerTimer(t)
+        self._set_timer(had, merged)
         self.open.put(merged)
         yield from ()
 
+    def _set_timer(self, had: list[tuple], now: list[tuple]) -> None:
+        before, after = (min(map(self._timer, x), default=None) for x in (had, now))
+        if before != after:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if after is not None:
+                self.handle.registerTimer(after)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, kept, done = expiredTimerInfo.getExpiryTimeInMs(), [], []
+        # the timer that goes off is dropped by itself
+        at, kept, done = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), [], []
         for s in map(tuple, self.open.get()):
             (done if self._timer(s) <= at else kept).append(s)
         if kept:
             self.open.put(kept)
+            self.handle.registerTimer(min(map(self._timer, kept)))
         else:
             self.open.clear()
         if done:

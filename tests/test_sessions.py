@@ -4,9 +4,10 @@ import datetime as dt
 import os
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from sqlloom.streaming.sessions import run_to_end, sessions
+from sqlloom.streaming.sessions import Sessions, run_to_end, sessions
 from sqlloom.streaming.verdicts import read_log
 
 DDL = "ts timestamp, who string, value double"
@@ -55,3 +56,22 @@ def test_sessions_of_a_batch(spark):
     assert as_batch(spark, [(0, "a", 1.0), (29, "a", 2.0), (59, "a", 3.0), (59, "a", 3.0), (0, "b", 5.0)]) == {("a", 0, 29, 2, 1.5), ("a", 59, 59, 2, 3.0), ("b", 0, 0, 1, 5.0)}
     empty = spark.createDataFrame([], DDL)
     assert sessions(empty, "who", "ts", "value", 60).count() == 0 and sessions(empty.withColumn("n", F.lit(1)), "who", "ts", "value", 60).columns == ["key", "started", "ended", "n", "mean"]
+
+
+def test_one_timer_for_each_key():
+    calls, state = [], []
+
+    class Handle:
+        registerTimer = staticmethod(lambda t: calls.append(("set", t)))  # noqa: N815
+        deleteTimer = staticmethod(lambda t: calls.append(("drop", t)))  # noqa: N815
+        getListState = staticmethod(lambda *_: type("Open", (), {"get": lambda self: iter(state), "put": lambda self, x: state.__setitem__(slice(None), x), "clear": lambda self: state.clear()})())  # noqa: N815
+
+    p = Sessions(10_000_000)
+    p.init(Handle)
+    at = [k * 60_000_000 for k in range(40)]  # 40 sessions, a minute apart
+    assert list(p.handleInputRows(("a",), iter([pd.DataFrame({"us": at, "value": [1.0] * 40})]), None)) == []
+    assert calls == [("set", 10_000)] and len(state) == 40
+    now = type("Now", (), {"getCurrentWatermarkInMs": lambda self: 30 * 60_000})()
+    out = pd.concat(p.handleExpiredTimer(("a",), now, type("Gone", (), {"getExpiryTimeInMs": lambda self: 10_000})()))
+    # all that have ended by the watermark at once, and a timer for the next
+    assert len(out) == 30 and len(state) == 10 and calls[1:] == [("set", 30 * 60_000 + 10_000)]
