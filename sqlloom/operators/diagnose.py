@@ -4,7 +4,8 @@ queries: id, db_id, sql, and optionally policy struct<restricted_tables, restric
 catalog: see sources.catalog.
 
 One Arrow pass gives two things for each query.  The compile check asks SQLite to EXPLAIN the
-query on empty typed tables (it never runs it); that is the reference dialect.  functions.scopes
+query on empty typed tables (it never runs it); that is the reference dialect.  A worker remembers
+what it found for texts that differ only in the values that columns are compared with.  functions.scopes
 lists what each SELECT of the query says: sources, items, columns with the tables they resolve
 to, grouping, comparisons, join predicates.  All rules are column expressions over these lists, SELECT by SELECT, nested
 ones and those of set operations included.  Where a database is not in the catalog, the
@@ -29,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from ..functions.built import built_once
-from ..functions.scopes import SCOPE, Query
+from ..functions.scopes import MARK, SCOPE, Query, marked_places, pattern_of, with_values
 from ..functions.text import NUMERIC, normalize_query, quote_ident
 from ..labels import PRIORITY
 
@@ -91,6 +92,22 @@ def _compile(db: sqlite3.Connection, sql: str) -> str | None:
 
 def _checked(schema: str | None, sql: str, restricted: bool) -> tuple[str | None, list, list]:
     """The engine's first message, the tables that the query names, and its SELECTs; the latter two only where rules look at them."""
+    if found := pattern_of(sql):
+        pattern, values = found
+        if (known := _checked_pattern(schema, pattern, restricted)) is not None:
+            error, named, scopes, places = known
+            return error, named, with_values(scopes, places, values) if places else scopes
+    return _checked_text(schema, sql, restricted)
+
+
+@lru_cache(maxsize=8192)
+def _checked_pattern(schema: str | None, pattern: str, restricted: bool) -> tuple[str | None, list, list, list] | None:
+    """What texts of a pattern have in common, and where their values go; None where the engine's message tells a value."""
+    error, named, scopes = _checked_text(schema, pattern, restricted)
+    return None if error and MARK in error else (error, named, scopes, marked_places(scopes))
+
+
+def _checked_text(schema: str | None, sql: str, restricted: bool) -> tuple[str | None, list, list]:
     if schema is None:
         first = Query(sql, {}, {})
         tables, keys = first.synthetic(), {}
