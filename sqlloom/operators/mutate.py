@@ -8,11 +8,13 @@ among them.  Nothing depends on the order or partitioning of rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.built import built_once
-from ..functions.edits import each, once, tidy
+from ..functions.edits import EDITS, each, edited, edits, rewritten, tidy
 from ..functions.text import dedupe_key, toggle_plural
 from ..plans.stages import interpreted, written
 from .corpus import draw, quota, source_cap
@@ -29,59 +31,63 @@ FUNCTION_TYPOS = {"count": "cnt", "avg": "average", "max": "maximum", "min": "mi
 LETTERS, RIGHT = "qwertyuiopasdfghjklzxcvbnmQWERTYUIOPASDFGHJKLZXCVBNM", "wertyuioposdfghjklaxcvbnmzWERTYUIOPOSDFGHJKLAXCVBNMZ"
 
 
-def _typos(s: Column, pattern: str) -> Column:
-    """Each match with a slip in its second letter: swapped with the next, left out, doubled, or the key beside it."""
+def _slips() -> tuple[Callable[[Column], Column], ...]:
+    """Slips in a word's second letter: swapped with the next, left out, doubled, or the key beside it."""
     first, second, third = (lambda w, k=k: F.substring(w, k, 1) for k in (1, 2, 3))
     rest = lambda w, k: F.substring(w, F.lit(k), F.length(w))
-    slips = (
+    return (
         lambda w: F.concat(first(w), third(w), second(w), rest(w, 4)), lambda w: F.concat(first(w), rest(w, 3)),
         lambda w: F.concat(first(w), second(w), rest(w, 2)), lambda w: F.concat(first(w), F.translate(second(w), LETTERS, RIGHT), rest(w, 3)),
     )
-    return F.concat(*(each(s, pattern, slip) for slip in slips))
 
 
-def _column_variants(s: Column) -> Column:
-    """Each column under a name that it does not have: another number, a part more, less or elsewhere, an id."""
+def _column_variants() -> tuple[Callable[[Column], Column], ...]:
+    """A column under a name that it does not have: another number, a part more, less or elsewhere, an id."""
     parts = lambda w: F.split(w, "_")
-    return F.concat(
-        each(s, COLUMN, toggle_plural), each(s, COLUMN, lambda w: F.concat(w, F.lit("_name"))), each(s, COLUMN, lambda w: F.concat(w, F.lit("_id"))),
-        each(s, COLUMN, lambda w: F.replace(w, F.lit("_"), F.lit(""))), each(s, COLUMN, lambda w: F.array_join(F.reverse(parts(w)), "_")),
+    return (
+        toggle_plural, lambda w: F.concat(w, F.lit("_name")), lambda w: F.concat(w, F.lit("_id")),
+        lambda w: F.replace(w, F.lit("_"), F.lit("")), lambda w: F.array_join(F.reverse(parts(w)), "_"),
     )
 
 
+def _once(s: Column, pattern: str, replacement: str) -> Column:
+    """The text with all matches replaced."""
+    return rewritten(s, F.regexp_replace(s, pattern, replacement))
+
+
 def _function_typos(sql: Column) -> Column:
-    return F.concat(*(once(sql, rf"(?i)\b{f}\s*\(", f"{t}(") for f, t in FUNCTION_TYPOS.items()))
+    return F.concat(*(_once(sql, rf"(?i)\b{f}\s*\(", f"{t}(") for f, t in FUNCTION_TYPOS.items()))
 
 
-#: name: (class, weight, candidates).  The weights are relative frequencies of a draw.
+#: name: (class, weight, edits).  The weights are relative frequencies of a draw.
 MUTATIONS = {
-    "syn_drop_comma": ("SYNTAX_ERROR", 1.0, lambda s: each(s, ",", "")),
-    "syn_drop_keyword": ("SYNTAX_ERROR", 1.2, lambda s: each(s, r"(?i)\b(?:FROM|WHERE|ON|SELECT|HAVING)\b ?", "")),
-    "syn_keyword_typo": ("SYNTAX_ERROR", 1.5, lambda s: _typos(s, KEYWORD)),
-    "syn_split_by": ("SYNTAX_ERROR", 0.5, lambda s: each(s, r"(?i)(?<=\b(?:GROUP|ORDER)) BY\b", "")),
-    "syn_parenthesis": ("SYNTAX_ERROR", 1.0, lambda s: F.concat(each(s, r"[()]", ""), each(s, r"(?<=[ ,])(?=[a-z_]\w*[ ,)])", "("))),
-    "syn_unclosed_quote": ("SYNTAX_ERROR", 0.7, lambda s: each(s, r"'[^']*'", lambda x: F.substring(x, F.lit(1), F.length(x) - 1))),
-    "syn_dangling_operator": ("SYNTAX_ERROR", 1.2, lambda s: F.concat(each(s, r"(?i)\bWHERE\b", "WHERE AND"), each(s, f"{NUMBER}|{STRING}", ""), each(s, r"(?<=[\w.] )(?:=|<>|<=|>=|<|>) (?=[\w'])", ""))),
-    "syn_trailing_comma": ("SYNTAX_ERROR", 0.6, lambda s: each(s, r"(?i) FROM\b", ", FROM")),
-    "syn_clause_order": ("SYNTAX_ERROR", 0.6, lambda s: once(s, r"(?is)^(.*?) (WHERE .*?) ((?:GROUP|ORDER) BY .*)$", "$1 $3 $2")),
-    "syn_duplicate_keyword": ("SYNTAX_ERROR", 0.4, lambda s: each(s, r"(?i)\b(?:SELECT|FROM|WHERE)\b", lambda x: F.concat(x, F.lit(" "), x))),
-    "tab_rename": ("UNKNOWN_TABLE", 1.0, lambda s: F.concat(each(s, TABLE, toggle_plural), _typos(s, TABLE), each(s, TABLE, lambda x: F.concat(F.lit("tbl_"), x)), each(s, TABLE, lambda x: F.concat(x, F.lit("_info"))))),
-    "col_rename": ("UNKNOWN_COLUMN", 1.0, lambda s: F.concat(_column_variants(s), _typos(s, COLUMN))),
-    "dt_literal": ("DATATYPE_MISMATCH", 1.5, lambda s: F.concat(each(s, NUMBER, "'high'"), each(s, STRING, "5"))),
-    "dt_aggregate": ("DATATYPE_MISMATCH", 1.0, lambda s: F.concat(*(each(s, r"(?i)(?<=^SELECT )(?:\w+\.)?[a-z_]\w*(?=[ ,])", lambda x, f=f: F.concat(F.lit(f + "("), x, F.lit(")"))) for f in ("avg", "sum")))),
-    "dt_predicate": ("DATATYPE_MISMATCH", 0.8, lambda s: once(s, r"(?i)\bWHERE ([\w.]+) ", "WHERE $1 = 'unknown' AND $1 ")),
-    "amb_unqualify": ("AMBIGUOUS_REFERENCE", 2.0, lambda s: each(s, r"\b[A-Za-z_]\w*\.(?=[A-Za-z_])", "")),
-    "amb_duplicate_alias": ("AMBIGUOUS_REFERENCE", 1.0, lambda s: once(s, r"(?is)(\bAS )(\w+)( .*?\bAS )(\w+)", "$1$2$3$2")),
-    "amb_self_join": ("AMBIGUOUS_REFERENCE", 0.4, lambda s: F.concat(*(once(s, r"(?i)\bFROM (\w+)(?= WHERE| GROUP| ORDER| LIMIT|$)", to) for to in ("FROM $1 JOIN $1", "FROM $1 AS a JOIN $1 AS a")))),
-    "sem_null_compare": ("SEMANTIC_ERROR", 1.2, lambda s: each(s, r"(?<== )(?:'[^']*'|\d+)", "NULL")),
-    "sem_having_to_where": ("SEMANTIC_ERROR", 1.0, lambda s: once(s, r"(?is) (GROUP BY .*?) HAVING (.*?)(?= ORDER BY| LIMIT|$)", " WHERE $2 $1")),
-    "sem_aggregate_in_where": ("SEMANTIC_ERROR", 1.0, lambda s: F.concat(each(s, r"(?i)\bWHERE\b", "WHERE count(*) > 1 AND"), once(s, r"(?i)\(SELECT ((?:avg|max|min|sum|count)\([^()]*\)) FROM [^()]*\)", "$1"))),
-    "sem_drop_group_by": ("SEMANTIC_ERROR", 1.0, lambda s: once(s, r"(?is) GROUP BY .*?(?= HAVING| ORDER BY| LIMIT|$)", "")),
-    "sem_ungrouped_column": ("SEMANTIC_ERROR", 1.0, lambda s: once(s, r"(?is)^SELECT ((?:[\w.]+, )?)(.*?) (FROM .*? GROUP BY .*)$", "SELECT *, $1$2 $3")),
-    "sem_drop_join_condition": ("SEMANTIC_ERROR", 1.0, lambda s: each(s, r"(?i) ON [\w.]+ = [\w.]+", "")),
-    "sem_order_position": ("SEMANTIC_ERROR", 0.4, lambda s: F.concat(each(s, r"(?i)(?<=\bORDER BY )[\w.]+", "9"), F.when(~s.rlike(r"(?i)\b(order by|limit)\b"), F.array(F.concat(s, F.lit(" ORDER BY 7")))).otherwise(F.array().cast("array<string>")))),
-    "sem_set_op_arity": ("SEMANTIC_ERROR", 0.6, lambda s: each(s, r"(?i)\b(?:UNION|INTERSECT|EXCEPT) SELECT ", lambda x: F.concat(x, F.lit("1, ")))),
-    "sem_subquery_arity": ("SEMANTIC_ERROR", 0.5, lambda s: each(s, r"(?i)\bIN \(SELECT ", lambda x: F.concat(x, F.lit("1, ")))),
+    "syn_drop_comma": ("SYNTAX_ERROR", 1.0, lambda s: edits(s, ",", "")),
+    "syn_drop_keyword": ("SYNTAX_ERROR", 1.2, lambda s: edits(s, r"(?i)\b(?:FROM|WHERE|ON|SELECT|HAVING)\b ?", "")),
+    "syn_keyword_typo": ("SYNTAX_ERROR", 1.5, lambda s: edits(s, KEYWORD, *_slips())),
+    "syn_split_by": ("SYNTAX_ERROR", 0.5, lambda s: edits(s, r"(?i)(?<=\b(?:GROUP|ORDER)) BY\b", "")),
+    "syn_parenthesis": ("SYNTAX_ERROR", 1.0, lambda s: F.concat(edits(s, r"[()]", ""), edits(s, r"(?<=[ ,])(?=[a-z_]\w*[ ,)])", "("))),
+    "syn_unclosed_quote": ("SYNTAX_ERROR", 0.7, lambda s: edits(s, r"'[^']*'", lambda x: F.substring(x, F.lit(1), F.length(x) - 1))),
+    "syn_dangling_operator": ("SYNTAX_ERROR", 1.2, lambda s: F.concat(edits(s, r"(?i)\bWHERE\b", "WHERE AND"), edits(s, f"{NUMBER}|{STRING}", ""), edits(s, r"(?<=[\w.] )(?:=|<>|<=|>=|<|>) (?=[\w'])", ""))),
+    "syn_trailing_comma": ("SYNTAX_ERROR", 0.6, lambda s: edits(s, r"(?i) FROM\b", ", FROM")),
+    "syn_clause_order": ("SYNTAX_ERROR", 0.6, lambda s: _once(s, r"(?is)^(.*?) (WHERE .*?) ((?:GROUP|ORDER) BY .*)$", "$1 $3 $2")),
+    "syn_duplicate_keyword": ("SYNTAX_ERROR", 0.4, lambda s: edits(s, r"(?i)\b(?:SELECT|FROM|WHERE)\b", lambda x: F.concat(x, F.lit(" "), x))),
+    "tab_rename": ("UNKNOWN_TABLE", 1.0, lambda s: edits(s, TABLE, toggle_plural, *_slips(), lambda x: F.concat(F.lit("tbl_"), x), lambda x: F.concat(x, F.lit("_info")))),
+    "col_rename": ("UNKNOWN_COLUMN", 1.0, lambda s: edits(s, COLUMN, *_column_variants(), *_slips())),
+    "dt_literal": ("DATATYPE_MISMATCH", 1.5, lambda s: F.concat(edits(s, NUMBER, "'high'"), edits(s, STRING, "5"))),
+    "dt_aggregate": ("DATATYPE_MISMATCH", 1.0, lambda s: edits(s, r"(?i)(?<=^SELECT )(?:\w+\.)?[a-z_]\w*(?=[ ,])", *(lambda x, f=f: F.concat(F.lit(f + "("), x, F.lit(")")) for f in ("avg", "sum")))),
+    "dt_predicate": ("DATATYPE_MISMATCH", 0.8, lambda s: _once(s, r"(?i)\bWHERE ([\w.]+) ", "WHERE $1 = 'unknown' AND $1 ")),
+    "amb_unqualify": ("AMBIGUOUS_REFERENCE", 2.0, lambda s: edits(s, r"\b[A-Za-z_]\w*\.(?=[A-Za-z_])", "")),
+    "amb_duplicate_alias": ("AMBIGUOUS_REFERENCE", 1.0, lambda s: _once(s, r"(?is)(\bAS )(\w+)( .*?\bAS )(\w+)", "$1$2$3$2")),
+    "amb_self_join": ("AMBIGUOUS_REFERENCE", 0.4, lambda s: F.concat(*(_once(s, r"(?i)\bFROM (\w+)(?= WHERE| GROUP| ORDER| LIMIT|$)", to) for to in ("FROM $1 JOIN $1", "FROM $1 AS a JOIN $1 AS a")))),
+    "sem_null_compare": ("SEMANTIC_ERROR", 1.2, lambda s: edits(s, r"(?<== )(?:'[^']*'|\d+)", "NULL")),
+    "sem_having_to_where": ("SEMANTIC_ERROR", 1.0, lambda s: _once(s, r"(?is) (GROUP BY .*?) HAVING (.*?)(?= ORDER BY| LIMIT|$)", " WHERE $2 $1")),
+    "sem_aggregate_in_where": ("SEMANTIC_ERROR", 1.0, lambda s: F.concat(edits(s, r"(?i)\bWHERE\b", "WHERE count(*) > 1 AND"), _once(s, r"(?i)\(SELECT ((?:avg|max|min|sum|count)\([^()]*\)) FROM [^()]*\)", "$1"))),
+    "sem_drop_group_by": ("SEMANTIC_ERROR", 1.0, lambda s: _once(s, r"(?is) GROUP BY .*?(?= HAVING| ORDER BY| LIMIT|$)", "")),
+    "sem_ungrouped_column": ("SEMANTIC_ERROR", 1.0, lambda s: _once(s, r"(?is)^SELECT ((?:[\w.]+, )?)(.*?) (FROM .*? GROUP BY .*)$", "SELECT *, $1$2 $3")),
+    "sem_drop_join_condition": ("SEMANTIC_ERROR", 1.0, lambda s: edits(s, r"(?i) ON [\w.]+ = [\w.]+", "")),
+    "sem_order_position": ("SEMANTIC_ERROR", 0.4, lambda s: F.concat(edits(s, r"(?i)(?<=\bORDER BY )[\w.]+", "9"), F.when(~s.rlike(r"(?i)\b(order by|limit)\b"), rewritten(s, F.concat(s, F.lit(" ORDER BY 7")))).otherwise(F.array().cast(EDITS)))),
+    "sem_set_op_arity": ("SEMANTIC_ERROR", 0.6, lambda s: edits(s, r"(?i)\b(?:UNION|INTERSECT|EXCEPT) SELECT ", lambda x: F.concat(x, F.lit("1, ")))),
+    "sem_subquery_arity": ("SEMANTIC_ERROR", 0.5, lambda s: edits(s, r"(?i)\bIN \(SELECT ", lambda x: F.concat(x, F.lit("1, ")))),
     "sem_function_typo": ("SEMANTIC_ERROR", 1.0, _function_typos),
 }
 
@@ -143,9 +149,10 @@ def _candidates() -> Column:
 
 def mutants(queries: DataFrame, seed: int = 42) -> DataFrame:
     """queries (db_id, sql) x mutations: db_id, source_sql, mutation, target, weight, sql; one drawn candidate of each pair."""
-    m = queries.select("db_id", F.col("sql").alias("source_sql"), F.explode(_candidates()).alias("_m")).select("db_id", "source_sql", "_m.*").filter(F.size("options") > 0)
-    at = F.conv(F.substring(draw(F.lit(seed), "db_id", "source_sql", "mutation"), 1, 8), 16, 10).cast("long") % F.size("options")
-    return m.select("db_id", "source_sql", "mutation", "target", "weight", tidy(F.get("options", at.cast("int"))).alias("sql"))
+    at = lambda m: F.conv(F.substring(draw(F.lit(seed), F.col("db_id"), F.col("sql"), m["mutation"]), 1, 8), 16, 10).cast("long") % F.size(m["options"])
+    drawn = F.transform(F.filter(_candidates(), lambda m: F.size(m["options"]) > 0), lambda m: F.struct(m["mutation"], m["target"], m["weight"], F.get(m["options"], at(m).cast("int")).alias("edit")))
+    m = queries.select("db_id", F.col("sql").alias("source_sql"), F.explode(drawn).alias("_m")).select("db_id", "source_sql", "_m.*")
+    return m.select("db_id", "source_sql", "mutation", "target", "weight", tidy(edited(F.col("source_sql"), F.col("edit"))).alias("sql"))
 
 
 def build_corpus(correct: DataFrame, catalog: DataFrame, per_label: int, cap: int | None = None, seed: int = 42) -> DataFrame:
@@ -161,7 +168,7 @@ def build_corpus(correct: DataFrame, catalog: DataFrame, per_label: int, cap: in
 def _build_corpus(correct: DataFrame, catalog: DataFrame, per_label: int, cap: int | None, seed: int) -> DataFrame:
     m = mutants(correct, seed)
     c = correct.select("db_id", F.col("sql").alias("source_sql"), F.lit(None).cast("string").alias("mutation"), F.lit("CORRECT").alias("target"), F.lit(1.0).alias("weight"), surface(F.col("sql"), F.lit(seed), F.col("sql")).alias("sql"))
-    checked = written(diagnose(m.unionByName(c).withColumn("id", F.xxhash64("db_id", "source_sql", "mutation")), catalog).filter("error_class = target"), "mutants")
+    checked = written(diagnose(m.unionByName(c).withColumn("id", F.xxhash64("db_id", "source_sql", "mutation")), catalog).filter("error_class = target").select(*m.columns), "mutants")
     u = (F.conv(F.substring(draw(F.lit(seed), F.lit("order"), "db_id", "source_sql", "mutation"), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     turn = F.struct(-F.log(u) / F.col("weight"), F.col("mutation"))
     first = checked.groupBy("db_id", "source_sql", "target").agg(F.min_by(F.struct("sql", "mutation"), turn).alias("_m")).select("db_id", "source_sql", "target", "_m.*")
