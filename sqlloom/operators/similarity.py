@@ -14,6 +14,9 @@ Below a threshold of about 0.7 the bounds turn few pairs away, as characters alo
 
 A top-n search goes down in thresholds.  High ones need few and long grams; a name with n options at a threshold
 is done, and only the others go on to the next.  What the floors lift is found by equality, and by grams of the shorter name.
+
+Where one list is short (FEW names at most), each name of the other is held against all of it: that takes less than the grams of
+a name do, and grows with the longer list.  The same descent then scores what shared characters and floors allow.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.stages import discard, written
+from ..plans.stages import discard, spread, written
 from .fuzzy import match_ratio
 
 #: Thresholds of the descent, and the length of grams from each on.
 STEPS = ((0.9, 3), (0.8, 2), (0.68, 1))
 #: Characters whose frequency is looked at; the longest gram by which containment is found.
 LETTERS, HELD = 256, 5
+#: Names of a list that the other is held against without an index.
+FEW = 40
 
 
 def _needed(length: Column, t: float, q: int) -> Column:
@@ -75,10 +80,14 @@ def _first(text: Column, t: float, q: int, shared: int, rarity: Column) -> Colum
     return F.transform(F.slice(ordered, F.lit(1), many), lambda x: F.concat_ws("#", x["g"], x["n"].cast("string")))
 
 
+def _characters(names: DataFrame) -> DataFrame:
+    """names with their characters, the second time one occurs with its number, and so on."""
+    return names.withColumn("_all", F.transform(_grams(F.col("_x"), 1), lambda x: F.concat_ws("#", x["g"], x["n"].cast("string"))))
+
+
 def _indexed(names: DataFrame, t: float, q: int, rarity: Column) -> DataFrame:
     """Names by route and key, with the grams that keys are made of."""
-    names = names.withColumn("_all", F.transform(_grams(F.col("_x"), 1), lambda x: F.concat_ws("#", x["g"], x["n"].cast("string"))))
-    out = None
+    names, out = _characters(names), None
     for i, (size, shared, least, below) in enumerate(_routes(t, q)):
         own = names.filter((F.length("_x") >= least) & (F.length("_x") < below * (2 - t) / t)).withColumn("_own", _first(F.col("_x"), t, size, shared, rarity))
         pairs = F.flatten(F.transform("_own", lambda x, k: F.transform(F.slice("_own", k + 2, F.size("_own")), lambda y: F.concat_ws("|", x, y))))
@@ -155,6 +164,29 @@ def _floors(words: DataFrame, options: DataFrame, on: list[str], n: int) -> Data
     return out.groupBy(*on, "_w", "_option").agg(F.max("_sim").alias("_sim"))
 
 
+def _short(names: DataFrame) -> bool:
+    return names.limit(FEW + 1).count() <= FEW
+
+
+def _held_against(words: DataFrame, options: DataFrame, on: list[str], cutoff: float, few_words: bool) -> DataFrame:
+    """on, _w, _x, _option, _y, _most, _floor: pairs that reach the cutoff by a floor, or may by the characters that they share; one of the lists is short."""
+    short, long = (words, options) if few_words else (options, words)
+    short, long = (_characters(d).withColumn("_bare", _bare("_x")) for d in (short, spread(long)))
+    left, right = (short, long) if few_words else (long, short)
+    named = {"_w": "_option", "_x": "_y", "_all": "_oall", "_bare": "_obare"} | {c: f"_o{c}" for c in on}
+    right = right.select(*(F.col(c).alias(n) for c, n in named.items()))
+    left, right = (F.broadcast(left), right) if few_words else (left, F.broadcast(right))
+    both, shorter = F.length("_x") + F.length("_y"), F.least(F.length("_x"), F.length("_y"))
+    floor = (
+        F.when((F.col("_w") == "") & (F.col("_option") == ""), 1.0).when(F.col("_bare") == F.col("_obare"), 0.97)
+        .when(F.contains(F.col("_bare"), F.col("_obare")) | F.contains(F.col("_obare"), F.col("_bare")), 0.8).otherwise(0.0)
+    )
+    # as the ratio is worked out, so that it is never above
+    most = F.when(both > 0, 2.0 * F.size(F.array_intersect("_all", "_oall")) / both).otherwise(1.0)
+    allowed = (floor >= cutoff) | ((2.0 * shorter / both >= cutoff) & (most >= cutoff))
+    return left.join(right, _same(on) & allowed).select(*on, "_w", "_x", "_option", "_y", most.alias("_most"), floor.alias("_floor"))
+
+
 def similar_pairs(words: DataFrame, options: DataFrame, cutoff: float, on: tuple[str, ...] | list[str] = (), word: str = "word", option: str = "option") -> DataFrame:
     """on, word, option, ratio: all pairs whose match ratio is ``cutoff`` or more (0 < cutoff <= 1); null and empty names match nothing."""
     on = list(on)
@@ -179,14 +211,24 @@ def top_similar(words: DataFrame, options: DataFrame, on: tuple[str, ...] | list
     """
     on, keys = list(on), [*on, "_w"]
     open_, o = written(_names(words, on, word), "open-words"), written(_names(options, on, option), "options")
-    rarity = _rarity(open_.select("_x").unionByName(o.select("_x")))
-    floors = written(_floors(open_, o, on, n), "floors")
-    done, used = [], [o, floors]
+    few_words = _short(open_)
+    if few_words or _short(o):
+        held = written(_held_against(open_, o, on, cutoff, few_words), "held-against")
+    else:
+        held, rarity = None, _rarity(open_.select("_x").unionByName(o.select("_x")))
+        floors = written(_floors(open_, o, on, n), "floors")
+    done, used = [], [o, floors if held is None else held]
     steps = [*((t, q) for t, q in STEPS if t > cutoff), (cutoff, next((q for t, q in STEPS if cutoff >= t), 1))]
     for k, (t, q) in enumerate(steps):
-        pairs = candidate_pairs(open_, o, on, t, q, rarity).withColumn("_sim", match_ratio(F.col("_x"), F.col("_y"))).select(*keys, "_option", "_sim")
-        lifted = floors.join(open_.select(*keys), keys, "left_semi") if k else floors
-        found = pairs.unionByName(lifted).filter(F.col("_sim") >= t).groupBy(*keys, "_option").agg(F.max("_sim").alias("_sim"))
+        if held is None:
+            pairs = candidate_pairs(open_, o, on, t, q, rarity).withColumn("_sim", match_ratio(F.col("_x"), F.col("_y"))).select(*keys, "_option", "_sim")
+            lifted = floors.join(open_.select(*keys), keys, "left_semi") if k else floors
+            found = pairs.unionByName(lifted).filter(F.col("_sim") >= t).groupBy(*keys, "_option").agg(F.max("_sim").alias("_sim"))
+        else:
+            own = (held.join(open_.select(*keys), keys, "left_semi") if k else held).filter(F.greatest("_most", "_floor") >= t)
+            # null where the floor decides: nothing is worked out then
+            ratio = match_ratio(F.when((F.col("_most") >= t) & (F.col("_most") > F.col("_floor")), F.col("_x")), F.col("_y"))
+            found = own.withColumn("_sim", F.greatest(ratio, "_floor")).filter(F.col("_sim") >= t).select(*keys, "_option", "_sim")
         place = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("_sim").desc(), F.col("_option").desc()))
         top = written(found.withColumn("place", place).filter(F.col("place") <= n), "similar")
         used.append(open_)
