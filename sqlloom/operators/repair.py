@@ -19,7 +19,7 @@ from ..functions.built import built_once
 from ..functions.edits import each, once, tidy
 from ..functions.text import normalize_query
 from ..labels import PRIORITY
-from ..plans.stages import discard, folder, interpreted, written
+from ..plans.stages import discard, folder, interpreted, spread, written
 from .diagnose import diagnose
 from .fuzzy import KEYWORDS, closest, edit_size, keyword_matches, words_to_number
 
@@ -201,7 +201,8 @@ def _replaced(word: str | Column, new: Column, all_places: bool = True) -> Colum
 def candidates(wrong: DataFrame, catalog: DataFrame, codes: set[str]) -> DataFrame:
     """id, candidate, description, preference for wrong queries (id, db_id, sql, code, token); only what their codes (all of them: ``codes``) call for is put together."""
     spark = wrong.sparkSession
-    own = wrong.join(links_of(catalog), "db_id", "left").withColumn("links", F.coalesce("links", F.array().cast(LINKS))).withColumn("sources", _sources())
+    # dealt out again: the join gathers a database's queries
+    own = spread(wrong.join(links_of(catalog), "db_id", "left")).withColumn("links", F.coalesce("links", F.array().cast(LINKS))).withColumn("sources", _sources())
     found = [own.select("id", F.explode(rewrites(codes)).alias("c")).select("id", F.regexp_replace("c.sql", r"upper:(\w+)\(", "$1(").alias("candidate"), "c.description", "c.preference")]
     names = F.regexp_replace("token", r"^.*\.", "")
     columns = catalog.select("db_id", "table_name", F.explode("columns.name").alias("option"))
@@ -286,7 +287,7 @@ def _repair(queries: DataFrame, catalog: DataFrame, rounds: int | None) -> DataF
         options = written(candidates(wrong, catalog, codes), "candidates")
         base = todo.select("id", "db_id", "policy", F.col("sql").alias("before"), F.col("error_class").alias("was"), F.col("issues").alias("had"), "steps", "original_query")
         # written down: what follows reads it twice, and puts no plan upon the large one
-        tried = tried_rows = written(diagnose(options.join(base, "id").select("id", "db_id", "policy", F.col("candidate").alias("sql"), "before", "was", "had", "steps", "original_query", "description", "preference"), catalog), "tried")
+        tried = tried_rows = written(diagnose(spread(options.join(base, "id")).select("id", "db_id", "policy", F.col("candidate").alias("sql"), "before", "was", "had", "steps", "original_query", "description", "preference"), catalog), "tried")
         tried = tried.filter(F.col("sql") != F.col("before"))
         gone = ~F.exists("issues", lambda x: (x["code"] == F.get("had", F.lit(0))["code"]) & x["token"].eqNullSafe(F.get("had", F.lit(0))["token"]) & (x["message"] == F.get("had", F.lit(0))["message"]))
         no_worse = (rank[F.col("error_class")] >= rank[F.col("was")]) | (F.col("error_class") == "CORRECT")
@@ -295,16 +296,20 @@ def _repair(queries: DataFrame, catalog: DataFrame, rounds: int | None) -> DataF
         unmasked = F.forall("issues", lambda x: (rank[x["error_class"]] >= rank[F.col("was")]) | F.coalesce(F.array_contains(words, F.lower(F.regexp_replace(x["token"], r"^.*\.", ""))), F.lit(False)))
         tried = tried.filter(gone & (no_worse | unmasked)).withColumn("_sound", no_worse)
         # what only unmasks comes after all that is sound
-        order = W.partitionBy("id").orderBy(F.desc("_sound"), (F.col("error_class") != "CORRECT").cast("int"), "preference", -rank[F.col("error_class")], F.size("issues"), "_size", "sql")
-        best = tried.withColumn("_size", edit_size(F.col("before"), F.col("sql"))).withColumn("_rn", F.row_number().over(order)).filter("_rn = 1")
+        urgent = (F.desc("_sound"), (F.col("error_class") != "CORRECT").cast("int"), F.col("preference"), -rank[F.col("error_class")], F.size("issues"))
+        # sizes of edits, the dearest measure, only of those that nothing else tells apart
+        level = tried.withColumn("_rn", F.rank().over(W.partitionBy("id").orderBy(*urgent))).filter("_rn = 1")
+        best = level.withColumn("_size", edit_size(F.col("before"), F.col("sql"))).withColumn("_rn", F.row_number().over(W.partitionBy("id").orderBy("_size", "sql"))).filter("_rn = 1")
         best = best.filter(~F.exists("steps", lambda s: s["before"] == F.col("sql")))  # repeating: stuck
         step = F.struct(F.col("was").alias("error_class"), "description", "before", F.col("sql").alias("after"))
         best = best.select("id", "db_id", "original_query", "sql", "policy", "error_class", "issues", F.array_append("steps", step).alias("steps"), F.lit(False).alias("stuck"))
+        best = best_rows = written(best, "best")  # read twice
         rest = todo.drop("open").join(best.select("id"), "id", "left_anti").withColumn("stuck", F.lit(True))
         number += 1
         state = _round(best.unionByName(rest.select(*best.columns)).withColumn("open", ~ended), path, number)
         discard(options)
         discard(tried_rows)
+        discard(best_rows)
     state = queries.sparkSession.read.schema(state.schema).parquet(*(f"{path}/round={k}" for k in range(number + 1))).filter("not open")
     told = F.transform("steps", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". ["), s["error_class"], F.lit("] "), s["description"]))
     sound = F.col("error_class") == "CORRECT"
