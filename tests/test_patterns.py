@@ -32,3 +32,12 @@ def test_texts_of_one_pattern_are_read_once(monkeypatch):
     found = [diagnose._checked(SCHEMA, f"SELECT a FROM t WHERE a > {n} AND b = 'once {n}'", False) for n in range(1000)]
     assert len(read) == 1
     assert [[x["value"] for x in f[2][0]["compared"]] for f in found] == [[str(n), f"once {n}"] for n in range(1000)]
+
+
+def test_a_corpus_takes_one_check_for_each_template(spark):
+    """Orders' texts, as diagnose_corpus makes them: checks grow with the templates, not with the texts."""
+    from sqlloom import samples
+
+    texts = [t[0].replace("{n}", str(n)).replace("{s}", f"{n}-HIGH") for n in range(100, 300) for t in samples.LABELLED]
+    patterns = {p[0] if (p := pattern_of(x)) else x for x in texts}
+    assert len(texts) == 200 * len(samples.LABELLED) and len(patterns) < len(texts) / 2
