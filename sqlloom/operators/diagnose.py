@@ -5,8 +5,9 @@ catalog: see sources.catalog.
 
 One Arrow pass gives two things for each query.  The compile check asks SQLite to EXPLAIN the
 query on empty typed tables (it never runs it); that is the reference dialect.  A worker remembers
-what it found for texts that differ only in the values that columns are compared with.  functions.scopes
-lists what each SELECT of the query says: sources, items, columns with the tables they resolve
+what it found for texts that differ only in the values that columns are compared with, and hands on
+such texts of a batch as one row that holds theirs: rules are applied once to it, and the values are put into what they tell.
+functions.scopes lists what each SELECT of the query says: sources, items, columns with the tables they resolve
 to, grouping, comparisons, join predicates.  All rules are column expressions over these lists, SELECT by SELECT, nested
 ones and those of set operations included.  Where a database is not in the catalog, the
 tables that a query uses are made up from the query itself, so that grammar and rules
@@ -22,6 +23,7 @@ import re
 import sqlite3
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from ..functions.built import built_once
-from ..functions.scopes import MARK, SCOPE, Query, marked_places, pattern_of, with_values
+from ..functions.scopes import LONGEST, MARK, SCOPE, Query, marked_places, meant, pattern_of, with_values
 from ..functions.text import NUMERIC, normalize_query, quote_ident
 from ..labels import PRIORITY
 
@@ -55,6 +57,10 @@ FORBIDDEN = r"(?i)^\s*(attach|detach|pragma|vacuum|reindex|analyze)\b"
 AFFINITY = {"number": " NUMERIC", "text": " TEXT", "time": " TEXT", "boolean": " BOOLEAN"}
 #: Bytes of schemas that are sent to every task.
 SHIPPED = 8 << 20
+#: Rows that one row of ``compiled`` holds at most.
+HELD = 1000
+#: NUMERIC as Spark reads it: its $ also stands before one of these at the end.
+NUMBER = re.compile(NUMERIC.removesuffix("$") + r"[\u0085\u2028\u2029]?\Z", re.A)
 
 
 def scripts(catalog: DataFrame) -> DataFrame:
@@ -107,6 +113,30 @@ def _checked_pattern(schema: str | None, pattern: str, restricted: bool) -> tupl
     return None if error and MARK in error else (error, named, scopes, marked_places(scopes))
 
 
+@lru_cache(maxsize=8192)
+def _shared(schema: str | None, pattern: str, restricted: bool, odd: tuple[bool, ...]) -> tuple[str | None, list, list] | None:
+    """What texts of a pattern tell, with marks for their values: after an underscore where ``odd``, as for strings that are no numbers.
+
+    None where a value may do more than be told: in the engine's message, and in items and groups, which are compared with each other.
+    """
+    known = _checked_pattern(schema, pattern, restricted)
+    if known is None or any(name != "compared" for _, name, *_ in known[3]):
+        return None
+    error, named, scopes, places = known
+    return error, named, with_values(scopes, places, [f"{'_' * x}{MARK}{i:03d}" for i, x in enumerate(odd)])
+
+
+def _alike(schema: str | None, sql: str, restricted: bool) -> tuple[tuple[str, tuple[bool, ...] | None], list[str] | None]:
+    """What texts with the same facts have in common, and what the values mean in which they differ."""
+    if found := pattern_of(sql):
+        pattern, raw = found
+        values = [meant(v) for v in raw]
+        odd = tuple(r[0] == "'" and not NUMBER.match(v) for r, v in zip(raw, values, strict=True))
+        if _shared(schema, pattern, restricted, odd) is not None:
+            return (pattern, odd), values
+    return (sql, None), None
+
+
 def _checked_text(schema: str | None, sql: str, restricted: bool) -> tuple[str | None, list, list]:
     if schema is None:
         first = Query(sql, {}, {})
@@ -127,8 +157,9 @@ def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-def compiled(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """queries (db_id, _q, policy) and schema_checked, engine_error (the engine's first message, or null), tables, scopes."""
+def compiled(queries: DataFrame, catalog: DataFrame, kept: list[str]) -> DataFrame:
+    """queries: db_id, _q, _policy (JSON), and ``kept``.  A row for texts of a batch that have the same facts: _q of one of them, their _policy,
+    schema_checked, engine_error (the engine's first message, or null), tables, scopes, and _rows: each text's kept columns and _values, which stand for the marks in scopes."""
     spark = queries.sparkSession
     schemas = scripts(catalog)
     size = schemas.agg(F.sum(F.length("schema") + 64)).first()[0] or 0
@@ -137,18 +168,33 @@ def compiled(queries: DataFrame, catalog: DataFrame) -> DataFrame:
         queries = queries.join(schemas, "db_id", "left").sortWithinPartitions("db_id")
     names = queries.columns
     scope = ArrayType(spark.createDataFrame([], f"s {SCOPE}").schema["s"].dataType)
+    values = ArrayType(StringType())
     more = [("schema_checked", "boolean"), ("engine_error", "string"), ("tables", "array<string>")]
     types: list[DataType] = [spark.createDataFrame([], f"x {t}").schema["x"].dataType for _, t in more]
-    out = StructType([*queries.schema.fields, *(StructField(n, t) for (n, _), t in zip(more, types, strict=True)), StructField("scopes", scope)])
+    held = ArrayType(StructType([*(queries.schema[c] for c in kept), StructField("_values", values)]))
+    out = StructType([queries.schema["_q"], queries.schema["_policy"], *(StructField(n, t) for (n, _), t in zip(more, types, strict=True)), StructField("scopes", scope), StructField("_rows", held)])
     arrow = [to_arrow_type(t) for t in (*types, scope)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sqls, policies = b.column(names.index("_q")).to_pylist(), b.column(names.index("policy")).is_valid().to_pylist()
-            own = [shipped.get(d) for d in b.column(names.index("db_id")).to_pylist()] if shipped is not None else b.column(names.index("schema")).to_pylist()
-            rows = [_checked(d, s, p) for d, s, p in zip(own, sqls, policies, strict=True)]
-            cols = [[d is not None for d in own], *zip(*rows, strict=True)] if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(cols, arrow, strict=True))], [*names, *(n for n, _ in more), "scopes"])
+            sqls, policies, own = (b.column(names.index(c)).to_numpy(zero_copy_only=False).tolist() for c in ("_q", "_policy", "schema" if shipped is None else "db_id"))
+            own = own if shipped is None else [shipped.get(d) for d in own]
+            groups, facts, told, last = [], [], [], {}
+            for i, (d, s, p) in enumerate(zip(own, sqls, policies, strict=True)):
+                like, v = _alike(d, s, p is not None)
+                told.append(v)
+                key = (d, p, *like) if len(s) <= LONGEST else i
+                if len(group := last.get(key, ())) in (0, HELD):
+                    last[key] = group = []
+                    groups.append(group)
+                    facts.append((d is not None, *(_checked(d, s, p is not None) if v is None else _shared(d, like[0], p is not None, like[1]))))
+                group.append(i)
+            order, first = pa.array([i for g in groups for i in g], pa.int32()), pa.array([g[0] for g in groups], pa.int32())
+            rows = pa.StructArray.from_arrays([*(b.column(names.index(c)).take(order) for c in kept), pa.array(told, to_arrow_type(values)).take(order)], [*kept, "_values"])
+            one = [b.column(names.index(c)).take(first) for c in ("_q", "_policy")]
+            found = [pa.array(c, t) for c, t in zip(zip(*facts, strict=True) if facts else [[]] * 4, arrow, strict=True)]
+            ends = pa.array(accumulate((len(g) for g in groups), initial=0), pa.int32())
+            yield pa.RecordBatch.from_arrays([*one, *found, pa.ListArray.from_arrays(ends, rows)], out.names)
 
     return queries.mapInArrow(run, out)
 
@@ -282,6 +328,16 @@ def all_issues() -> Column:
     return F.array_distinct(F.transform(ranked, lambda r: r["x"]))
 
 
+@built_once
+def told_issues() -> Column:
+    """The issues of a text: those of the texts that are like it, with its own values for the marks."""
+    values = F.col("_r._values")
+    piece = lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.get(values, F.substring(p, 1, 3).cast("int")), F.substring(p, F.lit(4), F.length(p))))
+    put = lambda t: F.when(t.contains(MARK), F.array_join(F.transform(F.split(t, f"_?{MARK}", -1), piece), "")).otherwise(t)
+    own = F.transform("issues", lambda x: x.withField("message", put(x["message"])).withField("token", put(x["token"])))
+    return F.when(values.isNotNull() & F.exists("issues", lambda x: x["message"].contains(MARK)), F.array_distinct(own)).otherwise(F.col("issues"))
+
+
 def diagnose(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """queries with error_class, issues (most urgent first), engine_error, schema_checked.
 
@@ -289,9 +345,13 @@ def diagnose(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     unknown names do not count there.  A null or empty text is a syntax error.
     """
     q = queries if "policy" in queries.columns else queries.withColumn("policy", F.lit(None).cast("struct<restricted_tables array<string>, restricted_columns array<string>>"))
-    kept = q.columns
-    q = compiled(q.withColumn("_q", normalize_query(F.col("sql"))), catalog)
+    names, policy = q.columns, q.schema["policy"].dataType
+    kept = [c for c in names if c != "policy"]
+    # policies travel as text: Spark's Arrow writer goes over a whole batch at every null struct of arrays
+    q = compiled(q.select(*kept, F.to_json("policy").alias("_policy"), normalize_query(F.col("sql")).alias("_q")), catalog, kept)
+    q = q.withColumn("policy", F.from_json("_policy", policy))
     q = q.withColumn("engine_error", F.when(F.col("schema_checked") | ~F.col("engine_error").rlike(f"(?i){UNKNOWN_NAME.pattern}"), F.col("engine_error")))
     q = q.withColumn("issues", all_issues())
     q = q.withColumn("error_class", F.when(F.size("issues") > 0, F.col("issues")[0]["error_class"]).otherwise("CORRECT"))
-    return q.select(*kept, "error_class", "issues", "engine_error", "schema_checked")
+    q = q.select(F.explode("_rows").alias("_r"), "policy", "error_class", "issues", "engine_error", "schema_checked")
+    return q.select(*("policy" if c == "policy" else F.col("_r")[c].alias(c) for c in names), "error_class", told_issues().alias("issues"), "engine_error", "schema_checked")
