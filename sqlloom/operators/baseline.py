@@ -9,26 +9,29 @@ from __future__ import annotations
 import json
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import classification as ml
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import (
+    IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler,
+)
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import DenseMatrix, DenseVector, SparseVector, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..plans.stages import discard, folder
+from . import softmax
+from .softmax import grams_of, runs_of
 
 #: What both feature sets are called in the pipeline: word grams, character grams.
 KINDS = ("_w", "_c")
@@ -74,44 +77,94 @@ def pipeline(labels: list[str], c: float = 4.0, rows: int = 1000, vocabulary: in
     return Pipeline(stages=stages)
 
 
-def _vectors(rows: DataFrame, **vectors: Column) -> DataFrame:
-    """_y and the vectors given as structs, written down and read again as vectors, without the attributes of their elements.
+class LogisticRegression(ml.LogisticRegression):
+    """pyspark.ml's regression.  Where its features are blocks of texts (``softmax.Block``) instead of vectors, it takes the same steps over these: a text's cost is that of its own terms then."""
+
+    #: Of blocks: the number of terms.
+    terms = 0
+
+    def _fit(self, dataset: DataFrame) -> ml.LogisticRegressionModel:
+        if isinstance(dataset.schema[self.getFeaturesCol()].dataType, VectorUDT):
+            return super()._fit(dataset)
+        classes = len(dataset.schema[self.getLabelCol()].metadata["ml_attr"]["vals"])
+        weights, intercept, self.objective = softmax.regression(dataset, self.getFeaturesCol(), classes, self.terms, self.getRegParam(), self.getMaxIter(), self.getTol())
+        sc = dataset.sparkSession.sparkContext
+        java = sc._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(self.uid, _py2java(sc, DenseMatrix(classes, self.terms, weights.ravel(), True)), _py2java(sc, DenseVector(intercept)), classes, True)
+        return self._copyValues(ml.LogisticRegressionModel(java))
+
+
+def _vocabulary(terms: list[str], stage: CountVectorizer) -> CountVectorizerModel:
+    """What ``stage`` would fit.  Terms have no line ends, so all go at once."""
+    array = SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile("\n").split("\n".join(terms), -1)
+    return stage._copyValues(CountVectorizerModel(SparkSession.getActiveSession()._jvm.org.apache.spark.ml.feature.CountVectorizerModel(stage.uid, array)))
+
+
+def _term_counts(train: DataFrame) -> DataFrame:
+    """kind, term, total, texts: how often each gram occurs, and in how many texts."""
+    out = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("total", T.LongType()), T.StructField("texts", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in softmax.gathered((x,) for b in batches for x in b.column(0).to_pylist()):
+            for kind, total, texts in softmax.term_counts([x for x, in block]):
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(total), pa.int32()), pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64()), pa.array([texts[g] for g in total], pa.int64())], out.names)
+
+    return train.select("text").mapInArrow(run, out).groupBy("kind", "term").agg(F.sum("total").alias("total"), F.sum("texts").alias("texts"))
 
-    These (an object for each term) would else be part of the plan, and sent with every task of every step.
-    """
-    spark = rows.sparkSession
-    path = f"{folder(spark)}/vectors-{uuid.uuid4().hex}"
-    rows.select("_y", *(v.alias(n) for n, v in vectors.items())).write.parquet(path)
-    return spark.read.schema(T.StructType([rows.schema["_y"], *(T.StructField(n, VectorUDT()) for n in vectors)])).parquet(path)
+
+def _blocks(train: DataFrame, labels: list[str], terms: list[list[str]], idf: list[np.ndarray], sublinear: bool) -> DataFrame:
+    """_y, _x: the texts' classes and features, as blocks."""
+    held = train.sparkSession.sparkContext.broadcast((terms, idf))
+    x = T.StructType([T.StructField(n, T.BinaryType()) for n in softmax.Block.FIELDS])
+    classes = {"ml_attr": {"type": "nominal", "name": "_y", "vals": [*labels, "__unknown"]}}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = held.value
+        places, number = [{t: i for i, t in enumerate(x)} for x in terms], {y: i for i, y in enumerate(labels)}
+        for block in softmax.gathered(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            found = softmax.Block.of([t for t, _ in block], [number[y] for _, y in block], places, idf, sublinear)
+            packed = found.packed()
+            yield pa.RecordBatch.from_arrays([pa.array([packed["y"]]), pa.StructArray.from_arrays([pa.array([v]) for v in packed.values()], list(packed))], ["_y", "_x"])
+
+    return train.select("text", "label").mapInArrow(run, T.StructType([T.StructField("_y", T.BinaryType()), T.StructField("_x", x)])).withMetadata("_y", classes)
 
 
 def fit(train: DataFrame, **parameters) -> PipelineModel:
-    """The fitted pipeline.  Grams are made once for each vocabulary and once for the counts; all that follows reads the counts.
+    """The fitted pipeline.  Terms are counted in one pass over the texts; a second one makes blocks of their features, over which the regression goes.
 
-    The regression's rows lie in one partition for each core: a partition's gradient, as large as the model, is sent at every step.
+    The blocks lie in one partition for each core, or fewer if they are small: a partition's gradient, as large as the model, is sent at every step.
     """
-    labels = sorted(r["label"] for r in train.select("label").distinct().collect())
-    stages = pipeline(labels, rows=train.count(), **parameters).getStages()
-    last = max(i for i, s in enumerate(stages) if isinstance(s, CountVectorizer)) + 1
-    fitted = Pipeline(stages=stages[:last]).fit(train)
-    n = {k: F.unwrap_udt(F.col(f"{k}_n")) for k in KINDS}
-    vectors = {f"{k}_n": v for k, v in n.items()}
-    if any(isinstance(s, SublinearTF) for s in stages):
-        vectors |= {f"{k}_s": F.struct(v["type"].alias("type"), v["size"].alias("size"), v["indices"].alias("indices"), F.transform(v["values"], lambda x: 1.0 + F.ln(x)).alias("values")) for k, v in n.items()}
-    models, counted = list(fitted.stages), _vectors(fitted.transform(train), **vectors)
-    data, used = counted, [counted]
-    for s in stages[last:]:
-        if isinstance(s, LogisticRegression):
-            used.append(_vectors(data, _x=F.unwrap_udt(F.col("_x"))))
-            data = used[-1].coalesce(data.sparkSession.sparkContext.defaultParallelism)
-        models.append(s.fit(data) if isinstance(s, Estimator) else s)
-        if not isinstance(s, (SublinearTF, LogisticRegression, IndexToString)):
-            data = models[-1].transform(data)
-    for d in used:
-        discard(d)
+    by_label = {r["label"]: r for r in train.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
+    labels, rows = sorted(by_label), sum(r["n"] for r in by_label.values())
+    full = max(rows / softmax.ROWS, sum(r["chars"] or 0 for r in by_label.values()) / softmax.CHARS)
+    stages = pipeline(labels, rows=rows, **parameters).getStages()
+    models, terms, idf = [], [], []
+    counts = _term_counts(train).filter(F.col("texts") >= min(least(s, rows) for s in stages if isinstance(s, CountVectorizer))).persist()
+    for s in stages:
+        if isinstance(s, StringIndexer):
+            models.append(StringIndexerModel.from_labels(labels, s.getInputCol(), s.getOutputCol(), s.getHandleInvalid()))
+        elif isinstance(s, CountVectorizer):
+            of_kind = counts.filter((F.col("kind") == KINDS.index(s.getInputCol())) & (F.col("texts") >= least(s, rows)))
+            top = of_kind.orderBy(F.desc("total"), "term").limit(s.getVocabSize()).select("term", "texts").toArrow()
+            terms.append(top["term"].to_pylist())
+            idf.append(np.log((rows + 1) / (top["texts"].to_numpy() + 1)))
+            models.append(_vocabulary(terms[-1], s))
+        elif isinstance(s, IDF):
+            models.append(ElementwiseProduct(scalingVec=DenseVector(idf[KINDS.index(s.getOutputCol()[:-2])]), inputCol=s.getInputCol(), outputCol=s.getOutputCol()))
+        elif isinstance(s, LogisticRegression):
+            counts.unpersist()
+            s.terms = sum(map(len, terms))
+            blocks = _blocks(train, labels, terms, idf, any(isinstance(x, SublinearTF) for x in stages))
+            models.append(s.fit(blocks.coalesce(min(train.sparkSession.sparkContext.defaultParallelism, math.ceil(4 * full)))))
+        else:
+            models.append(s)
     return PipelineModel(models)
 
 
+def least(stage: CountVectorizer, rows: int) -> float:
+    """In how many texts a term must be."""
+    return stage.getMinDF() if stage.getMinDF() >= 1 else stage.getMinDF() * rows
+
+
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """The rows with y_pred, confidence and probabilities (map of class to probability)."""
     labels = model.stages[-1].getLabels()
@@ -126,20 +179,11 @@ def _parts(model: PipelineModel) -> dict:
     by = lambda kind: [s for s in model.stages if type(s).__name__ == kind]
     lr = by("LogisticRegressionModel")[0]
     return {
-        "labels": list(model.stages[-1].getLabels()), "terms": [list(m.vocabulary) for m in by("CountVectorizerModel")], "idf": [m.idf.toArray() for m in by("IDFModel")],
+        "labels": list(model.stages[-1].getLabels()), "terms": [list(m.vocabulary) for m in by("CountVectorizerModel")], "idf": [m.idf.toArray() for m in by("IDFModel")] or [m.getScalingVec().toArray() for m in by("ElementwiseProduct")],
         "coefficients": lr.coefficientMatrix.toArray(), "intercept": lr.interceptVector.toArray(), "sublinear": bool(by("SublinearTF")),
     }
 
 
-def runs_of(text: str) -> list[str]:
-    return [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
-
-
-def grams_of(run: str) -> list[str]:
-    """Character grams of a run without blanks, repeated ones repeated."""
-    return [f" {run} "[i : i + n] for n in range(2, 6) for i in range(max(len(run) + 3 - n, 1))]
-
-
 def features_of(text: str) -> tuple[list[str], list[str]]:
     """Word grams and character grams of a text, repeated ones repeated, as the pipeline makes them."""
     words = re.findall(r"\w+", text.lower(), re.A)
