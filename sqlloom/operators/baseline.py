@@ -9,8 +9,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -195,51 +194,71 @@ class Scorer:
     """A model in a worker: what ``_parts`` gives, with the terms' places."""
 
     def __init__(self, parts: dict):
-        self.places = [{t: i for i, t in enumerate(terms)} for terms in parts["terms"]]
+        # terms of no weight anywhere are no terms of a text
+        self.places = [{t: i for i, t in enumerate(terms) if idf[i]} for terms, idf in zip(parts["terms"], parts["idf"], strict=True)]
         self.start, self.labels = [0, len(parts["terms"][0])], parts["labels"]
-        self.weights, self.intercept = np.ascontiguousarray(parts["coefficients"].T), parts["intercept"]
+        self.weights, self.intercept = np.ascontiguousarray(parts["coefficients"]), parts["intercept"]
         self.idf, self.sublinear = parts["idf"], parts["sublinear"]
 
-    def features(self, text: str | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each kind: the places of the text's terms, their counts, their values (of unit length)."""
-        out = []
-        for places, idf, grams in zip(self.places, self.idf, features_of(text or ""), strict=True):
-            at, n = np.unique(np.array([places[g] for g in grams if g in places], np.int64), return_counts=True)
-            v = (1 + np.log(n) if self.sublinear else n.astype(float)) * idf[at]
-            norm = np.sqrt((v * v).sum())
-            out.append((at, n, v / norm if norm > 0 else v))
-        return out
-
-    def margin(self, features: list) -> np.ndarray:
-        margin = self.intercept.copy()
-        for start, (at, _, v) in zip(self.start, features, strict=True):
-            margin = margin + v @ self.weights[start + at]
-        return margin
-
-    def probabilities(self, text: str | None) -> np.ndarray:
-        margin = self.margin(self.features(text))
-        e = np.exp(margin - margin.max())
-        return e / e.sum()
-
-    def words(self, text: str | None) -> tuple[str, dict[str, float]]:
-        """The predicted label, and what each word adds to its margin."""
-        features = self.features(text)
-        y = int(self.margin(features)[: len(self.labels)].argmax())
-        total: dict[str, float] = {}
-        # a term's share for one occurrence; terms of no weight anywhere are no terms of the text
-        each = [{int(i): float(x * self.weights[start + i, y] / k) for i, k, x in zip(*f, strict=True) if x} for start, f in zip(self.start, features, strict=True)]
-        words, _ = features_of(text or "")
-        for term, k in Counter(words).items():
-            share = each[0].get(self.places[0].get(term, -1))
-            parts = term.split(" ")
-            for w in parts if share is not None else ():
-                total[w] = total.get(w, 0.0) + share * k / len(parts)
-        for run, k in Counter(runs_of(text or "")).items():
-            for term in grams_of(run):
-                share = each[1].get(self.places[1].get(term, -1))
-                if share is not None:
-                    total[run] = total.get(run, 0.0) + share * k
-        return self.labels[y], total
+    def margins(self, texts: list[str | None]) -> tuple[softmax.Block, np.ndarray]:
+        """The texts' features; the margins, classes by texts."""
+        block = softmax.Block.of(texts, [0] * len(texts), self.places, self.idf, self.sublinear)
+        return block, block.margins(self.weights, self.intercept)
+
+    def probabilities(self, texts: list[str | None]) -> np.ndarray:
+        """Texts by classes."""
+        _, margins = self.margins(texts)
+        e = np.exp(margins - margins.max(axis=0))
+        return (e / e.sum(axis=0)).T
+
+    def words(self, texts: list[str | None]) -> Iterator[tuple[str, dict[str, float]]]:
+        """For each text the predicted label, and what each word adds to its margin.
+
+        What a pattern's words add, but for the norm, is worked out once for each class; a text's own terms add to it, and change what the pattern's occurrences of them add.
+        """
+        block, margins = self.margins(texts)
+        scale, best = block.scale.reshape(2, -1).tolist(), margins[: len(self.labels)].argmax(axis=0).tolist()
+        patterns, at, own = softmax.shaped(texts)
+        known = [[_occurrences(k, x, self.places[k]) for k, x in enumerate((p.counts[0].elements(), p.runs))] for p in patterns]
+        tables: dict[tuple[int, int], list[dict[str, float]]] = {}
+
+        def share(k: int, i: int, n: int, y: int) -> float:
+            """Of one of a term's n occurrences, but for the norm."""
+            return float(self.weights[y, self.start[k] + i] * self.idf[k][i]) * ((1 + math.log(n)) / n if self.sublinear else 1.0)
+
+        for n, (p, y, mine) in enumerate(zip(at, best, own, strict=True)):
+            if (p, y) not in tables:
+                tables[p, y] = [{}, {}]
+                for k, table in enumerate(tables[p, y]):
+                    for i, (c, words) in known[p][k].items():
+                        for w, m in words.items():
+                            table[w] = table.get(w, 0.0) + share(k, i, c, y) * m
+            total: dict[str, float] = {}
+            for k, table in enumerate(tables[p, y]):
+                for w, x in table.items():
+                    total[w] = total.get(w, 0.0) + x * scale[k][n]
+                for i, (c, words) in _occurrences(k, mine[k], self.places[k]).items():
+                    before, others = known[p][k].get(i, (0, {}))
+                    new = share(k, i, before + c, y) * scale[k][n]
+                    for w, m in words.items():
+                        total[w] = total.get(w, 0.0) + new * m
+                    for w, m in others.items():
+                        total[w] += (new - share(k, i, before, y) * scale[k][n]) * m
+            yield self.labels[y], total
+
+
+def _occurrences(kind: int, found: Iterable[str], places: dict[str, int]) -> dict[int, list]:
+    """Of word grams or runs: for each term how often it occurs, and how many of these times go to each word."""
+    out: dict[int, list] = {}
+    for x in found:
+        grams, words = (grams_of(x), (x,)) if kind else ((x,), x.split(" "))
+        for g in grams:
+            if (i := places.get(g)) is not None:
+                here = out.setdefault(i, [0, {}])
+                here[0] += 1
+                for w in words:
+                    here[1][w] = here[1].get(w, 0.0) + 1 / len(words)
+    return out
 
 
 def batch_predictor(model: PipelineModel, text: str = "text", batch_size: int = 256):
@@ -251,7 +270,7 @@ def batch_predictor(model: PipelineModel, text: str = "text", batch_size: int =
 
     def load():
         scorer = Scorer(held.value)
-        return lambda texts: np.array([scorer.probabilities(x) for x in texts.ravel().tolist()])
+        return lambda texts: scorer.probabilities(texts.ravel().tolist())
 
     return predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)(F.coalesce(F.col(text), F.lit("")))
 
@@ -307,7 +326,7 @@ def word_contributions(model: PipelineModel, rows: DataFrame, key: str = "id") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         for b in batches:
-            found = [(i, label, w, c) for i, x in enumerate(b.column(1).to_pylist()) for label, words in (scorer.words(x),) for w, c in words.items()]
+            found = [(i, label, w, c) for block in softmax.gathered(zip(b.column(1).to_pylist(), range(len(b)), strict=True)) for (_, i), (label, words) in zip(block, scorer.words([x for x, _ in block]), strict=True) for w, c in words.items()]
             at, labels, words, shares = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())).cast(kind), pa.array(labels, pa.string()), pa.array(words, pa.string()), pa.array(shares, pa.float64())], out.names)
 

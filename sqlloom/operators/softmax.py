@@ -18,7 +18,7 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 
 #: Texts of a block are these many at most, and these many characters, but for the last text.
-ROWS, CHARS = 16_384, 8_000_000
+ROWS, CHARS = 16_384, 1_000_000
 #: A run that occurs so often in a block is common there.
 COMMON = 16
 #: MB that the driver may get at a step; beyond that tasks add up first.
@@ -45,12 +45,13 @@ class Pattern:
         #: Windows of the words that hold one of a text's own.
         self.own = [(i, j) for i, j in windows if None in words[i:j]]
         self.words, self.open = words, [i for i, w in enumerate(words) if w is None]
+        self.runs = [x for x in key if isinstance(x, str)]
         #: Counts of word grams, of character grams.
-        self.counts = Counter(" ".join(words[i:j]) for i, j in windows if None not in words[i:j]), Counter(chain.from_iterable(grams_of(x) for x in key if isinstance(x, str)))
+        self.counts = Counter(" ".join(words[i:j]) for i, j in windows if None not in words[i:j]), Counter(chain.from_iterable(map(grams_of, self.runs)))
 
 
 def shaped(texts: list[str | None]) -> tuple[list[Pattern], list[int], Iterator[tuple[list[str], list[str]]]]:
-    """The block's patterns, each text's pattern, and one by one the texts' own word grams and character grams, repeated ones repeated."""
+    """The block's patterns, each text's pattern, and one by one the texts' own word grams and own runs, repeated ones repeated."""
     runs = [runs_of(x or "") for x in texts]
     common = {r for r, n in Counter(chain.from_iterable(runs)).items() if n >= COMMON}
     places: dict[tuple, int] = {}
@@ -63,7 +64,7 @@ def shaped(texts: list[str | None]) -> tuple[list[Pattern], list[int], Iterator[
             words = patterns[p].words.copy()
             for i, w in zip(patterns[p].open, chain.from_iterable(WORD.findall(r) for r in rare), strict=True):
                 words[i] = w
-            yield [" ".join(words[i:j]) for i, j in patterns[p].own], [g for r in rare for g in grams_of(r)]
+            yield [" ".join(words[i:j]) for i, j in patterns[p].own], rare
 
     return patterns, at, own()
 
@@ -85,8 +86,8 @@ def term_counts(texts: list[str | None]) -> Iterator[tuple[int, dict[str, int],
     """For each kind of grams: how often each occurs in the texts, and in how many of them."""
     patterns, at, own = shaped(texts)
     total, texts_with = (Counter(), Counter()), (Counter(), Counter())
-    for p, grams in zip(at, own, strict=True):
-        for k, g in enumerate(grams):
+    for p, (words, rare) in zip(at, own, strict=True):
+        for k, g in enumerate((words, [g for r in rare for g in grams_of(r)])):
             known = patterns[p].counts[k]
             total[k].update(g)
             texts_with[k].update(x for x in set(g) if x not in known)
@@ -120,8 +121,8 @@ class Block:
         known = [[{places[k][g]: c for g, c in p.counts[k].items() if g in places[k]} for p in patterns] for k in (0, 1)]
         lists = [[(list(d), list(d.values()), [0] * len(d)) for d in known[k]] for k in (0, 1)]
         mine: list[list] = [[], []]
-        for p, grams in zip(pattern, own, strict=True):
-            for k, g in enumerate(grams):
+        for p, (words, rare) in zip(pattern, own, strict=True):
+            for k, g in enumerate((words, (g for r in rare for g in grams_of(r)))):
                 here, c = known[k][p], Counter(places[k][x] for x in g if x in places[k])
                 old = [here.get(i, 0) for i in c]
                 mine[k].append((list(c), [a + b for a, b in zip(c.values(), old, strict=True)], old))
